@@ -7,11 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.common import table
+from tidemark.llm.exact_search import exact_topk
 from tidemark.llm.mixing import mix_sources
+from tidemark.llm.neighbours import nearest
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.token_counts import token_counts
 
 
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk(table(spark, sf_dir, "embeddings"))
+
+
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
@@ -25,6 +35,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_exact_topk": op2_exact_topk,
+    "op3_nearest": op3_nearest,
     "op4_token_counts": op4_token_counts,
     "op7_mixing": op7_mixing,
     "op9_packing": op9_packing,
