@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.common import table
 from tidemark.llm.exact_search import exact_topk
+from tidemark.llm.language_id import identify_language
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.neighbours import nearest
 from tidemark.llm.packing import pack_documents
+from tidemark.llm.quality import score_quality
 from tidemark.llm.token_counts import token_counts
 
 
@@ -26,6 +28,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
@@ -34,12 +40,18 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_topk": op2_exact_topk,
     "op3_nearest": op3_nearest,
     "op4_token_counts": op4_token_counts,
+    "op6_language_id": op6_language_id,
     "op7_mixing": op7_mixing,
     "op9_packing": op9_packing,
+    "op10_quality": op10_quality,
 }
 
 SQL: dict[str, str] = {}
