@@ -14,6 +14,7 @@ from tidemark.llm.mixing import mix_sources
 from tidemark.llm.neighbours import nearest
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality import score_quality
+from tidemark.llm.repeats import repeat_spans
 from tidemark.llm.token_counts import token_counts
 
 
@@ -29,6 +30,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_spans(table(spark, sf_dir, "documents")).drop("row_key")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(table(spark, sf_dir, "documents"))
 
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_topk": op2_exact_topk,
     "op3_nearest": op3_nearest,
     "op4_token_counts": op4_token_counts,
+    "op5_repeats": op5_repeats,
     "op6_language_id": op6_language_id,
     "op7_mixing": op7_mixing,
     "op8_jaccard_join": op8_jaccard_join,
