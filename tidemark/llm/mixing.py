@@ -112,8 +112,10 @@ def mix_sources(
     weights: tuple[float, ...] = WEIGHTS,
     share: float = SHARE,
     max_copies: int = MAX_COPIES,
+    keep_key: bool = False,
 ) -> DataFrame:
-    """Per row: ``id_col``, ``source``, ``size``, ``source_size``, ``target``, ``rate``, ``copies``, ``taken``.
+    """Per row: ``id_col``, ``source``, ``size``, ``source_size``, ``target``, ``rate``, ``copies``, ``taken``
+    (and ``row_key``, a hash of id and text, if asked for).
 
     Sources in code-point order, null last, weigh ``weights`` in rotation and
     share ``share`` times all words.  A null text has size 0 and takes 0 words;
@@ -124,7 +126,8 @@ def mix_sources(
     spark = df.sparkSession
     kind = {c: df.schema[c].dataType.simpleString() for c in (id_col, source)}
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = stored(df.select(F.col(id_col).alias("i"), F.col(source).alias("s"), size.alias("size")))
+    row_key = F.xxhash64(id_col, text, F.lit(3)) if keep_key else F.lit(None).cast("long")
+    sized = stored(df.select(F.col(id_col).alias("i"), F.col(source).alias("s"), size.alias("size"), row_key.alias("row_key")))
     # a null source gets the key '', any other the key '=' + its name
     sized = sized.withColumn("key", F.when(F.col("s").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("s").cast("string"))))
     histogram = sized.groupBy("key", "size").agg(F.count("*").alias("n")).persist()
@@ -144,10 +147,11 @@ def mix_sources(
     )
     rate = F.when(F.col("at") == float("inf"), F.lit(float(max_copies))).otherwise(_rate(F.col("size") / F.col("mean"), F.col("at"), max_copies))
     rated = sized.join(plan, "key").select(
-        "i", "s", "size", "source_size", "target", rate.alias("rate"), "key",
+        "i", "s", "row_key", "size", "source_size", "target", rate.alias("rate"), "key",
         F.xxhash64("i", "size").alias("salt"), F.col("i").cast("string").alias("id_key"),
         F.pmod(F.xxhash64("size", "i"), F.col("buckets")).alias("bucket"),
     )
-    schema = f"i {kind[id_col]}, s {kind[source]}, size long, source_size long, target double, rate double, copies long, taken long"
+    schema = f"i {kind[id_col]}, s {kind[source]}, row_key long, size long, source_size long, target double, rate double, copies long, taken long"
     out = rated.groupBy("key", "bucket").applyInPandas(_copies, schema)
+    out = out if keep_key else out.drop("row_key")
     return out.withColumnsRenamed({"i": id_col, "s": source})

@@ -54,16 +54,15 @@ def statistics(text: str | None) -> tuple[float, ...]:
     )
 
 
-def with_statistics(df: DataFrame, text: str) -> DataFrame:
-    """``df`` with a struct column ``stats``; every other column passes through."""
+def with_statistics(df: DataFrame, text: str, name: str = "stats") -> DataFrame:
+    """``df`` with a struct column of that name; every other column passes through."""
     schema = ", ".join(f"{x} double" for x in STATISTICS)
-    place = df.columns.index(text)
 
     def measure(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             yield pd.DataFrame([statistics(x if isinstance(x, str) else None) for x in texts], columns=list(STATISTICS), dtype=float)
 
-    return df.withColumn("stats", F.pandas_udf(measure, f"struct<{schema.replace(' double', ':double')}>")(F.col(df.columns[place])))
+    return df.withColumn(name, F.pandas_udf(measure, f"struct<{schema.replace(' double', ':double')}>")(F.col(text)))
 
 
 @dataclass(frozen=True)

@@ -10,6 +10,7 @@ from tidemark.llm.common import table
 from tidemark.llm.exact_search import exact_topk
 from tidemark.llm.jaccard_join import jaccard_join
 from tidemark.llm.language_id import identify_language
+from tidemark.llm.licenses import scan_licences, scan_sql
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.neighbours import nearest
 from tidemark.llm.packing import pack_documents
@@ -18,6 +19,10 @@ from tidemark.llm.repeats import repeat_spans
 from tidemark.llm.token_counts import token_counts
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(table(spark, sf_dir, "embeddings"))
 
@@ -55,6 +60,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_exact_topk": op2_exact_topk,
     "op3_nearest": op3_nearest,
     "op4_token_counts": op4_token_counts,
@@ -66,4 +72,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_license_scan": scan_sql(),
+}
