@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -34,42 +35,84 @@ TIERS = (4096, 2048, 1024, 512)
 END_ID = 2
 STEP_TOKENS = 1 << 18
 GROUP_PIECES = 60_000
-MEMO_ENTRIES = 600_000
+WORD_END = "</w>"
+WORD_ENTRIES, STEM_ENTRIES = 500_000, 1_000_000
 #: Python's str.split() takes these as white space, the tokenizer does not.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: Letters whose lower case and composition are the same everywhere, then marks that never join letters.
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,:;!?|#$%&*]*)")
 
 
 class WordEncoder:
     """Token ids as little-endian bytes; each distinct word is encoded once per worker.
 
     The tokenizer drops white space and never looks across it, so the ids of a
-    text are the ids of its white-space-separated words in a row.
+    text are the ids of its white-space-separated words in a row.  It folds case
+    and splits letters from punctuation too, so plain words share their stem's ids.
     """
 
-    def __init__(self, tokenizer_file: str, memo_entries: int = MEMO_ENTRIES):
+    def __init__(self, tokenizer_file: str, words: int = WORD_ENTRIES, stems: int = STEM_ENTRIES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.memo: dict[str, bytes] = {}
-        self.memo_entries = memo_entries
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
+        self.words: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {"": b""}
+        self.most_words, self.most_stems = words, stems
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def ids(self, text: str) -> bytes:
-        if _ODD_SPACE.search(text):
-            return self._encode([text])[0]
-        words, memo = text.split(), self.memo
-        new = list(set(words).difference(memo))
-        if new:
-            if len(memo) + len(new) > self.memo_entries:
-                memo.clear()
-                new = list(set(words))
-            memo.update(zip(new, self._encode(new)))
-        return b"".join([memo[x] for x in words])
+        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (x.ids for x in encoded)]
+
+    def _encode_stems(self, stems: list[str]) -> list[bytes]:
+        """Stems are one word each to the tokenizer, so one call encodes many; a
+        word's last token carries the mark of a word's end."""
+        out: list[bytes] = []
+        for at in range(0, len(stems), 2000):
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(stems[at : at + 2000])], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(stems[at : at + 2000]):
+                return self._encode(stems)
+            data, edges = ids.tobytes(), [0, *(4 * ends).tolist()]
+            out += [data[a:b] for a, b in zip(edges, edges[1:])]
+        return out
+
+    def _learn(self, new: set[str]) -> None:
+        plain, other = {}, []
+        for w in new:
+            m = _PLAIN.fullmatch(w)
+            if m:
+                plain[w] = (m[1].lower(), m[2])
+            else:
+                other.append(w)
+        stems = {x for pair in plain.values() for x in pair}
+        if len(self.stems) + len(stems) > self.most_stems:
+            self.stems = {"": b""}
+        stems = list(stems.difference(self.stems))
+        self.stems.update(zip(stems, self._encode_stems(stems)))
+        known = self.stems
+        self.words.update((w, known[a] + known[b]) for w, (a, b) in plain.items())
+        self.words.update(zip(other, self._encode(other)))
+
+    def ids(self, texts: list[str]) -> Iterator[bytes]:
+        for at in range(0, len(texts), 32):
+            some = texts[at : at + 32]
+            odd = [_ODD_SPACE.search(x) is not None for x in some]
+            split = [[] if o else x.split() for x, o in zip(some, odd)]
+            new = set().union(*split).difference(self.words)
+            if new:
+                if len(self.words) + len(new) > self.most_words:
+                    self.words = {}
+                    new = set().union(*split)
+                self._learn(new)
+            words = self.words
+            for x, o, parts in zip(some, odd, split):
+                yield self._encode([x])[0] if o else b"".join([words[w] for w in parts])
 
 
 def cuts(n: int, tiers: tuple[int, ...] = TIERS) -> list[tuple[int, int]]:
@@ -143,8 +186,9 @@ def token_pieces(df: DataFrame, text: str, id_col: str, tokenizer_file: str | No
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for key, value in zip(batch["i"], batch["t"]):
-                data = (encoder.ids(value) if isinstance(value, str) else b"") + end
+            texts = [x if isinstance(x, str) else "" for x in batch["t"]]
+            for key, ids in zip(batch["i"], encoder.ids(texts)):
+                data = ids + end
                 n = len(data) // 4
                 rows += [(key, a, m, zlib.crc32(data[4 * a : 4 * (a + m)]), n) for a, m in cuts(n, tiers)]
             yield pd.DataFrame(rows, columns=["i", "start", "length", "ids_crc32", "doc_tokens"])
