@@ -22,9 +22,9 @@ from tidemark.llm.common import stored
 from tidemark.llm.vectors import blocked_topk, hashed, stacked, valid_vectors
 
 SAMPLE = 6_000
-ROWS_PER_PART = 2_048
-ROWS_PER_BLOCK = 16_384
-MAX_PARTS = 256
+ROWS_PER_PART = 8_192
+ROWS_PER_BLOCK = 65_536
+MAX_PARTS = 1_024
 GRAPH_NEIGHBOURS = 10
 HIDDEN = 128
 RECALL = 0.94
@@ -156,24 +156,39 @@ def rerank(query_ids, queries, ids, rows, k: int) -> pd.DataFrame:
 
     A product of matrices selects, with a margin for its rounding; the row-wise
     sum, the same for equal vectors wherever they stand, decides."""
-    out = []
+    order = np.argsort(ids, kind="stable")
+    ids, rows = ids[order], rows[order]
+    norm = np.linalg.norm(rows, axis=1).max(initial=0)
+    repeated = len(np.unique(ids)) < len(ids)
+    query, row, found = [], [], []
     for at in range(0, len(queries), 256):
         block = queries[at : at + 256]
         score = block @ rows.T
-        scale = np.linalg.norm(block, axis=1) * np.linalg.norm(rows, axis=1).max(initial=0)
-        for i, (query_id, s) in enumerate(zip(query_ids[at : at + 256], score)):
-            s[ids == query_id] = -np.inf
-            left = int(np.isfinite(s).sum())
-            if not left:
+        slack = 1e-12 * norm * np.linalg.norm(block, axis=1)
+        low, high = (np.searchsorted(ids, query_ids[at : at + 256], side) for side in ("left", "right"))
+        for i in range(len(block)):
+            s = score[i]
+            s[low[i] : high[i]] = -np.inf
+            m = len(s) - (high[i] - low[i])
+            if not m:
                 continue
-            m = min(k, left)
-            least = np.partition(s, len(s) - m)[len(s) - m]
-            near = np.flatnonzero(s >= least - 1e-12 * scale[i])
+            # repeated rows fill places of their own, so all that could matter are looked at
+            if m <= k or repeated:
+                near = np.flatnonzero(s > -np.inf)
+            else:
+                near = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k] - slack[i])
             exact = (rows[near] * block[i]).sum(axis=1)
-            found = pd.DataFrame({"vec_id": ids[near], "score": exact}).drop_duplicates()
-            found = found.sort_values(["score", "vec_id"], ascending=[False, True]).head(k)
-            out.append(found.assign(query_id=query_id)[["query_id", "vec_id", "score"]])
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            best = np.lexsort((ids[near], -exact))
+            if repeated:
+                pairs = np.stack([ids[near][best], exact[best].view(np.int64)], axis=1)
+                best = best[np.sort(np.unique(pairs, axis=0, return_index=True)[1])]
+            best = best[:k]
+            query.append(np.full(len(best), query_ids[at + i]))
+            row.append(ids[near[best]])
+            found.append(exact[best])
+    if not query:
+        return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+    return pd.DataFrame({"query_id": np.concatenate(query), "vec_id": np.concatenate(row), "score": np.concatenate(found)})
 
 
 def nearest(
