@@ -274,7 +274,8 @@ def _evidence(spark, sf_dir):
     chunks = ad.corpus_chunks(spark, sf_dir).withColumn("chunk_id", F.xxhash64("document_id", "idx"))
     meant = aspects.mentions(chunks, ad.SYLLABLES)
     got = aspects.score_sentences(meant, "lm_directional", ad.SYLLABLES, keys=("chunk_id", "ticker", "text"))
-    return got.withColumns({"similarity": F.lit(0.0), "doc_date": F.lit("2024-01-01").cast("date"), "section": F.lit("body")})
+    # several branches of a brief read it: scored once, spilling to disk if need be
+    return got.withColumns({"similarity": F.lit(0.0), "doc_date": F.lit("2024-01-01").cast("date"), "section": F.lit("body")}).persist()
 
 
 @query()
