@@ -28,14 +28,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import RollingHash, mixed, shuffle_width, stored
+from tidemark.llm.common import RollingHash, mixed, only_keys, shuffle_width, stored
 
 LENGTH = 200
 TRIGGER = 16
 SPAN = 128
 ITEMS_PER_TASK = 20_000
 HOT_CORE = 4_096
-FILTER_WORDS = 1 << 17
 _HASH, _SECOND = RollingHash(211), RollingHash(223)
 _PLACE = np.uint64((1 << 28) - 1)
 
@@ -119,23 +118,6 @@ def _parsed(df: DataFrame, text: str, id_col: str, length: int, span: int) -> Da
     return rows.mapInPandas(parse, f"i {kind}, row_key long, n_bytes long, sha string, js array<int>, ks array<long>, fs array<long>, ws array<int>, known array<int>")
 
 
-def _only(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose row_key may be in ``keys``: a filter of FILTER_WORDS * 64 bits,
-    whatever the input's size, that spares most other texts the shuffle of the exact join after it."""
-    slot = F.pmod(F.col("row_key"), F.lit(FILTER_WORDS * 64))
-    words = keys.select(F.floor(slot / 64).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int")).alias("bit"))
-    table = np.zeros(FILTER_WORDS, np.int64)
-    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    table[found["word"].to_numpy(int)] = found["bits"].to_numpy(np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast(table)
-
-    def may(keys: pd.Series) -> pd.Series:
-        slots = keys.to_numpy(np.int64) % (FILTER_WORDS * 64)
-        return pd.Series((shared.value[slots // 64] >> (slots % 64)) & 1 == 1)
-
-    return docs.where(F.pandas_udf(may, "boolean")("row_key"))
-
-
 def _reversed_left(data: np.ndarray, at: np.ndarray, low: np.ndarray, span: int) -> np.ndarray:
     """Rows of the bytes before each trigger, nearest first; 0 beyond the entry."""
     offset = np.arange(1, span)
@@ -276,16 +258,17 @@ def repeat_spans(
                 )
 
     schema = "row_key long, j int, k long, weight long, entries long, least int, most int, left binary, right binary"
-    texts = _only(docs, asked.select("row_key")).join(asked, "row_key").dropDuplicates(["row_key"])
+    texts = only_keys(docs, asked.select("row_key")).join(asked, "row_key").dropDuplicates(["row_key"])
     look = stored(texts.mapInPandas(entries, schema))
     tasks = shuffle_width(spark, look.count(), ITEMS_PER_TASK)
     marks = _settle_cores(look.where(F.col("entries") <= hot_core), length, span, tasks)
     hot = look.where(F.col("entries") > hot_core)
     if hot.head(1):
         marks = marks.unionByName(_settle_hot(hot, length, span))
-    whole = counted.where("weight > 1").select("row_key", "j").unionByName(rows.select("row_key", F.explode("known").alias("j")))
-    found = whole.withColumn("mask", F.lit(None).cast("binary")).unionByName(marks)
-    found = stored(found.groupBy("row_key").agg(F.collect_list(F.struct("j", "mask")).alias("found")))
+    whole = counted.where("weight > 1").select("row_key", "j", F.lit(None).cast("binary").alias("mask"))
+    settled = whole.unionByName(marks).select("row_key", F.struct("j", "mask").alias("one"), F.lit(None).cast("array<int>").alias("known"))
+    local = rows.where(F.size("known") > 0).select("row_key", F.lit(None).cast("struct<j:int,mask:binary>").alias("one"), "known")
+    found = stored(settled.unionByName(local).groupBy("row_key").agg(F.collect_list("one").alias("found"), F.flatten(F.collect_list("known")).alias("known")))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -295,6 +278,8 @@ def repeat_spans(
                 data = np.frombuffer(raw, np.uint8)
                 p = Parse(data, length, span)
                 starts = np.zeros(len(data) + 1, np.int32)
+                for j in row.known:
+                    starts[p.low[j] : p.high[j] + 1] = 1
                 for x in row.found:
                     j, mask = (x["j"], x["mask"]) if isinstance(x, dict) else (x[0], x[1])
                     if mask is None:
@@ -312,7 +297,7 @@ def repeat_spans(
                 out.append((row.row_key, int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if cut_text else None))
             yield pd.DataFrame(out, columns=["row_key", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    flagged = _only(docs, found.select("row_key")).join(found, "row_key").dropDuplicates(["row_key"])
+    flagged = only_keys(docs, found.select("row_key")).join(found, "row_key").dropDuplicates(["row_key"])
     result = flagged.mapInPandas(cut, "row_key long, n_removed long, n_spans long, kept_sha256 string, kept string")
     out = rows.select("i", "row_key", "n_bytes", "sha").join(result, "row_key", "left").select(
         F.col("i").alias(id_col), "row_key", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
