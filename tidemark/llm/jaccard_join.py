@@ -27,13 +27,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import RollingHash, mixed, stored
+from tidemark.llm.common import RollingHash, mixed, only_keys, shuffle_width, stored
 
 WORDS = 5
 SIMILARITY = 0.8
 RECALL = 0.99999
 COORDINATES = 64
 BUCKET = 1_024
+ROWS_PER_TASK, TEXTS_PER_TASK = 40_000, 5_000
 CHILDREN = 3
 MAX_DEPTH = 3
 #: A split that leaves more than this share together has found near copies.
@@ -147,39 +148,41 @@ def _leaves(classes: DataFrame, bucket: int) -> DataFrame:
 
 
 class _Group:
-    """The members of one bucket, or of two blocks of one."""
+    """The members of one bucket, or of two blocks of one, as slices of a partition's arrays."""
 
-    def __init__(self, rows: pd.DataFrame):
-        self.rows = rows = rows.drop_duplicates("cls").sort_values("cls", kind="stable").reset_index(drop=True)
-        self.bucket = int(rows["bucket"].iloc[0])
-        self.sig = np.frombuffer(b"".join(rows["sig"]), np.uint32).reshape(len(rows), -1)
-        self.n = rows["n"].to_numpy().astype(float)
-        self.block = rows["block"].to_numpy()
-        self.two = len(np.unique(self.block)) > 1
+    def __init__(self, rows: _Rows, first: int, end: int):
+        self.rows, self.first, self.end = rows, first, end
+        self.sig, self.n, self.block = rows.sig[first:end], rows.n[first:end], rows.block[first:end]
 
     def pairs(self, similarity: float) -> np.ndarray:
         """A matrix that marks the pairs a < b to be decided here."""
-        m = len(self.rows)
+        m = len(self.n)
         out = np.zeros((m, m), bool)
         for a in range(0, m, 64):
             out[a : a + 64] = (self.sig[a : a + 64, None, :] == self.sig[None, :, :]).sum(axis=2, dtype=np.int16) >= AGREE * self.sig.shape[1]
-        out &= np.minimum.outer(self.n, self.n) >= (similarity - 1e-9) * np.maximum.outer(self.n, self.n)
-        if self.two:
-            out &= self.block[:, None] != self.block[None, :]
         out &= np.tri(m, k=-1, dtype=bool).T
         if out.any():
-            out &= ~self._met_before()
+            out &= np.minimum.outer(self.n, self.n) >= (similarity - 1e-9) * np.maximum.outer(self.n, self.n)
+            if self.block[0] != self.block[-1] or (self.block != self.block[0]).any():
+                out &= self.block[:, None] != self.block[None, :]
+            if out.any():
+                self._drop_met_before(out)
         return out
 
-    def _met_before(self) -> np.ndarray:
-        """Pairs that share a bucket with a smaller number; that bucket decides them."""
-        lists = self.rows["buckets"].to_list()
+    def _drop_met_before(self, out: np.ndarray) -> None:
+        """Unmarks pairs that share a bucket with a smaller number; that bucket decides them."""
+        bucket, lists = self.rows.bucket[self.first], self.rows.buckets[self.first : self.end]
+        a, b = np.nonzero(out)
+        if len(a) <= 4 * len(lists):
+            before = [{x for x in some.tolist() if x < bucket} for some in lists]
+            met = [not before[i].isdisjoint(before[j]) for i, j in zip(a.tolist(), b.tolist())]
+            out[a[met], b[met]] = False
+            return
         owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-        flat = np.concatenate([np.asarray(x, np.int64) for x in lists])
-        owner, flat = owner[flat < self.bucket], flat[flat < self.bucket]
+        flat = np.concatenate(list(lists))
+        owner, flat = owner[flat < bucket], flat[flat < bucket]
         names, inverse, count = np.unique(flat, return_inverse=True, return_counts=True)
         shared = np.flatnonzero(count > 1)
-        out = np.zeros((len(lists), len(lists)), bool)
         column = np.full(len(names), -1)
         for at in range(0, len(shared), 2048):
             some = shared[at : at + 2048]
@@ -188,15 +191,17 @@ class _Group:
             here = column[inverse]
             x = np.zeros((len(lists), len(some)), np.float32)
             x[owner[here >= 0], here[here >= 0]] = 1
-            out |= (x @ x.T) > 0
-        return out
+            out &= ~((x @ x.T) > 0)
 
     def linked(self, similarity: float, words: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions of the pairs that are at least that similar, exactly."""
         a, b = np.nonzero(self.pairs(similarity))
         if not len(a):
             return a, b
-        sets = [shingles(x, words) for x in self.rows["t"]]
+        used = np.unique(np.concatenate([a, b]))
+        sets = [np.empty(0, np.uint64)] * len(self.n)
+        for i in used.tolist():
+            sets[i] = self.rows.shingles(self.first + i, words)
         if len(a) <= 40 * len(sets):
             both = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(a, b)])
         else:
@@ -224,6 +229,41 @@ class _Group:
         return out
 
 
+class _Rows:
+    """A partition's rows, ordered so that each bucket (and pair of blocks) is one slice."""
+
+    def __init__(self, batches: Iterator[pd.DataFrame]):
+        got = [x for x in batches if len(x)]
+        self.frame = frame = pd.concat(got, ignore_index=True) if got else pd.DataFrame()
+        if not len(frame):
+            self.slices = []
+            return
+        order = np.lexsort([frame[c].to_numpy() for c in ("cls", "high", "low", "bucket")])
+        self.frame = frame = frame.iloc[order]
+        self.cls, self.bucket, self.block = (frame[c].to_numpy() for c in ("cls", "bucket", "block"))
+        self.n = frame["n"].to_numpy().astype(float)
+        self.sig = np.frombuffer(b"".join(frame["sig"]), np.uint32).reshape(len(frame), -1)
+        self.buckets = frame["buckets"].to_numpy()
+        self.texts = frame["t"].to_numpy() if "t" in frame else None
+        low, high = frame["low"].to_numpy(), frame["high"].to_numpy()
+        new = (self.bucket[1:] != self.bucket[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+        edges = [0, *(np.flatnonzero(new) + 1).tolist(), len(frame)]
+        self.slices = list(zip(edges, edges[1:]))
+        self._sets: dict[int, np.ndarray] = {}
+
+    def shingles(self, i: int, words: int) -> np.ndarray:
+        """A set met in several buckets of this partition is made once, as long as few are held."""
+        key = int(self.cls[i])
+        if key not in self._sets:
+            if len(self._sets) > 4096:
+                self._sets.clear()
+            self._sets[key] = shingles(self.texts[i], words)
+        return self._sets[key]
+
+    def groups(self) -> Iterator[_Group]:
+        return (_Group(self, a, b) for a, b in self.slices if b - a > 1)
+
+
 def _roots(m: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest position connected to each."""
     root = np.arange(m)
@@ -291,25 +331,37 @@ def jaccard_join(
         {"low": F.least("block", "other"), "high": F.greatest("block", "other")}
     )
 
-    def candidates(group: pd.DataFrame) -> pd.DataFrame:
-        g = _Group(group)
-        pairs = g.pairs(similarity)
-        return g.rows[pairs.any(axis=0) | pairs.any(axis=1)][["cls", "n", "sig", "row_key", "buckets", "bucket", "block", "low", "high"]]
+    keys, columns = ("bucket", "low", "high"), ["cls", "n", "sig", "row_key", "buckets", "bucket", "block", "low", "high"]
+
+    def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = _Rows(batches)
+        keep = []
+        for g in rows.groups():
+            pairs = g.pairs(similarity)
+            if pairs.any():
+                keep.append(g.first + np.flatnonzero(pairs.any(axis=0) | pairs.any(axis=1)))
+        if keep:
+            yield rows.frame.iloc[np.concatenate(keep)][columns]
 
     schema = "cls long, n long, sig binary, row_key long, buckets array<long>, bucket long, block int, low int, high int"
-    wanted = stored(dealt.groupBy("bucket", "low", "high").applyInPandas(candidates, schema))
+    tasks = shuffle_width(df.sparkSession, met.count() * runs, ROWS_PER_TASK)
+    wanted = stored(dealt.repartition(tasks, *keys).mapInPandas(candidates, schema))
     # one text per wanted class: equal rows share a key, so one of them is taken
-    texts = df.select(row_key(id_col, text).alias("row_key"), F.col(text).alias("t")).join(wanted.select("row_key").distinct(), "row_key", "left_semi").dropDuplicates(["row_key"])
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        g = _Group(group)
-        a, b = g.linked(similarity, words)
-        m, cls = len(g.rows), g.rows["cls"].to_numpy()
-        links = np.bincount(a, minlength=m) + np.bincount(b, minlength=m)
-        out = pd.DataFrame({"cls": cls, "links": links, "root": cls[_roots(m, a, b)]})
-        return out[links > 0]
-
-    found = stored(wanted.join(texts, "row_key").groupBy("bucket", "low", "high").applyInPandas(compare, "cls long, links long, root long"))
+    keys_wanted = wanted.select("row_key").distinct()
+    keyed = only_keys(df.select(row_key(id_col, text).alias("row_key"), F.col(text).alias("t")), keys_wanted)
+    texts = keyed.join(keys_wanted, "row_key", "left_semi").dropDuplicates(["row_key"])
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = _Rows(batches)
+        for g in rows.groups():
+            a, b = g.linked(similarity, words)
+            if len(a):
+                m, cls = len(g.n), rows.cls[g.first : g.end]
+                links = np.bincount(a, minlength=m) + np.bincount(b, minlength=m)
+                yield pd.DataFrame({"cls": cls, "links": links, "root": cls[_roots(m, a, b)]})[links > 0]
+
+    tasks = shuffle_width(df.sparkSession, wanted.count(), TEXTS_PER_TASK)
+    found = stored(wanted.join(texts, "row_key").repartition(tasks, *keys).mapInPandas(compare, "cls long, links long, root long"))
     links = found.groupBy("cls").agg(F.sum("links").alias("n_links"))
     groups = connected(found.select(F.col("cls").alias("a"), F.col("root").alias("b")))
     named = classes.select(*same, "cls", "set_id", "n_copies").join(links, "cls", "left").join(groups.withColumnRenamed("node", "cls"), "cls", "left")
