@@ -24,7 +24,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MAX_COPIES = 2
-BUCKET_DOCS = 20_000
+BUCKET_DOCS = 4_000
+SALTS = 64
 NEWTON_STEPS = 40
 TOLERANCE = 1e-9
 
@@ -146,7 +147,10 @@ def mix_sources(
         "key string, source_size long, target double, mean double, at double, buckets long",
     )
     rate = F.when(F.col("at") == float("inf"), F.lit(float(max_copies))).otherwise(_rate(F.col("size") / F.col("mean"), F.col("at"), max_copies))
-    rated = sized.join(plan, "key").select(
+    # a source may hold most rows: its rows meet its plan under many salts
+    plan = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("salt", F.col("salt").cast("long"))
+    salted = sized.withColumn("salt", F.pmod(F.xxhash64("i", "size", F.lit(3)), F.lit(SALTS)))
+    rated = salted.join(plan, ["key", "salt"]).select(
         "i", "s", "row_key", "size", "source_size", "target", rate.alias("rate"), "key",
         F.xxhash64("i", "size").alias("salt"), F.col("i").cast("string").alias("id_key"),
         F.pmod(F.xxhash64("size", "i"), F.col("buckets")).alias("bucket"),
