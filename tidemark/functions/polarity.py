@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
@@ -97,3 +97,22 @@ def resolve_model(name: str | None = None, serving: str | None = None) -> str:
 def predict(model: str, text: Column, aspect: Column, lexicon: Lexicon = FINANCE) -> Column:
     scorer, threshold = MODELS[resolve_model(model)]
     return prediction(scorer(text, aspect, lexicon), threshold)
+
+
+def sense_score(chunks: DataFrame, senses: DataFrame, keys: tuple[str, ...], lexicon: Lexicon = FINANCE, weights: tuple[float, ...] = (1.0, 0.5, 0.33)) -> DataFrame:
+    """(``keys``, score) from a dictionary of word senses (word, rank from 1, value).
+
+    A word's value is the weighted mean of its first senses; negation turns its
+    sign.  A text's score is four times the sum over its number of tokens, within
+    -1 and 1; texts without tokens score 0.  The dictionary joins on the word, so
+    it may be of any size."""
+    weight = F.element_at(F.array(*map(F.lit, weights)), F.col("rank").cast("int"))
+    first = senses.where(F.col("rank").between(1, len(weights))).withColumn("w", weight)
+    values = first.groupBy(F.lower("word").alias("word")).agg((F.sum(F.col("value") * F.col("w")) / F.sum("w")).alias("value"))
+    toks = chunks.select(*keys, tx.tokens(F.coalesce("text", F.lit(""))).alias("toks"))
+    pairs = F.arrays_zip(F.transform("toks", F.lower).alias("word"), tx.negated(F.col("toks"), lexicon.cues, lexicon.breaks).alias("off"))
+    words = toks.select(*keys, F.size("toks").alias("n"), F.inline_outer(pairs))
+    # one row per text, word and sign before the join: frequent words do not travel once per use
+    counted = words.groupBy(*keys, "word").agg(F.max("n").alias("n"), F.sum(F.when(F.col("off"), -1).otherwise(1)).alias("uses"))
+    total = counted.join(values, "word", "left").groupBy(*keys).agg(F.max("n").alias("n"), F.coalesce(F.sum(F.col("uses") * F.col("value")), F.lit(0.0)).alias("s"))
+    return total.select(*keys, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 4 * F.col("s") / F.greatest("n", F.lit(1)))).alias("score"))

@@ -180,3 +180,20 @@ def mean_half_up(x: Column, digits: int = 4) -> Column:
 def half_up(x: Column, digits: int = 4) -> Column:
     """Rounding that other engines repeat bit for bit: floor(x * 10^d + 0.5) / 10^d."""
     return F.floor(x * F.lit(float(10**digits)) + 0.5) / F.lit(float(10**digits))
+
+
+def logistic(x: Column) -> Column:
+    return 1 / (1 + F.exp(-x))
+
+
+def json_block(text: Column, schema: str) -> Column:
+    """The object in a reply: a fenced block's, else from the first brace to the last; null fields if it does not parse."""
+    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
+    bare = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
+    return F.from_json(F.when(fenced != "", fenced).when(bare != "", bare).otherwise("{}"), schema)
+
+
+def evidence_line(chunk_id: Column, aspect: Column, date: Column, section: Column, score: Column, text: Column) -> Column:
+    """``[id] (aspect, date, section, +0.00) text``; the score is rounded half up first."""
+    where = F.concat_ws(", ", aspect, date.cast("string"), section, F.format_string("%+.2f", half_up(score, 2)))
+    return F.concat(F.lit("["), chunk_id.cast("string"), F.lit("] ("), where, F.lit(") "), F.coalesce(text, F.lit("")))

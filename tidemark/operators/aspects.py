@@ -83,3 +83,18 @@ def analyze(texts: DataFrame, model: str, lexicon: Lexicon = FINANCE, id_col: st
     """Free texts to sentence scores: (id, idx, aspect, label, score, ...)."""
     split = texts.select(F.col(id_col).alias("document_id"), F.posexplode(tx.sentences(F.col(text))).alias("idx", "text"))
     return score_sentences(mentions(split, lexicon), model, lexicon, keys=("document_id", "idx"))
+
+
+def score_pairs(pairs: DataFrame, model: str, lexicon: Lexicon = FINANCE, text: str = "text", aspect: str = "aspect") -> DataFrame:
+    """Rows of (text, aspect) with label, score, confidence and ``known``; an aspect outside the lexicon is not scored (nulls)."""
+    known = F.coalesce(F.col(aspect).isin(list(lexicon.terms)), F.lit(False))
+    p = predict(model, F.coalesce(F.col(text), F.lit("")), F.col(aspect), lexicon)
+    rows = pairs.withColumns({"known": known}).withColumn("p", F.when(F.col("known"), p))
+    return rows.select("*", F.col("p.label").alias("label"), half_up(F.col("p.score")).alias("score"), half_up(F.col("p.confidence")).alias("confidence")).drop("p")
+
+
+def present(mentioned: DataFrame, order: list[str], keys: tuple[str, ...] = ("chunk_id",)) -> DataFrame:
+    """The distinct aspects that a sentence mentions, in the lexicon's order."""
+    place = F.array_position(tx.strings(order), F.col("aspect"))
+    rows = mentioned.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct(place.alias("place"), "aspect"))).alias("a"))
+    return rows.select(*keys, F.col("a.aspect").alias("aspects"))

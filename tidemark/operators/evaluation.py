@@ -176,7 +176,7 @@ def ols_fixed_effects(df: DataFrame, y: str, xs: list[str], group: str) -> dict:
     cover = bread @ np.array([[meat[f"{a}_{b}"] or 0.0 for b in names] for a in names]) @ bread * sums["n"] / max(free, 1)
     errors = np.sqrt(np.maximum(np.diag(cover), 0))
     p = [t_pvalue(b / s, free) if s > 0 else float("nan") for b, s in zip(beta, errors)]
-    return {"n": sums["n"], "coef": dict(zip(xs, beta.tolist())), "p": dict(zip(xs, p)), "r2_within": 1 - meat["rss"] / meat["tss"] if meat["tss"] else 0.0}
+    return {"n": sums["n"], "coef": dict(zip(xs, beta.tolist())), "error": dict(zip(xs, errors.tolist())), "p": dict(zip(xs, p)), "r2_within": 1 - meat["rss"] / meat["tss"] if meat["tss"] else 0.0}
 
 
 def bonferroni(df: DataFrame, p: str = "p") -> DataFrame:

@@ -177,3 +177,41 @@ def catch_rates(verified: DataFrame) -> DataFrame:
     """Per kind: n, share caught (not supported), share rejected; for faithful claims the catch is false."""
     return verified.groupBy("kind").agg(F.count("*").alias("n"), half_up(F.avg((F.col("status") != "supported").cast("double"))).alias("catch_rate"),
                                         half_up(F.avg((F.col("status") == "rejected").cast("double"))).alias("reject_rate"))
+
+
+def retrieve(scores: DataFrame, vectors: DataFrame, queries: DataFrame, start: str | None = None, end: str | None = None, model: str | None = None) -> DataFrame:
+    """Scores within the dates, each with the similarity of its sentence to its aspect's query vector.
+
+    ``vectors``: chunk_id, embedding; ``queries``: aspect, query_vector (one row an
+    aspect).  A sentence without a vector, or an aspect without a query, has
+    similarity 0."""
+    rows = scores.where(F.col("model_name") == model) if model else scores
+    rows = rows.where(F.col("doc_date") >= F.lit(start).cast("date")) if start else rows
+    rows = rows.where(F.col("doc_date") <= F.lit(end).cast("date")) if end else rows
+    joined = rows.drop("similarity").join(vectors.select("chunk_id", "embedding"), "chunk_id", "left").join(queries, "aspect", "left")
+    similarity = F.coalesce(half_up(tx.dot(F.col("query_vector"), F.col("embedding"))), F.lit(0.0))
+    return joined.withColumn("similarity", similarity).drop("embedding", "query_vector")
+
+
+def evidence_pool(scores: DataFrame, least: float = 0.15, chars: int = 25) -> DataFrame:
+    """The first score (by score_id) of each sentence that is long, opinionated and sure enough."""
+    fit = scores.where((F.abs("score") >= least) & (F.length("text") >= chars) & (F.col("confidence") > 0))
+    w = Window.partitionBy("chunk_id").orderBy("score_id")
+    return fit.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+
+
+def accept_summary(summaries: DataFrame, verified: DataFrame) -> DataFrame:
+    """Summaries (ticker, cited, ...) with ``accepted``: something is cited, and no cited claim was rejected or is unknown."""
+    alive = verified.where("status <> 'rejected'").groupBy("ticker").agg(F.collect_set("claim_id").alias("alive"))
+    known = lambda x: F.array_contains(F.coalesce("alive", tx.strings([])), x)
+    return summaries.join(alive, "ticker", "left").withColumn("accepted", F.coalesce((F.size("cited") > 0) & F.forall("cited", known), F.lit(False))).drop("alive")
+
+
+def audit_export(verified: DataFrame, evidence: DataFrame, n: int | None = None, seed: str = "s") -> DataFrame:
+    """Claims for people to judge, with the sentences that they cite, in an order drawn by hash; the first ``n``, or all."""
+    texts = evidence.groupBy("chunk_id").agg(F.min("text").alias("evidence"))
+    cited = verified.select("ticker", "claim_id", F.explode("cited").alias("chunk_id")).join(texts, "chunk_id")
+    joined = cited.groupBy("ticker", "claim_id").agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("chunk_id", "evidence"))), lambda x: x["evidence"]), " || ").alias("evidence"))
+    rows = verified.join(joined, ["ticker", "claim_id"], "left").withColumn("draw", F.md5(F.concat_ws("/", F.lit(seed), "ticker", "claim_id")))
+    rows = rows.select("ticker", "claim_id", "side", "text", "evidence", "status", "draw")
+    return rows.orderBy("draw", "ticker", "claim_id").limit(n) if n is not None else rows

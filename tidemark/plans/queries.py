@@ -677,3 +677,140 @@ def nb_tfidf_report(spark, sf_dir):
     rows = weak_labels(spark, 2000)
     model = train_text_classifier(rows.where("NOT held_out"), "nb_tfidf")
     return evaluation.classification_report(model.transform(rows.where("held_out")), "label", "predicted_label")
+
+
+@query()
+def weak_label_report(spark, sf_dir):
+    """Counts of the generated training sentences by label and part."""
+    from tidemark.operators.models import weak_labels
+
+    return weak_labels(spark, 4000).groupBy("label", "held_out").agg(F.count("*").alias("n"))
+
+
+@query(f"""SELECT vec_id, other, {r('CASE WHEN na > 0 AND nb > 0 THEN ab / sqrt(na * nb) ELSE 0 END')} AS cosine FROM (SELECT a.vec_id, b.vec_id AS other,
+  list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) AS ab, list_sum(list_transform(a.embedding, lambda z: z::DOUBLE * z::DOUBLE)) AS na,
+  list_sum(list_transform(b.embedding, lambda z: z::DOUBLE * z::DOUBLE)) AS nb FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)""")
+def cosine_pairs(spark, sf_dir):
+    e = ad.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    b = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec_id").alias("other"), F.col("embedding").alias("o"))
+    return e.join(b, "vec_id").select("vec_id", "other", half_up(tx.cosine(F.col("embedding"), F.col("o"))).alias("cosine"))
+
+
+# --- texts: replies, evidence lines, mentions ---------------------------------
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 < 2 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events")
+def json_blocks(spark, sf_dir):
+    fence = "`" * 3
+    e = ad.table(spark, sf_dir, "events")
+    reply = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(f"Here: {fence}json\n"), "props", F.lit(f"\n{fence} done"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("so "), "props", F.lit(" ok"))).otherwise("no object")
+    return e.select("event_id", tx.json_block(reply, "k long")["k"].alias("k"))
+
+
+@query(f"""WITH {ad.SCORES} SELECT chunk_id, '[' || chunk_id || '] (' || aspect || ', ' || CAST(doc_date AS VARCHAR) || ', ' || section || ', ' || format('{{:+.2f}}', {r('score', 2)}) || ') ' || ticker AS line FROM scores""")
+def evidence_lines(spark, sf_dir):
+    c = F.col
+    return ad.scores(spark, sf_dir).select("chunk_id", tx.evidence_line(c("chunk_id"), c("aspect"), c("doc_date"), c("section"), c("score"), c("ticker")).alias("line"))
+
+
+_QUERY_VECTORS = "qv AS (SELECT aspect, e.embedding AS q FROM (SELECT aspect, row_number() OVER (ORDER BY aspect) - 1 AS i FROM (SELECT DISTINCT aspect FROM scores)) a JOIN embeddings e ON e.vec_id = a.i)"
+
+
+@query(f"""WITH {ad.SCORES}, {_QUERY_VECTORS} SELECT s.chunk_id, s.ticker, s.aspect, {r('coalesce(list_sum(list_transform(list_zip(q.q, e.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 0)')} AS similarity
+  FROM scores s LEFT JOIN qv q USING (aspect) LEFT JOIN embeddings e ON e.vec_id = s.chunk_id WHERE s.model_name = 'lm_directional' AND s.doc_date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'""")
+def retrieved_evidence(spark, sf_dir):
+    s, e = ad.scores(spark, sf_dir), ad.table(spark, sf_dir, "embeddings")
+    named = s.select("aspect").distinct().withColumn("vec_id", F.row_number().over(Window.orderBy("aspect")) - 1)  # one row an aspect
+    vectors = named.join(e, "vec_id").select("aspect", F.col("embedding").alias("query_vector"))
+    got = grounding.retrieve(s, e.select(F.col("vec_id").alias("chunk_id"), "embedding"), vectors, "2024-01-05", "2024-01-20", "lm_directional")
+    return got.select("chunk_id", "ticker", "aspect", "similarity")
+
+
+@query()
+def mention_rows(spark, sf_dir):
+    got = aspects.mentions(ad.corpus_chunks(spark, sf_dir), _L)
+    return got.select("document_id", "idx", "clause_idx", "aspect", "trigger", "negated", half_up(F.col("hedge")).alias("hedge"), F.array_join("opinion_words", " ").alias("opinion_words"))
+
+
+@query()
+def aspects_present(spark, sf_dir):
+    got = aspects.present(aspects.mentions(ad.corpus_chunks(spark, sf_dir), _L), list(_L.terms), ("document_id", "idx"))
+    return got.withColumn("aspects", F.array_join("aspects", ","))
+
+
+@query()
+def pair_scores(spark, sf_dir):
+    named = F.element_at(F.array(*map(F.lit, [*_L.terms, "weather"])), (F.pmod("item_id", F.lit(len(_L.terms) + 1)) + 1).cast("int"))
+    return aspects.score_pairs(ad.table(spark, sf_dir, "benchmark").select("item_id", "text", named.alias("aspect")), "lm_directional", _L).drop("text")
+
+
+_SENSES = [("the", 1, 0.5), ("the", 2, 0.25), ("the", 3, 0.0), ("the", 4, 9.0), ("of", 1, -0.5), ("with", 1, 0.25), ("with", 2, -0.5), ("de", 1, 0.75), ("der", 1, -0.25)]
+
+
+@query(f"""WITH {ad.SENTENCES}, {_TOKENS}, senses(word, rank, value) AS (VALUES {', '.join(f"('{a}', {b}, {c}::DOUBLE)" for a, b, c in _SENSES)}),
+  first AS (SELECT *, CASE rank WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN 0.5::DOUBLE ELSE 0.33::DOUBLE END AS wt FROM senses WHERE rank <= 3), vals AS (SELECT word, sum(value * wt) / sum(wt) AS v FROM first GROUP BY word),
+  per AS (SELECT doc_id, idx, count(*) AS n, coalesce(sum(CASE WHEN m THEN -v ELSE v END), 0) AS s FROM masked LEFT JOIN vals ON vals.word = w GROUP BY ALL)
+  SELECT t.doc_id AS document_id, t.idx, {r('greatest(-1.0::DOUBLE, least(1.0::DOUBLE, 4 * coalesce(p.s, 0) / coalesce(p.n, 1)))', 6)} AS score FROM sents t LEFT JOIN per p USING (doc_id, idx)""")
+def sense_scores(spark, sf_dir):
+    senses = spark.createDataFrame(_SENSES, "word string, rank int, value double")
+    return polarity.sense_score(ad.corpus_chunks(spark, sf_dir), senses, ("document_id", "idx"), _L).withColumn("score", half_up(F.col("score"), 6))
+
+
+@query()
+def normalized_documents(spark, sf_dir):
+    d = ad.table(spark, sf_dir, "documents").select("doc_id", tx.normalize(F.col("text")).alias("t"))
+    return d.select("doc_id", F.length("t").alias("n"), F.md5("t").alias("digest"))
+
+
+@query()
+def segment_sentences(spark, sf_dir):
+    s = ad.segments(spark, sf_dir)
+    roles = transcripts.speaker_roles(s, transcripts.qa_start(s, ad.INTRO, ad.HANDOFF))
+    return roles.select("document_id", "i", "role", "section", F.posexplode(tx.sentences(tx.normalize(F.col("text")))).alias("pos", "text")).withColumn("text", F.md5("text"))
+
+
+@query()
+def section_extract(spark, sf_dir):
+    from tidemark.sources.readers import mdna_section, strip_tags
+
+    p = ad.table(spark, sf_dir, "pages").withColumn("t", mdna_section(strip_tags(F.col("html")), "the", "and"))
+    return p.select("page_id", F.length("t").alias("n"), F.md5("t").alias("digest"))
+
+
+@query()
+def audit_sheet(spark, sf_dir):
+    top = grounding.evidence_topk(_evidence(spark, sf_dir))
+    one = Window.partitionBy("chunk_id").orderBy(F.desc("strength"), "aspect")
+    sources = top.withColumn("rn", F.row_number().over(one)).where("rn = 1")
+    return grounding.audit_export(grounding.verify(grounding.greedy_claims(top), sources), sources)
+
+
+# --- studies -----------------------------------------------------------------------
+
+
+_PAIRS = [("car_0_1", "drift_2_11"), ("car_0_4", "drift_2_11")]
+
+
+def _pair_sql(x: str, y: str) -> str:
+    rank = lambda c: f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2"
+    return f"SELECT '{x}' AS x, '{y}' AS y, count(*) AS n, {r('corr(a, b)')} AS pearson, {r('corr(ra, rb)')} AS spearman FROM (SELECT {x} AS a, {y} AS b, {rank(x)} AS ra, {rank(y)} AS rb FROM returns)"
+
+
+@query(f"WITH {ad.PRICES}, {ad.MARKET}, {ad.CALLS}, {_DAY0}, {_RETURNS} " + " UNION ALL ".join(_pair_sql(*p) for p in _PAIRS))
+def return_correlations(spark, sf_dir):
+    return evaluation.correlations(event_returns(spark, sf_dir), _PAIRS)
+
+
+@query(f"""WITH {ad.SCORES}, {_SUMMARY}, d AS (SELECT ticker, mean - avg(mean) OVER w AS x, delta - avg(delta) OVER w AS y FROM summary WHERE delta IS NOT NULL WINDOW w AS (PARTITION BY ticker)),
+  b AS (SELECT sum(x * y) / sum(x * x) AS beta, sum(x * x) AS xx, count(*) AS n, count(DISTINCT ticker) AS g, sum(y * y) AS tss FROM d),
+  e AS (SELECT sum(x * x * (y - beta * x) * (y - beta * x)) AS meat, sum((y - beta * x) * (y - beta * x)) AS rss FROM d, b)
+  SELECT 'mean' AS x, n, {r('beta')} AS coef, {r('sqrt(meat / xx / xx * n / (n - 1 - g))')} AS error, {r('1 - rss / tss')} AS r2_within FROM b, e""")
+def fixed_effects(spark, sf_dir):
+    fit = evaluation.ols_fixed_effects(aspect_summary(spark, sf_dir).where("delta IS NOT NULL"), "delta", ["mean"], "ticker")
+    rows = spark.createDataFrame([("mean", fit["n"], fit["coef"]["mean"], fit["error"]["mean"], fit["r2_within"])], "x string, n long, coef double, error double, r2_within double")
+    return rows.select("x", "n", *[half_up(F.col(c)).alias(c) for c in ("coef", "error", "r2_within")])
+
+
+@query()
+def bootstrap_interval(spark, sf_dir):
+    return evaluation.bootstrap_ci(event_returns(spark, sf_dir), "car_0_1", "drift_2_11", 200)

@@ -11,7 +11,7 @@ from tidemark.operators import transcripts
 LEAST_CHARS = 20
 
 
-def _read(spark: SparkSession, path: str) -> DataFrame | None:
+def read(spark: SparkSession, path: str) -> DataFrame | None:
     from pyspark.errors import AnalysisException
 
     try:
@@ -57,7 +57,7 @@ def ingest(documents: DataFrame, root: str) -> dict[str, int]:
     not there yet, and the next run replaces their sentences' partition."""
     spark = documents.sparkSession
     good, bad = split_usable(documents)
-    stored = _read(spark, f"{root}/documents")
+    stored = read(spark, f"{root}/documents")
     fresh = new_documents(good, stored).persist()
     try:
         chunks = chunk(fresh).persist()
