@@ -80,6 +80,22 @@ def test_wide_integers_are_exact():
     assert got["score"].tolist() == [2**64 + 2 * 2**16, 2**64 + 2**16] or got["vec_id"].tolist() == [2, 1]
 
 
+def test_repeated_neighbours_take_one_place(spark):
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((1000, 64))
+    x[7] = 2 * x[0]  # the best neighbour of query 0, six times
+    x[9] = 1.5 * x[0]  # an id with two vectors, both of them near
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, x[7].tolist())] * 5 + [(9, (1.4 * x[0]).tolist())] + [(0, x[0].tolist())] * 5
+    got = exact_topk(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    whole = np.floor(256 * np.array([v for _, v in rows]))
+    for q in (0, 50, 100):
+        score = {}
+        for (i, _), s in zip(rows, whole @ whole[q]):
+            score[i] = max(score.get(i, s), s)
+        best = sorted((-int(s), i) for i, s in score.items() if i != q)[:5]
+        assert [(-r["score"], r["vec_id"]) for r in got.where(F.col("query_id") == q).orderBy("rank").collect()] == best
+
+
 def test_nearest_reaches_its_recall_with_routing(spark):
     rng = np.random.default_rng(2)
     centres = rng.standard_normal((12, 16))

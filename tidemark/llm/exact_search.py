@@ -4,8 +4,8 @@ Inside a block the vectors lie dimension by dimension, widest dimensions first.
 A query adds up its products one block of dimensions at a time.  What the rest
 can still add is at most the product of the remaining masses (norms) of query
 and candidate, by Cauchy-Schwarz; candidates whose upper bound lies below the
-k-th best lower bound are dropped and the survivors are compacted before the
-next block.  Bounds prune strictly, so ties survive to be settled by id, and
+lower bound of the k-th best id are dropped and the survivors are compacted
+before the next block.  Bounds prune strictly, so ties survive to be settled by id, and
 sums of integers below 2**53 are exact in double precision (wider ones fall back
 to Python integers).
 """
@@ -29,11 +29,12 @@ def quantised(v: np.ndarray, scale: float = SCALE) -> np.ndarray:
     return np.floor(scale * v)
 
 
-def branch_and_bound(query: np.ndarray, columns: np.ndarray, mass: np.ndarray, k: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+def branch_and_bound(query: np.ndarray, columns: np.ndarray, mass: np.ndarray, k: int, step: int, owner: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Positions and scores of all candidates that may be among the k best.
 
     ``columns``: dimensions x candidates.  ``mass[b]``: each candidate's norm
-    over the dimensions from block b on.
+    over the dimensions from block b on.  ``owner``: ascending ids where some
+    are repeated; an id then counts once, by its best candidate.
     """
     alive, partial = np.arange(columns.shape[1]), np.zeros(columns.shape[1])
     rest = np.sqrt(np.append(np.cumsum((query**2)[::-1])[::-1], 0.0))
@@ -43,6 +44,11 @@ def branch_and_bound(query: np.ndarray, columns: np.ndarray, mass: np.ndarray, k
         slack = rest[min(at + step, len(query))] * mass[b + 1, alive]
         if len(alive) > k:
             low = partial - slack
+            if owner is not None:
+                mine = owner[alive]
+                low = np.maximum.reduceat(low, np.flatnonzero(np.append(True, mine[1:] != mine[:-1])))
+                if len(low) <= k:
+                    continue
             least = np.partition(low, len(low) - k)[len(low) - k]
             keep = partial + slack >= least - 1e-6 * max(1.0, abs(least))
             if keep.sum() < 0.9 * len(keep) or at + step >= len(query):
@@ -51,6 +57,9 @@ def branch_and_bound(query: np.ndarray, columns: np.ndarray, mass: np.ndarray, k
 
 
 def search_block(query_ids, queries, ids, rows, k: int, step: int = DIMENSIONS) -> pd.DataFrame:
+    by_id = np.argsort(ids, kind="stable")
+    ids, rows = ids[by_id], rows[by_id]
+    owner = ids if (ids[1:] == ids[:-1]).any() else None
     q, r = quantised(queries), quantised(rows)
     wide = np.abs(q).max(initial=0) * np.abs(r).max(initial=0) * q.shape[1] >= 2**52
     order = np.argsort(-r.var(axis=0), kind="stable")
@@ -60,15 +69,17 @@ def search_block(query_ids, queries, ids, rows, k: int, step: int = DIMENSIONS)
     mass = np.sqrt([squares[e:].sum(axis=0) for e in edges])
     out = []
     for query_id, query in zip(query_ids, q[:, order]):
-        # one more than k: the query's own row may be among them, as often as it is repeated
-        own = int((ids == query_id).sum())
+        # one more than k: the query's own id may be among them
+        own = int((ids == query_id).any())
         if wide:
             at, score = np.arange(len(ids)), [sum(int(a) * int(b) for a, b in zip(query, c)) for c in columns.T]
         else:
-            at, score = branch_and_bound(query, columns, mass, k + own, step)
+            at, score = branch_and_bound(query, columns, mass, k + own, step, owner)
         found = sorted((-int(s), int(i)) for s, i in zip(score, ids[at]) if i != query_id)
-        best = list(dict.fromkeys(found))[:k]
-        out += [(query_id, i, -s) for s, i in best]
+        best: dict[int, int] = {}
+        for s, i in found:
+            best.setdefault(i, s)
+        out += [(query_id, i, -s) for i, s in list(best.items())[:k]]
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
 
