@@ -182,6 +182,29 @@ def test_mixing_meets_targets(spark):
         assert abs(g.taken.sum() - g.target.iloc[0]) <= 30
 
 
+def test_jaccard_keeps_its_recall_in_a_large_group_of_near_copies(spark):
+    rng = random.Random(12)
+    base = [rng.choice("abcdefghij") + rng.choice("klmnop") + str(i) for i in range(104)]
+    texts = []
+    for _ in range(3000):
+        w = list(base)
+        for _ in range(2):
+            w[rng.randrange(len(w))] = "z" + str(rng.randrange(10**6))
+        texts.append(w)
+    assert len({tuple(w) for w in texts}) == 3000
+    names: dict = {}
+    has = np.zeros((3000, 40_000), np.float32)
+    for i, w in enumerate(texts):
+        for s in zip(*[w[k:] for k in range(5)]):
+            has[i, names.setdefault(s, len(names))] = 1
+    both, n = has @ has.T, has.sum(axis=1)
+    near = both >= 0.8 * (n[:, None] + n[None, :] - both) - 1e-6
+    links = near.sum(axis=1) - 1
+    got = jaccard_join(docs(spark, [(i, " ".join(w), "en", "a") for i, w in enumerate(texts)])).toPandas().set_index("doc_id").n_links
+    assert all(got[i] <= links[i] for i in range(3000))
+    assert 1 - got.sum() / links.sum() <= 1e-5
+
+
 def test_jaccard_equals_brute_force(spark):
     rng = random.Random(9)
     base = [" ".join(rng.choice("abcdefghij") + rng.choice("klmnop") for _ in range(120)) for _ in range(6)]

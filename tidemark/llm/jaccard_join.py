@@ -4,8 +4,10 @@ Sets of word five-grams are embedded in minhash coordinates, so that two sets
 agree in a coordinate with the probability of their similarity.  A run sends
 each set down the path that its value in a chosen coordinate names; sets of one
 class that are equal travel as one.  A bucket that is still large is split again
-on further chosen coordinates, small ones are compared by brute force, and
-enough runs are made that a pair at the threshold meets with the target recall.
+on further coordinates, which its own path chooses, so that runs and branches
+fail apart; small ones are compared by brute force, and enough runs and children
+are made that a pair at the threshold meets with the target recall, splits
+included.
 A large bucket that splitting does not thin is a true group of near copies; its
 members are compared in pairs of blocks, so no task holds more than two blocks.
 
@@ -35,7 +37,8 @@ RECALL = 0.99999
 COORDINATES = 64
 BUCKET = 1_024
 ROWS_PER_TASK, TEXTS_PER_TASK = 40_000, 5_000
-CHILDREN = 3
+#: Children of a bucket at least; shape_for() takes more where the target asks for them.
+CHILDREN, MOST_CHILDREN = 3, 8
 MAX_DEPTH = 3
 #: A split that leaves more than this share together has found near copies.
 CLUSTERED = 0.7
@@ -81,12 +84,38 @@ def runs_for(recall: float, similarity: float) -> int:
     return max(1, ceil(log(1 - recall) / log(1 - similarity)))
 
 
-def path(parent: np.ndarray, coordinate: int, value: np.ndarray) -> np.ndarray:
+def shape_for(recall: float, similarity: float) -> tuple[int, int]:
+    """(runs, children) with which a pair at the threshold meets, though all its buckets are split MAX_DEPTH times."""
+
+    def lost(runs: int, children: int) -> float:
+        apart = 0.0
+        for _ in range(MAX_DEPTH):
+            apart = (1 - similarity * (1 - apart)) ** children
+        return (1 - similarity * (1 - apart)) ** runs
+
+    runs = runs_for(recall, similarity)
+    while lost(runs, MOST_CHILDREN) > 1 - recall:
+        runs += 1
+    children = next(c for c in range(CHILDREN, MOST_CHILDREN + 1) if lost(runs, c) <= 1 - recall)
+    if runs + MAX_DEPTH * children > COORDINATES:
+        raise ValueError(f"{runs} runs and {children} children need more than {COORDINATES} coordinates")
+    return runs, children
+
+
+def path(parent: np.ndarray, coordinate: np.ndarray, value: np.ndarray) -> np.ndarray:
     """The child bucket that a value in a coordinate leads to."""
-    turn = np.uint64((coordinate + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    turn = (coordinate.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     return mixed(mixed(parent ^ turn) + value.astype(np.uint64)).astype(np.int64)
 
 
+def chosen(parent: np.ndarray, depth: int, runs: int, children: int) -> np.ndarray:
+    """Rows of ``children`` coordinates, drawn by each bucket from those of its depth: none that its path has used."""
+    width = (COORDINATES - runs) // MAX_DEPTH
+    turns = mixed(np.arange(1, width + 1, dtype=np.uint64))
+    order = np.argsort(mixed(parent[:, None] ^ turns), axis=1, kind="stable")
+    return runs + depth * width + order[:, :children]
+
+
 def row_key(id_col: str, text: str) -> Column:
     return F.xxhash64(id_col, text, F.lit(5))
 
@@ -101,7 +130,7 @@ def _sketches(df: DataFrame, text: str, id_col: str, words: int, runs: int) -> D
                     rows.append((i, key, 0, 0, 0, None, None))
                     continue
                 sig = signature(s)
-                roots = path(np.arange(runs, dtype=np.uint64), 0, sig[:runs])
+                roots = path(np.arange(runs, dtype=np.uint64), np.zeros(runs), sig[:runs])
                 one, two = s.sum(dtype=np.uint64), mixed(s ^ np.uint64(0xABCDEF12345)).sum(dtype=np.uint64)
                 rows.append((i, key, len(s), one.astype(np.int64), two.astype(np.int64), sig.tobytes(), roots))
             yield pd.DataFrame(rows, columns=["i", "row_key", "n", "h1", "h2", "sig", "roots"])
@@ -117,25 +146,24 @@ def _counted(rows: DataFrame) -> DataFrame:
     return rows.join(many, "bucket")
 
 
-def _leaves(classes: DataFrame, bucket: int) -> DataFrame:
+def _leaves(classes: DataFrame, bucket: int, runs: int, children: int) -> DataFrame:
     """(cls, bucket, m): where brute force compares; large buckets split on chosen coordinates."""
     level = stored(_counted(classes.select("cls", F.explode("roots").alias("bucket"))))
     leaves, depth = [level.where(F.col("m") <= bucket)], 0
     large = level.where(F.col("m") > bucket)
     while depth < MAX_DEPTH and large.head(1):
-        first = 16 + depth * CHILDREN
 
-        def split(batches: Iterator[pd.DataFrame], first: int = first) -> Iterator[pd.DataFrame]:
+        def split(batches: Iterator[pd.DataFrame], depth: int = depth) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 if not len(batch):
                     continue
                 sig = np.frombuffer(b"".join(batch["sig"]), np.uint32).reshape(len(batch), -1)
                 parent = batch["bucket"].to_numpy().astype(np.uint64)
-                for c in range(first, first + CHILDREN):
-                    yield pd.DataFrame({"cls": batch["cls"], "bucket": path(parent, c, sig[:, c]), "was": batch["m"]})
+                for c in chosen(parent, depth, runs, children).T:
+                    yield pd.DataFrame({"cls": batch["cls"], "bucket": path(parent, c, sig[np.arange(len(sig)), c]), "was": batch["m"]})
 
-        children = large.join(classes.select("cls", "sig"), "cls").select("cls", "bucket", "m", "sig").mapInPandas(split, "cls long, bucket long, was long")
-        level = stored(_counted(children))
+        parts = large.join(classes.select("cls", "sig"), "cls").select("cls", "bucket", "m", "sig").mapInPandas(split, "cls long, bucket long, was long")
+        level = stored(_counted(parts))
         done = (F.col("m") <= bucket) | (F.col("m") > F.col("was") * CLUSTERED)
         leaves.append(level.where(done).select("cls", "bucket", "m"))
         large = level.where(~done).select("cls", "bucket", "m")
@@ -313,14 +341,14 @@ def jaccard_join(
     and is a class of its own (its id).  A null id is kept; its class is named by
     the other ids, or null.  Repeated rows are copies.  Other columns are not read.
     """
-    runs = runs_for(recall, similarity)
+    runs, children = shape_for(recall, similarity)
     rows = stored(_sketches(df, text, id_col, words, runs))
     same = ["h1", "h2", "n"]
     grouped = rows.where("n > 0").groupBy(*same).agg(
         F.first("sig").alias("sig"), F.first("roots").alias("roots"), F.min("i").alias("set_id"), F.min("row_key").alias("row_key"), F.count("*").alias("n_copies")
     )
     classes = stored(grouped.withColumn("cls", F.monotonically_increasing_id()))
-    leaves = _leaves(classes, bucket)
+    leaves = _leaves(classes, bucket, runs, children)
     homes = leaves.groupBy("cls").agg(F.sort_array(F.collect_set(F.struct("bucket", "m"))).alias("homes"))
     met = stored(homes.join(classes.select("cls", "n", "sig", "row_key"), "cls").withColumn("buckets", F.col("homes.bucket")))
     blocks = F.ceil(F.col("h.m") / F.lit(bucket)).cast("int")
