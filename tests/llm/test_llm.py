@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import stages
 from tidemark.llm.exact_search import exact_topk, search_block
-from tidemark.llm.jaccard_join import jaccard_join
+from tidemark.llm.jaccard_join import connected, jaccard_join
 from tidemark.llm.language_id import codewords, identify_language
 from tidemark.llm.licenses import SENTENCES, scan_licences
 from tidemark.llm.mixing import mix_sources, targets
@@ -182,6 +182,26 @@ def test_mixing_meets_targets(spark):
         assert abs(g.taken.sum() - g.target.iloc[0]) <= 30
 
 
+def test_long_chains_of_documents_are_one_group(spark):
+    rng = random.Random(13)
+    words = [rng.choice("abcdefghij") + str(i) for i in range(2000 * 10 + 104)]
+    order = rng.sample(range(2000), 2000)  # ids do not follow the chain
+    got = jaccard_join(docs(spark, [(i, " ".join(words[10 * at : 10 * at + 104]), "en", "a") for i, at in enumerate(order)])).toPandas()
+    assert set(got.class_id) == {0} and sorted(got.n_links) == [1] * 2 + [2] * 1998
+
+
+def test_connected_equals_brute_force(spark):
+    rng = random.Random(14)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(190)] + [(1000 + i, 1001 + i) for i in range(300)] + [(2000 + i, 3000) for i in range(50)]
+    root = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in root:
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    got = connected(spark.createDataFrame(edges, "a long, b long"))
+    assert {r["node"]: r["root"] for r in got.collect()} == root
+
+
 def test_jaccard_keeps_its_recall_in_a_large_group_of_near_copies(spark):
     rng = random.Random(12)
     base = [rng.choice("abcdefghij") + rng.choice("klmnop") + str(i) for i in range(104)]

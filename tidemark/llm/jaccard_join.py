@@ -306,19 +306,36 @@ def _roots(m: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def connected(nodes_edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, root) for edges (a, b): the smallest node that each is connected to."""
-    edges = stored(nodes_edges.where("a <> b").select("a", "b").union(nodes_edges.where("a <> b").select("b", "a")).distinct())
-    label = stored(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
+def connected(nodes_edges: DataFrame, rounds: int = 128, jumps: int = 64) -> DataFrame:
+    """(node, root) for edges (a, b): the smallest node that each is connected to.
+
+    A round hooks each node to its least smaller neighbour, flattens the trees by
+    pointer jumping and leaves the edges between their roots.  A node that is
+    least among its neighbours takes one in, or has a smaller one next round: two
+    rounds at least halve the nodes, whatever the shape of the group.
+    """
+    edges = stored(nodes_edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    label = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("root", F.col("node"))
     for _ in range(rounds):
-        at = label.select(F.col("node").alias("b"), "root")
-        near = edges.join(at, "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        lower = label.join(near, "node", "left").select("node", "root", F.least("root", F.coalesce("near", "root")).alias("low"))
-        jump = label.select(F.col("node").alias("low"), F.col("root").alias("beyond"))
-        after = stored(lower.join(jump, "low", "left").select("node", F.col("root").alias("was"), F.least("low", F.coalesce("beyond", "low")).alias("root")))
-        label = after.select("node", "root")
-        if not after.where("was <> root").head(1):
-            break
+        if not edges.head(1):
+            return label
+        tree = stored(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("first")).withColumn("up", F.col("first")))
+        for _ in range(jumps):
+            over = tree.select(F.col("node").alias("up"), F.col("up").alias("beyond"))
+            after = stored(tree.join(over, "up", "left").select("node", "first", F.coalesce("beyond", "up").alias("up"), F.col("beyond").isNotNull().alias("moved")))
+            tree = after.drop("moved")
+            if not after.where("moved").head(1):
+                break
+        else:
+            raise RuntimeError(f"trees still not flat after {jumps} jumps")
+        to = tree.select(F.col("node").alias("root"), "up")
+        label = stored(label.join(to, "root", "left").select("node", F.coalesce("up", "root").alias("root")))
+        # the edges that made the tree lie inside it
+        rest = edges.join(tree.withColumnRenamed("node", "a"), "a").where("b <> first").select(F.col("up").alias("x"), F.col("b").alias("root"))
+        ends = rest.join(to, "root", "left").select("x", F.coalesce("up", "root").alias("y")).where("x <> y")
+        edges = stored(ends.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+    if edges.head(1):
+        raise RuntimeError(f"groups still not connected after {rounds} rounds")
     return label
 
 
