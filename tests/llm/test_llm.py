@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import textwrap
 import zlib
 from collections import Counter
 
@@ -63,6 +64,21 @@ def test_licence_rules_take_the_longest_sequence(spark):
     assert got == {1: "MIT", 2: "BSD-2-Clause", 3: "BSD-3-Clause", 4: "CC-BY-NC-4.0", 5: "Apache-2.0", 6: ""}
 
 
+def test_licences_in_comment_headers(spark):
+    s = SENTENCES
+    block = lambda paragraphs, lead: "\n".join(lead + line for p in paragraphs for line in [*textwrap.wrap(p, 60), ""])
+    mit = ["Copyright (c) 2020 Some One", s["mit_grant"], s["mit_condition"], s["mit_warranty"]]
+    bsd = [s[k] for k in ("bsd_source", "bsd_binary", "bsd_endorse")]
+    marked = lambda mark: "\n".join(["Copyright 2020, Some One", s["bsd_redistribution"], *[mark(i) + x for i, x in enumerate(bsd, 1)]])
+    wrapped = lambda text: "\n".join(line for x in text.split("\n") for line in textwrap.wrap(x, 60))
+    gpl = s["gpl3_or_later"].replace("software: you", "software:\nyou")
+    texts = ["/*\n" + block(mit, " * ") + "\n */\nint main() {}", block(mit, "# "), block(mit, "// "), block(mit, "dnl "), block(mit, "")]
+    texts += [wrapped(marked(lambda i: f"{i}. ")), wrapped(marked(lambda i: f"({i}) ")), wrapped(marked(lambda i: " * ")), block([gpl], ""), gpl]
+    texts.append("/*\n" + "\n".join(" * " + x for x in wrapped(marked(lambda i: f"{i}. ")).split("\n")) + "\n */")
+    got = {r["doc_id"]: r["licenses"] for r in scan_licences(docs(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect()}
+    assert [got[i] for i in range(11)] == ["MIT"] * 5 + ["BSD-3-Clause"] * 3 + ["GPL-3.0-or-later"] * 2 + ["BSD-3-Clause"]
+
+
 def test_exact_search(spark):
     rng = np.random.default_rng(1)
     rows = [(i, v.tolist()) for i, v in enumerate(rng.integers(-2, 3, (120, 9)) / 3.0)]

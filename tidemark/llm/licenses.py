@@ -1,7 +1,8 @@
 """Licence scans by sentence rules, in DataFrame functions alone.
 
-A text is cut into sentences (and, where a sentence isn't known, into its
-lines); each is normalised to lower-case words and looked up in a table of known
+A text is cut into sentences (and, where a sentence isn't known, at colons that
+end a line, then into its lines); a line without a letter or digit, such as the
+' *' of a comment block, is a blank one, and a copyright line stands alone.  Each is normalised to lower-case words and looked up in a table of known
 licence sentences.  A document thus becomes a short sequence of sentence
 identifiers.  Licence rules are sequences of identifiers in order of precedence;
 the leftmost match of the first rule that fits consumes its sentences, so a
@@ -76,7 +77,11 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
 )
 #: Every known sentence contains one of these.
 ANCHORS = ("licen", "permission", "redistribut", "warrant", "copyright", "free software", "public domain", "spdx")
-SENTENCE_END = r"[.!?;]+[ \t\r\n]+|\n[ \t\r]*\n"
+SENTENCE_END = r"[.!?;]+[ \t\r\n]+|\n[^a-z0-9\n]*\n"
+COLON_END = r":[ \t\r]*\n"
+#: What may stand before a line's words: comment leaders, then a list mark in parentheses.
+LIST_MARK = r"(?m)^[^a-z0-9\n]*(?:(?:dnl|rem)[ \t]+)?\(?[0-9a-z]{1,2}\)[ \t]+|^[ \t]*(?:dnl|rem)\b"
+COPYRIGHT_LINE = r"(?m)^([^a-z0-9\n]*copyright[ \t]+(?:\(c\)|©|[0-9]{4})[^\n]*)$"
 _NOT_WORD = "[^a-z0-9]+"
 
 
@@ -132,8 +137,11 @@ def scan_licences(
     known, licence_of = _map(table), _map(sequences)
     norm = lambda x: F.btrim(F.regexp_replace(x, _NOT_WORD, " "), F.lit(" "))
     look = lambda x: F.try_element_at(known, norm(x))
-    ids = lambda s: F.when(look(s).isNotNull(), F.array(look(s))).otherwise(F.transform(F.split(s, "\n"), look))
-    found = F.filter(F.flatten(F.transform(F.split(F.col("low"), SENTENCE_END), ids)), lambda x: x.isNotNull())
+    known_or = lambda s, parts: F.when(look(s).isNotNull(), F.array(look(s))).otherwise(parts)
+    lines = lambda s: known_or(s, F.transform(F.split(s, "\n"), look))
+    ids = lambda s: known_or(s, F.flatten(F.transform(F.split(s, COLON_END), lines)))
+    clean = F.regexp_replace(F.regexp_replace("low", LIST_MARK, ""), COPYRIGHT_LINE, "$1\n")
+    found = F.filter(F.flatten(F.transform(F.split(clean, SENTENCE_END), ids)), lambda x: x.isNotNull())
     sequence = F.when(F.col("low").rlike("|".join(anchors)), F.array_join(found, " ")).otherwise("")
     rows = df.select(F.col(id_col), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("low")).select(id_col, sequence.alias("sentence_ids"))
     matches = F.regexp_extract_all(F.concat("sentence_ids", F.lit(" ")), F.lit("(" + "|".join(sequences) + ")"), F.lit(1))
