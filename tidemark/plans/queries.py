@@ -404,6 +404,13 @@ def trigger_hits(spark, sf_dir):
     return got.select("document_id", "idx", F.col("clause_idx").cast("long").alias("clause_idx"), "aspect", "trigger")
 
 
+@query()
+def trigger_hits_all(spark, sf_dir):
+    """trigger_hits of every clause; that one's SQL keeps ASCII clauses alone."""
+    got = aspects.mentions(ad.corpus_chunks(spark, sf_dir), _L)
+    return got.select("document_id", "idx", F.col("clause_idx").cast("long").alias("clause_idx"), "aspect", "trigger")
+
+
 @query(f"""WITH {ad.SENTENCES}, {_TOKENS}, n AS (SELECT doc_id, idx, CAST(count_if((w IN {_in(_L.positive)} AND NOT m) OR (w NOT IN {_in(_L.positive)} AND w IN {_in(_L.negative)} AND m)) AS DOUBLE) AS p,
     CAST(count_if((w IN {_in(_L.positive)} AND m) OR (w NOT IN {_in(_L.positive)} AND w IN {_in(_L.negative)} AND NOT m)) AS DOUBLE) AS n FROM masked GROUP BY ALL),
   scored AS (SELECT doc_id, idx, (p - n) / greatest(1.0::DOUBLE, p + n) * least(1.0::DOUBLE, (p + n) / 2 + 0.2::DOUBLE) AS score FROM n)
