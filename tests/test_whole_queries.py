@@ -17,6 +17,14 @@ DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="the driver's tables are not here")
 
 
+def test_context_of_every_sentence(spark):
+    texts = {(r["document_id"], r["idx"]): r["text"] for r in ad.corpus_chunks(spark, str(DATA)).collect()}
+    want = Counter((d, t, i, len(texts[d, i]), i == t) for d, t in texts for i in range(t - 3, t + 4) if (d, i) in texts)
+    got = QUERIES["chunk_context_all"](spark, str(DATA)).select("document_id", "target_idx", "idx", "n", "is_target")
+    assert Counter(tuple(r) for r in got.collect()) == want
+    assert len({(d, t) for d, t, *_ in want}) == len(texts)
+
+
 def found(terms, clause):
     """The earliest mention of a term between word bounds, the longest of those; \\w is ASCII, bounds are not."""
     for at in range(len(clause)):

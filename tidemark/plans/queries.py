@@ -95,6 +95,13 @@ def chunk_context(spark, sf_dir):
     return got.select("document_id", "target_idx", "idx", F.length("text").cast("long").alias("n"), "is_target")
 
 
+@query()
+def chunk_context_all(spark, sf_dir):
+    """chunk_context of every sentence; that one's SQL keeps each tenth target."""
+    got = signals.context(ad.corpus_chunks(spark, sf_dir), 3, F.lit(True))
+    return got.select("document_id", "target_idx", "idx", F.length("text").cast("long").alias("n"), "is_target")
+
+
 @query(f"""WITH {ad.SENTENCES} SELECT doc_id AS document_id, idx, md5(lag(s) OVER w) AS previous, md5(lead(s) OVER w) AS "next" FROM sents WINDOW w AS (PARTITION BY doc_id ORDER BY idx)""")
 def sentence_neighbors(spark, sf_dir):
     return signals.neighbours(ad.corpus_chunks(spark, sf_dir)).select("document_id", "idx", F.md5("previous").alias("previous"), F.md5("next").alias("next"))
