@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import re
 from collections import Counter
 from pathlib import Path
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
+from tidemark.operators import evaluation, models
 from tidemark.plans import adapters as ad
 from tidemark.plans.queries import _L, QUERIES
 
@@ -46,3 +48,26 @@ def test_triggers_of_every_clause(spark):
     got = QUERIES["trigger_hits_all"](spark, str(DATA)).select("document_id", "idx", "clause_idx", "aspect", "trigger")
     assert Counter(tuple(r) for r in got.collect()) == Counter(x[:5] for x in hits if x[4])
     assert any(x[4] and not x[5] for x in hits)
+
+
+def test_studies_run_at_production_size(spark, monkeypatch):
+    seen = {}
+
+    class Stop(Exception):
+        pass
+
+    def spy(name, of):
+        def call(*args, **kwargs):
+            bound = inspect.signature(of).bind(*args, **kwargs)
+            bound.apply_defaults()
+            seen[name] = bound.arguments["samples" if name == "bootstrap" else "n"]
+            raise Stop
+
+        return call
+
+    monkeypatch.setattr(evaluation, "bootstrap_ci", spy("bootstrap", evaluation.bootstrap_ci))
+    monkeypatch.setattr(models, "weak_labels", spy("labels", models.weak_labels))
+    for name in ("bootstrap_interval", "nb_tfidf_report"):
+        with pytest.raises(Stop):
+            QUERIES[name](spark, str(DATA))
+    assert seen == {"bootstrap": 2000, "labels": 4000}

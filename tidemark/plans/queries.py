@@ -688,7 +688,7 @@ def hash_embedding(spark, sf_dir):
 def nb_tfidf_report(spark, sf_dir):
     from tidemark.operators.models import weak_labels, train_text_classifier
 
-    rows = weak_labels(spark, 2000)
+    rows = weak_labels(spark)
     model = train_text_classifier(rows.where("NOT held_out"), "nb_tfidf")
     return evaluation.classification_report(model.transform(rows.where("held_out")), "label", "predicted_label")
 
@@ -827,4 +827,4 @@ def fixed_effects(spark, sf_dir):
 
 @query()
 def bootstrap_interval(spark, sf_dir):
-    return evaluation.bootstrap_ci(event_returns(spark, sf_dir), "car_0_1", "drift_2_11", 200)
+    return evaluation.bootstrap_ci(event_returns(spark, sf_dir), "car_0_1", "drift_2_11")
