@@ -4,20 +4,28 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: 64-bit words of the filter in only_keys(): 1 MB, whatever the input's size.
+#: 64-bit words of the filter in only_rows(): 1 MB, whatever the input's size.
 FILTER_WORDS = 1 << 17
+HOT_SLOTS = 1 << 16
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where none is set (tests)."""
+    """The folder that driver and executors share, as the session names it.
+
+    Where none is named and all runs in one JVM (tests), a local folder is made;
+    on a cluster that would lose what executors write, so it is an error there.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -48,21 +56,59 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def only_keys(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose row_key may be in ``keys``: a filter of FILTER_WORDS * 64 bits,
-    whatever the input's size, that spares most other texts the shuffle of the exact join after it."""
-    slot = F.pmod(F.col("row_key"), F.lit(FILTER_WORDS * 64))
+def kind_of(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
+def as_text(column: str) -> Column:
+    """An id on its way through pandas, where a null would turn whole batches of numbers into floats."""
+    return F.col(column).cast("string")
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a column of distinct longs, written once so that each reader sees the same numbers."""
+    return stored(df.withColumn(name, F.monotonically_increasing_id()))
+
+
+def only_rows(docs: DataFrame, row: str, keys: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose number may be in ``keys``: a filter of fixed size that spares
+    most other texts the shuffle of the exact join after it."""
+    slot = F.pmod(F.xxhash64(row), F.lit(FILTER_WORDS * 64))
     words = keys.select(F.floor(slot / 64).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int")).alias("bit"))
     table = np.zeros(FILTER_WORDS, np.int64)
     found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
     table[found["word"].to_numpy(int)] = found["bits"].to_numpy(np.int64)
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
-    def may(keys: pd.Series) -> pd.Series:
-        slots = keys.to_numpy(np.int64) % (FILTER_WORDS * 64)
-        return pd.Series((shared.value[slots // 64] >> (slots % 64)) & 1 == 1)
+    def may(slots: pd.Series) -> pd.Series:
+        at = slots.to_numpy(np.int64)
+        return pd.Series((shared.value[at // 64] >> (at % 64)) & 1 == 1)
+
+    return docs.where(F.pandas_udf(may, "boolean")(slot))
+
+
+def hot_keys(df: DataFrame, key: str, at_least: int) -> Callable[[str], Column]:
+    """A test for keys that hold very many rows of ``df``: true for each such key, and for few others.
+
+    Keys are counted by HOT_SLOTS slots of their hash, with partial sums.  A slot
+    is hot from ``at_least`` rows and 16 times the mean on, so the driver gets at
+    most HOT_SLOTS / 16 numbers, whatever the input's size.
+    """
+    slot = lambda name: F.pmod(F.xxhash64(name), F.lit(HOT_SLOTS)).cast("int")
+    counts = df.groupBy(slot(key).alias("slot")).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).head()[0] or 0
+    hot = [r[0] for r in counts.where(F.col("n") >= max(at_least, 16 * total // HOT_SLOTS)).select("slot").collect()]
+    return lambda name: slot(name).isin(hot) if hot else F.lit(False)
+
+
+def spread(hot: Column, salts: int, by: list[str]) -> Column:
+    """The salt of a row on the large side of a join: 0 but for hot keys."""
+    return F.when(hot, F.pmod(F.xxhash64(*by, F.lit(43)), F.lit(salts))).otherwise(F.lit(0)).cast("int")
+
 
-    return docs.where(F.pandas_udf(may, "boolean")("row_key"))
+def all_salts(hot: Column, salts: int) -> Column:
+    """The salts under which a row of the small side stands: one but for hot keys."""
+    return F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
 
 
 # --- rolling hashes -------------------------------------------------------

@@ -17,11 +17,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import as_text, kind_of
+
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 MEMO_ENTRIES = 1_000_000
@@ -182,27 +185,35 @@ class PrefixCounter:
         return found
 
 
+@lru_cache(2)
+def _counter(model_file: str | None) -> PrefixCounter:
+    """One per Python worker, so that its solved segments serve all of the worker's tasks."""
+    import public_tokenizers
+
+    return PrefixCounter(model_file or public_tokenizers.path(MODEL))
+
+
 def token_counts(
     df: DataFrame, text: str = "text", id_col: str = "doc_id", limit: int = 4096, model_file: str | None = None
 ) -> DataFrame:
     """``id_col``, ``n_bytes``, ``n_tokens``, ``over_limit`` and ``fit_chars`` per row.
 
-    ``fit_chars`` is the length of the longest prefix within ``limit`` tokens.
-    A null text counts as empty: 0 bytes, 0 tokens.  Rows with a null id or
-    repeated rows are kept as they are; other columns of ``df`` are not read.
-    One pass without a shuffle.
+    ``fit_chars`` is the length of the longest prefix within ``limit`` tokens
+    (of equally good ones there is but the longest).  A null text counts as
+    empty: 0 bytes, 0 tokens.  Texts of any length are taken whole, segment by
+    segment.  Null ids and repeated rows are kept as rows of their own, an empty
+    table gives none; other columns of ``df`` are not read.  One pass without a
+    shuffle.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import public_tokenizers
-
-        counter = PrefixCounter(model_file or public_tokenizers.path(MODEL))
+        counter = _counter(model_file)
         for batch in batches:
             texts = [x if isinstance(x, str) else "" for x in batch["t"]]
             tokens = [counter.count(x) for x in texts]
             yield pd.DataFrame(
                 {
-                    id_col: batch["i"],
+                    "i": batch["i"],
                     "n_bytes": [len(x.encode("utf-8", "surrogatepass")) for x in texts],
                     "n_tokens": tokens,
                     "over_limit": [n > limit for n in tokens],
@@ -210,6 +221,29 @@ def token_counts(
                 }
             )
 
-    kind = df.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean, fit_chars long"
-    return df.select(F.col(id_col).alias("i"), F.col(text).alias("t")).mapInPandas(count, schema)
+    found = df.select(as_text(id_col).alias("i"), F.col(text).alias("t")).mapInPandas(count, "i string, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
+    return found.select(F.col("i").cast(kind_of(df, id_col)).alias(id_col), "n_bytes", "n_tokens", "over_limit", "fit_chars")
+
+
+def prefix_tables(df: DataFrame, text: str = "text", id_col: str = "doc_id", model_file: str | None = None) -> DataFrame:
+    """``id_col``, ``prefix_tokens`` (array of int) per row: the tokens of each prefix of 0, 1, 2, ... characters.
+
+    Stored once, the table answers every later question of truncation and budget
+    (``within_budget``) without encoding.  Null texts count as empty: [0].
+    """
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counter = _counter(model_file)
+        for batch in batches:
+            yield pd.DataFrame({"i": batch["i"], "prefix_tokens": [counter.prefix_counts(x if isinstance(x, str) else "") for x in batch["t"]]})
+
+    found = df.select(as_text(id_col).alias("i"), F.col(text).alias("t")).mapInPandas(solve, "i string, prefix_tokens array<int>")
+    return found.select(F.col("i").cast(kind_of(df, id_col)).alias(id_col), "prefix_tokens")
+
+
+def within_budget(prefix_tokens: str | Column, budget: int) -> Column:
+    """Characters of the longest prefix that takes at most ``budget`` tokens, read from a prefix table.
+
+    Counts may fall by one or more where a merge completes, so the last that fits counts."""
+    counts = F.col(prefix_tokens) if isinstance(prefix_tokens, str) else prefix_tokens
+    return F.size(counts) - 1 - (F.array_position(F.transform(F.reverse(counts), lambda n: n <= budget), True).cast("int") - 1)
