@@ -20,13 +20,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import shuffle_width
+from tidemark.llm.common import as_text, kind_of, shuffle_width
 
 BUCKETS = 1 << 16
 BLOCK = 1 << 12
 TRAIN_DOCS = 4_000
 CHUNK_BYTES = 1 << 20
 AMBIGUOUS = 0.9
+MOST_BITS = 120
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.array([b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256)], np.uint8)
@@ -47,13 +48,14 @@ def trigrams(data: np.ndarray) -> np.ndarray:
 
 
 def codewords(n: int, seed: int = 3) -> np.ndarray:
-    """n rows of bits.  All splits of the languages up to 6, else distinct random ones."""
+    """n rows of bits.  All splits of the languages up to 6, else distinct random halves, at most
+    MOST_BITS of them (of seven or eight languages there are only 35)."""
     if n <= 1:
         return np.ones((n, 1))
     if n <= 6:
         return np.array([(1, *bits) for bits in product((1, -1), repeat=n - 1) if -1 in bits], float).T
     rng, bits, seen = np.random.default_rng(seed), [], set()
-    while len(bits) < 12 * int(np.ceil(np.log2(n))):
+    while len(bits) < min(12 * int(np.ceil(np.log2(n))), 32 if n <= 8 else MOST_BITS):
         column = rng.permutation(np.where(np.arange(n) < n // 2, 1, -1))
         column = column * column[0]
         if tuple(column) not in seen:
@@ -73,9 +75,11 @@ class CodeModel:
 
     @staticmethod
     def fit(languages: list[str], counts: np.ndarray) -> CodeModel:
+        if not languages:
+            return CodeModel([], np.ones((0, 1)), np.zeros((1, counts.shape[1])), np.zeros((0, 1)))
         counts = counts.astype(float).copy()
         counts[:, 0] = 0
-        share = (counts + 0.5) / (counts + 0.5).sum(axis=1, keepdims=True) if len(languages) else counts
+        share = (counts + 0.5) / (counts + 0.5).sum(axis=1, keepdims=True)
         code = codewords(len(languages))
         weights, trust = [], []
         for bit in code.T:
@@ -87,7 +91,7 @@ class CodeModel:
             # chance that 64 trigrams of the language fall on the right side
             trust.append([0.5 + 0.5 * erf(8 * m * b / d / 2**0.5) for m, d, b in zip(mean, deviation, bit)])
             weights.append(w / max(float(np.abs(mean).mean()), 1e-9))
-        trust = np.array(trust).T if len(languages) else np.zeros((0, 1))
+        trust = np.array(trust).T
         return CodeModel(languages, code, np.array(weights), trust / np.maximum(trust.sum(axis=1, keepdims=True), 1e-9))
 
     def margins(self, texts: list[bytes]) -> np.ndarray:
@@ -162,14 +166,14 @@ def identify_language(
 
     Learns from rows whose language is known and whose crc32(id) modulo
     ``folds`` isn't ``held_out_fold``; predicts every row from its whole text
-    alone.  A null text, one without a letter, or no language to learn gives
-    ``und`` with score 0.  A null id is neither learned from nor held out.
-    Repeated rows are kept; other columns are not read.
+    alone, however long.  A null text, one without a letter, or no language to
+    learn gives ``und`` with score 0.  Among equally near codewords the first
+    language by name is taken.  A null id is neither learned from nor held out.
+    Repeated rows are kept, an empty table gives none; other columns are not read.
     """
     fold = F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(folds))
     model = learn(df.where(fold != held_out_fold), text, lang, id_col, train_docs)
     shared = df.sparkSession.sparkContext.broadcast(model)  # languages x bits x 65,536 weights at most
-    kind = df.schema[id_col].dataType.simpleString()
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = shared.value
@@ -181,5 +185,6 @@ def identify_language(
                 pred[usable], score[usable] = np.array(known.languages, object)[best], sure
             yield pd.DataFrame({"i": batch["i"], "held_out": batch["held_out"], "lang_pred": pred, "score": score, "ambiguous": score < ambiguous})
 
-    out = df.select(F.col(id_col).alias("i"), F.coalesce(fold == held_out_fold, F.lit(False)).alias("held_out"), F.col(text).alias("t"))
-    return out.mapInPandas(predict, f"i {kind}, held_out boolean, lang_pred string, score double, ambiguous boolean").withColumnRenamed("i", id_col)
+    out = df.select(as_text(id_col).alias("i"), F.coalesce(fold == held_out_fold, F.lit(False)).alias("held_out"), F.col(text).alias("t"))
+    found = out.mapInPandas(predict, "i string, held_out boolean, lang_pred string, score double, ambiguous boolean")
+    return found.select(F.col("i").cast(kind_of(df, id_col)).alias(id_col), "held_out", "lang_pred", "score", "ambiguous")
