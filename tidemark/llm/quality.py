@@ -188,7 +188,9 @@ def learn_quality(
     once = usable.groupBy(F.col(id_col).alias("i")).agg(F.min(label).alias("y"))
     chosen = once.orderBy(F.xxhash64("i", F.lit(41)), "i").limit(train_rows)
     text_of = docs.select(F.col(id_col).alias("i"), F.col(text).alias("t")).join(F.broadcast(chosen), "i")  # at most train_rows rows
-    rows = with_statistics(text_of, "t").select("i", "y", "stats.*").dropDuplicates(["i"]).toPandas().sort_values("i")
+    # an id that stands for several texts counts once, by the least of their statistics
+    measured = with_statistics(text_of, "t").groupBy("i", "y").agg(F.min("stats").alias("stats"))
+    rows = measured.select("i", "y", "stats.*").toPandas().sort_values("i")
     return RuleEnsemble.fit(rows[list(STATISTICS)].to_numpy(float), rows["y"].to_numpy(float))
 
 
@@ -198,11 +200,13 @@ def score_quality(
 ) -> DataFrame:
     """``id_col``, ``held_out``, ``score``, ``predicted`` per row of ``docs``.
 
-    Learns from labels outside the held-out fold; scores whole texts from their
-    statistics alone.  Null and empty texts have all statistics 0 and get a
-    score like any other.  Null ids are scored, never held out.  Labels that are
-    null or neither 0 nor 1 are ignored; without usable labels every score is
-    0.5.  Repeated rows are kept; other columns are not read.
+    Learns from labels outside the held-out fold; scores whole texts, of any
+    length, from their statistics alone.  Null and empty texts have all
+    statistics 0 and get a score like any other.  Null ids are scored, never held
+    out.  Labels that are null or neither 0 nor 1 are ignored; an id with both
+    counts as 0; without usable labels every score is 0.5.  A score equal to the
+    threshold is predicted 1.  Repeated rows are kept, an empty table gives none;
+    other columns are not read.
     """
     model = learn_quality(docs, labels, text, id_col, label, folds, held_out_fold, train_rows)
     held = F.coalesce(fold_of(id_col, folds) == held_out_fold, F.lit(False))
