@@ -5,29 +5,35 @@ graph.  Recursive spectral bisection at the median, refined by balanced swaps,
 cuts that graph into equal parts with few edges between them.  A small network
 learns from the sample where a vector's neighbours lie (soft labels); it then
 assigns *every* row to its most probable part and sends a query to the several
-most probable ones.  How many is calibrated on the sample, for the recall asked
-for.  What a query meets there is reranked in full precision.
+most probable ones, until they hold a share of its probability that is
+calibrated on the sample for the recall asked for.  What a query meets there is
+reranked in full precision.  Neighbouring parts lie in one block, so that a query
+travels once to a block and meets there only the parts that it visits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored
+from tidemark.llm.common import kind_of, stored
 from tidemark.llm.vectors import blocked_topk, hashed, stacked, valid_vectors
 
-SAMPLE = 6_000
-ROWS_PER_PART = 8_192
-ROWS_PER_BLOCK = 65_536
-MAX_PARTS = 1_024
+SAMPLE = 12_288
+#: Sampled vectors to a part, so that the router has something to learn from.
+SAMPLE_PER_PART = 24
+ROWS_PER_BLOCK = 16_384
+QUERIES_PER_BLOCK = 16_384
 GRAPH_NEIGHBOURS = 10
 HIDDEN = 128
-RECALL = 0.94
+RECALL = 0.95
+#: A query visits parts of this many rows per neighbour asked for, at least.
+LEAST_ROWS = 8
 
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
@@ -124,10 +130,11 @@ class Router:
         return self
 
 
-def learn_router(x: np.ndarray, parts: int, recall: float, k: int) -> tuple[Router, int]:
-    """A router and the number of parts that a query visits for that recall."""
-    if parts == 1 or len(x) <= GRAPH_NEIGHBOURS:
-        return Router(x.shape[1], 1), 1
+def learn_router(x: np.ndarray, parts: int, recall: float, k: int) -> tuple[Router, float]:
+    """A router and the share of its probability that a query visits for that recall.
+
+    An eighth of the sample is held out of the graph and of the fit; its
+    neighbours in the whole sample say how far down a query must go."""
     held = np.arange(len(x)) % 8 == 0
     fit, test = x[~held], x[held]
     near = neighbour_graph(fit, min(GRAPH_NEIGHBOURS, len(fit) - 1))
@@ -137,42 +144,88 @@ def learn_router(x: np.ndarray, parts: int, recall: float, k: int) -> tuple[Rout
     soft = (soft + soft[near].mean(axis=1)) / 2
     router = Router(x.shape[1], parts).fit(fit, soft)
     home = router.probabilities(x).argmax(axis=1)
-    order = np.argsort(-router.probabilities(test), axis=1)
+    p = router.probabilities(test)
+    order = np.argsort(-p, axis=1, kind="stable")
+    mass = np.cumsum(np.take_along_axis(p, order, axis=1), axis=1)
+    before = np.empty_like(mass)
+    np.put_along_axis(before, order, mass - np.take_along_axis(p, order, axis=1), axis=1)
     score = test @ x.T
     score[np.arange(len(test)), np.flatnonzero(held)] = -np.inf
     m = min(k, len(x) - 1)
     truth = home[np.argpartition(-score, m - 1, axis=1)[:, :m]]
-    place = np.empty_like(order)
-    np.put_along_axis(place, order, np.arange(parts)[None, :].repeat(len(order), 0), axis=1)
-    visits = np.take_along_axis(place, truth, axis=1)
-    for n in range(1, parts):
-        if (visits < n).mean() >= recall:
-            return router, n
-    return router, parts
-
-
-def rerank(query_ids, queries, ids, rows, k: int) -> pd.DataFrame:
-    """The k best by exact double inner product; ties to smaller ids.
-
-    A product of matrices selects, with a margin for its rounding; the row-wise
-    sum, the same for equal vectors wherever they stand, decides."""
-    order = np.argsort(ids, kind="stable")
-    ids, rows = ids[order], rows[order]
+    # the probability that stands before a neighbour's part must be visited first
+    return router, float(np.quantile(np.take_along_axis(before, truth, axis=1), recall, method="higher"))
+
+
+def visited(p: np.ndarray, mass: float, sizes: np.ndarray, least: int) -> list[np.ndarray]:
+    """Most probable parts of each row of p, as long as what stands before them is at most ``mass``
+    or holds fewer than ``least`` rows."""
+    order = np.argsort(-p, axis=1, kind="stable")
+    sorted_, rows = np.take_along_axis(p, order, axis=1), sizes[order]
+    before, filled = np.cumsum(sorted_, axis=1) - sorted_, np.cumsum(rows, axis=1) - rows
+    return [np.sort(o[m]) for o, m in zip(order, (before <= mass) | (filled < least))]
+
+
+@dataclass
+class Index:
+    """What was learned from the sample: vectors of ``width`` go to the router's parts, others to the last."""
+
+    router: Router
+    mass: float
+    width: int
+
+    @property
+    def last(self) -> int:
+        return self.router.w[3].shape[0]
+
+    def parts(self, vectors: pd.Series) -> np.ndarray:
+        out = np.full(len(vectors), self.last, np.int32)
+        same = (vectors.map(len) == self.width).to_numpy()
+        if same.any():
+            out[same] = self.router.probabilities(stacked(vectors[same], self.width)).argmax(axis=1)
+        return out
+
+    def visits(self, vectors: pd.Series, sizes: np.ndarray, least: int) -> list[np.ndarray]:
+        """The parts that each query visits, of the parts with rows."""
+        out = [np.array([self.last])] * len(vectors)
+        same = np.flatnonzero((vectors.map(len) == self.width).to_numpy())
+        if len(same):
+            found = visited(self.router.probabilities(stacked(vectors.iloc[same], self.width)), self.mass, sizes[: self.last], least)
+            for i, parts in zip(same, found):
+                out[i] = parts
+        return [x[sizes[x] > 0] for x in out]
+
+
+def rerank(
+    query_ids: np.ndarray, queries: np.ndarray, visits: list[np.ndarray], ids: np.ndarray, rows: np.ndarray, part: np.ndarray, k: int
+) -> pd.DataFrame:
+    """The k best of the rows in the parts that a query visits, by exact double inner product; ties to smaller ids.
+
+    A product of matrices, part by part, selects, with a margin for its rounding;
+    the row-wise sum, the same for equal vectors wherever they stand, decides."""
+    order = np.lexsort((ids, part))
+    ids, rows, part = ids[order], rows[order], part[order]
+    edges = np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist()
+    slices = list(zip(part[edges].tolist(), edges, [*edges[1:], len(part)]))
     norm = np.linalg.norm(rows, axis=1).max(initial=0)
     repeated = len(np.unique(ids)) < len(ids)
     query, row, found = [], [], []
     for at in range(0, len(queries), 256):
-        block = queries[at : at + 256]
-        score = block @ rows.T
+        block, some = queries[at : at + 256], visits[at : at + 256]
+        score = np.full((len(block), len(ids)), -np.inf)
+        owner, parts = np.repeat(np.arange(len(some)), [len(x) for x in some]), np.concatenate(some)
+        for p, a, b in slices:
+            who = owner[parts == p]
+            if len(who):
+                score[who, a:b] = block[who] @ rows[a:b].T
         slack = 1e-12 * norm * np.linalg.norm(block, axis=1)
-        low, high = (np.searchsorted(ids, query_ids[at : at + 256], side) for side in ("left", "right"))
         for i in range(len(block)):
             s = score[i]
-            s[low[i] : high[i]] = -np.inf
-            m = len(s) - (high[i] - low[i])
+            s[ids == query_ids[at + i]] = -np.inf
+            m = int((s > -np.inf).sum())
             if not m:
                 continue
-            # repeated rows fill places of their own, so all that could matter are looked at
+            # repeated ids fill places of their own, so all that could matter are looked at
             if m <= k or repeated:
                 near = np.flatnonzero(s > -np.inf)
             else:
@@ -180,15 +233,27 @@ def rerank(query_ids, queries, ids, rows, k: int) -> pd.DataFrame:
             exact = (rows[near] * block[i]).sum(axis=1)
             best = np.lexsort((ids[near], -exact))
             if repeated:
-                pairs = np.stack([ids[near][best], exact[best].view(np.int64)], axis=1)
-                best = best[np.sort(np.unique(pairs, axis=0, return_index=True)[1])]
+                best = best[np.sort(np.unique(ids[near][best], return_index=True)[1])]
             best = best[:k]
             query.append(np.full(len(best), query_ids[at + i]))
             row.append(ids[near[best]])
             found.append(exact[best])
     if not query:
-        return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-    return pd.DataFrame({"query_id": np.concatenate(query), "vec_id": np.concatenate(row), "score": np.concatenate(found)})
+        return pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "over": []})
+    return pd.DataFrame({"query_id": np.concatenate(query), "vec_id": np.concatenate(row), "score": np.concatenate(found), "over": 0.0})
+
+
+def _blocks(sizes: np.ndarray, rows_per_block: int) -> tuple[dict[int, tuple[int, int]], int]:
+    """Per part its first block and how many it fills; neighbouring small parts share one."""
+    out, made, room = {}, 0, 0
+    for p in np.flatnonzero(sizes).tolist():
+        if sizes[p] <= room:
+            out[p], room = (made - 1, 1), room - sizes[p]
+            continue
+        many = int(-(-sizes[p] // rows_per_block))
+        out[p], made = (made, many), made + many
+        room = rows_per_block - sizes[p] if many == 1 else 0
+    return out, made
 
 
 def nearest(
@@ -198,55 +263,77 @@ def nearest(
     k: int = 20,
     query_modulus: int = 20,
     sample: int = SAMPLE,
-    rows_per_part: int = ROWS_PER_PART,
+    sample_per_part: int = SAMPLE_PER_PART,
     rows_per_block: int = ROWS_PER_BLOCK,
+    queries_per_block: int = QUERIES_PER_BLOCK,
     recall: float = RECALL,
 ) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score`` (double) for rows whose id is divisible by ``query_modulus``.
 
-    The index is fitted on at most ``sample`` vectors and holds every row.  Rows
-    with a null id, a null, empty or zero vector, or a null or non-finite
-    component take no part; ids name vectors, so a repeated row counts once and
-    no row with the query's id is its neighbour.  Vectors of other lengths than
-    the sample's majority are kept in a part of their own length and searched in
-    full.  A part beyond ``rows_per_block`` rows (a hot vector) is split; a query
-    visits all of it.  Other columns are not read.
+    The index is fitted on at most ``sample`` vectors and holds every row; the
+    sample decides the number of parts, at every size of the table.  Rows with a
+    null id, a null, empty or zero vector, or a null or non-finite component take
+    no part; ids name vectors, so a repeated row counts once, an id with several
+    vectors by the best of them, and no row with the query's id is its neighbour.
+    Vectors of other lengths than the sample's commonest are kept in a part of
+    their own and searched in full.  A part beyond ``rows_per_block`` rows (a hot
+    vector) is split over blocks; a query visits all of them.  Ties go to smaller
+    ids; an empty table gives an empty result.  Other columns are not read.
     """
-    valid = valid_vectors(df, id_col, vector, nonzero=True)
+    indexed, index = index_vectors(df, id_col, vector, k, sample, sample_per_part, recall)
+    sizes = np.zeros(index.last + 1, np.int64)
+    for p, n in indexed.groupBy("part").count().collect():  # at most sample / sample_per_part + 1 rows
+        sizes[p] = n
+    at, made = _blocks(sizes, rows_per_block)
+    asked = indexed.where(F.col("vec_id") % query_modulus == 0)
+    # no block meets more queries than all; a block with too many meets them in turns
+    turns = max(1, -(-asked.count() // queries_per_block))
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for i, v, turn, parts in zip(batch["vec_id"], batch["v"], batch["turn"], index.visits(batch["v"], sizes, LEAST_ROWS * k)):
+                blocks: dict[int, list[int]] = {}
+                for p in parts.tolist():
+                    first, many = at[p]
+                    for b in range(first, first + many):
+                        blocks.setdefault(b, []).append(p)
+                out += [(i, v, b * turns + turn, parts) for b, parts in blocks.items()]
+            yield pd.DataFrame(out, columns=["vec_id", "v", "key", "parts"])
+
+    kind = kind_of(indexed, "v")
+    queries = asked.select("vec_id", "v", hashed(turns).alias("turn")).mapInPandas(deal, f"vec_id long, v {kind}, key long, parts array<int>")
+    where = F.create_map(*[F.lit(x) for p, (first, many) in at.items() for x in (p, first * (1 << 32) + many)]) if at else F.create_map(F.lit(0), F.lit(1))
+    place = F.element_at(where, F.col("part"))
+    block = F.floor(place / (1 << 32)) + F.pmod(F.xxhash64("vec_id", "v"), place.cast("long") % (1 << 32))
+    rows = indexed.select("vec_id", "v", "part", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn"))
+    rows = rows.select("vec_id", "v", "part", (F.col("block") * turns + F.col("turn")).cast("long").alias("key"))
+
+    def scorer(asked: pd.DataFrame, queries: np.ndarray, found: pd.DataFrame, rows: np.ndarray) -> pd.DataFrame:
+        visits = [np.asarray(x) for x in asked["parts"]]
+        return rerank(asked["vec_id"].to_numpy(), queries, visits, found["vec_id"].to_numpy(), rows, found["part"].to_numpy(), k)
+
+    return blocked_topk(queries, rows, made * turns, k, scorer, "double")
+
+
+def index_vectors(
+    df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", k: int = 20,
+    sample: int = SAMPLE, sample_per_part: int = SAMPLE_PER_PART, recall: float = RECALL,
+) -> tuple[DataFrame, Index]:
+    """Every valid row's part (``vec_id``, ``v``, ``part``), and what decides it."""
+    valid = stored(valid_vectors(df, id_col, vector, nonzero=True))
     n = valid.count()
     share = min(1.0, 1.5 * sample / max(n, 1))
     order = F.xxhash64("vec_id", F.lit(17))
-    some = valid.where(F.pmod(order, F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1)).orderBy(order, "vec_id").limit(sample).toPandas()
+    some = valid.where(F.pmod(order, F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1)).orderBy(order, "vec_id", "v").limit(sample).toPandas()
     widths = some["v"].map(len)
     width = int(widths.mode().min()) if len(some) else 1
     x = stacked(some["v"][widths == width], width)
-    parts = max(1, min(MAX_PARTS, n // rows_per_part, len(x) // 32))
-    router, visits = learn_router(x, parts, recall, k)
-    last = router.w[3].shape[0]
+    learned = len(x) >= 2 * max(sample_per_part, GRAPH_NEIGHBOURS)
+    index = Index(*(learn_router(x, len(x) // sample_per_part, recall, k) if learned else (Router(width, 1), 1.0)), width)
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            same = (batch["v"].map(len) == width).to_numpy()
-            best = np.full((len(batch), visits), last, np.int64)
-            if same.any():
-                best[same] = np.argsort(-router.probabilities(stacked(batch["v"][same], width)), axis=1, kind="stable")[:, :visits]
-            yield batch.assign(part=best[:, 0], visits=[sorted(set(x)) for x in best.tolist()])
-
-    indexed = stored(valid.mapInPandas(route, "vec_id long, v array<double>, part long, visits array<long>"))
-    sizes = indexed.groupBy("part").count().toPandas()  # at most MAX_PARTS + 1 rows
-    blocks = {int(p): int(-(-c // rows_per_block)) for p, c in zip(sizes["part"], sizes["count"])}
-    first, made = {}, 0
-    for p in sorted(blocks):
-        first[p], made = made, made + blocks[p]
-    start = F.create_map(*[F.lit(x) for p in first for x in (p, first[p])]) if first else F.create_map(F.lit(0), F.lit(0))
-    many = F.create_map(*[F.lit(x) for p in first for x in (p, blocks[p])]) if first else F.create_map(F.lit(0), F.lit(1))
-    at = lambda m, p: F.try_element_at(m, p.cast("int"))
-    rows = indexed.select("vec_id", "v", (at(start, F.col("part")) + F.pmod(F.xxhash64("vec_id"), at(many, F.col("part")))).alias("key"))
-    asked = indexed.where(F.col("vec_id") % query_modulus == 0).select("vec_id", "v", F.explode("visits").alias("p")).where(at(start, F.col("p")).isNotNull())
-    begin, size = at(start, F.col("p")).cast("long"), at(many, F.col("p")).cast("long")
-    queries = asked.select("vec_id", "v", F.explode(F.sequence(begin, begin + size - 1)).alias("key"))
-
-    def scorer(query_ids, qs, ids, rs):
-        return rerank(query_ids, qs, ids, rs, k)
-
-    return blocked_topk(queries, rows, made, k, scorer, "double")
+            yield batch.assign(part=index.parts(batch["v"]))
+
+    return stored(valid.mapInPandas(route, f"vec_id long, v {kind_of(valid, 'v')}, part int")), index
