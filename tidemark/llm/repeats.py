@@ -1,20 +1,24 @@
 """Removal of long repeated byte strings by prefix-free parsing.
 
-A rolling hash picks the triggers: in every string of the length asked for, the
-trigger is the position with the smallest hash among those near its start, so
-equal strings have the same trigger wherever they stand and no phrase between
-two triggers is longer than the span looked at.  The corpus becomes a parse, a
-sequence of triggers, over a dictionary, the distinct texts around a trigger.
-
-Equal dictionary entries are counted first (inside each batch before anything is
-shuffled): where one occurs twice, all strings through its trigger are repeats.
-Only entries that occur once while their trigger's core occurs again need a look
-at the text.  For those the order of the corpus follows from two smaller ones:
-the dictionary's suffixes (what precedes the trigger, read backwards) and the
-parse's suffixes (what follows it).  Sorting both and taking common-prefix
-lengths between neighbours gives the classes of equal suffixes for every length
-at once, and a string is the pair of its two classes: repeated exactly if that
-pair occurs again.  A core with very many distinct entries is not gathered; its
+A rolling hash picks anchors: in every string of the length asked for, the anchor
+is the position with the smallest hash among those near its start, so equal
+strings have the same anchor wherever they stand, and no two anchors are further
+apart than the span looked at.  A string can occur again only if its anchor's
+core, the bytes that all strings of the anchor share, does.  So the entries (the
+bytes that the strings of one anchor cover) are first counted by core and by
+whole entry, with 64 bits of hash each: inside each batch before anything is
+shuffled, then over all.  An entry that occurs twice is all repeats; one whose
+core occurs once is none.
+
+The rest, entries that occur once while their core occurs again, is settled on
+bytes by prefix-free parsing.  Rolling-hash triggers cut the bytes after an anchor
+(and those before it, read backwards) into phrases.  The distinct phrases are the
+dictionary, the sequences of their ranks the parse; sorting the dictionary and
+then the parse puts the suffixes in corpus order, and common prefixes between
+neighbours give the classes of equal suffixes for every length at once.  A string
+is the pair of its two classes, before and after the anchor: repeated exactly if
+that pair occurs again.  Dictionary and parse are dealt by core, so equal strings
+meet.  A core with more than ``hot_core`` distinct entries is not gathered; its
 strings are counted by 128-bit hash with partial sums.
 """
 
@@ -25,18 +29,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import RollingHash, mixed, only_keys, shuffle_width, stored
+from tidemark.llm.common import RollingHash, all_salts, as_text, hot_keys, kind_of, mixed, numbered, only_rows, shuffle_width, spread, stored
 
 LENGTH = 200
 TRIGGER = 16
 SPAN = 128
 ITEMS_PER_TASK = 20_000
 HOT_CORE = 4_096
+#: Cores with more items than this are counted by partial sums and split over SALTS tasks.
+HOT, SALTS = 1_024, 64
+#: Mean length of a phrase.
+PHRASE = 32
 _HASH, _SECOND = RollingHash(211), RollingHash(223)
-_PLACE = np.uint64((1 << 28) - 1)
+_PLACE = np.uint64((1 << 31) - 1)
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -77,12 +85,8 @@ def _bytes(text: str | None) -> bytes:
     return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
 
 
-def row_key(id_col: str, text: str) -> Column:
-    return F.xxhash64(id_col, text, F.lit(9))
-
-
-def _parsed(df: DataFrame, text: str, id_col: str, length: int, span: int) -> DataFrame:
-    """Per row: size, digest, the entries that this batch can't settle (js, ks, fs, ws) and the repeats it found (known)."""
+def _parsed(docs: DataFrame, length: int, span: int) -> DataFrame:
+    """Per row of (row, i, t): size, digest, the entries that this batch can't settle (js, ks, fs, ws) and the repeats it found (known)."""
     core = length - span + 1
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -106,16 +110,40 @@ def _parsed(df: DataFrame, text: str, id_col: str, length: int, span: int) -> Da
                 weight[order[new]] = np.minimum(size, 2)
                 many[order] = size[group] > 1
                 out, at = [], 0
-                for data, n, i, key in zip(texts, count, batch["i"], batch["row_key"]):
+                for data, n, row, i in zip(texts, count, batch["row"], batch["i"]):
                     w = weight[at : at + n]
                     js = np.flatnonzero(w)
-                    out.append((i, key, len(data), hashlib.sha256(data).hexdigest(), js, k[at : at + n][js], f[at : at + n][js], w[js], np.flatnonzero(many[at : at + n])))
+                    out.append((row, i, len(data), hashlib.sha256(data).hexdigest(), js, k[at : at + n][js], f[at : at + n][js], w[js], np.flatnonzero(many[at : at + n])))
                     at += n
-                yield pd.DataFrame(out, columns=["i", "row_key", "n_bytes", "sha", "js", "ks", "fs", "ws", "known"])
+                yield pd.DataFrame(out, columns=["row", "i", "n_bytes", "sha", "js", "ks", "fs", "ws", "known"])
+
+    schema = "row long, i string, n_bytes long, sha string, js array<int>, ks array<long>, fs array<long>, ws array<int>, known array<int>"
+    return docs.select("row", as_text("i").alias("i"), "t").mapInPandas(parse, schema)
+
 
-    kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(id_col).alias("i"), row_key(id_col, text).alias("row_key"), F.col(text).alias("t"))
-    return rows.mapInPandas(parse, f"i {kind}, row_key long, n_bytes long, sha string, js array<int>, ks array<long>, fs array<long>, ws array<int>, known array<int>")
+def _counted(items: DataFrame) -> DataFrame:
+    """(row, j, k, first, weight, entries) of the items whose core occurs again: how often their
+    entry occurs (2: twice or more), whether they stand for it, and how many entries share the core."""
+    hot = hot_keys(items, "k", HOT)
+    core, entry = Window.partitionBy("k"), Window.partitionBy("k", "f")
+    cold = (
+        items.where(~hot("k"))
+        .repartition("k")
+        .withColumn("first", F.row_number().over(entry.orderBy("row", "j")) == 1)
+        .withColumn("weight", F.sum("w").over(entry))
+        .withColumn("entries", F.sum(F.col("first").cast("int")).over(core))
+    )
+    # cores with very many items are counted by partial sums, and joined in salts
+    many = items.where(hot("k"))
+    entries = stored(many.groupBy("k", "f").agg(F.sum("w").alias("weight"), F.min(F.struct("row", "j")).alias("one")))
+    cores = entries.groupBy("k").agg(F.count("*").alias("entries")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    known = entries.withColumn("salt", F.pmod(F.xxhash64("f"), F.lit(SALTS)).cast("int")).join(cores, ["k", "salt"]).drop("salt")
+    common = hot_keys(many, "f", HOT)
+    known = known.withColumn("salt", all_salts(common("f"), SALTS))
+    warm = many.withColumn("salt", spread(common("f"), SALTS, ["row", "j"])).join(known, ["k", "f", "salt"])
+    columns = ["row", "j", "k", "first", "weight", "entries"]
+    counted = cold.select(*columns).unionByName(warm.withColumn("first", F.struct("row", "j") == F.col("one")).select(*columns))
+    return counted.where("weight > 1 or entries > 1").withColumn("weight", F.least("weight", F.lit(2)))
 
 
 def _reversed_left(data: np.ndarray, at: np.ndarray, low: np.ndarray, span: int) -> np.ndarray:
@@ -131,15 +159,39 @@ def _right(data: np.ndarray, at: np.ndarray, end: np.ndarray, length: int) -> np
     return np.where(place < end[:, None], data[np.minimum(place, len(data) - 1)], 0).astype(np.uint8)
 
 
+def _phrases(rows: np.ndarray) -> np.ndarray:
+    """Marks [row, i]: a phrase ends before byte i, where the hash of the TRIGGER bytes before it is 0
+    modulo PHRASE.  Bytes alone decide it, so rows that agree are cut alike."""
+    hashed = np.zeros((len(rows), rows.shape[1] - TRIGGER + 1), np.uint64)
+    for i in range(TRIGGER):
+        hashed = hashed * np.uint64(_HASH.base) + _HASH.table[rows[:, i : i + hashed.shape[1]]]
+    ends = np.zeros((len(rows), rows.shape[1] + 1), bool)
+    ends[:, TRIGGER:] = mixed(hashed) % np.uint64(PHRASE) == 0
+    ends[:, -1] = True
+    return ends
+
+
 def _suffix_order(group: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted order of byte rows inside groups, and each one's common prefix with the one before (-1: new group)."""
-    pad = -rows.shape[1] % 8
-    words = np.pad(rows, ((0, 0), (0, pad))).view(">u8").astype(np.uint64)
-    order = np.lexsort((*words.T[::-1], group))
+    """Sorted order of suffixes (rows of bytes) inside groups, and each one's common prefix with the one before (-1: new group).
+
+    Each suffix is a sequence of phrases, the first of them a suffix of a phrase.
+    The distinct ones are the dictionary; sorting it gives their ranks, and the
+    sequences of ranks, the parse, sort like the bytes: no phrase is a proper
+    prefix of another, since it would have been cut there too.
+    """
+    row, end = np.nonzero(_phrases(rows))
+    start = np.where(np.append(True, row[1:] != row[:-1]), 0, np.append(0, end[:-1]))
+    flat, width = rows.tobytes(), rows.shape[1]
+    pieces = [flat[a:b] for a, b in zip((row * width + start).tolist(), (row * width + end).tolist())]
+    rank = {x: i for i, x in enumerate(sorted(set(pieces)), 1)}
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    parse = np.zeros((len(rows), place.max(initial=0) + 1), np.int32)
+    parse[row, place] = [rank[x] for x in pieces]
+    order = np.lexsort((*parse.T[::-1], group))
     common = np.full(len(order), -1)
     if len(order) > 1:
         differ = rows[order[1:]] != rows[order[:-1]]
-        lcp = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
+        lcp = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
         common[1:] = np.where(group[order[1:]] == group[order[:-1]], lcp, -1)
     return order, common
 
@@ -167,7 +219,7 @@ def repeated_strings(group: np.ndarray, left: np.ndarray, right: np.ndarray, lea
 
 
 def _settle_cores(items: DataFrame, length: int, span: int, n: int) -> DataFrame:
-    """(row_key, j, mask) of entries that occur once, by suffix orders inside each core."""
+    """(row, j, mask) of entries that occur once, by suffix orders inside each core."""
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = list(batches)
@@ -177,10 +229,10 @@ def _settle_cores(items: DataFrame, length: int, span: int, n: int) -> DataFrame
         left = np.frombuffer(b"".join(rows["left"]), np.uint8).reshape(len(rows), span - 1)
         right = np.frombuffer(b"".join(rows["right"]), np.uint8).reshape(len(rows), length)
         marks = repeated_strings(rows["k"].to_numpy(), left, right, rows["least"].to_numpy(), rows["most"].to_numpy(), rows["weight"].to_numpy(), length)
-        out = rows[["row_key", "j"]].assign(mask=[x.tobytes() for x in np.packbits(marks, axis=1)])
+        out = rows[["row", "j"]].assign(mask=[x.tobytes() for x in np.packbits(marks, axis=1)])
         yield out[marks.any(axis=1) & (rows["weight"] == 1).to_numpy()]
 
-    return items.repartition(n, "k").mapInPandas(settle, "row_key long, j int, mask binary")
+    return items.repartition(n, "k").mapInPandas(settle, "row long, j int, mask binary")
 
 
 def _settle_hot(items: DataFrame, length: int, span: int) -> DataFrame:
@@ -192,54 +244,50 @@ def _settle_hot(items: DataFrame, length: int, span: int) -> DataFrame:
                 data = np.frombuffer(row.left[::-1] + row.right, np.uint8)
                 start = span - 1 - np.arange(row.least, row.most + 1)
                 one, two = (h.ranges(h.prefix(data), start, start + length) for h in (_HASH, _SECOND))
-                yield pd.DataFrame({"row_key": row.row_key, "j": row.j, "w": row.weight, "t": span - 1 - start, "h1": one.astype(np.int64), "h2": two.astype(np.int64)})
+                yield pd.DataFrame({"row": row.row, "j": row.j, "w": row.weight, "t": span - 1 - start, "h1": one.astype(np.int64), "h2": two.astype(np.int64)})
 
-    rows = stored(items.mapInPandas(strings, "row_key long, j int, w long, t int, h1 long, h2 long"))
+    rows = stored(items.mapInPandas(strings, "row long, j int, w long, t int, h1 long, h2 long"))
     twice = rows.groupBy("h1", "h2").agg(F.sum("w").alias("n")).where("n > 1").select("h1", "h2")
-    marked = rows.where("w = 1").join(twice, ["h1", "h2"]).groupBy("row_key", "j").agg(F.collect_set("t").alias("ts"))
+    marked = rows.where("w = 1").join(twice, ["h1", "h2"]).groupBy("row", "j").agg(F.collect_set("t").alias("ts"))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             marks = np.zeros((len(batch), span), bool)
             for i, ts in enumerate(batch["ts"]):
                 marks[i, np.asarray(ts, np.int64)] = True
-            yield batch[["row_key", "j"]].assign(mask=[x.tobytes() for x in np.packbits(marks, axis=1)])
+            yield batch[["row", "j"]].assign(mask=[x.tobytes() for x in np.packbits(marks, axis=1)])
 
-    return marked.mapInPandas(pack, "row_key long, j int, mask binary")
+    return marked.mapInPandas(pack, "row long, j int, mask binary")
 
 
 def repeat_spans(
-    df: DataFrame, text: str = "text", id_col: str = "doc_id", length: int = LENGTH, span: int = SPAN, hot_core: int = HOT_CORE, cut_text: bool = False
+    df: DataFrame, text: str = "text", id_col: str = "doc_id", length: int = LENGTH, span: int = SPAN, hot_core: int = HOT_CORE, cut_text: bool = False, row: str | None = None
 ) -> DataFrame:
-    """``id_col``, ``row_key``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` per row,
-    and with ``cut_text`` the ``kept`` text, null where nothing is removed.
+    """``id_col``, ``row``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` per row,
+    and with ``cut_text`` the ``kept`` text, null where nothing is removed.  ``row``
+    names a column of distinct longs; without one the rows are numbered here.
 
     Removes each byte of a UTF-8 text that lies in a string of ``length`` bytes
     which starts anywhere else too, in this row or another; strings are judged on
     the input and never cross rows.  Null and empty texts, and those shorter than
-    ``length``, keep everything.  Repeated rows repeat each other.  Bytes left of
-    a split character are dropped from ``kept`` (not from the digest).  Null ids
-    are kept; other columns are not read.
+    ``length``, keep everything; longer ones are read whole, up to the 2**31
+    bytes of a string.  Repeated rows repeat each other, so there is no first one
+    that stays.  Bytes left of a split character are dropped from ``kept`` (not
+    from the digest).  Null ids are kept, an empty table gives none; other
+    columns are not read.
     """
     if not TRIGGER <= length - span + 1:
         raise ValueError("the span leaves no room for a trigger")
     spark = df.sparkSession
-    rows = stored(_parsed(df, text, id_col, length, span))
-    items = rows.select("row_key", F.inline(F.arrays_zip("js", "ks", "fs", "ws"))).toDF("row_key", "j", "k", "f", "w")
-    core, entry = Window.partitionBy("k"), Window.partitionBy("k", "f")
-    counted = (
-        items.repartition("k")
-        .withColumn("first", (F.row_number().over(entry.orderBy("row_key", "j")) == 1).cast("int"))
-        .withColumn("weight", F.sum("w").over(entry))
-        .withColumn("entries", F.sum("first").over(core))
-        .where("weight > 1 or entries > 1")
-    )
-    counted = stored(counted.select("row_key", "j", "k", "first", F.least("weight", F.lit(2)).alias("weight"), "entries"))
-    open_ = counted.where("entries > 1 and first = 1")
+    docs = df.select(F.col(id_col).alias("i"), F.col(text).alias("t"), *([F.col(row).alias("row")] if row else []))
+    docs = docs if row else numbered(docs, "row")
+    rows = stored(_parsed(docs, length, span))
+    items = rows.select("row", F.inline(F.arrays_zip("js", "ks", "fs", "ws"))).toDF("row", "j", "k", "f", "w")
+    counted = stored(_counted(items))
+    open_ = counted.where("entries > 1 and first")
     # only cores where some entry occurs once have anything left to settle
     unsettled = open_.where("weight = 1").select("k").distinct()
-    asked = stored(open_.join(unsettled, "k", "left_semi").groupBy("row_key").agg(F.collect_list(F.struct("j", "k", "weight", "entries")).alias("asked")))
-    docs = df.select(row_key(id_col, text).alias("row_key"), F.col(text).alias("t"))
+    asked = stored(open_.join(unsettled, "k", "left_semi").groupBy("row").agg(F.collect_list(F.struct("j", "k", "weight", "entries")).alias("asked")))
 
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -252,23 +300,23 @@ def repeat_spans(
                 left, right = _reversed_left(data, at, low, span), _right(data, at, high + length, length)
                 yield pd.DataFrame(
                     {
-                        "row_key": row.row_key, "j": j, "k": [x["k"] for x in ask], "weight": [x["weight"] for x in ask], "entries": [x["entries"] for x in ask],
+                        "row": row.row, "j": j, "k": [x["k"] for x in ask], "weight": [x["weight"] for x in ask], "entries": [x["entries"] for x in ask],
                         "least": at - high, "most": at - low, "left": [x.tobytes() for x in left], "right": [x.tobytes() for x in right],
                     }
                 )
 
-    schema = "row_key long, j int, k long, weight long, entries long, least int, most int, left binary, right binary"
-    texts = only_keys(docs, asked.select("row_key")).join(asked, "row_key").dropDuplicates(["row_key"])
+    schema = "row long, j int, k long, weight long, entries long, least int, most int, left binary, right binary"
+    texts = only_rows(docs.select("row", "t"), "row", asked.select("row")).join(asked, "row")
     look = stored(texts.mapInPandas(entries, schema))
     tasks = shuffle_width(spark, look.count(), ITEMS_PER_TASK)
     marks = _settle_cores(look.where(F.col("entries") <= hot_core), length, span, tasks)
     hot = look.where(F.col("entries") > hot_core)
     if hot.head(1):
         marks = marks.unionByName(_settle_hot(hot, length, span))
-    whole = counted.where("weight > 1").select("row_key", "j", F.lit(None).cast("binary").alias("mask"))
-    settled = whole.unionByName(marks).select("row_key", F.struct("j", "mask").alias("one"), F.lit(None).cast("array<int>").alias("known"))
-    local = rows.where(F.size("known") > 0).select("row_key", F.lit(None).cast("struct<j:int,mask:binary>").alias("one"), "known")
-    found = stored(settled.unionByName(local).groupBy("row_key").agg(F.collect_list("one").alias("found"), F.flatten(F.collect_list("known")).alias("known")))
+    whole = counted.where("weight > 1").select("row", "j", F.lit(None).cast("binary").alias("mask"))
+    settled = whole.unionByName(marks).select("row", F.struct("j", "mask").alias("one"), F.lit(None).cast("array<int>").alias("known"))
+    local = rows.where(F.size("known") > 0).select("row", F.lit(None).cast("struct<j:int,mask:binary>").alias("one"), "known")
+    found = stored(settled.unionByName(local).groupBy("row").agg(F.collect_list("one").alias("found"), F.flatten(F.collect_list("known")).alias("known")))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -294,13 +342,13 @@ def repeat_spans(
                 gone = np.cumsum(change[:-1]) > 0
                 kept = data[~gone].tobytes()
                 spans = int(np.count_nonzero(np.diff(np.append(0, gone.astype(np.int8))) == 1))
-                out.append((row.row_key, int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if cut_text else None))
-            yield pd.DataFrame(out, columns=["row_key", "n_removed", "n_spans", "kept_sha256", "kept"])
+                out.append((row.row, int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if cut_text else None))
+            yield pd.DataFrame(out, columns=["row", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    flagged = only_keys(docs, found.select("row_key")).join(found, "row_key").dropDuplicates(["row_key"])
-    result = flagged.mapInPandas(cut, "row_key long, n_removed long, n_spans long, kept_sha256 string, kept string")
-    out = rows.select("i", "row_key", "n_bytes", "sha").join(result, "row_key", "left").select(
-        F.col("i").alias(id_col), "row_key", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
+    flagged = only_rows(docs.select("row", "t"), "row", found.select("row")).join(found, "row")
+    result = flagged.mapInPandas(cut, "row long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    out = rows.select("i", "row", "n_bytes", "sha").join(result, "row", "left").select(
+        F.col("i").cast(kind_of(df, id_col)).alias(id_col), "row", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), "kept",
     )
     return out if cut_text else out.drop("kept")
