@@ -15,10 +15,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored
+from tidemark.llm.common import kind_of, shuffle_width, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -26,23 +26,25 @@ SHARE = 1.5
 MAX_COPIES = 2
 BUCKET_DOCS = 4_000
 SALTS = 64
+CHUNK = 4_096
+_UNIT_COLUMNS = ["i", "key", "size", "by", "n", "source_size", "target", "rate", "copies"]
 NEWTON_STEPS = 40
 TOLERANCE = 1e-9
 
 
 def targets(sizes: np.ndarray, weights: np.ndarray, total: float, max_copies: float = MAX_COPIES) -> np.ndarray:
     """Shares of ``total`` by weight; what stands above ``max_copies`` times a
-    source's size is shared again among the others by weight."""
-    caps = max_copies * sizes.astype(float)
-    out = np.zeros(len(sizes))
-    free = np.ones(len(sizes), bool)
-    while free.any():
-        level = (total - out[~free].sum()) / weights[free].sum()
-        over = free & (level * weights >= caps)
-        if not over.any():
-            out[free] = level * weights[free]
-            break
-        out[over], free = caps[over], free & ~over
+    source's size is shared again among the others by weight.
+
+    Sources reach their caps in the order of cap over weight, so one sort finds them."""
+    caps, weights = max_copies * sizes.astype(float), weights.astype(float)
+    order = np.argsort(caps / weights, kind="stable")
+    c, w = caps[order], weights[order]
+    level = (total - np.append(0.0, np.cumsum(c)[:-1])) / np.cumsum(w[::-1])[::-1]
+    below = np.flatnonzero(level * w < c)
+    first = below[0] if len(below) else len(c)
+    out = np.empty(len(c))
+    out[order] = np.append(c[:first], level[first] * w[first:] if first < len(c) else [])
     return out
 
 
@@ -90,22 +92,21 @@ def solve_rates(histogram: DataFrame, stats: pd.DataFrame, max_copies: float) ->
 
 
 def _copies(bucket: pd.DataFrame) -> pd.DataFrame:
-    """Whole copies by error diffusion, largest first; ties by hash, then id."""
-    bucket = bucket.sort_values(["size", "salt", "id_key"], ascending=[False, True, True], kind="stable", na_position="last")
-    size, rate = bucket["size"].to_numpy(), bucket["rate"].to_numpy()
+    """Whole copies of each unit's ``n`` rows by error diffusion, largest first; ties by hash, then id."""
+    bucket = bucket.sort_values(["size", "salt", "i"], ascending=[False, True, True], kind="stable", na_position="last")
+    size, rate, n = (bucket[c].to_numpy() for c in ("size", "rate", "n"))
     whole = np.floor(rate + 1e-9)
     part = np.clip(rate - whole, 0, None)
     owed, extra = 0.0, np.zeros(len(bucket))
-    for i, (s, p) in enumerate(zip(size.tolist(), part.tolist())):
-        owed += s * p
-        if p > 0 and owed >= s / 2:
-            extra[i] = 1
-            owed -= s
-    copies = (whole + extra).astype(np.int64)
-    return bucket.assign(copies=copies, taken=copies * size).drop(columns=["salt", "id_key", "key", "bucket"])
+    for i, (s, p, m) in enumerate(zip(size.tolist(), part.tolist(), n.tolist())):
+        if p > 0 and s > 0:
+            owed += m * s * p
+            extra[i] = min(max(np.floor(owed / s + 0.5), 0), m)
+            owed -= s * extra[i]
+    return bucket.assign(copies=(n * whole + extra).astype(np.int64))[_UNIT_COLUMNS]
 
 
-def mix_sources(
+def mix_units(
     df: DataFrame,
     text: str = "text",
     id_col: str = "doc_id",
@@ -113,26 +114,25 @@ def mix_sources(
     weights: tuple[float, ...] = WEIGHTS,
     share: float = SHARE,
     max_copies: int = MAX_COPIES,
-    keep_key: bool = False,
+    by: Column | None = None,
 ) -> DataFrame:
-    """Per row: ``id_col``, ``source``, ``size``, ``source_size``, ``target``, ``rate``, ``copies``, ``taken``
-    (and ``row_key``, a hash of id and text, if asked for).
+    """The mix per unit of equal rows: ``id_col``, ``source``, ``by``, ``size``, ``n`` (rows), ``source_size``,
+    ``target``, ``rate``, ``copies`` (of all n rows together).
 
-    Sources in code-point order, null last, weigh ``weights`` in rotation and
-    share ``share`` times all words.  A null text has size 0 and takes 0 words;
-    a source without words has target 0.  A null source is a source of its own.
-    Null ids and repeated rows are kept, as rows of their own.  An empty table
-    gives an empty result.  Other columns of ``df`` are not read.
+    Rows are equal if their id, source, size and ``by`` (a long, such as a hash
+    of the text) are; they are counted before anything is dealt, so no group of
+    repeated rows or null ids meets in one task.  Hashes of the distinct units
+    decide the rounding, whatever the order of the input.
     """
     spark = df.sparkSession
-    kind = {c: df.schema[c].dataType.simpleString() for c in (id_col, source)}
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    row_key = F.xxhash64(id_col, text, F.lit(3)) if keep_key else F.lit(None).cast("long")
-    sized = stored(df.select(F.col(id_col).alias("i"), F.col(source).alias("s"), size.alias("size"), row_key.alias("row_key")))
     # a null source gets the key '', any other the key '=' + its name
-    sized = sized.withColumn("key", F.when(F.col("s").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("s").cast("string"))))
-    histogram = sized.groupBy("key", "size").agg(F.count("*").alias("n")).persist()
+    key = F.when(F.col(source).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(source).cast("string")))
+    rows = df.select(F.col(id_col).alias("i"), key.alias("key"), size.alias("size"), (F.lit(0).cast("long") if by is None else by).alias("by"))
+    units = stored(rows.groupBy("i", "key", "size", "by").agg(F.count("*").alias("n")))
+    histogram = units.groupBy("key", "size").agg(F.sum("n").alias("n")).persist()
     try:
+        # one row a source from here on, on the driver too
         stats = histogram.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.sum("n").alias("docs")).toPandas()
         stats = stats.assign(order=[(k == "", k) for k in stats["key"]]).sort_values("order").drop(columns="order").reset_index(drop=True)
         weight = np.resize(np.array(weights, float), len(stats))
@@ -147,15 +147,44 @@ def mix_sources(
         "key string, source_size long, target double, mean double, at double, buckets long",
     )
     rate = F.when(F.col("at") == float("inf"), F.lit(float(max_copies))).otherwise(_rate(F.col("size") / F.col("mean"), F.col("at"), max_copies))
-    # a source may hold most rows: its rows meet its plan under many salts
-    plan = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("salt", F.col("salt").cast("long"))
-    salted = sized.withColumn("salt", F.pmod(F.xxhash64("i", "size", F.lit(3)), F.lit(SALTS)))
-    rated = salted.join(plan, ["key", "salt"]).select(
-        "i", "s", "row_key", "size", "source_size", "target", rate.alias("rate"), "key",
-        F.xxhash64("i", "size").alias("salt"), F.col("i").cast("string").alias("id_key"),
-        F.pmod(F.xxhash64("size", "i"), F.col("buckets")).alias("bucket"),
+    # a source may hold most rows: its units meet its plan under many salts
+    plan = plan.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    turned = units.withColumn("turn", F.pmod(F.xxhash64("i", "size", "by", F.lit(3)), F.lit(SALTS)).cast("int"))
+    rated = turned.join(plan, ["key", "turn"]).select(
+        F.col("i").cast("string").alias("i"), "key", "size", "by", "n", "source_size", "target", rate.alias("rate"),
+        F.xxhash64("i", "size", "by").alias("salt"), F.pmod(F.xxhash64("size", "i", "by"), F.col("buckets")).alias("bucket"),
     )
-    schema = f"i {kind[id_col]}, s {kind[source]}, row_key long, size long, source_size long, target double, rate double, copies long, taken long"
+    schema = "i string, key string, size long, by long, n long, source_size long, target double, rate double, copies long"
     out = rated.groupBy("key", "bucket").applyInPandas(_copies, schema)
-    out = out if keep_key else out.drop("row_key")
-    return out.withColumnsRenamed({"i": id_col, "s": source})
+    name = F.when(F.col("key") == "", F.lit(None)).otherwise(F.expr("substring(key, 2)")).cast(kind_of(df, source))
+    return out.select(F.col("i").cast(kind_of(df, id_col)).alias(id_col), name.alias(source), "by", "size", "n", "source_size", "target", "rate", "copies")
+
+
+def mix_sources(
+    df: DataFrame,
+    text: str = "text",
+    id_col: str = "doc_id",
+    source: str = "source",
+    weights: tuple[float, ...] = WEIGHTS,
+    share: float = SHARE,
+    max_copies: int = MAX_COPIES,
+) -> DataFrame:
+    """Per row: ``id_col``, ``source``, ``size``, ``source_size``, ``target``, ``rate``, ``copies``, ``taken``.
+
+    Sources in code-point order, null last, weigh ``weights`` in rotation and
+    share ``share`` times all words.  A null or empty text has size 0 and takes 0
+    words; a long one counts like any other, as a whole.  A source without words
+    has target 0.  A null source is a source of its own.  Null ids and repeated
+    rows are kept, as rows of their own; of documents of one size those with the
+    smaller hash of their id are rounded first.  An empty table gives an empty
+    result.  Other columns of ``df`` are not read.
+    """
+    units = stored(mix_units(df, text, id_col, source, weights, share, max_copies))
+    # a unit of many rows is dealt in chunks before its rows are written out
+    chunk = F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / CHUNK).cast("int"))).alias("chunk")
+    many = units.where(F.col("n") > CHUNK).select("*", chunk).repartition(shuffle_width(df.sparkSession, 1, 1))
+    dealt = units.where(F.col("n") <= CHUNK).select("*", F.lit(0).alias("chunk")).unionByName(many)
+    last = F.least((F.col("chunk") + 1) * CHUNK, F.col("n")).cast("long") - 1
+    rows = dealt.select("*", F.explode(F.sequence(F.col("chunk").cast("long") * CHUNK, last)).alias("row"))
+    copies = (F.floor(F.col("copies") / F.col("n")) + (F.col("row") < F.col("copies") % F.col("n")).cast("long")).alias("copies")
+    return rows.select(id_col, source, "size", "source_size", "target", "rate", copies).withColumn("taken", F.col("copies") * F.col("size"))
