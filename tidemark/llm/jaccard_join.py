@@ -26,10 +26,10 @@ from math import ceil, log
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import RollingHash, mixed, only_keys, shuffle_width, stored
+from tidemark.llm.common import RollingHash, all_salts, as_text, hot_keys, kind_of, mixed, numbered, only_rows, shuffle_width, spread, stored
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -40,6 +40,8 @@ ROWS_PER_TASK, TEXTS_PER_TASK = 40_000, 5_000
 #: Children of a bucket at least; shape_for() takes more where the target asks for them.
 CHILDREN, MOST_CHILDREN = 3, 8
 MAX_DEPTH = 3
+#: Keys with more rows than this are split over SALTS tasks where they are joined.
+HOT, SALTS = 1_024, 64
 #: A split that leaves more than this share together has found near copies.
 CLUSTERED = 0.7
 #: Of the coordinates; a pair at the threshold falls below with probability 1e-7.
@@ -116,34 +118,32 @@ def chosen(parent: np.ndarray, depth: int, runs: int, children: int) -> np.ndarr
     return runs + depth * width + order[:, :children]
 
 
-def row_key(id_col: str, text: str) -> Column:
-    return F.xxhash64(id_col, text, F.lit(5))
+def _sketches(docs: DataFrame, words: int, runs: int) -> DataFrame:
+    """Per row of (row, i, t): its id as text, the size and hash sums of its set, signature and root buckets."""
 
-
-def _sketches(df: DataFrame, text: str, id_col: str, words: int, runs: int) -> DataFrame:
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for i, key, value in zip(batch["i"], batch["row_key"], batch["t"]):
+            for row, i, value in zip(batch["row"], batch["i"], batch["t"]):
                 s = shingles(value if isinstance(value, str) else None, words)
                 if not len(s):
-                    rows.append((i, key, 0, 0, 0, None, None))
+                    rows.append((row, i, 0, 0, 0, None, None))
                     continue
                 sig = signature(s)
                 roots = path(np.arange(runs, dtype=np.uint64), np.zeros(runs), sig[:runs])
                 one, two = s.sum(dtype=np.uint64), mixed(s ^ np.uint64(0xABCDEF12345)).sum(dtype=np.uint64)
-                rows.append((i, key, len(s), one.astype(np.int64), two.astype(np.int64), sig.tobytes(), roots))
-            yield pd.DataFrame(rows, columns=["i", "row_key", "n", "h1", "h2", "sig", "roots"])
+                rows.append((row, i, len(s), one.astype(np.int64), two.astype(np.int64), sig.tobytes(), roots))
+            yield pd.DataFrame(rows, columns=["row", "i", "n", "h1", "h2", "sig", "roots"])
 
-    kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(id_col).alias("i"), row_key(id_col, text).alias("row_key"), F.col(text).alias("t"))
-    return rows.mapInPandas(sketch, f"i {kind}, row_key long, n long, h1 long, h2 long, sig binary, roots array<long>")
+    return docs.select("row", as_text("i").alias("i"), "t").mapInPandas(sketch, "row long, i string, n long, h1 long, h2 long, sig binary, roots array<long>")
 
 
 def _counted(rows: DataFrame) -> DataFrame:
     """Rows (cls, bucket, ...) of buckets with at least two members, with their number m."""
     many = rows.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
-    return rows.join(many, "bucket")
+    hot = hot_keys(rows, "bucket", HOT)
+    salted = rows.withColumn("salt", spread(hot("bucket"), SALTS, ["cls"]))
+    return salted.join(many.withColumn("salt", all_salts(hot("bucket"), SALTS)), ["bucket", "salt"]).drop("salt")
 
 
 def _leaves(classes: DataFrame, bucket: int, runs: int, children: int) -> DataFrame:
@@ -347,36 +347,43 @@ def jaccard_join(
     similarity: float = SIMILARITY,
     recall: float = RECALL,
     bucket: int = BUCKET,
+    row: str | None = None,
 ) -> DataFrame:
-    """``id_col``, ``row_key``, ``class_id``, ``set_id``, ``n_links``, ``n_copies`` per row.
+    """``id_col``, ``row``, ``root``, ``class_id``, ``set_id``, ``n_links``, ``n_copies`` per row.
 
-    ``set_id``: smallest id among the rows with the same shingles, of which there
+    ``row`` names a column of distinct longs (see ``common.numbered``); without
+    one the rows are numbered here.  ``root`` numbers the group.  ``set_id``: smallest id among the rows with the same shingles, of which there
     are ``n_copies``.  ``n_links``: number of other such sets at least that
     similar.  ``class_id``: smallest id in the group that the links connect.
     Words are runs without ASCII white space, lower-cased; a text of fewer words
     than a shingle is one shingle.  A null text or one without words has no links
-    and is a class of its own (its id).  A null id is kept; its class is named by
-    the other ids, or null.  Repeated rows are copies.  Other columns are not read.
+    and is a class of its own (its id; ``root`` is null).  Texts of any length are
+    taken whole.  A null id is kept; its class is named by the other ids, or null.
+    Repeated rows are copies; a pair exactly at the similarity is linked.  An
+    empty table gives none.  Other columns are not read.
     """
     runs, children = shape_for(recall, similarity)
-    rows = stored(_sketches(df, text, id_col, words, runs))
+    docs = df.select(F.col(id_col).alias("i"), F.col(text).alias("t"), *([F.col(row).alias("row")] if row else []))
+    docs = docs if row else numbered(docs, "row")
+    sketched = _sketches(docs, words, runs)
+    rows = stored(sketched.withColumn("i", F.col("i").cast(kind_of(df, id_col))))
     same = ["h1", "h2", "n"]
-    grouped = rows.where("n > 0").groupBy(*same).agg(
-        F.first("sig").alias("sig"), F.first("roots").alias("roots"), F.min("i").alias("set_id"), F.min("row_key").alias("row_key"), F.count("*").alias("n_copies")
-    )
-    classes = stored(grouped.withColumn("cls", F.monotonically_increasing_id()))
+    # a class is named by its first row, whose text stands for all
+    classes = stored(rows.where("n > 0").groupBy(*same).agg(
+        F.first("sig").alias("sig"), F.first("roots").alias("roots"), F.min("i").alias("set_id"), F.min("row").alias("cls"), F.count("*").alias("n_copies")
+    ))
     leaves = _leaves(classes, bucket, runs, children)
     homes = leaves.groupBy("cls").agg(F.sort_array(F.collect_set(F.struct("bucket", "m"))).alias("homes"))
-    met = stored(homes.join(classes.select("cls", "n", "sig", "row_key"), "cls").withColumn("buckets", F.col("homes.bucket")))
+    met = stored(homes.join(classes.select("cls", "n", "sig"), "cls").withColumn("buckets", F.col("homes.bucket")))
     blocks = F.ceil(F.col("h.m") / F.lit(bucket)).cast("int")
     placed = met.withColumn("h", F.explode("homes")).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     # a block meets itself and each other block: the key names both, the lower first
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = placed.select("cls", "n", "sig", "row_key", "buckets", F.col("h.bucket").alias("bucket"), "block", other).withColumns(
+    dealt = placed.select("cls", "n", "sig", "buckets", F.col("h.bucket").alias("bucket"), "block", other).withColumns(
         {"low": F.least("block", "other"), "high": F.greatest("block", "other")}
     )
 
-    keys, columns = ("bucket", "low", "high"), ["cls", "n", "sig", "row_key", "buckets", "bucket", "block", "low", "high"]
+    keys, columns = ("bucket", "low", "high"), ["cls", "n", "sig", "buckets", "bucket", "block", "low", "high"]
 
     def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = _Rows(batches)
@@ -388,13 +395,11 @@ def jaccard_join(
         if keep:
             yield rows.frame.iloc[np.concatenate(keep)][columns]
 
-    schema = "cls long, n long, sig binary, row_key long, buckets array<long>, bucket long, block int, low int, high int"
+    schema = "cls long, n long, sig binary, buckets array<long>, bucket long, block int, low int, high int"
     tasks = shuffle_width(df.sparkSession, met.count() * runs, ROWS_PER_TASK)
     wanted = stored(dealt.repartition(tasks, *keys).mapInPandas(candidates, schema))
-    # one text per wanted class: equal rows share a key, so one of them is taken
-    keys_wanted = wanted.select("row_key").distinct()
-    keyed = only_keys(df.select(row_key(id_col, text).alias("row_key"), F.col(text).alias("t")), keys_wanted)
-    texts = keyed.join(keys_wanted, "row_key", "left_semi").dropDuplicates(["row_key"])
+    classes_wanted = wanted.select(F.col("cls").alias("row")).distinct()
+    texts = only_rows(docs.select("row", "t"), "row", classes_wanted).join(classes_wanted, "row").withColumnRenamed("row", "cls")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = _Rows(batches)
@@ -406,16 +411,19 @@ def jaccard_join(
                 yield pd.DataFrame({"cls": cls, "links": links, "root": cls[_roots(m, a, b)]})[links > 0]
 
     tasks = shuffle_width(df.sparkSession, wanted.count(), TEXTS_PER_TASK)
-    found = stored(wanted.join(texts, "row_key").repartition(tasks, *keys).mapInPandas(compare, "cls long, links long, root long"))
+    found = stored(wanted.join(texts, "cls").repartition(tasks, *keys).mapInPandas(compare, "cls long, links long, root long"))
     links = found.groupBy("cls").agg(F.sum("links").alias("n_links"))
     groups = connected(found.select(F.col("cls").alias("a"), F.col("root").alias("b")))
     named = classes.select(*same, "cls", "set_id", "n_copies").join(links, "cls", "left").join(groups.withColumnRenamed("node", "cls"), "cls", "left")
     named = named.withColumn("root", F.coalesce("root", "cls"))
     lowest = named.groupBy("root").agg(F.min("set_id").alias("class_id"))
     named = named.join(lowest, "root").select(*same, "class_id", "root", "set_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
-    out = rows.select("i", "row_key", *same).join(named, same, "left")
+    # a text may have very many copies
+    hot = hot_keys(rows, "h1", HOT)
+    named = named.withColumn("salt", all_salts(hot("h1"), SALTS))
+    out = rows.select("i", "row", *same, spread(hot("h1"), SALTS, ["row"]).alias("salt")).join(named, [*same, "salt"], "left")
     return out.select(
-        F.col("i").alias(id_col), "row_key", "root", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("i")).alias("class_id"),
+        F.col("i").alias(id_col), "row", "root", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("i")).alias("class_id"),
         F.when(F.col("n") > 0, F.col("set_id")).otherwise(F.col("i")).alias("set_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"),
     )
