@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import textwrap
 import zlib
 from collections import Counter
+from fractions import Fraction
+from math import erf, exp, floor, log
 
 import numpy as np
 import pandas as pd
@@ -19,11 +22,11 @@ from tidemark.llm.jaccard_join import connected, jaccard_join
 from tidemark.llm.language_id import codewords, identify_language
 from tidemark.llm.licenses import SENTENCES, scan_licences
 from tidemark.llm.mixing import mix_sources, targets
-from tidemark.llm.neighbours import balanced_parts, neighbour_graph, nearest
-from tidemark.llm.packing import best_fit, cuts, pack_documents
-from tidemark.llm.quality import score_quality
-from tidemark.llm.repeats import repeat_spans
-from tidemark.llm.token_counts import MODEL, PrefixCounter, token_counts
+from tidemark.llm.neighbours import balanced_parts, index_vectors, neighbour_graph, nearest
+from tidemark.llm.packing import best_fit, cuts, pack_documents, pack_tiers
+from tidemark.llm.quality import PENALTY, STATISTICS, RuleEnsemble, _lasso, learn_quality, score_quality, statistics
+from tidemark.llm.repeats import _suffix_order, repeat_spans
+from tidemark.llm.token_counts import MODEL, PrefixCounter, prefix_tables, token_counts, within_budget
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, score string, i long, t string"
@@ -118,16 +121,25 @@ def test_nearest_reaches_its_recall_with_routing(spark):
     x = centres[rng.integers(0, 12, 1500)] + 0.3 * rng.standard_normal((1500, 16))
     x[:400] = x[0]  # a hot vector
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, [0.0] * 16), (5020, None)]
-    got = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), rows_per_part=100, sample=800, rows_per_block=200).toPandas()
-    hit = total = 0
-    for q in range(0, 1500, 20):
-        s = x @ x[q]
-        s[q] = -np.inf
-        kth = np.sort(s)[-20]
-        mine = got[got.query_id == q]
-        assert len(mine) == 20 and (mine.sort_values("rank").score.diff().dropna() <= 0).all()
-        hit, total = hit + (mine.score >= kth - 1e-9).sum(), total + 20
-    assert hit / total >= 0.9
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    # the parameters of the query, but for blocks that make it meet several
+    for blocks in ({}, {"rows_per_block": 200, "queries_per_block": 30}):
+        got = nearest(df, **blocks).toPandas()
+        hit = total = 0
+        for q in range(0, 1500, 20):
+            s = x @ x[q]
+            s[q] = -np.inf
+            kth = np.sort(s)[-20]
+            mine = got[got.query_id == q]
+            assert len(mine) == 20 and (mine.sort_values("rank").score.diff().dropna() <= 0).all()
+            hit, total = hit + (mine.score >= kth - 1e-9).sum(), total + 20
+        assert hit / total >= 0.9
+    # that recall comes from routing: a query meets a part of the rows only
+    indexed, index = index_vectors(df)
+    sizes = np.bincount([r["part"] for r in indexed.collect()], minlength=index.last + 1)
+    asked = pd.Series([v.tolist() for v in x[::20]])
+    met = [sizes[p].sum() for p in index.visits(asked, sizes, 160)]
+    assert index.last >= 32 and np.mean(met) < 0.7 * len(x)
 
 
 def test_parts_are_balanced():
@@ -287,6 +299,26 @@ def test_packing_round_trip(spark):
         assert r.doc_tokens == len(ids) and zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32
     for _, g in got.sort_values("offset").groupby("sequence_id"):
         assert g.offset.tolist() == [0, *g.length.cumsum().tolist()[:-1]] and g.length.sum() <= 4096
+    again = pack_documents(df.repartition(3)).toPandas()
+    assert sorted(map(str, got.itertuples(index=False))) == sorted(map(str, again.itertuples(index=False)))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_every_tier_is_packed(seed):
+    rng = np.random.default_rng(seed)
+    lengths = np.clip(rng.lognormal(5.5, 1.2, 4000).astype(int) + 1, 1, 4096).tolist() if seed else [1024, 700, 324, 5]
+    window, offset, tier = pack_tiers(lengths)
+    used = Counter()
+    for w, o, n, t in zip(window, offset, lengths, tier):
+        used.update((w, at) for at in range(o, o + n))
+        assert o + n <= t
+    assert max(used.values()) == 1 and len(used) == sum(lengths)
+    fill = np.bincount(window, lengths)
+    of = dict(zip(window, tier))
+    assert all(fill[w] == t for w, t in of.items() if t < 4096)
+    # windows of each tier hold pieces together
+    if seed:
+        assert {t for w, t in of.items() if (window == w).sum() > 1} == {4096, 2048, 1024, 512}
 
 
 def test_quality_generalises(spark):
@@ -302,6 +334,290 @@ def test_quality_generalises(spark):
     assert score_quality(docs(spark, rows[:3]), labels.limit(0)).toPandas().score.tolist() == [0.5] * 3
 
 
+def test_quality_columns_and_weights_equal_plain_ones(spark):
+    rng = np.random.default_rng(15)
+    x = rng.random((600, len(STATISTICS)))
+    y = ((x[:, 1] > 0.6) | ((x[:, 2] < 0.3) & (x[:, 4] > 0.5))).astype(float)
+    model = RuleEnsemble.fit(x, y)
+    assert model.rules
+    stats = spark.createDataFrame([([*map(float, row)],) for row in x], "v array<double>").select(
+        F.struct(*[F.col("v")[i].alias(name) for i, name in enumerate(STATISTICS)]).alias("stats")
+    )
+    got = np.array([r[0] for r in stats.select(model.score()).collect()])
+    plain = []
+    for row in x.tolist():
+        total = model.intercept
+        for rule, weight in zip(model.rules, model.weights):
+            total += weight * all((row[i] > value) == above for i, above, value in rule.conditions)
+        plain.append(1 / (1 + np.exp(-total)))
+    assert np.allclose(got, plain) and ((got >= 0.5) == (y == 1)).mean() > 0.97
+    # the weights minimise loss and penalty: coordinate steps find nothing better
+    r = np.stack([rule.holds(x) for rule in model.rules], axis=1).astype(float)
+    w, b = _lasso(r, y, 0.0, steps=20_000)
+
+    def cost(w, b):
+        z = r @ w + b
+        return np.mean(np.logaddexp(0, z) - y * z) + PENALTY * np.abs(w).sum()
+
+    best = cost(w, b)
+    for i in range(len(w)):
+        for step in (1e-3, -1e-3):
+            moved = w.copy()
+            moved[i] += step
+            assert cost(moved, b) >= best - 1e-6
+    assert cost(w, b + 1e-3) >= best - 1e-6 and cost(w, b - 1e-3) >= best - 1e-6
+
+
+def test_ids_above_doubles_stay_whole(spark):
+    rng = random.Random(16)
+    say = lambda: " ".join(rng.choice("abcdef") + rng.choice("klmno") for _ in range(60))
+    big = [2**60 + 1, 2**60 + 3, -(2**60) - 5, None, 7]
+    df = docs(spark, [(i, say(), "en" if n % 2 else "fr", "a") for n, i in enumerate(big)])
+    labels = spark.createDataFrame([(i, 1, 0) for i in big], "doc_id long, quality int, toxic int")
+    found = {name: op(df) for name, op in OPERATORS.items()} | {"quality": score_quality(df, labels)}
+    for name, got in found.items():
+        assert Counter(r["doc_id"] for r in got.collect()) == Counter(big), name
+    joined = {r["doc_id"]: r["class_id"] for r in found["jaccard"].collect()}
+    assert all(c == i for i, c in joined.items())
+    vectors = spark.createDataFrame([(20 * (2**56 + n) if n is not None else None, [1.0, float(n or 0)]) for n in (1, 2, 3, None)], "vec_id long, embedding array<double>")
+    for got in (exact_topk(vectors, query_modulus=20), nearest(vectors)):
+        assert {r["query_id"] for r in got.collect()} == {r["vec_id"] for r in got.collect()} == {20 * (2**56 + n) for n in (1, 2, 3)}
+
+
+def test_searches_and_quality_of_empty_tables_and_clashing_names(spark):
+    schema = "vec_id long, embedding array<float>, key string, part string, v string, score string, rank int"
+    rows = [(i, [float(i % 7), 1.0, float(i % 3)], "k", "p", "v", "s", 1) for i in range(1, 130)]
+    df = spark.createDataFrame(rows, schema)
+    for search in (exact_topk, nearest):
+        assert search(df.limit(0)).count() == 0
+        assert {r["query_id"] for r in search(df).collect()} >= {100}
+    found = score_quality(awkward(spark).limit(0), spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    assert found.count() == 0
+
+
+def test_wide_vectors_against_integers(spark):
+    rng = np.random.default_rng(17)
+    x = [(rng.standard_normal(6) * 10.0 ** rng.integers(-1, scale)).tolist() for scale in (1, 4, 9, 12, 16, 300) for _ in range(25)]
+    got = exact_topk(spark.createDataFrame([(i, v) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), query_modulus=7, rows_per_block=40).toPandas()
+    whole = [[floor(256 * Fraction(c)) if abs(c) >= 2**45 else floor(256 * c) for c in v] for v in x]
+    for q in range(0, len(x), 7):
+        score = {i: sum(a * b for a, b in zip(whole[q], v)) for i, v in enumerate(whole) if i != q}
+        held = {i: min(max(s, -(2**63)), 2**63 - 1) for i, s in score.items()}
+        mine = got[got.query_id == q].sort_values("rank")
+        assert mine.score.tolist() == sorted(held.values(), reverse=True)[:5]
+        assert [held[i] for i in mine.vec_id] == mine.score.tolist()
+
+
+def test_token_counts_equal_the_library(spark):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(MODEL))
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").unionByName(awkward(spark).select((F.col("doc_id") + 10**6).alias("doc_id"), "text"))
+    texts = {r["doc_id"]: r["text"] or "" for r in df.collect()}
+    for limit in (4096, 100):
+        for r in token_counts(df, limit=limit).collect():
+            text = texts[r["doc_id"]]
+            n = len(sp.encode(text))
+            assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(text.encode()), n, n > limit)
+            assert len(sp.encode(text[: r["fit_chars"]])) <= limit and (n > limit or r["fit_chars"] == len(text))
+    short = {i: t for i, t in texts.items() if len(t) < 400}
+    tables = prefix_tables(df.where(F.length(F.coalesce("text", F.lit(""))) < 400))
+    for r in tables.withColumns({f"b{b}": within_budget("prefix_tokens", b) for b in (0, 5, 60)}).collect():
+        text = short[r["doc_id"]]
+        counts = [len(sp.encode(text[:i])) for i in range(len(text) + 1)]
+        assert r["prefix_tokens"] == counts
+        for b in (0, 5, 60):
+            assert r[f"b{b}"] == max(i for i, n in enumerate(counts) if n <= b)
+
+
+@pytest.mark.parametrize("n", range(1, 13))
+def test_codewords_of_any_number_of_languages(n):
+    code = codewords(n)
+    assert len({tuple(row) for row in code}) == n and set(code.ravel()) <= {1.0, -1.0}
+
+
+def test_language_equals_a_plain_version(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = df.select("doc_id", "text", "lang").collect()
+    held = {r["doc_id"]: zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2 for r in rows}
+    fold = {b: b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256)}
+
+    def grams(text):
+        data = [32, *(fold[b] for b in text.lower().encode()), 32]
+        return [(((a << 16 | b << 8 | c) * 2654435761) % 2**32) >> 16 for a, b, c in zip(data, data[1:], data[2:]) if b != 32]
+
+    counts: dict = {}
+    for r in rows:
+        if r["lang"] is not None and r["text"] and not held[r["doc_id"]]:
+            counts.setdefault(r["lang"], Counter()).update(x for x in grams(r["text"]) if x)
+    names = sorted(counts)
+    size = 1 << 16
+    share = {k: [(counts[k][x] + 0.5) / (sum(counts[k].values()) + 0.5 * size) for x in range(size)] for k in names}
+    code = codewords(len(names))
+    bits = []
+    for bit in code.T:
+        one, zero = ([share[k] for k, b in zip(names, bit) if (b > 0) == side] for side in (True, False))
+        w = [log(sum(a) / len(a)) - log(sum(b) / len(b)) for a, b in zip(zip(*one), zip(*zero))]
+        w[0] = 0.0
+        means = [sum(s * v for s, v in zip(share[k], w)) for k in names]
+        spreads = [max(sum(s * v * v for s, v in zip(share[k], w)) - m * m, 1e-12) ** 0.5 for k, m in zip(names, means)]
+        bits.append((w, sum(map(abs, means)) / len(means), [0.5 + 0.5 * erf(8 * m * b / d / 2**0.5) for m, d, b in zip(means, spreads, bit)]))
+    got = {r["doc_id"]: r for r in identify_language(df).collect()}
+    right = total = 0
+    for r in rows[::7]:
+        found = [x for x in grams(r["text"] or "") if x]
+        if found:
+            distance = []
+            for k in range(len(names)):
+                loss, trust = 0.0, sum(t[k] for _, _, t in bits)
+                for (w, scale, t), b in zip(bits, code[k]):
+                    margin = sum(w[x] for x in found) / len(found) / scale
+                    loss += log(1 + exp(-2 * min(max(margin, -4), 4) * b)) * t[k] / trust
+                distance.append(loss)
+            assert got[r["doc_id"]]["lang_pred"] == names[distance.index(min(distance))]
+            assert got[r["doc_id"]]["score"] == pytest.approx(1 / sum(exp(-4 * (d - min(distance))) for d in distance))
+    for r in rows:
+        if held[r["doc_id"]] and r["lang"] is not None and got[r["doc_id"]]["lang_pred"] != "und":
+            right, total = right + (got[r["doc_id"]]["lang_pred"] == r["lang"]), total + 1
+    assert total > 20 and right / total >= 0.95
+
+
+def plain_targets(sizes, weights, total):
+    free, out = set(range(len(sizes))), [0.0] * len(sizes)
+    while free:
+        level = (total - sum(out[i] for i in range(len(sizes)) if i not in free)) / sum(weights[i] for i in free)
+        over = {i for i in free if level * weights[i] >= 2 * sizes[i]}
+        if not over:
+            for i in free:
+                out[i] = level * weights[i]
+            break
+        for i in over:
+            out[i] = 2.0 * sizes[i]
+        free -= over
+    return out
+
+
+def test_mixing_equals_a_plain_version(spark):
+    rng = random.Random(18)
+    for _ in range(50):
+        sizes = [rng.choice([0, 5, 100, 10_000]) for _ in range(rng.randint(1, 9))]
+        weights = [(5, 2, 1)[i % 3] for i in range(len(sizes))]
+        assert targets(np.array(sizes), np.array(weights, float), 1.5 * sum(sizes)) == pytest.approx(plain_targets(sizes, weights, 1.5 * sum(sizes)))
+    rows = [(i, "w " * rng.randint(0, 90), "en", rng.choice(["b", "a", "Z", "é", None])) for i in range(900)]
+    # one row of a source very often, and many null ids of one size
+    rows += [(5000, "w " * 40, "en", "a")] * 6000 + [(None, "w " * 11, "en", "b")] * 5000
+    got = mix_sources(docs(spark, rows)).toPandas()
+    assert len(got) == len(rows) and (got.taken == got.copies * got["size"]).all() and got.copies.between(0, 2).all()
+    names = sorted({r[3] for r in rows if r[3]}) + [None]
+    sizes = [sum(len(t.split()) for _, t, _, s in rows if s == name) for name in names]
+    goal = plain_targets(sizes, [(5, 2, 1)[i % 3] for i in range(len(names))], 1.5 * sum(sizes))
+    for name, size, target in zip(names, sizes, goal):
+        g = got[got.source.isna() if name is None else got.source == name]
+        assert set(g.source_size) == {size} and g.target.iloc[0] == pytest.approx(target)
+        assert abs(g.taken.sum() - target) <= 100
+        if target < 2 * size:
+            # entropy balancing: log(rate / (2 - rate)) is one multiple of the size, and the rates meet the target
+            odds = np.log(g.rate / (2 - g.rate))
+            some = g["size"] > 0
+            assert np.ptp(odds[some] / g["size"][some]) < 1e-6 and (g.rate * g["size"]).sum() == pytest.approx(target, rel=1e-6)
+    assert got[got.doc_id == 5000].copies.nunique() <= 2 and len(got[got.doc_id.isna()]) == 5000
+
+
+def test_repeats_in_hot_cores_and_at_one_id(spark):
+    rng = random.Random(19)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = word(230)
+    # one core in many entries, which differ on both sides; rows that share an id
+    texts = [word(rng.randint(1, 60)) + passage + word(rng.randint(1, 60)) for _ in range(1500)] + [word(500)] * 40
+    got = repeat_spans(docs(spark, [(i % 3, t, "en", "a") for i, t in enumerate(texts)]).repartition(40)).collect()
+    assert sorted((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == brute_repeats(texts)
+
+
+def test_phrases_sort_like_bytes():
+    rng = np.random.default_rng(20)
+    for alphabet in (1, 2, 4, 200):
+        rows = rng.integers(1, alphabet + 1, (400, 120)).astype(np.uint8)
+        rows[100:300] = rows[rng.integers(0, 100, 200)]
+        rows[200:300, rng.integers(20, 110) :] = 0
+        group = rng.integers(0, 3, 400)
+        order, common = _suffix_order(group, rows)
+        for length in (1, 10, 16, 17, 60, 119, 120):
+            mine, classes = np.cumsum(common < length), {}
+            for place, i in enumerate(order.tolist()):
+                classes.setdefault((group[i], rows[i, :length].tobytes()), set()).add(mine[place])
+            assert all(len(x) == 1 for x in classes.values()) and len(set().union(*classes.values())) == len(classes)
+
+
+def test_jaccard_of_rows_that_share_an_id(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(1, one, "en", "a"), (1, two, "en", "a"), (2, two, "en", "a"), (None, one, "en", "a")] + [(9, one, "en", "a")] * 1500
+    got = jaccard_join(docs(spark, rows)).toPandas()
+    assert len(got) == len(rows) and sorted(got.n_copies.unique()) == [2, 1502] and got.n_links.sum() == 0
+    assert set(got.class_id) == {1} and got.root.nunique() == 2
+
+
+def plain_stages(rows, labels_at, spark):
+    """The first three stages over (doc_id, text), by plain loops: ids with texts that stay."""
+    model = learn_quality(*labels_at)
+    kept = []
+    for i, text in rows:
+        x = np.array([statistics(text)])
+        total = model.intercept + sum(w for rule, w in zip(model.rules, model.weights) if rule.holds(x)[0])
+        if 1 / (1 + np.exp(-total)) >= 0.3:
+            kept.append((i, text))
+    sets = []
+    for _, text in kept:
+        words = re.findall(r"[^ \t\n\v\f\r]+", (text or "").lower())
+        sets.append({tuple(words[k : k + 5]) for k in range(max(len(words) - 4, 1))} if words else set())
+    group = list(range(len(kept)))
+    for a in range(len(kept)):
+        for b in range(a):
+            if sets[a] and sets[b] and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                old, new = group[a], group[b]
+                group = [new if g == old else g for g in group]
+    least: dict = {}
+    for (i, text), g, s in zip(kept, group, sets):
+        least[g if s else ("alone", i)] = min(least.get(g if s else ("alone", i), (i, text)), (i, text), key=lambda x: x[0])
+    single = sorted(least.values(), key=lambda x: x[0])
+    data = [(t or "").encode() for _, t in single]
+    seen = Counter(d[s : s + 200] for d in data for s in range(len(d) - 199))
+    out = []
+    for (i, text), d in zip(single, data):
+        gone = np.zeros(len(d), bool)
+        for s in range(len(d) - 199):
+            if seen[d[s : s + 200]] > 1:
+                gone[s : s + 200] = True
+        out.append((i, text if not gone.any() else np.frombuffer(d, np.uint8)[~gone].tobytes().decode("utf-8", "ignore")))
+    return out
+
+
+def test_pipeline_equals_plain_loops(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    from tokenizers import Tokenizer
+
+    sf_dir = "/root/testdata/sf0.001"
+    whole = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in whole.collect()]
+    expected = plain_stages(rows, (whole, spark.read.parquet(f"{sf_dir}/labels.parquet")), spark)
+    df = whole
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        df = stage(spark, df, sf_dir)
+        assert df.columns == whole.columns
+    got = df.collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == sorted(expected)
+    assert all(r["n_chars"] == len(r["text"]) for r in got)
+    taken = Counter({r["doc_id"]: r["copies"] for r in mix_sources(df).collect()})
+    mixed = corpus_pipeline.STAGES[3][1](spark, df, sf_dir)
+    assert mixed.columns == whole.columns and Counter(r["doc_id"] for r in mixed.collect()) == +taken
+    texts, tk = dict(expected), Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    pieces = corpus_pipeline.run(spark, sf_dir).toPandas()
+    tokens = {i: [*tk.encode(t or "", add_special_tokens=False).ids, 2] for i, t in texts.items()}
+    assert pieces.length.sum() == sum(n * len(tokens[i]) for i, n in taken.items())
+    for r in pieces.itertuples():
+        assert zlib.crc32(np.array(tokens[r.doc_id][r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32
+    assert Counter(pieces.doc_id[pieces.start == 0]) == +taken
+
+
 def test_stages_keep_columns_and_one_of_each_group(spark):
     df = awkward(spark)
     kept = stages.one_of_each_group(spark, df, "")
@@ -314,3 +630,15 @@ def test_stages_keep_columns_and_one_of_each_group(spark):
     assert texts[4] == "" and texts[1] is None
     mixed = stages.mix(spark, kept, "")
     assert mixed.columns == df.columns and mixed.count() > 0
+
+
+def test_stages_leave_columns_of_their_own_names_alone(spark, tmp_path):
+    df = awkward(spark).withColumns({x: F.lit(f"my {x}") for x in ("row", "Stats", "kept", "copies", "row_", "of_text")})
+    spark.createDataFrame([(3, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for stage in (stages.keep_good, stages.one_of_each_group, stages.cut_repeats, stages.mix):
+        got = stage(spark, df, str(tmp_path))
+        assert got.columns == df.columns
+        rows = got.collect()
+        assert rows and all(r[x] == f"my {x}" for r in rows for x in ("row", "Stats", "kept", "copies", "row_", "of_text"))
+        assert stage(spark, df.limit(0), str(tmp_path)).count() == 0
+    assert stages.pack(spark, df.limit(0), "").count() == 0

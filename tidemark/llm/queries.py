@@ -36,7 +36,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeat_spans(table(spark, sf_dir, "documents")).drop("row_key")
+    return repeat_spans(table(spark, sf_dir, "documents")).drop("row")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

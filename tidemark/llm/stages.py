@@ -1,57 +1,94 @@
 """The pipeline's stages: each takes the rows that the one before kept and
-returns rows with the same columns (the last: packed pieces)."""
+returns rows with the same columns (the last: packed pieces).
+
+All keep null ids, and rows that repeat an id with another text, as rows of their
+own; an empty table stays empty.  Columns that a stage needs for itself get names
+that the input doesn't have."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import jaccard_join, repeats
-from tidemark.llm.common import table
-from tidemark.llm.mixing import mix_sources
+from tidemark.llm.common import numbered, table
+from tidemark.llm.mixing import mix_units
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality import THRESHOLD, learn_quality, with_statistics
 
-KEY, STATS = "__row_key", "__stats"
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't use, in any case."""
+    used = {c.lower() for c in docs.columns}
+    while name in used:
+        name += "_"
+    return name
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that the quality rules score below the threshold."""
+    """Rejects documents that the quality rules score below the threshold.
+
+    A score equal to it stays.  Null and empty texts are scored by their
+    statistics (all 0) like any other, long ones whole; repeated rows share
+    their fate.  Without usable labels all rows score 0.5 and stay.
+    """
+    stats = _free(docs, "stats")
     model = learn_quality(docs, table(spark, sf_dir, "labels"))
-    return with_statistics(docs, "text", STATS).where(model.score(STATS) >= THRESHOLD).select(*docs.columns)
+    return with_statistics(docs, "text", stats).where(model.score(f"`{stats}`") >= THRESHOLD).select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each near-duplicate group, once; a text without words is no duplicate."""
-    found = jaccard_join.jaccard_join(docs)
-    best = found.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", "row_key")).alias("m"))
-    keep = best.select(F.col("m.row_key").alias(KEY), F.lit(True).alias("__once"))
-    wordless = found.where("root IS NULL").select(F.col("row_key").alias(KEY), F.lit(False).alias("__once")).distinct()
-    keyed = docs.withColumn(KEY, jaccard_join.row_key("doc_id", "text"))
-    # equal rows share a key: of those with words one stays
-    turn = F.row_number().over(Window.partitionBy(KEY).orderBy(KEY))
-    kept = keyed.join(keep.unionByName(wordless), KEY).withColumn("__turn", turn).where(~F.col("__once") | (F.col("__turn") == 1))
-    return kept.select(*docs.columns)
+    """Keeps one row of each near-duplicate group: the smallest id, of several rows with it the least hash of text.
+
+    Texts without words (null and empty ones too) are no duplicates and all stay.
+    Of repeated rows one stays.  A null id comes before all others.
+    """
+    row = _free(docs, "row")
+    rows = numbered(docs, row)
+    found = jaccard_join.jaccard_join(rows, row=row)
+    hashes = rows.select(F.col(row).alias("row"), F.xxhash64("text").alias("of_text"))
+    best = found.where("root IS NOT NULL").join(hashes, "row").groupBy("root").agg(F.min(F.struct("doc_id", "of_text", "row")).alias("least"))
+    kept = best.select(F.col("least.row").alias(row)).unionByName(found.where("root IS NULL").select(F.col("row").alias(row)))
+    return rows.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts repeated strings out of the texts; every row stays, ``n_chars`` follows the text."""
-    cut = repeats.repeat_spans(docs, cut_text=True).where("n_removed > 0").select(F.col("row_key").alias(KEY), F.col("kept").alias("__kept")).dropDuplicates([KEY])
-    joined = docs.withColumn(KEY, repeats.row_key("doc_id", "text")).join(cut, KEY, "left")
-    text = F.coalesce("__kept", "text")
-    new = {"text": text} | ({"n_chars": F.when(F.col("__kept").isNotNull(), F.length("__kept").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
-    return joined.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    """Cuts strings that occur again out of the texts, at each place; every row stays, ``n_chars`` follows the text.
+
+    Null, empty and short texts stay as they are; a text that repeats another one
+    whole becomes empty, as both are repeats.
+    """
+    row, kept = _free(docs, "row"), _free(docs, "kept")
+    rows = numbered(docs, row)
+    cut = repeats.repeat_spans(rows, cut_text=True, row=row).where("n_removed > 0").select(F.col("row").alias(row), F.col("kept").alias(kept))
+    joined = rows.join(cut, row, "left")
+    new = {"text": F.coalesce(kept, "text")}
+    if "n_chars" in docs.columns:
+        chars = F.length(kept).cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(F.col(kept).isNotNull(), chars).otherwise(F.col("n_chars"))
+    return joined.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats each document as often as the mix takes it; none is dropped from a row it shares with equals."""
-    taken = mix_sources(docs, keep_key=True).groupBy(F.col("row_key").alias(KEY)).agg(F.sum("copies").cast("int").alias("__copies"))
-    keyed = docs.withColumn(KEY, F.xxhash64("doc_id", "text", F.lit(3)))
-    # the copies of equal rows are added up, so one of them stands for all
-    turn = F.row_number().over(Window.partitionBy(KEY).orderBy(KEY))
-    once = keyed.join(taken.where("__copies > 0"), KEY).withColumn("__turn", turn).where("__turn = 1")
-    return once.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    """Repeats each document as often as the mix takes it; documents that it takes no copy of go.
+
+    Null and empty texts have size 0, which the rates leave at one copy (two where
+    a source is at its cap).  Rows with equal id, source and text share their
+    copies: one of them, the first by number, stands for all.
+    """
+    row, copies = _free(docs, "row"), _free(docs, "copies")
+    rows = numbered(docs, row)
+    of_text = F.xxhash64("text", F.lit(3))
+    taken = mix_units(docs, by=of_text).where("copies > 0").select(F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("by").alias("b"), F.col("copies").cast("int").alias("c"))
+    firsts = rows.groupBy(F.col("doc_id").alias("i"), F.col("source").alias("s"), of_text.alias("b")).agg(F.min(row).alias("first"))
+    same = F.col("f.i").eqNullSafe(F.col("t.i")) & F.col("f.s").eqNullSafe(F.col("t.s")) & (F.col("f.b") == F.col("t.b"))
+    wanted = firsts.alias("f").join(taken.alias("t"), same).select(F.col("first").alias(row), F.col("c").alias(copies))
+    repeated = rows.join(wanted, row)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return repeated.select(*columns, F.explode(F.sequence(F.lit(1), F.col(copies))).alias(row)).drop(row)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs every document; see ``pack_documents``.  Returns pieces, not documents."""
     return pack_documents(docs)
