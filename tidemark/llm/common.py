@@ -44,7 +44,19 @@ def stored(df: DataFrame, by: str | None = None) -> DataFrame:
     jvm = spark.sparkContext._jvm
     hadoop = jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables made by stored() that nothing will read again; passes over other tables."""
+    for df in tables:
+        path = getattr(df, "stored_at", None)
+        if isinstance(path, str):
+            spark = df.sparkSession
+            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def shuffle_width(spark: SparkSession, rows: int, per_task: int) -> int:

@@ -8,8 +8,9 @@ on further coordinates, which its own path chooses, so that runs and branches
 fail apart; small ones are compared by brute force, and enough runs and children
 are made that a pair at the threshold meets with the target recall, splits
 included.
-A large bucket that splitting does not thin is a true group of near copies; its
-members are compared in pairs of blocks, so no task holds more than two blocks.
+A large bucket that its next coordinate does not thin is a true group of near
+copies and isn't split; its members are compared in pairs of blocks, so no task
+holds more than two blocks.
 
 Comparison takes two rounds.  First signatures decide which sets of a bucket
 have a partner at all there; then only their texts are fetched and the
@@ -29,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import RollingHash, all_salts, as_text, hot_keys, kind_of, mixed, numbered, only_rows, shuffle_width, spread, stored
+from tidemark.llm.common import RollingHash, all_salts, as_text, hot_keys, kind_of, mixed, numbered, only_rows, release, shuffle_width, spread, stored
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -42,7 +43,7 @@ CHILDREN, MOST_CHILDREN = 3, 8
 MAX_DEPTH = 3
 #: Keys with more rows than this are split over SALTS tasks where they are joined.
 HOT, SALTS = 1_024, 64
-#: A split that leaves more than this share together has found near copies.
+#: A coordinate that leaves more than this share of a bucket together has found near copies.
 CLUSTERED = 0.7
 #: Of the coordinates; a pair at the threshold falls below with probability 1e-7.
 AGREE = 0.5
@@ -146,12 +147,39 @@ def _counted(rows: DataFrame) -> DataFrame:
     return salted.join(many.withColumn("salt", all_salts(hot("bucket"), SALTS)), ["bucket", "salt"]).drop("salt")
 
 
+def _with_signatures(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    return rows.join(classes.select("cls", "sig"), "cls").select("cls", "bucket", "m", "sig")
+
+
+def _is_tight(large: DataFrame, classes: DataFrame, depth: int, runs: int, children: int) -> DataFrame:
+    """``large`` with a mark on buckets that one of their coordinates leaves together: groups of near copies."""
+
+    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                sig = np.frombuffer(b"".join(batch["sig"]), np.uint32).reshape(len(batch), -1)
+                c = chosen(batch["bucket"].to_numpy().astype(np.uint64), depth, runs, children)[:, 0]
+                yield batch[["bucket", "m"]].assign(value=sig[np.arange(len(sig)), c].astype(np.int64))
+
+    counts = _with_signatures(large, classes).mapInPandas(probe, "bucket long, m long, value long").groupBy("bucket", "m", "value").agg(F.count("*").alias("n"))
+    tight = counts.groupBy("bucket").agg(F.max(F.col("n") > F.col("m") * CLUSTERED).alias("tight"))
+    # all of these buckets are large
+    salted = large.withColumn("salt", spread(F.lit(True), SALTS, ["cls"]))
+    return salted.join(tight.withColumn("salt", all_salts(F.lit(True), SALTS)), ["bucket", "salt"]).select("cls", "bucket", "m", "tight")
+
+
 def _leaves(classes: DataFrame, bucket: int, runs: int, children: int) -> DataFrame:
-    """(cls, bucket, m): where brute force compares; large buckets split on chosen coordinates."""
+    """(cls, bucket, m): where brute force compares.
+
+    A large bucket is split on chosen coordinates, unless the first of them shows
+    that it holds near copies: those would stay together in every child."""
     level = stored(_counted(classes.select("cls", F.explode("roots").alias("bucket"))))
-    leaves, depth = [level.where(F.col("m") <= bucket)], 0
-    large = level.where(F.col("m") > bucket)
-    while depth < MAX_DEPTH and large.head(1):
+    columns = ["cls", "bucket", "m"]
+    out, large = level.where(F.col("m") <= bucket).select(*columns), level.where(F.col("m") > bucket).select(*columns)
+    for depth in range(MAX_DEPTH):
+        if not large.head(1):
+            return out
+        marked = stored(_is_tight(large, classes, depth, runs, children))
 
         def split(batches: Iterator[pd.DataFrame], depth: int = depth) -> Iterator[pd.DataFrame]:
             for batch in batches:
@@ -160,19 +188,13 @@ def _leaves(classes: DataFrame, bucket: int, runs: int, children: int) -> DataFr
                 sig = np.frombuffer(b"".join(batch["sig"]), np.uint32).reshape(len(batch), -1)
                 parent = batch["bucket"].to_numpy().astype(np.uint64)
                 for c in chosen(parent, depth, runs, children).T:
-                    yield pd.DataFrame({"cls": batch["cls"], "bucket": path(parent, c, sig[np.arange(len(sig)), c]), "was": batch["m"]})
+                    yield pd.DataFrame({"cls": batch["cls"], "bucket": path(parent, c, sig[np.arange(len(sig)), c])})
 
-        parts = large.join(classes.select("cls", "sig"), "cls").select("cls", "bucket", "m", "sig").mapInPandas(split, "cls long, bucket long, was long")
+        out = out.unionByName(marked.where("tight").select(*columns))
+        parts = _with_signatures(marked.where("not tight"), classes).mapInPandas(split, "cls long, bucket long")
         level = stored(_counted(parts))
-        done = (F.col("m") <= bucket) | (F.col("m") > F.col("was") * CLUSTERED)
-        leaves.append(level.where(done).select("cls", "bucket", "m"))
-        large = level.where(~done).select("cls", "bucket", "m")
-        depth += 1
-    leaves.append(large)
-    out = leaves[0].select("cls", "bucket", "m")
-    for more in leaves[1:]:
-        out = out.unionByName(more.select("cls", "bucket", "m"))
-    return out
+        out, large = out.unionByName(level.where(F.col("m") <= bucket).select(*columns)), level.where(F.col("m") > bucket).select(*columns)
+    return out.unionByName(large)
 
 
 class _Group:
@@ -319,11 +341,15 @@ def connected(nodes_edges: DataFrame, rounds: int = 128, jumps: int = 64) -> Dat
     for _ in range(rounds):
         if not edges.head(1):
             return label
+        spent = [edges, label]
         tree = stored(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("first")).withColumn("up", F.col("first")))
+        held = tree
         for _ in range(jumps):
             over = tree.select(F.col("node").alias("up"), F.col("up").alias("beyond"))
             after = stored(tree.join(over, "up", "left").select("node", "first", F.coalesce("beyond", "up").alias("up"), F.col("beyond").isNotNull().alias("moved")))
             tree = after.drop("moved")
+            release(held)
+            held = after
             if not after.where("moved").head(1):
                 break
         else:
@@ -334,6 +360,7 @@ def connected(nodes_edges: DataFrame, rounds: int = 128, jumps: int = 64) -> Dat
         rest = edges.join(tree.withColumnRenamed("node", "a"), "a").where("b <> first").select(F.col("up").alias("x"), F.col("b").alias("root"))
         ends = rest.join(to, "root", "left").select("x", F.coalesce("up", "root").alias("y")).where("x <> y")
         edges = stored(ends.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+        release(*spent, held)
     if edges.head(1):
         raise RuntimeError(f"groups still not connected after {rounds} rounds")
     return label
