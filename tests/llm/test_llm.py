@@ -20,7 +20,7 @@ from tidemark.llm import stages
 from tidemark.llm.exact_search import exact_topk, search_block
 from tidemark.llm.jaccard_join import connected, jaccard_join
 from tidemark.llm.language_id import codewords, identify_language
-from tidemark.llm.licenses import SENTENCES, scan_licences
+from tidemark.llm.licenses import RULES, SENTENCES, scan_licences
 from tidemark.llm.mixing import mix_sources, targets
 from tidemark.llm.neighbours import balanced_parts, index_vectors, neighbour_graph, nearest
 from tidemark.llm.packing import best_fit, cuts, pack_documents, pack_tiers
@@ -82,6 +82,61 @@ def test_licences_in_comment_headers(spark):
     assert [got[i] for i in range(11)] == ["MIT"] * 5 + ["BSD-3-Clause"] * 3 + ["GPL-3.0-or-later"] * 2 + ["BSD-3-Clause"]
 
 
+def plain_scan(text, sentences=SENTENCES, rules=RULES):
+    """Licences by word sequences alone: known sentences wherever their words stand, then rules in order."""
+    words = lambda x: re.findall("[a-z0-9]+", x.lower())
+    known = {name: words(re.split(r"[.!?;] ", x)[0]) for name, x in sentences.items()}
+    have, found, at = words(text), [], 0
+    while at < len(have):
+        here = [(len(w), name) for name, w in known.items() if have[at : at + len(w)] == w]
+        found += [max(here)[1]] if here else []
+        at += max(here)[0] if here else 1
+    out = []
+    while found:
+        for licence, ids in rules:
+            if found[: len(ids)] == list(ids):
+                out.append(licence)
+                found = found[len(ids) :]
+                break
+        else:
+            found = found[1:]
+    return out
+
+
+def test_licences_equal_a_search_for_word_sequences(spark):
+    rng = random.Random(21)
+    s, texts = SENTENCES, []
+    filler = lambda: " ".join(rng.choice(["ana", "bel", "cor", "dun"]) for _ in range(rng.randint(3, 30))) + "."
+    decorate = [lambda p: p, lambda p: "\n".join("# " + x for x in textwrap.wrap(p, 60)) + "\n#", lambda p: "\n".join(" * " + x for x in textwrap.wrap(p, 50)) + "\n *"]
+    for _ in range(150):
+        style, blocks = rng.choice(decorate), []
+        for _ in range(rng.randint(0, 3)):
+            _, ids = rng.choice(RULES)
+            blocks += [style(filler()), *[style(s[x]) for x in ids]]
+        texts.append("\n\n".join([*blocks, filler()]))
+    got = {r["doc_id"]: r["licenses"] for r in scan_licences(docs(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect()}
+    for i, text in enumerate(texts):
+        assert got[i] == ",".join(plain_scan(text)), text
+
+
+def test_licences_with_names_and_expressions(spark):
+    s = SENTENCES
+    bsd = "\n".join(f"{i}. {x}" for i, x in enumerate([s["bsd_source"], s["bsd_binary"], s["bsd_endorse"].replace("the copyright holder", "Some One Inc.")], 1))
+    texts = {
+        "BSD-3-Clause": s["bsd_redistribution"] + "\n" + bsd,
+        "MIT,Apache-2.0": "SPDX-License-Identifier: MIT OR Apache-2.0",
+        "GPL-2.0-or-later,BSD-3-Clause": "// SPDX-License-Identifier: (GPL-2.0-or-later WITH Some-exception) AND BSD-3-Clause",
+        "GPL-3.0-only": "      GNU GENERAL PUBLIC LICENSE\n        Version 3, 29 June 2007\n\n Everyone is",
+        "CC0-1.0": "To the extent possible under law, J. Doe has waived all copyright and related or neighboring rights to Some Work.",
+    }
+    got = {r["doc_id"]: r["licenses"] for r in scan_licences(docs(spark, [(i, t, "en", "a") for i, t in enumerate(texts.values())])).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts)
+    # an identifier that ends in another one is another one
+    sentences, rules = {"a_licence": "a licence one", "xa_licence": "xa licence two"}, (("ONE", ("a_licence",)),)
+    found = scan_licences(docs(spark, [(1, "xa licence two", "en", "a"), (2, "a licence one", "en", "a")]), sentences=sentences, rules=rules).collect()
+    assert {r["doc_id"]: r["licenses"] for r in found} == {1: "", 2: "ONE"}
+
+
 def test_exact_search(spark):
     rng = np.random.default_rng(1)
     rows = [(i, v.tolist()) for i, v in enumerate(rng.integers(-2, 3, (120, 9)) / 3.0)]
