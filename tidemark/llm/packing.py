@@ -45,6 +45,12 @@ CHUNK = 1_024
 TRIES = 16
 _PIECE_COLUMNS = ["i", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window", "step_group"]
 WORD_END = "</w>"
+#: Equal pieces are dealt to groups in chunks of this many.
+CHUNK = 1_024
+#: First pieces tried for a gap of a shorter tier.
+TRIES = 16
+_PIECE_COLUMNS = ["i", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window", "step_group"]
+WORD_END = "</w>"
 #: Words and stems of a generation, two of which a worker holds; larger tables miss the processor's caches and cost more than they save.
 WORD_ENTRIES, STEM_ENTRIES = 40_000, 75_000
 #: Python's str.split() takes these as white space, the tokenizer does not.
@@ -66,9 +72,8 @@ class Generations:
         """The keys that neither generation has; the others are young after this."""
         if len(self.young) + len(keys) > self.entries:
             self.young, self.old = {}, self.young
-        away = keys.difference(self.young)
-        known = away.intersection(self.old)
-        old = self.old
+        old, away = self.old, keys.difference(self.young)
+        known = {k for k in away if k in old}
         self.young.update((k, old[k]) for k in known)
         return away.difference(known)
 
