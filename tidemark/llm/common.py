@@ -7,7 +7,6 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,20 +82,13 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
 
 
 def only_rows(docs: DataFrame, row: str, keys: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose number may be in ``keys``: a filter of fixed size that spares
-    most other texts the shuffle of the exact join after it."""
+    """Rows of ``docs`` whose number may be in ``keys``: a bit filter that spares most other texts
+    the shuffle of the exact join after it.  It is broadcast as at most FILTER_WORDS rows, whatever the input's size."""
     slot = F.pmod(F.xxhash64(row), F.lit(FILTER_WORDS * 64))
-    words = keys.select(F.floor(slot / 64).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int")).alias("bit"))
-    table = np.zeros(FILTER_WORDS, np.int64)
-    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    table[found["word"].to_numpy(int)] = found["bits"].to_numpy(np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast(table)
-
-    def may(slots: pd.Series) -> pd.Series:
-        at = slots.to_numpy(np.int64)
-        return pd.Series((shared.value[at // 64] >> (at % 64)) & 1 == 1)
-
-    return docs.where(F.pandas_udf(may, "boolean")(slot))
+    word, bit = F.floor(slot / 64).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))
+    table = keys.select(word, bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    marked = docs.select("*", word, bit.alias("bit")).join(F.broadcast(table), "word")
+    return marked.where(F.col("bits").bitwiseAND(F.col("bit")) != 0).select(*docs.columns)
 
 
 def hot_keys(df: DataFrame, key: str, at_least: int) -> Callable[[str], Column]:
