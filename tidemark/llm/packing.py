@@ -51,6 +51,18 @@ CHUNK = 1_024
 TRIES = 16
 _PIECE_COLUMNS = ["i", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window", "step_group"]
 WORD_END = "</w>"
+#: Equal pieces are dealt to groups in chunks of this many.
+CHUNK = 1_024
+#: First pieces tried for a gap of a shorter tier.
+TRIES = 16
+_PIECE_COLUMNS = ["i", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window", "step_group"]
+WORD_END = "</w>"
+#: Equal pieces are dealt to groups in chunks of this many.
+CHUNK = 1_024
+#: First pieces tried for a gap of a shorter tier.
+TRIES = 16
+_PIECE_COLUMNS = ["i", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window", "step_group"]
+WORD_END = "</w>"
 #: Words and stems of a generation, two of which a worker holds; larger tables miss the processor's caches and cost more than they save.
 WORD_ENTRIES, STEM_ENTRIES = 40_000, 75_000
 #: Python's str.split() takes these as white space, the tokenizer does not.
@@ -59,27 +71,8 @@ _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,:;!?|#$%&*]*)")
 
 
-class Generations:
-    """A bounded table: when the young generation is full it becomes the old one, and what is
-    asked for again moves over from there."""
-
-    def __init__(self, entries: int):
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.entries = entries
-
-    def missing(self, keys: set[str]) -> set[str]:
-        """The keys that neither generation has; the others are young after this."""
-        if len(self.young) + len(keys) > self.entries:
-            self.young, self.old = {}, self.young
-        old, away = self.old, keys.difference(self.young)
-        known = {k for k in away if k in old}
-        self.young.update((k, old[k]) for k in known)
-        return away.difference(known)
-
-
 class WordEncoder:
-    """Token ids as little-endian bytes; each distinct word is encoded once, unless long forgotten.
+    """Token ids as little-endian bytes; each distinct word is encoded once per worker.
 
     The tokenizer drops white space and never looks across it, so the ids of a
     text are the ids of its white-space-separated words in a row.  It folds case
@@ -96,7 +89,9 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
-        self.words, self.stems = Generations(words), Generations(stems)
+        self.words: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {"": b""}
+        self.most_words, self.most_stems = words, stems
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -123,22 +118,27 @@ class WordEncoder:
                 plain[w] = (m[1].lower(), m[2])
             else:
                 other.append(w)
-        stems = list(self.stems.missing({x for pair in plain.values() for x in pair if x}))
-        known = self.stems.young
-        known.update(zip(stems, self._encode_stems(stems)))
-        known[""] = b""
-        self.words.young.update((w, known[a] + known[b]) for w, (a, b) in plain.items())
-        self.words.young.update(zip(other, self._encode(other)))
+        stems = {x for pair in plain.values() for x in pair}
+        if len(self.stems) + len(stems) > self.most_stems:
+            self.stems = {"": b""}
+        stems = list(stems.difference(self.stems))
+        self.stems.update(zip(stems, self._encode_stems(stems)))
+        known = self.stems
+        self.words.update((w, known[a] + known[b]) for w, (a, b) in plain.items())
+        self.words.update(zip(other, self._encode(other)))
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         for at in range(0, len(texts), 32):
             some = texts[at : at + 32]
             odd = [_ODD_SPACE.search(x) is not None for x in some]
             split = [[] if o else x.split() for x, o in zip(some, odd)]
-            new = self.words.missing(set().union(*split))
+            new = set().union(*split).difference(self.words)
             if new:
+                if len(self.words) + len(new) > self.most_words:
+                    self.words = {}
+                    new = set().union(*split)
                 self._learn(new)
-            words = self.words.young
+            words = self.words
             for x, o, parts in zip(some, odd, split):
                 yield self._encode([x])[0] if o else b"".join([words[w] for w in parts])
 
