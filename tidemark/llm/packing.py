@@ -45,26 +45,8 @@ CHUNK = 1_024
 TRIES = 16
 _PIECE_COLUMNS = ["i", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window", "step_group"]
 WORD_END = "</w>"
-#: Equal pieces are dealt to groups in chunks of this many.
-CHUNK = 1_024
-#: First pieces tried for a gap of a shorter tier.
-TRIES = 16
-_PIECE_COLUMNS = ["i", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window", "step_group"]
-WORD_END = "</w>"
-#: Equal pieces are dealt to groups in chunks of this many.
-CHUNK = 1_024
-#: First pieces tried for a gap of a shorter tier.
-TRIES = 16
-_PIECE_COLUMNS = ["i", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window", "step_group"]
-WORD_END = "</w>"
-#: Equal pieces are dealt to groups in chunks of this many.
-CHUNK = 1_024
-#: First pieces tried for a gap of a shorter tier.
-TRIES = 16
-_PIECE_COLUMNS = ["i", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window", "step_group"]
-WORD_END = "</w>"
-#: Words and stems of a generation, two of which a worker holds; larger tables miss the processor's caches and cost more than they save.
-WORD_ENTRIES, STEM_ENTRIES = 40_000, 75_000
+#: A worker holds up to about 350 MB of known words and stems; a full table starts again.
+WORD_ENTRIES, STEM_ENTRIES = 500_000, 800_000
 #: Python's str.split() takes these as white space, the tokenizer does not.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: Letters whose lower case and composition are the same everywhere, then marks that never join letters.
