@@ -127,3 +127,102 @@ def test_readers(spark, tmp_path):
     text = spark.createDataFrame([("Contents Item 2. MDNA Item 3. Risk " + "x " * 10 + "Item 2. MDNA " + "word " * 60 + "Item 3. Risk end",)], "t string")
     section = text.select(readers.mdna_section(F.col("t"), r"item 2\. mdna", r"item 3\. risk").alias("s")).first()["s"]
     assert section.startswith("Item 2. MDNA word") and "Risk" not in section
+
+
+def plain_directional(text, aspect, lexicon):
+    import re
+
+    from tidemark.functions.lexicons import NEGATIVE_EVENTS, POSITIVE_EVENTS
+    from tidemark.functions.text import TOKEN
+
+    found = lambda words, x: re.search(rf"(?i)\b(?:{words})\b", x) is not None
+    bad = found(lexicon.bad_when_up, text) and not found(lexicon.good_when_up, text.split(" and ")[0])
+    bad = bad or (aspect == "litigation" and re.search(r"(?i)\b(legal|litigation) (expense|cost)s?\b", text) is not None)
+    toks, total, moved = [x.lower() for x in re.findall(TOKEN, text)], 0.0, False
+    for i, tok in enumerate(toks):
+        cue = lambda t: t in lexicon.cues or t.endswith("n't")
+        before = [1 if cue(t) else 2 for t in toks[max(0, i - 4) : i] if cue(t) or t in lexicon.breaks]
+        masked = not cue(tok) and tok not in lexicon.breaks and bool(before) and before[-1] == 1
+        up = -1.0 if bad else 1.0
+        value = 0.0
+        if tok in lexicon.up:
+            value, moved = up, True
+        elif tok in lexicon.down:
+            value, moved = -up, True
+        elif tok in lexicon.positive:
+            value = 0.8
+        elif tok in lexicon.negative:
+            value = -0.8
+        elif aspect == "management_tone" and tok in lexicon.uncertainty:
+            value = -0.6
+        moved = moved or tok in lexicon.up or tok in lexicon.down
+        total += -value if masked else value
+    total += (-1.0 if found(NEGATIVE_EVENTS, text) else 0.0) + (1.0 if found(POSITIVE_EVENTS, text) else 0.0)
+    if aspect == "litigation":
+        total = 0.0 if not moved and abs(total) < 0.5 else total
+        total += 1.5 if re.search(r"(?i)\b(do not|does not|don't|no) (?:expect|anticipate)\b.*\b(impact|charge|effect)", text) else 0.0
+    return max(-1.0, min(1.0, total / 2))
+
+
+def test_the_default_model_equals_a_plain_loop(spark):
+    from tidemark.functions import polarity
+    from tidemark.functions.lexicons import FINANCE
+    from tidemark.plans import adapters as ad
+
+    own = ["Margins improved and costs fell.", "We do not expect any material impact.", "Legal costs increased.", "Demand wasn't strong, but orders rose.", "Uncertain outlook, no growth.", "The suit was settled and dismissed."]
+    driver = [r["text"] for r in ad.corpus_chunks(spark, "/root/testdata/sf0.001").where("document_id % 5 = 0").collect() if r["text"].isascii()]
+    for lexicon, texts in ((FINANCE, own + driver[:200]), (ad.SYLLABLES, driver)):
+        rows = [(i, t, a) for i, t in enumerate(texts) for a in ("margins", "litigation", "management_tone")]
+        df = spark.createDataFrame(rows, "i int, t string, a string")
+        got = df.select("t", "a", polarity.directional_score(F.col("t"), F.col("a"), lexicon).alias("s")).collect()
+        for r in got:
+            assert abs(r["s"] - plain_directional(r["t"], r["a"], lexicon)) < 1e-9, (r["t"], r["a"])
+
+
+def test_a_crash_between_the_two_writes_leaves_no_repeats(spark, tmp_path, monkeypatch):
+    from tidemark.sources import sinks
+
+    text = "Revenue grew strongly this year. Costs ﬁnally fell a little. Nothing else changed."
+    schema = "source string, ticker string, doc_type string, doc_date date, title string, source_url string, text string, segments array<struct<speaker:string,text:string>>"
+    docs = spark.sql("SELECT 'x' source, 'T' ticker, 'news' doc_type, date'2024-01-01' doc_date, 't' title, 'u' source_url, '" + text + "' text, cast(null as array<struct<speaker:string,text:string>>) segments")
+    assert [f.name for f in docs.schema] == [x.split()[0] for x in schema.split(", ")]
+    whole = sinks.read
+    from pyspark.sql import DataFrameWriter
+
+    parquet = DataFrameWriter.parquet
+
+    def dies(self, path, *args, **kw):
+        if path.endswith("/documents"):
+            raise RuntimeError("lost")
+        return parquet(self, path, *args, **kw)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", dies)
+    with pytest.raises(RuntimeError):
+        sinks.ingest(docs, str(tmp_path))
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    assert sinks.ingest(docs, str(tmp_path))["new"] == 1
+    chunks = whole(spark, f"{tmp_path}/chunks")
+    assert chunks.count() == chunks.select("chunk_id").distinct().count() == 3
+    assert any("finally" in r["text"] for r in chunks.collect())
+    assert sinks.ingest(docs, str(tmp_path))["new"] == 0 and whole(spark, f"{tmp_path}/chunks").count() == 3
+
+
+def test_day0_of_one_symbol_is_linear(spark):
+    import time
+
+    from tidemark.operators import evaluation
+
+    calls = spark.range(48_000).select(F.lit("S").alias("symbol"), (F.lit("2020-01-01 10:00:00").cast("timestamp_ntz") + F.expr("make_dt_interval(0, cast(id % 30000 as int))")).alias("call_at"))
+    days = spark.range(1200).where("id % 7 < 5").select(F.lit("S").alias("symbol"), F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")).alias("day"))
+    evaluation.day0(calls.limit(10), days).collect()
+    start = time.time()
+    rows = evaluation.day0(calls, days).collect()
+    assert time.time() - start < 8 and len(rows) == 48_000
+    open_ = sorted(r["day"] for r in days.collect())
+    import bisect
+    from datetime import timedelta
+
+    for r in rows[::997]:
+        want = r["call_at"].date() + timedelta(days=r["call_at"].hour >= 16)
+        at = bisect.bisect_left(open_, want)
+        assert r["day0"] == (open_[at] if at < len(open_) else None)

@@ -103,8 +103,9 @@ def sense_score(chunks: DataFrame, senses: DataFrame, keys: tuple[str, ...], lex
     """(``keys``, score) from a dictionary of word senses (word, rank from 1, value).
 
     A word's value is the weighted mean of its first senses; negation turns its
-    sign.  A text's score is four times the sum over its number of tokens, within
-    -1 and 1; texts without tokens score 0.  The dictionary joins on the word, so
+    sign.  Only words of three or more letters count.  A text's score is four
+    times the sum over its number of tokens, within -1 and 1; texts without
+    tokens score 0.  The dictionary joins on the word, so
     it may be of any size."""
     weight = F.element_at(F.array(*map(F.lit, weights)), F.col("rank").cast("int"))
     first = senses.where(F.col("rank").between(1, len(weights))).withColumn("w", weight)
@@ -114,5 +115,6 @@ def sense_score(chunks: DataFrame, senses: DataFrame, keys: tuple[str, ...], lex
     words = toks.select(*keys, F.size("toks").alias("n"), F.inline_outer(pairs))
     # one row per text, word and sign before the join: frequent words do not travel once per use
     counted = words.groupBy(*keys, "word").agg(F.max("n").alias("n"), F.sum(F.when(F.col("off"), -1).otherwise(1)).alias("uses"))
+    values = values.where(F.col("word").rlike("^[a-z]{3,}$"))
     total = counted.join(values, "word", "left").groupBy(*keys).agg(F.max("n").alias("n"), F.coalesce(F.sum(F.col("uses") * F.col("value")), F.lit(0.0)).alias("s"))
     return total.select(*keys, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 4 * F.col("s") / F.greatest("n", F.lit(1)))).alias("score"))

@@ -53,10 +53,12 @@ def sentences(text: Column, abbreviations: list[str] = lx.ABBREVIATIONS) -> Colu
     boundary = rf"{_CLOSERS}\s+(?={_OPENERS}[A-Z0-9])"
     abbreviated = rf"(?<=(?:^|\s)[\"'(\[]{{0,2}}(?i:{words})[\"'(\[]{{0,2}}\.{{1,3}})"
     flat = F.regexp_replace(F.regexp_replace(text, r"\s*\n\s*", " "), r"^\s+|\s+$", "")
-    whole = F.regexp_replace(flat, abbreviated + boundary, " ") if abbreviations else flat
+    # the cheap tests stand first: a full stop behind, a closer or blank ahead
+    ahead = r"(?=[\"')\]\s])"
+    whole = F.regexp_replace(flat, rf"(?<=\.){ahead}{abbreviated}{boundary}", " ") if abbreviations else flat
     # what is left of abbreviations ends in a blank that no boundary may take again
     keep = abbreviated.replace("(?<=", "(?<!", 1) if abbreviations else ""
-    pieces = F.split(whole, rf"(?<=[.!?]){keep}{boundary}")
+    pieces = F.split(whole, rf"(?<=[.!?]){ahead}{keep}{boundary}")
     return F.filter(F.transform(pieces, lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: F.length(s) > 1)
 
 

@@ -9,16 +9,17 @@ import unicodedata
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StringType
 
 from tidemark.functions.lexicons import EMBED_STOP
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape_html(text: pd.Series) -> pd.Series:
     return text.map(html.unescape, na_action="ignore")
 
@@ -40,7 +41,7 @@ def blake_embedding(dimensions: int = 384):
         norm = float(np.linalg.norm(out))
         return (out / norm if norm else out).tolist()
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(ArrayType(FloatType()))
     def embed(text: pd.Series) -> pd.Series:
         return text.map(one)
 

@@ -61,15 +61,18 @@ def day0(calls: DataFrame, days: DataFrame, roll_hour: int = 16) -> DataFrame:
     """Forward as-of join: the first trading day on or after the call's (from ``roll_hour`` on, the day after's).
 
     ``calls``: symbol, call_at; ``days``: symbol, day.  A union and one ordered
-    window per symbol, linear in both sides; no range join."""
+    window per symbol, read backwards so that each row only looks at what it has
+    passed: linear in both sides; no range join."""
     target = F.to_date("call_at") + F.when(F.hour("call_at") >= roll_hour, 1).otherwise(0)
     asked = calls.select("symbol", F.col("call_at"), target.alias("day"), F.lit(None).cast("date").alias("trading"), F.lit(1).alias("kind"))
     open_ = days.select("symbol", F.lit(None).cast(calls.schema["call_at"].dataType).alias("call_at"), "day", F.col("day").alias("trading"), F.lit(0).alias("kind")).distinct()
-    w = Window.partitionBy("symbol").orderBy("day", F.desc("kind")).rowsBetween(0, Window.unboundedFollowing)
-    return asked.unionByName(open_).withColumn("day0", F.first("trading", ignorenulls=True).over(w)).where("kind = 1").select("symbol", "call_at", "day0")
+    w = Window.partitionBy("symbol").orderBy(F.desc("day"), "kind").rowsBetween(Window.unboundedPreceding, 0)
+    return asked.unionByName(open_).withColumn("day0", F.last("trading", ignorenulls=True).over(w)).where("kind = 1").select("symbol", "call_at", "day0")
 
 
-def event_returns(calls: DataFrame, prices: DataFrame, market: DataFrame, horizons: dict[str, tuple[int, int]] = HORIZONS) -> DataFrame:
+def event_returns(
+    calls: DataFrame, prices: DataFrame, market: DataFrame, horizons: dict[str, tuple[int, int]] = HORIZONS, roll_hour: int = 16
+) -> DataFrame:
     """Market-adjusted returns from the close before each window to its last close.
 
     ``prices``: symbol, day, close; ``market``: day, close.  Trading days are
@@ -81,11 +84,16 @@ def event_returns(calls: DataFrame, prices: DataFrame, market: DataFrame, horizo
     wide = both.select("symbol", F.col("day").alias("day0"), *[at(c, k).alias(f"{c}{k}".replace("-", "m")) for c in ("close", "market") for k in sorted(need)])
     col = lambda c, k: F.col(f"{c}{k}".replace("-", "m"))
     gain = lambda c, a, b: col(c, b) / col(c, a - 1)
-    events = day0(calls, both).join(wide, ["symbol", "day0"])
+    events = day0(calls, both, roll_hour).join(wide, ["symbol", "day0"])
     out = events.select("symbol", "call_at", "day0", *[half_up(gain("close", a, b) - gain("market", a, b), 6).alias(n) for n, (a, b) in horizons.items()])
     return out.dropna(subset=list(horizons))
 
 
+def horizon_returns(calls: DataFrame, prices: DataFrame, market: DataFrame, days: int = 5) -> DataFrame:
+    """Market-adjusted return over ``days`` trading days from the first close on or after the call's date, whatever its hour."""
+    return event_returns(calls, prices, market, {f"return_{days}d": (1, days)}, roll_hour=24)
+
+
 def revisions(estimates: DataFrame) -> DataFrame:
     """(symbol, day, eps, revision): change against the previous estimate, where that is neither null nor 0."""
     prev = F.lag("eps").over(Window.partitionBy("symbol").orderBy("day"))
@@ -188,10 +196,15 @@ def bonferroni(df: DataFrame, p: str = "p") -> DataFrame:
 
 def latency_report(df: DataFrame, value: str = "latency", keys: tuple[str, ...] = ()) -> DataFrame:
     """Mean, median, maximum and the p95 of rank min(n - 1, int(0.95 n)), counted from 0."""
-    w = Window.partitionBy(*keys)
-    ranked = df.withColumns({"i": F.row_number().over(w.orderBy(value)) - 1, "m": F.count("*").over(w)})
-    p95 = F.max(F.when(F.col("i") == F.least(F.col("m") - 1, F.floor(F.col("m") * 0.95)), F.col(value)))
-    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), half_up(F.avg(value)).alias("mean"), half_up(F.percentile(value, 0.5)).alias("median"), half_up(p95).alias("p95"), half_up(F.max(value)).alias("max"))
+    # distinct values with their counts: far fewer rows than requests, and no window over those
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    upto = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumns({"upto": F.sum("n").over(upto), "m": F.sum("n").over(Window.partitionBy(*keys))})
+    p95 = F.min(F.when(F.col("upto") > F.least(F.col("m") - 1, F.floor(F.col("m") * 0.95)), F.col(value)))
+    mean = F.sum(F.col(value) * F.col("n")) / F.sum("n")
+    return ranked.groupBy(*keys).agg(
+        F.sum("n").alias("n"), half_up(mean).alias("mean"), half_up(F.percentile(value, 0.5, F.col("n"))).alias("median"), half_up(p95).alias("p95"), half_up(F.max(value)).alias("max")
+    )
 
 
 def token_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:

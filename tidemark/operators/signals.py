@@ -169,3 +169,9 @@ def set_serving(runs: DataFrame, name: str) -> DataFrame:
     """All flags off, then the newest run of that name on."""
     newest = F.max("run_id").over(Window.partitionBy("name"))
     return runs.withColumn("serving", (F.col("name") == name) & (F.col("run_id") == newest))
+
+
+def recent(rows: DataFrame, by: str, n: int = 50, ticker: str | None = None) -> DataFrame:
+    """The newest ``n`` rows by a unique id: briefs, drift reports or model runs, of one ticker or of all."""
+    some = rows if ticker is None else rows.where(F.col("ticker") == ticker)
+    return some.orderBy(F.desc(by)).limit(n)

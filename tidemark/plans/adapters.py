@@ -74,9 +74,16 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("document_id"), F.col("source").alias("ticker"), F.col("lang").alias("doc_type"), date.alias("doc_date"), "text")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over the cluster's cores where its scan yields fewer tasks (a small file is one
+    row group, so one task); a large scan has more and stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def corpus_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of the corpus, unnormalised, numbered per document."""
-    d = corpus(spark, sf_dir)
+    d = spread(corpus(spark, sf_dir))
     return d.select("document_id", "ticker", F.posexplode(tx.sentences(F.col("text"))).alias("idx", "text")).withColumn("idx", F.col("idx").cast("long"))
 
 

@@ -358,7 +358,7 @@ def negated_tokens(spark, sf_dir):
 
 
 @query(f"""WITH {ad.SENTENCES}, {_TOKENS}, words AS (SELECT doc_id, idx, count(*) AS n, count_if(w IN {_in(_L.hedges)}) AS hits FROM kinds WHERE regexp_full_match(t, '[A-Za-z]+') OR contains(t, '''') GROUP BY ALL)
-  SELECT s.doc_id AS document_id, s.idx, {r('coalesce(least(1.0::DOUBLE, w.hits / greatest(3.0::DOUBLE, w.n * 0.25::DOUBLE)), 0::DOUBLE)', 6)} AS hedge FROM sents s LEFT JOIN words w USING (doc_id, idx)""")
+  SELECT s.doc_id AS document_id, s.idx, {r('least(1.0::DOUBLE, coalesce(w.hits, 0) / greatest(3.0::DOUBLE, coalesce(w.n, 0) * 0.25::DOUBLE))', 6)} AS hedge FROM sents s LEFT JOIN words w USING (doc_id, idx)""")
 def hedge_scores(spark, sf_dir):
     return ad.corpus_chunks(spark, sf_dir).select("document_id", "idx", half_up(tx.hedge_score(F.col("text"), _L.hedges), 6).alias("hedge"))
 
@@ -557,6 +557,19 @@ def event_returns(spark, sf_dir):
     return evaluation.event_returns(ad.calls(spark, sf_dir), ad.prices(spark, sf_dir), ad.market(spark, sf_dir))
 
 
+@query(f"""WITH {ad.PRICES}, {ad.MARKET}, {ad.CALLS}, starts AS (SELECT c.symbol, c.call_at, p.day AS day0 FROM calls c ASOF LEFT JOIN (SELECT symbol, day FROM prices) p ON c.symbol = p.symbol AND CAST(c.call_at AS DATE) <= p.day),
+  paths AS (SELECT symbol, day, lead(close, 5) OVER w / close - lead(market, 5) OVER w / market AS gain FROM (SELECT p.symbol, p.day, p.close, m.close AS market FROM prices p JOIN market m USING (day)) WINDOW w AS (PARTITION BY symbol ORDER BY day))
+  SELECT s.symbol, s.call_at, s.day0, {r('gain', 6)} AS return_5d FROM starts s JOIN paths p ON p.symbol = s.symbol AND p.day = s.day0 WHERE gain IS NOT NULL""")
+def horizon_returns(spark, sf_dir):
+    return evaluation.horizon_returns(ad.calls(spark, sf_dir), ad.prices(spark, sf_dir), ad.market(spark, sf_dir))
+
+
+@query(f"WITH {ad.SCORES} SELECT chunk_id, ticker, document_id, aspect, score, model_name FROM scores WHERE ticker = 'T7' ORDER BY chunk_id DESC LIMIT 50")
+def recent_scores(spark, sf_dir):
+    columns = ["chunk_id", "ticker", "document_id", "aspect", "score", "model_name"]
+    return signals.recent(ad.scores(spark, sf_dir), "chunk_id", 50, "T7").select(*columns)
+
+
 _EST = "est AS (SELECT 'S' || (l_partkey % 20) AS symbol, CAST(l_shipdate AS DATE) AS day, avg(l_discount - 0.03::DOUBLE) AS eps FROM lineitem GROUP BY 1, 2), est4 AS (SELECT symbol, day, " + r("eps") + " AS eps FROM est)"
 
 
@@ -763,14 +776,18 @@ _SENSES = [("the", 1, 0.5), ("the", 2, 0.25), ("the", 3, 0.0), ("the", 4, 9.0),
 
 @query(f"""WITH {ad.SENTENCES}, {_TOKENS}, senses(word, rank, value) AS (VALUES {', '.join(f"('{a}', {b}, {c}::DOUBLE)" for a, b, c in _SENSES)}),
   first AS (SELECT *, CASE rank WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN 0.5::DOUBLE ELSE 0.33::DOUBLE END AS wt FROM senses WHERE rank <= 3), vals AS (SELECT word, sum(value * wt) / sum(wt) AS v FROM first GROUP BY word),
-  per AS (SELECT doc_id, idx, count(*) AS n, coalesce(sum(CASE WHEN m THEN -v ELSE v END), 0) AS s FROM masked LEFT JOIN vals ON vals.word = w GROUP BY ALL)
+  per AS (SELECT doc_id, idx, count(*) AS n, coalesce(sum(CASE WHEN m THEN -v ELSE v END), 0) AS s FROM masked LEFT JOIN vals ON vals.word = w AND regexp_full_match(w, '[a-z][a-z][a-z]+') GROUP BY ALL)
   SELECT t.doc_id AS document_id, t.idx, {r('greatest(-1.0::DOUBLE, least(1.0::DOUBLE, 4 * coalesce(p.s, 0) / coalesce(p.n, 1)))', 6)} AS score FROM sents t LEFT JOIN per p USING (doc_id, idx)""")
 def sense_scores(spark, sf_dir):
     senses = spark.createDataFrame(_SENSES, "word string, rank int, value double")
     return polarity.sense_score(ad.corpus_chunks(spark, sf_dir), senses, ("document_id", "idx"), _L).withColumn("score", half_up(F.col("score"), 6))
 
 
-@query()
+@query(r"""WITH plain AS (SELECT doc_id, replace(translate(text, '‘’“”–' || chr(160), chr(39) || chr(39) || '""- '), '—', '--') AS t FROM documents),
+  cut AS (SELECT doc_id, regexp_replace(t, '(?i)\[[^\]]{0,80}\]|\((?:laughter|inaudible|crosstalk)\)', ' ', 'g') AS t FROM plain),
+  lines AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), '\r\n?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS t FROM cut),
+  trimmed AS (SELECT doc_id, regexp_replace(t, '^[ \t\n\v\f\r]+|[ \t\n\v\f\r]+$', '', 'g') AS t FROM lines)
+  SELECT doc_id, CAST(length(t) AS INTEGER) AS n, md5(t) AS digest FROM trimmed""")
 def normalized_documents(spark, sf_dir):
     d = ad.table(spark, sf_dir, "documents").select("doc_id", tx.normalize(F.col("text")).alias("t"))
     return d.select("doc_id", F.length("t").alias("n"), F.md5("t").alias("digest"))

@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.unicode import unescape_html
+
 TICKER = re.compile(r"[A-Z][A-Z0-9.\-]{0,9}")
 SEGMENTS = "array<struct<speaker:string,text:string>>"
 MDNA_CHARS, MDNA_LEAST, FEED_ITEMS = 200_000, 200, 15
@@ -87,7 +89,7 @@ def mdna_section(text: Column, start: str, end: str, most: int = MDNA_CHARS, lea
 def filings(spark: SparkSession, path: str, start: str, end: str) -> DataFrame:
     """(source_url, text): MD&A sections of HTML files."""
     raw = spark.read.text(path, wholetext=True)
-    return raw.select(F.col("_metadata.file_path").alias("source_url"), mdna_section(strip_tags(F.col("value")), start, end).alias("text"))
+    return raw.select(F.col("_metadata.file_path").alias("source_url"), mdna_section(unescape_html(strip_tags(F.col("value"))), start, end).alias("text"))
 
 
 def filing_index(spark: SparkSession, path: str, forms: list[str], since: str | None = None) -> DataFrame:
@@ -109,7 +111,7 @@ def news_feed(spark: SparkSession, path: str, ticker: str, since: str | None = N
     kept = order.withColumn("turn", turn).where(F.col("turn") <= items)
     day = F.to_date(F.try_to_timestamp(F.regexp_extract("pubDate", r"(\d{1,2} [A-Za-z]{3} \d{4})", 1), F.lit("d MMM yyyy")))
     return _since(_shaped(kept, "news", ticker=F.lit(ticker.upper()), doc_type=F.lit("news"), doc_date=F.coalesce(day, F.current_date()), title=F.col("title"), source_url=F.col("link"),
-                          text=F.concat_ws("\n", "title", strip_tags(F.coalesce("description", F.lit(""))))), since)
+                          text=F.concat_ws("\n", "title", unescape_html(strip_tags(F.coalesce("description", F.lit("")))))), since)
 
 
 def announcements(spark: SparkSession, path: str, ticker: str, since: str | None = None) -> DataFrame:

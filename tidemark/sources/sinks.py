@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
+from tidemark.functions.unicode import nfkc
 from tidemark.operators import transcripts
 
 LEAST_CHARS = 20
@@ -53,10 +54,11 @@ def chunk(documents: DataFrame) -> DataFrame:
 def ingest(documents: DataFrame, root: str) -> dict[str, int]:
     """Appends new documents and their sentences under ``root``; running it again adds nothing.
 
-    Sentences go first: a crash between the two writes leaves documents that are
-    not there yet, and the next run replaces their sentences' partition."""
+    Sentences go first: a crash between the two writes leaves sentences of
+    documents that are not there yet, and the next run adds only those that are
+    missing.  Texts are composed (NFKC) before anything else reads them."""
     spark = documents.sparkSession
-    good, bad = split_usable(documents)
+    good, bad = split_usable(documents.withColumn("text", nfkc(F.col("text"))))
     stored = read(spark, f"{root}/documents")
     fresh = new_documents(good, stored).persist()
     try:
@@ -64,7 +66,9 @@ def ingest(documents: DataFrame, root: str) -> dict[str, int]:
         stats = {"fetched": documents.count(), "new": fresh.count(), "failures": bad.count(), "chunks": chunks.count()}
         stats["duplicates"] = good.where(F.length(tx.normalize(F.col("text"))) >= LEAST_CHARS).count() - stats["new"]
         if stats["new"]:
-            chunks.write.mode("append").parquet(f"{root}/chunks")
+            before = read(spark, f"{root}/chunks")
+            missing = chunks if before is None else chunks.join(before.select("chunk_id"), "chunk_id", "left_anti").select(*before.columns)
+            missing.write.mode("append").parquet(f"{root}/chunks")
             fresh.drop("segments").write.mode("append").partitionBy("ticker").parquet(f"{root}/documents")
         chunks.unpersist()
     finally:
