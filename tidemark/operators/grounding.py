@@ -100,7 +100,8 @@ def dedupe_claims(claims: DataFrame) -> DataFrame:
 
 def stance(summary: DataFrame) -> DataFrame:
     """Net sentiment per ticker, the mean of its aspects' means, and its name."""
-    net = summary.groupBy("ticker").agg(F.avg("mean").alias("net"))
+    # sums of doubles depend on their order; the last digits may not decide a rounding
+    net = summary.groupBy("ticker").agg(F.round(F.avg("mean"), 9).alias("net"))
     name = F.when(F.col("net") > 0.2, "leaning positive").when(F.col("net") < -0.2, "leaning negative").otherwise("mixed")
     return net.select("ticker", half_up(F.col("net"), 3).alias("net"), name.alias("stance"))
 

@@ -216,7 +216,7 @@ def aspect_side_counts(spark, sf_dir):
     return grounding.side_counts(ad.scores(spark, sf_dir))
 
 
-@query(f"""WITH {ad.SCORES}, s AS (SELECT ticker, aspect, {r('avg(score)')} AS mean FROM scores GROUP BY ALL), net AS (SELECT ticker, avg(mean) AS net FROM s GROUP BY ticker)
+@query(f"""WITH {ad.SCORES}, s AS (SELECT ticker, aspect, {r('avg(score)')} AS mean FROM scores GROUP BY ALL), net AS (SELECT ticker, round(avg(mean), 9) AS net FROM s GROUP BY ticker)
   SELECT ticker, {r('net', 3)} AS net, CASE WHEN net > 0.2 THEN 'leaning positive' WHEN net < -0.2 THEN 'leaning negative' ELSE 'mixed' END AS stance FROM net""")
 def stance(spark, sf_dir):
     return grounding.stance(aspect_side_counts(spark, sf_dir))
