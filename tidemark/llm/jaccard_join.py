@@ -209,10 +209,11 @@ class _Group:
         m = len(self.n)
         out = np.zeros((m, m), bool)
         for a in range(0, m, 64):
-            out[a : a + 64] = (self.sig[a : a + 64, None, :] == self.sig[None, :, :]).sum(axis=2, dtype=np.int16) >= AGREE * self.sig.shape[1]
+            agree = (self.sig[a : a + 64, None, :] == self.sig[None, :, :]).sum(axis=2, dtype=np.int16) >= AGREE * self.sig.shape[1]
+            one, other = self.n[a : a + 64, None], self.n[None, :]
+            out[a : a + 64] = agree & (np.minimum(one, other) >= (similarity - 1e-9) * np.maximum(one, other))
         out &= np.tri(m, k=-1, dtype=bool).T
         if out.any():
-            out &= np.minimum.outer(self.n, self.n) >= (similarity - 1e-9) * np.maximum.outer(self.n, self.n)
             if self.block[0] != self.block[-1] or (self.block != self.block[0]).any():
                 out &= self.block[:, None] != self.block[None, :]
             if out.any():
@@ -271,9 +272,9 @@ class _Group:
         at = place[inverse]
         order = np.argsort(at, kind="stable")
         at, owner = at[order], owner[order]
-        for first in range(0, len(shared), 4096):
-            lo, hi = np.searchsorted(at, [first, first + 4096])
-            x = np.zeros((len(sets), min(4096, len(shared) - first)), np.float32)
+        for first in range(0, len(shared), 1024):
+            lo, hi = np.searchsorted(at, [first, first + 1024])
+            x = np.zeros((len(sets), min(1024, len(shared) - first)), np.float32)
             x[owner[lo:hi], at[lo:hi] - first] = 1
             out += x @ x.T
         return out
