@@ -38,7 +38,7 @@ def test_query_equals_sql(spark, name):
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="the driver's tables are not here")
-@pytest.mark.parametrize("name", ["aspects_present", "audit_sheet", "bootstrap_interval", "mention_rows", "normalized_documents", "pair_scores", "section_extract", "segment_sentences"])
+@pytest.mark.parametrize("name", ["audit_sheet", "bootstrap_interval", "mention_rows", "normalized_documents", "pair_scores", "section_extract", "segment_sentences"])
 def test_query_without_sql_gives_rows(spark, name):
     got = QUERIES[name](spark, str(DATA))
     assert got.count() > 0 and len(set(got.columns)) == len(got.columns)

@@ -22,7 +22,7 @@ pytestmark = pytest.mark.skipif(not DATA.exists(), reason="the driver's tables a
 def test_context_of_every_sentence(spark):
     texts = {(r["document_id"], r["idx"]): r["text"] for r in ad.corpus_chunks(spark, str(DATA)).collect()}
     want = Counter((d, t, i, len(texts[d, i]), i == t) for d, t in texts for i in range(t - 3, t + 4) if (d, i) in texts)
-    got = QUERIES["chunk_context_all"](spark, str(DATA)).select("document_id", "target_idx", "idx", "n", "is_target")
+    got = QUERIES["chunk_context"](spark, str(DATA)).select("document_id", "target_idx", "idx", "n", "is_target")
     assert Counter(tuple(r) for r in got.collect()) == want
     assert len({(d, t) for d, t, *_ in want}) == len(texts)
 
@@ -45,7 +45,7 @@ def test_triggers_of_every_clause(spark):
     chunks = ad.corpus_chunks(spark, str(DATA))
     rows = chunks.select("document_id", "idx", F.posexplode(tx.clauses(F.col("text"), _L.contrast)).alias("k", "clause")).collect()
     hits = [(r["document_id"], r["idx"], r["k"], a, found(t, r["clause"]), r["clause"].isascii()) for r in rows for a, t in _L.terms.items()]
-    got = QUERIES["trigger_hits_all"](spark, str(DATA)).select("document_id", "idx", "clause_idx", "aspect", "trigger")
+    got = QUERIES["trigger_hits"](spark, str(DATA)).select("document_id", "idx", "clause_idx", "aspect", "trigger")
     assert Counter(tuple(r) for r in got.collect()) == Counter(x[:5] for x in hits if x[4])
     assert any(x[4] and not x[5] for x in hits)
 

@@ -152,12 +152,15 @@ def feature_slot(feature: Column, dimensions: int) -> tuple[Column, Column]:
 def hashed_embedding(text: Column, dimensions: int = 384) -> Column:
     """Sparse hashed embedding, L2-normalised: map of dimension to weight; empty for a text without words."""
     slot = lambda f: F.struct(feature_slot(f, dimensions)[0].alias("d"), feature_slot(f, dimensions)[1].alias("s"))
-    total = lambda xs, d: F.aggregate(F.filter(xs, lambda x: x["d"] == d), F.lit(0.0), lambda a, x: a + x["s"])
     norm = lambda ws: F.sqrt(F.aggregate(ws, F.lit(0.0), lambda a, w: a + w * w))
     scaled = lambda ws: let(norm(ws), lambda n: F.transform(ws, lambda w: F.when(n > 0, w / n).otherwise(0.0)))
-    weights = lambda xs, ds: let(F.transform(ds, lambda d: total(xs, d)), scaled)
-    used = lambda xs: F.array_distinct(F.transform(xs, lambda x: x["d"]))
-    return let(F.transform(embed_features(text), slot), lambda xs: let(used(xs), lambda ds: F.map_from_arrays(ds, weights(xs, ds))))
+    # sorted by dimension, each one's signs stand together: a sum per run, and no look at the others
+    first = lambda xs: F.filter(F.transform(xs, lambda x, i: F.when((i == 0) | (x["d"] != F.get(xs, i - 1)["d"]), i)), lambda i: i.isNotNull())
+    ends = lambda xs, at: F.concat(F.slice(at, 2, F.greatest(F.size(at) - 1, F.lit(0))), F.array(F.size(xs)))
+    total = lambda xs, i, j: F.aggregate(F.slice(xs, i + 1, j - i), F.lit(0.0), lambda a, x: a + x["s"])
+    sums = lambda xs, at: F.zip_with(at, F.when(F.size(at) > 0, ends(xs, at)).otherwise(at), lambda i, j: total(xs, i, j))
+    built = lambda xs, at: F.map_from_arrays(F.transform(at, lambda i: F.get(xs, i)["d"]), let(sums(xs, at), scaled))
+    return let(F.array_sort(F.transform(embed_features(text), slot)), lambda xs: let(first(xs), lambda at: built(xs, at)))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -170,7 +173,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def map_dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.map_keys(a), F.lit(0.0), lambda s, k: s + F.element_at(a, k) * F.coalesce(F.try_element_at(b, k), F.lit(0.0)))
+    product = lambda x, y: F.aggregate(F.map_keys(x), F.lit(0.0), lambda s, k: s + F.element_at(x, k) * F.coalesce(F.try_element_at(y, k), F.lit(0.0)))
+    return let(a, lambda x: let(b, lambda y: product(x, y)))
 
 
 def mean_half_up(x: Column, digits: int = 4) -> Column:

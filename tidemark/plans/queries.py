@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -88,16 +89,9 @@ def points_topn(spark, sf_dir):
     return signals.drill_down(s, chunks, "T3", "purchase").select("chunk_id", "ticker", "doc_date", "section", half_up(F.col("score")).alias("score"))
 
 
-@query(f"""WITH {ad.SENTENCES} SELECT t.doc_id AS document_id, t.idx AS target_idx, c.idx, length(c.s) AS n, c.idx = t.idx AS is_target
-  FROM sents t JOIN sents c ON c.doc_id = t.doc_id AND abs(c.idx - t.idx) <= 3 WHERE t.idx % 10 = 0""")
+@query(f"""WITH {ad.SENTENCES}, near AS (SELECT doc_id, idx AS target_idx, unnest(range(idx - 3, idx + 4)) AS idx FROM sents)
+  SELECT t.doc_id AS document_id, t.target_idx, c.idx, length(c.s) AS n, c.idx = t.target_idx AS is_target FROM near t JOIN sents c ON c.doc_id = t.doc_id AND c.idx = t.idx""")
 def chunk_context(spark, sf_dir):
-    got = signals.context(ad.corpus_chunks(spark, sf_dir), 3, F.col("idx") % 10 == 0)
-    return got.select("document_id", "target_idx", "idx", F.length("text").cast("long").alias("n"), "is_target")
-
-
-@query()
-def chunk_context_all(spark, sf_dir):
-    """chunk_context of every sentence; that one's SQL keeps each tenth target."""
     got = signals.context(ad.corpus_chunks(spark, sf_dir), 3, F.lit(True))
     return got.select("document_id", "target_idx", "idx", F.length("text").cast("long").alias("n"), "is_target")
 
@@ -301,7 +295,7 @@ def claim_verification(spark, sf_dir):
 
 @query()
 def adversarial_catch_rates(spark, sf_dir):
-    top = grounding.evidence_topk(_evidence(spark, sf_dir), k=2)
+    top = grounding.evidence_topk(_evidence(spark, sf_dir))
     one = Window.partitionBy("chunk_id").orderBy(F.desc("strength"), "aspect")
     sources = top.withColumn("rn", F.row_number().over(one)).where("rn = 1")
     made_up = ["A pending merger will widen the market.", "A buyback of 12 million shares was agreed.", "Supply has recovered in all regions."]
@@ -396,24 +390,23 @@ def quotes(spark, sf_dir):
     return ad.table(spark, sf_dir, "documents").select("doc_id", tx.clean_quote(F.col("text")).alias("quote"))
 
 
-def _trigger_sql() -> str:
-    hit = lambda a: f"regexp_extract(clause, '(?i){term_pattern(_L.terms[a])}')"
-    return "hits AS (SELECT doc_id, idx, clause_idx, clause, unnest([" + ", ".join(f"struct_pack(aspect := '{a}', trigger := {hit(a)})" for a in _L.terms) + "], recursive := true) FROM clauses)"
-
+#: Spark's \\b sees letters and digits of all scripts, DuckDB's only ASCII ones: there the neighbours are spelled out.
+_EDGE = r"[^\p{L}\p{Nd}\p{Mn}_]"
 
-#: \\b sees ASCII letters alone in DuckDB: accented neighbours are kept out of both sides.
-_PLAIN = "regexp_full_match(clause, '[\\x00-\\x7f]*')"
 
+def _trigger_sql() -> str:
+    def hit(aspect: str) -> str:
+        term = lambda t: re.escape(t.rstrip("*")).replace(r"\ ", " ") + (r"\w*" if t.endswith("*") else f"(?:{_EDGE}|$)")
+        found = lambda t: f"regexp_extract(clause, '(?i)(?:^|{_EDGE})({t})', 1)"
+        # the end of a term is no part of it: the longest term that starts first is extracted, then cut from its neighbour
+        whole = found("|".join(term(t) for t in sorted(_L.terms[aspect], key=len, reverse=True)))
+        return f"regexp_replace({whole}, '{_EDGE}$', '')"
 
-@query(f"""WITH {ad.SENTENCES}, {_CLAUSES}, {_trigger_sql()} SELECT doc_id AS document_id, idx, clause_idx, aspect, trigger FROM hits WHERE trigger <> '' AND {_PLAIN}""")
-def trigger_hits(spark, sf_dir):
-    got = aspects.mentions(ad.corpus_chunks(spark, sf_dir), _L).where(F.col("clause").rlike("^[\\x00-\\x7f]*$"))
-    return got.select("document_id", "idx", F.col("clause_idx").cast("long").alias("clause_idx"), "aspect", "trigger")
+    return "hits AS (SELECT doc_id, idx, clause_idx, clause, unnest([" + ", ".join(f"struct_pack(aspect := '{a}', trigger := {hit(a)})" for a in _L.terms) + "], recursive := true) FROM clauses)"
 
 
-@query()
-def trigger_hits_all(spark, sf_dir):
-    """trigger_hits of every clause; that one's SQL keeps ASCII clauses alone."""
+@query(f"""WITH {ad.SENTENCES}, {_CLAUSES}, {_trigger_sql()} SELECT doc_id AS document_id, idx, clause_idx, aspect, trigger FROM hits WHERE trigger <> ''""")
+def trigger_hits(spark, sf_dir):
     got = aspects.mentions(ad.corpus_chunks(spark, sf_dir), _L)
     return got.select("document_id", "idx", F.col("clause_idx").cast("long").alias("clause_idx"), "aspect", "trigger")
 
@@ -690,11 +683,11 @@ def vector_topk(spark, sf_dir):
 
 @query("""WITH w AS (SELECT item_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9%]+'), lambda x: NOT list_contains(['the','a','an','of','and','to','in','on','for','is','are','was','were','we','our','that','this','it','as','at','by','be','with','from','has','have','had'], x)) AS ws FROM benchmark),
   f AS (SELECT item_id, unnest(ws || list_transform(range(1, len(ws)), lambda i: ws[i] || '_' || ws[i + 1])) AS f FROM w),
-  s AS (SELECT item_id, CAST(('0x' || substr(md5(f), 1, 8)) AS BIGINT) % 64 AS d, sum(CASE WHEN substr(md5(f), 9, 1) IN ('8','9','a','b','c','d','e','f') THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS v FROM f GROUP BY ALL),
+  s AS (SELECT item_id, CAST(('0x' || substr(md5(f), 1, 8)) AS BIGINT) % 384 AS d, sum(CASE WHEN substr(md5(f), 9, 1) IN ('8','9','a','b','c','d','e','f') THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS v FROM f GROUP BY ALL),
   n AS (SELECT *, sqrt(sum(v * v) OVER (PARTITION BY item_id)) AS norm FROM s) SELECT item_id, d, floor(CASE WHEN norm > 0 THEN v / norm ELSE 0 END * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE AS weight FROM n""")
 def hash_embedding(spark, sf_dir):
     b = ad.table(spark, sf_dir, "benchmark")
-    return b.select("item_id", F.explode(tx.hashed_embedding(F.col("text"), 64)).alias("d", "weight")).select("item_id", "d", half_up(F.col("weight"), 6).alias("weight"))
+    return b.select("item_id", F.explode(tx.hashed_embedding(F.col("text"), 384)).alias("d", "weight")).select("item_id", "d", half_up(F.col("weight"), 6).alias("weight"))
 
 
 @query()
@@ -759,7 +752,8 @@ def mention_rows(spark, sf_dir):
     return got.select("document_id", "idx", "clause_idx", "aspect", "trigger", "negated", half_up(F.col("hedge")).alias("hedge"), F.array_join("opinion_words", " ").alias("opinion_words"))
 
 
-@query()
+@query(f"""WITH {ad.SENTENCES}, {_CLAUSES}, {_trigger_sql()}, found AS (SELECT DISTINCT doc_id, idx, aspect FROM hits WHERE trigger <> '')
+  SELECT doc_id AS document_id, idx, string_agg(aspect, ',' ORDER BY list_position({list(_L.terms)}, aspect)) AS aspects FROM found GROUP BY doc_id, idx""")
 def aspects_present(spark, sf_dir):
     got = aspects.present(aspects.mentions(ad.corpus_chunks(spark, sf_dir), _L), list(_L.terms), ("document_id", "idx"))
     return got.withColumn("aspects", F.array_join("aspects", ","))
