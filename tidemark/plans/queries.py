@@ -12,7 +12,7 @@ from tidemark.functions import polarity
 from tidemark.functions import text as tx
 from tidemark.functions.lexicons import LABELS, term_pattern
 from tidemark.functions.text import half_up
-from tidemark.operators import aspects, evaluation, grounding, signals, transcripts
+from tidemark.operators import aspects, evaluation, grounding, service, signals, transcripts
 from tidemark.plans import adapters as ad
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -839,3 +839,63 @@ def fixed_effects(spark, sf_dir):
 @query()
 def bootstrap_interval(spark, sf_dir):
     return evaluation.bootstrap_ci(event_returns(spark, sf_dir), "car_0_1", "drift_2_11")
+
+
+# --- service -------------------------------------------------------------------------
+
+_DIGESTS = f"""win AS (SELECT ticker, max(doc_date) - 14 AS window_start, max(doc_date) AS window_end FROM scores GROUP BY ticker),
+  lines AS (SELECT w.*, md5({_LINE}) AS h FROM win w JOIN scores s ON s.ticker = w.ticker AND s.doc_date BETWEEN w.window_start AND w.window_end),
+  sums AS (SELECT ticker, window_start, window_end, count(*) AS n, sum(('0x' || substr(h, 1, 15))::BIGINT) AS a, sum(('0x' || substr(h, 16, 15))::BIGINT) AS b FROM lines GROUP BY ALL)"""
+
+
+@query(f"""WITH {ad.SCORES}, {_DIGESTS} SELECT ticker, window_start, window_end, sha256(concat_ws('|', ticker, window_start, window_end, 'rules', n, a, b)) AS fingerprint, n FROM sums""")
+def brief_keys(spark, sf_dir):
+    s = ad.scores(spark, sf_dir)
+    return service.brief_keys(s, signals.default_window(s, 14))
+
+
+@query(f"""WITH {ad.SCORES.replace('FROM events)', 'FROM events WHERE day(CAST(ts AS DATE)) % 3 <> 0)')}, {_SUMMARY}
+  SELECT ticker, ticker || '/' || doc_date AS document_id, doc_date, {rm('delta')} AS delta, {rm('mean')} AS doc_level, {rm('prepared')} AS prepared FROM summary GROUP BY ticker, doc_date""")
+def score_events(spark, sf_dir):
+    return service.events(ad.scores(spark, sf_dir))
+
+
+@query(f"WITH {_GOLD} SELECT doc_id, t, p, trap FROM gold WHERE t <> p")
+def failing_rows(spark, sf_dir):
+    return service.failing_rows(_gold(spark, sf_dir), "t", "p").select("doc_id", "t", "p", "trap")
+
+
+@query(f"WITH {_GOLD} SELECT lang AS model, count_if(trap) AS trap_n, {r('avg(CASE WHEN t = p THEN 1.0::DOUBLE ELSE 0 END) FILTER (trap)')} AS trap_accuracy FROM gold GROUP BY lang")
+def trap_accuracy(spark, sf_dir):
+    return service.trap_accuracy(_gold(spark, sf_dir).withColumnRenamed("lang", "model"), "t", "p", "trap", 1.0).drop("ms_per_item")
+
+
+@query(f"""WITH {ad.SCORES}, {_CLAIMS} SELECT count(*) AS corrupted, {r("avg(CASE WHEN status <> 'supported' THEN 1.0::DOUBLE ELSE 0 END)")} AS caught FROM claims WHERE aspect <> 'view'""")
+def overall_catch_rate(spark, sf_dir):
+    kind = F.when(F.col("aspect") == "view", "faithful").otherwise(F.col("aspect"))
+    return service.overall_catch_rate(_claims(spark, sf_dir).withColumn("kind", kind))
+
+
+@query(f"WITH {ad.SCORES}, {_CLAIMS}, g AS (SELECT ticker, side, list_sort(cited) AS ids, count(*) AS n FROM claims GROUP BY ALL) SELECT ticker, CAST(sum(n - 1) AS BIGINT) AS merged FROM g GROUP BY ticker")
+def merged_claims(spark, sf_dir):
+    return service.merged_claims(_claims(spark, sf_dir))
+
+
+@query("""WITH l AS (SELECT doc_id AS item_id, CASE n_chars % 4 WHEN 0 THEN 'not about aspect' WHEN 1 THEN 'negative' WHEN 2 THEN 'neutral' ELSE 'positive' END AS label FROM documents)
+  SELECT count(*) AS labelled, count_if(label <> 'not about aspect') AS kept, count_if(label = 'not about aspect') AS not_about_aspect,
+    floor(avg(CASE WHEN label <> 'not about aspect' THEN 1.0::DOUBLE ELSE 0 END) * 1000 + 0.5::DOUBLE) / 1000 AS aspect_precision FROM l""")
+def aspect_precision(spark, sf_dir):
+    d = ad.table(spark, sf_dir, "documents")
+    named = F.element_at(tx.strings(["not about aspect", "negative", "neutral", "positive"]), (F.col("n_chars") % 4 + 1).cast("int"))
+    rows = d.select(F.col("doc_id").alias("item_id"), named.alias("label"))
+    return service.kept_labels(rows, d.select(F.col("doc_id").alias("item_id"), "source"))[1]
+
+
+@query(f"WITH {_TWO}, gold AS (SELECT m AS model, pred_a AS t, CASE m WHEN 'pred_a' THEN pred_a ELSE pred_b END AS p FROM two CROSS JOIN (SELECT unnest(['pred_a', 'pred_b']) AS m) x), " + _REPORT.replace("GROUP BY l.label", "GROUP BY model, l.label").replace("SELECT l.label,", "SELECT model, l.label,").replace("SELECT label,", "SELECT model, label,").replace("OVER ()", "OVER (PARTITION BY model)") + " SELECT * FROM report")
+def stored_predictions(spark, sf_dir):
+    return service.stored_against_labels(_two(spark, sf_dir).withColumn("label", F.col("pred_a")))
+
+
+@query("SELECT item_id, CASE WHEN coalesce(length(text), 0) = 0 THEN 'empty' WHEN length(text) > 300 THEN 'too long' END AS problem FROM benchmark")
+def checked_texts(spark, sf_dir):
+    return service.check_texts(ad.table(spark, sf_dir, "benchmark"), most=300).select("item_id", "problem")
