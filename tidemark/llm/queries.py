@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.llm.cobuckets import Numbered, co_bucket, crc32_bucket
 from tidemark.llm.common import table
 from tidemark.llm.exact_search import exact_topk
 from tidemark.llm.jaccard_join import jaccard_join
 from tidemark.llm.language_id import identify_language
 from tidemark.llm.licenses import scan_licences, scan_sql
 from tidemark.llm.mixing import mix_sources
+from tidemark.llm.negatives import hard_negatives
 from tidemark.llm.neighbours import nearest
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality import score_quality
@@ -59,6 +62,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_co_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sales, lines, buckets = table(spark, sf_dir, "sales"), table(spark, sf_dir, "sale_lines"), 600
+    bucket = F.coalesce(crc32_bucket("sale_id", buckets, "s"), F.lit(buckets + 1))
+    left = Numbered("sales", sales, "sale_id", F.when(bucket % 4 == 1, bucket - 1).otherwise(bucket), buckets + 2)
+    right = Numbered("sale_lines", lines, "sale_id", F.coalesce(crc32_bucket("item_id", buckets), F.lit(0)), buckets)
+    return co_bucket(left, right, buckets, "s")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", label))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_exact_topk": op2_exact_topk,
@@ -70,6 +87,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
+    "op11_co_buckets": op11_co_buckets,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 SQL: dict[str, str] = {
