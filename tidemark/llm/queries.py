@@ -17,6 +17,7 @@ from tidemark.llm.mixing import mix_sources
 from tidemark.llm.negatives import hard_negatives
 from tidemark.llm.neighbours import nearest
 from tidemark.llm.packing import pack_documents
+from tidemark.llm.phrases import repeated_phrases
 from tidemark.llm.quality import score_quality
 from tidemark.llm.repeats import repeat_spans
 from tidemark.llm.token_counts import token_counts
@@ -70,6 +71,10 @@ def op11_co_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return co_bucket(left, right, buckets, "s")
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_phrases(table(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
     "op11_co_buckets": op11_co_buckets,
+    "op12_phrases": op12_phrases,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
