@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import shared_dir, stored
 
-#: The folders of files before and after; the numbers are those of partition directories.
+#: Partition directories of files before and after; a table that has such a column gets longer names.
 START, FINAL = "start_file", "bucket_file"
 #: Ids that one update of a digest takes at once.
 CHUNK = 4_096
@@ -81,19 +81,20 @@ class Numbered:
     #: Starting files are numbered below this.
     starts: int
 
-    def check(self) -> None:
-        clash = {c.lower() for c in self.rows.columns} & {START, FINAL}
-        if clash:
-            raise ValueError(f"{self.name} has columns {sorted(clash)}")
+    def free(self, name: str) -> str:
+        """``name``, made longer until no column of the table has it."""
+        used = {c.lower() for c in self.rows.columns}
+        while name in used:
+            name += "_"
+        return name
 
 
 def start_files(table: Numbered, folder: str) -> DataFrame:
     """Writes the table as numbered files; returns it as read from them, with the number of each row's file."""
-    table.check()
-    spark = table.rows.sparkSession
+    spark, number = table.rows.sparkSession, table.free(START)
     path = f"{folder}/{table.name}"
-    write_numbered(table.rows.withColumn(START, table.start), START, surrogate_keys(spark, table.starts), table.key, path)
-    return numbered_rows(spark, table.rows.schema, path, START)
+    write_numbered(table.rows.withColumn(number, table.start), number, surrogate_keys(spark, table.starts), table.key, path)
+    return numbered_rows(spark, table.rows.schema, path, number)
 
 
 def numbered_rows(spark: SparkSession, schema, path: str, number: str) -> DataFrame:
@@ -102,42 +103,43 @@ def numbered_rows(spark: SparkSession, schema, path: str, number: str) -> DataFr
     return rows.withColumn(number, F.regexp_extract(F.col("_metadata.file_path"), f"/{number}=(\\d+)/", 1).cast("int"))
 
 
-def bucket_of(rows: DataFrame, key: str, buckets: int, prefix: str, other: DataFrame | None = None) -> DataFrame:
-    """``rows`` with FINAL: the bucket of each key; ``buckets`` where ``other`` (distinct keys) lacks it, one more where it is null.
+def bucket_of(rows: DataFrame, table: Numbered, buckets: int, prefix: str, other: DataFrame | None = None) -> DataFrame:
+    """``rows`` with the bucket of each key; ``buckets`` where ``other`` (one column of distinct keys) lacks it, one more where it is null.
 
     The join is a sort-merge one, whose large partitions Spark splits at run
     time; null keys, which it couldn't split, take no part in it.
     """
-    known = rows.where(F.col(key).isNotNull())
+    key, final = table.key, table.free(FINAL)
+    known, bucket = rows.where(F.col(key).isNotNull()), crc32_bucket(key, buckets, prefix)
     if other is None:
-        known = known.withColumn(FINAL, crc32_bucket(key, buckets, prefix))
+        known = known.withColumn(final, bucket)
     else:
-        there = other.select(F.col(key), F.lit(True).alias("there")).hint("merge")
-        known = known.join(there, key, "left").withColumn(FINAL, F.when(F.col("there"), crc32_bucket(key, buckets, prefix)).otherwise(buckets)).select(*rows.columns, FINAL)
-    return known.unionByName(rows.where(F.col(key).isNull()).withColumn(FINAL, F.lit(buckets + 1)))
+        theirs = table.free("known_key")
+        there = other.toDF(theirs).hint("merge")
+        known = known.join(there, F.col(key) == F.col(theirs), "left").withColumn(final, F.when(F.col(theirs).isNotNull(), bucket).otherwise(buckets)).drop(theirs)
+    return known.unionByName(rows.where(F.col(key).isNull()).withColumn(final, F.lit(buckets + 1)))
 
 
-def rewrite(rows: DataFrame, name: str, key: str, keys: list[int], folder: str) -> DataFrame:
-    """Writes one file per bucket of ``rows`` (with START and FINAL), but for those that a starting file is already.
+def rewrite(rows: DataFrame, table: Numbered, keys: list[int], folder: str) -> DataFrame:
+    """Writes one file per bucket of ``rows``, but for those that a starting file is already.
 
     Starting files that aren't go, once the others are written.  Returns per
     bucket: ``table_name``, ``bucket``, ``start`` (the starting file that
     stayed, or null) and ``lineage_sha256``.  What it gathers are at most (files
     x buckets) counts.
     """
-    spark = rows.sparkSession
-    counts = rows.groupBy(START, FINAL).agg(F.count("*").alias("n"))
-    alone = F.count("*").over(Window.partitionBy(START)) == 1
-    cells = stored(counts.withColumn("whole", alone & (F.count("*").over(Window.partitionBy(FINAL)) == 1)))
-    line = F.transform(F.array_sort(F.collect_list(F.struct(START, "n"))), lambda x: F.concat_ws(":", x[START], x["n"]))
-    known = cells.groupBy(F.col(FINAL).alias("bucket")).agg(F.sha2(F.array_join(line, ","), 256).alias("lineage_sha256"), F.max(F.when(F.col("whole"), F.col(START))).alias("start"))
-    staying = [r[0] for r in cells.where("whole").select(FINAL).collect()]
-    columns = [c for c in rows.columns if c != START]
-    write_numbered(rows.where(~F.col(FINAL).isin(staying)).select(*[f"`{c}`" for c in columns]), FINAL, keys, key, f"{folder}/{name}/rewritten")
-    stay = {r[0] for r in cells.where("whole").select(START).collect()}
-    for (number,) in cells.select(START).distinct().collect():
-        if number not in stay:
-            _delete(spark, f"{folder}/{name}/{START}={number}")
+    spark, name, first, final = rows.sparkSession, table.name, table.free(START), table.free(FINAL)
+    counts = rows.groupBy(F.col(first).alias("s"), F.col(final).alias("b")).agg(F.count("*").alias("n"))
+    alone = F.count("*").over(Window.partitionBy("s")) == 1
+    cells = stored(counts.withColumn("whole", alone & (F.count("*").over(Window.partitionBy("b")) == 1)))
+    line = F.transform(F.array_sort(F.collect_list(F.struct("s", "n"))), lambda x: F.concat_ws(":", x["s"], x["n"]))
+    known = cells.groupBy(F.col("b").alias("bucket")).agg(F.sha2(F.array_join(line, ","), 256).alias("lineage_sha256"), F.max(F.when(F.col("whole"), F.col("s"))).alias("start"))
+    staying = {r["s"]: r["b"] for r in cells.where("whole").collect()}
+    moved = rows.where(~F.col(final).isin(list(staying.values()))) if staying else rows
+    write_numbered(moved.drop(first), final, keys, table.key, f"{folder}/{name}/rewritten")
+    for (number,) in cells.select("s").distinct().collect():
+        if number not in staying:
+            _delete(spark, f"{folder}/{name}/{first}={number}")
     return known.withColumn("table_name", F.lit(name))
 
 
@@ -180,7 +182,7 @@ def co_bucket(left: Numbered, right: Numbered, buckets: int, prefix: str = "", f
     A key's bucket is crc32 of ``prefix`` and its decimal text, modulo
     ``buckets``.  Keys of ``right`` that ``left`` lacks go to bucket
     ``buckets``, null keys of either to the one after it.  Columns of any type
-    that has an order are kept, under any name but START and FINAL; repeated
+    that has an order are kept, under any name; repeated
     rows are kept as often as they stand there, and equal rows need no order.
     Empty tables have no files and no rows in the result.  All is written to
     ``folder``, a new one in the shared folder unless named, and left there.
@@ -193,39 +195,37 @@ def co_bucket(left: Numbered, right: Numbered, buckets: int, prefix: str = "", f
     folder = folder or f"{shared_dir(spark)}/co-buckets-{uuid.uuid4().hex}"
     keys = surrogate_keys(spark, buckets + 2)
     started = {t.name: start_files(t, folder) for t in (left, right)}
-    ids = stored(started[left.name].where(F.col(left.key).isNotNull()).select(F.col(left.key).alias(right.key)).distinct())
-    known = rewrite(bucket_of(started[left.name], left.key, buckets, prefix), left.name, left.key, keys, folder)
+    ids = stored(started[left.name].where(F.col(left.key).isNotNull()).select(left.key).distinct())
+    known = rewrite(bucket_of(started[left.name], left, buckets, prefix), left, keys, folder)
     # the join is written once: counts and files both read it
-    known = known.unionByName(rewrite(stored(bucket_of(started[right.name], right.key, buckets, prefix, ids)), right.name, right.key, keys, folder))
-    known = stored(known)
+    known = stored(known.unionByName(rewrite(stored(bucket_of(started[right.name], right, buckets, prefix, ids)), right, keys, folder)))
 
     # from here on, only what the files hold
     runs = None
-    for slot, t in enumerate((left, right)):
+    for side, t in enumerate((left, right)):
         held = spark.read.schema(t.rows.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/{t.name}")
         held = held.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("at"), F.col(t.key).cast("string").alias("id"))
         held = held.groupBy("path", "id").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.max("at").alias("last"))
-        held = held.withColumn("table_name", F.lit(t.name)).withColumn("side", F.lit(slot))
+        number = lambda kind, t=t: F.regexp_extract("path", f"/{t.free(kind)}=(\\d+)/", 1).try_cast("int")
+        held = held.select(F.lit(t.name).alias("table_name"), F.lit(side).alias("side"), "*", number(START).alias("start"), number(FINAL).alias("new"))
         runs = held if runs is None else runs.unionByName(held)
-    number = lambda kind: F.regexp_extract("path", f"/{kind}=(\\d+)/", 1).try_cast("int")
-    placed = runs.withColumn("start", number(START)).withColumn("new", number(FINAL))
-    stayed = known.where("start IS NOT NULL").select("table_name", "start", F.col("bucket").alias("old"))
+    placed, stayed = runs, known.where("start IS NOT NULL").select("table_name", "start", F.col("bucket").alias("old"))
     placed = stored(placed.join(F.broadcast(stayed), ["table_name", "start"], "left").withColumn("bucket", F.coalesce("new", "old")))
-    sorted_wrong = placed.where("last - first + 1 != n OR bucket IS NULL").limit(1).count()
-    if sorted_wrong:
+    misplaced = placed.where("last - first + 1 != n OR bucket IS NULL").limit(1).count()
+    if misplaced:
         raise RuntimeError(f"a file below {folder} isn't sorted by its key or has no bucket")
     digests = file_digests(placed.withColumn("slot", F.col("bucket") * 2 + F.col("side")), surrogate_keys(spark, 2 * (buckets + 2)))
-    files = placed.groupBy("table_name", "bucket", "path").agg(F.sum("n").alias("n_rows"))
+    files = placed.groupBy("table_name", "bucket", "path", "new").agg(F.sum("n").alias("n_rows"))
     each = lambda side: F.sum(F.when(F.col("side") == side, F.col("n")).otherwise(0))
     pairs = placed.where((F.col("bucket") < buckets) & F.col("id").isNotNull()).groupBy("bucket", "id").agg((each(0) * each(1)).alias("pairs"))
     joined = pairs.groupBy("bucket").agg(F.sum("pairs").alias("n_joined"))
     named = F.create_map(*[F.lit(x) for t in (left, right) for x in (t.name, ",".join(t.rows.columns))])
     out = files.join(digests, "path").join(known.drop("start"), ["table_name", "bucket"]).join(joined, "bucket", "left")
     # paths begin as the shared folder is named, which may be without a scheme
-    path = F.concat(F.lit(folder), F.substring_index("path", folder.rsplit("/", 1)[-1], -1))
+    path = F.concat(F.lit(folder), F.regexp_extract("path", "/[^/]+(?:/rewritten)?/[^/]+/[^/]+$", 0))
     return stored(
         out.select(
             "table_name", path.alias("path"), named[F.col("table_name")].alias("columns"), "ids_sha256", "lineage_sha256", F.col("bucket").cast("long").alias("bucket"),
-            F.col("n_rows").cast("long").alias("n_rows"), F.coalesce("n_joined", F.lit(0)).cast("long").alias("n_joined"), F.col("path").contains(f"/{FINAL}=").alias("rewritten"),
+            F.col("n_rows").cast("long").alias("n_rows"), F.coalesce("n_joined", F.lit(0)).cast("long").alias("n_joined"), F.col("new").isNotNull().alias("rewritten"),
         )
     )

@@ -242,7 +242,8 @@ def _located(docs: DataFrame, texts: DataFrame, pointers: DataFrame, phrases: Da
 
 
 def repeated_phrases(df: DataFrame, text: str = "text", id_col: str = "doc_id", window: int = WINDOW, span: int = SPAN, words_per_shard: int = WORDS_PER_SHARD, keep_text: bool = False) -> DataFrame:
-    """``id_col``, ``n_words``, ``n_removed``, ``n_spans`` (maximal removed runs), ``kept_sha256`` per row, and with ``keep_text`` the ``kept`` words.
+    """``id_col``, ``n_words``, ``n_removed``, ``n_spans`` (maximal removed runs), ``kept_sha256`` per row, and with
+    ``keep_text`` the ``kept`` words, null where nothing is removed.
 
     Words are the runs of characters that are neither blanks nor the controls 9
     to 13, unchanged.  A word goes if it lies in a window of ``window``
@@ -267,6 +268,6 @@ def repeated_phrases(df: DataFrame, text: str = "text", id_col: str = "doc_id",
     words = texts.agg(F.sum("n_words")).head()[0] or 0
     found = _located(docs, texts, pointers, phrases, max(1, words // words_per_shard))
     result = texts.select("d", "row", "n_words", "sha").join(found if keep_text else found.drop("kept"), "row", "left")
-    out = df.select(F.col(id_col), F.unhex(F.md5(whole)).alias("d")).join(result, "d")
-    columns = [F.col(id_col), "n_words", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_removed", "n_spans")], F.coalesce("kept_sha256", "sha").alias("kept_sha256")]
-    return out.select(*columns, *(["kept", "d"] if keep_text else []))
+    out = df.select(F.col(id_col).alias("i"), F.unhex(F.md5(whole)).alias("d")).join(result, "d")
+    columns = [F.col("i").alias(id_col), "n_words", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_removed", "n_spans")], F.coalesce("kept_sha256", "sha").alias("kept_sha256")]
+    return out.select(*columns, *(["kept"] if keep_text else []))
