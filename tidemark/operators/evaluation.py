@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.lexicons import LABELS
 from tidemark.functions.text import half_up
+from tidemark.operators import ranks
 
 HORIZONS = {"car_0_1": (0, 1), "car_0_4": (0, 4), "drift_2_11": (2, 11)}
 
@@ -101,11 +102,6 @@ def revisions(estimates: DataFrame) -> DataFrame:
     return rows.select("symbol", "day", "eps", half_up((F.col("eps") - F.col("prev")) / F.abs("prev"), 6).alias("revision"))
 
 
-def average_rank(column: str, *keys: str) -> Column:
-    w = Window.partitionBy(*keys)
-    return F.rank().over(w.orderBy(column)) + (F.count("*").over(Window.partitionBy(*keys, column)) - 1) / 2
-
-
 def _beta(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta by its continued fraction (Lentz)."""
     if x <= 0 or x >= 1:
@@ -133,38 +129,19 @@ def t_pvalue(t: float, degrees: float) -> float:
 
 
 def correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """(x, y, n, pearson, spearman) of rows where both are known; null for fewer than 3."""
-    out = None
-    for x, y in pairs:
-        rows = df.select(F.col(x).cast("double").alias("a"), F.col(y).cast("double").alias("b")).dropna().withColumn("k", F.lit(1))
-        ranked = rows.withColumns({"ra": average_rank("a", "k"), "rb": average_rank("b", "k")})
-        enough = lambda c: F.when(F.count("*") >= 3, half_up(c))
-        one = ranked.agg(F.lit(x).alias("x"), F.lit(y).alias("y"), F.count("*").alias("n"), enough(F.corr("a", "b")).alias("pearson"), enough(F.corr("ra", "rb")).alias("spearman"))
-        out = one if out is None else out.unionByName(one)
-    return out
-
+    """(x, y, n, pearson, spearman) of rows where both are known; null for fewer than 3, or if one is constant.
 
-def bootstrap_ci(df: DataFrame, x: str, y: str, samples: int = 2000, seed: int = 0) -> DataFrame:
-    """(low, high): percentile interval of the Spearman correlation; the events (bounded: one row per call) go to tasks as numbers."""
-    rows = np.array(df.select(x, y).dropna().orderBy(x, y).collect(), float).reshape(-1, 2)
-    n = len(rows)
+    All pairs are cells of one pass; ranks come from slices of the order."""
+    each = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(x).cast("double").alias("a"), F.col(y).cast("double").alias("b")) for x, y in pairs])
+    found = ranks.rank_correlations(df.select(F.inline(each)), ["x", "y"])
+    asked = df.sparkSession.createDataFrame(pairs, "x string, y string")
+    enough = lambda c: F.when(F.col("n") >= 3, half_up(F.col(c))).alias(c)
+    return asked.join(found, ["x", "y"], "left").select("x", "y", F.coalesce("n", F.lit(0)).alias("n"), enough("pearson"), enough("spearman"))
 
-    def draw(batches):
-        import pandas as pd
 
-        rank = lambda v: pd.Series(v).rank().to_numpy()
-        for batch in batches:
-            got = []
-            for b in batch["id"]:
-                some = rows[np.random.default_rng((seed, int(b))).integers(0, n, n)] if n else rows
-                if n > 2 and len(np.unique(some[:, 0])) > 1 and len(np.unique(some[:, 1])) > 1:
-                    got.append(float(np.corrcoef(rank(some[:, 0]), rank(some[:, 1]))[0, 1]))
-            yield pd.DataFrame({"r": got})
-
-    w = Window.orderBy("r")
-    drawn = df.sparkSession.range(samples).mapInPandas(draw, "r double").withColumns({"i": F.row_number().over(w) - 1, "m": F.count("*").over(Window.partitionBy())})
-    pick = lambda q: F.max(F.when((F.col("i") == F.floor(q * F.col("m"))) & (F.col("m") >= 50), F.col("r")))
-    return drawn.agg(pick(0.025).alias("low"), pick(0.975).alias("high"))
+def bootstrap_ci(df: DataFrame, x: str, y: str, samples: int = 2000, seed: int = 0) -> DataFrame:
+    """(low, high): percentile interval of the Spearman correlation over Poisson resamples; see ``ranks``."""
+    return ranks.percentile_interval(ranks.resampled_spearman(df, x, y, samples, seed))
 
 
 def ols_fixed_effects(df: DataFrame, y: str, xs: list[str], group: str) -> dict:
@@ -183,12 +160,82 @@ def ols_fixed_effects(df: DataFrame, y: str, xs: list[str], group: str) -> dict:
     bread = np.linalg.pinv(xx)
     cover = bread @ np.array([[meat[f"{a}_{b}"] or 0.0 for b in names] for a in names]) @ bread * sums["n"] / max(free, 1)
     errors = np.sqrt(np.maximum(np.diag(cover), 0))
-    p = [t_pvalue(b / s, free) if s > 0 else float("nan") for b, s in zip(beta, errors)]
+    p = [math.erfc(abs(b) / s / math.sqrt(2)) if s > 0 else float("nan") for b, s in zip(beta, errors)]  # robust errors: normal
     return {"n": sums["n"], "coef": dict(zip(xs, beta.tolist())), "error": dict(zip(xs, errors.tolist())), "p": dict(zip(xs, p)), "r2_within": 1 - meat["rss"] / meat["tss"] if meat["tss"] else 0.0}
 
 
-def bonferroni(df: DataFrame, p: str = "p") -> DataFrame:
-    return df.withColumn("p_bonferroni", F.least(F.lit(1.0), F.col(p) * F.count(p).over(Window.partitionBy())))
+def cell_regressions(df: DataFrame, keys: list[str], y: str, xs: list[str], group: str) -> DataFrame:
+    """(``keys``, n, groups, x, coef, error, p): least squares with group effects per cell, HC1 errors and normal p-values.
+
+    Two passes of sums of products over all cells at once; the small systems are
+    solved per cell, in tasks.  Rows with a null take no part; a cell without
+    degrees of freedom has null errors."""
+    names = [f"x{i}" for i in range(len(xs))]
+    rows = df.select(*keys, F.col(group).alias("g"), F.col(y).cast("double").alias("y"), *[F.col(x).cast("double").alias(c) for x, c in zip(xs, names)]).dropna()
+    w = Window.partitionBy(*keys, "g")
+    rows = rows.select(*keys, "g", *[(F.col(c) - F.avg(c).over(w)).alias(c) for c in ("y", *names)])
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    products = [F.sum(F.col(a) * F.col(b)) for a in names for b in ("y", *names)]
+    sums = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.count_distinct("g").alias("groups"), F.array(*products).alias("s"))
+
+    def solve(batches):
+        for batch in batches:
+            tables = [np.array(s, float).reshape(len(xs), len(xs) + 1) for s in batch["s"]]
+            yield batch.assign(beta=[(np.linalg.pinv(t[:, 1:]) @ t[:, 0]).tolist() for t in tables], bread=[np.linalg.pinv(t[:, 1:]).ravel().tolist() for t in tables])[[*keys, "n", "groups", "beta", "bread"]]
+
+    fits = sums.mapInPandas(solve, f"{kinds}, n long, groups long, beta array<double>, bread array<double>")
+    fitted = rows.join(fits, keys)  # a row per cell: Spark broadcasts it if it is small
+    e = F.col("y") - sum((F.get("beta", F.lit(i)) * F.col(c) for i, c in enumerate(names)), F.lit(0.0))
+    meat = F.array(*[F.sum(F.col(a) * F.col(b) * e * e) for a in names for b in names])
+    meats = fitted.groupBy(*keys, "n", "groups", "beta", "bread").agg(meat.alias("meat"))
+
+    def errors(batches):
+        import pandas as pd
+
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                k, r = len(xs), r._asdict()
+                bread, free = np.array(r["bread"]).reshape(k, k), r["n"] - k - r["groups"]
+                cover = bread @ np.array(r["meat"], float).reshape(k, k) @ bread * r["n"] / free if free > 0 else np.full((k, k), np.nan)
+                for i, x in enumerate(xs):
+                    coef, error = float(r["beta"][i]), float(np.sqrt(max(cover[i, i], 0.0))) if free > 0 else None
+                    p = math.erfc(abs(coef) / error / math.sqrt(2)) if error else None
+                    out.append((*[r[c] for c in keys], r["n"], r["groups"], x, coef, error, p))
+            yield pd.DataFrame(out, columns=[*keys, "n", "groups", "x", "coef", "error", "p"])
+
+    return meats.mapInPandas(errors, f"{kinds}, n long, groups long, x string, coef double, error double, p double")
+
+
+def bonferroni(df: DataFrame, tests: Column | int, p: str = "p") -> DataFrame:
+    """``df`` with ``p_bonferroni``: ``p`` times the number of tests, at most 1; null stays null."""
+    return df.withColumn("p_bonferroni", F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.col(p) * tests)))
+
+
+def study(events: DataFrame, returns: DataFrame, horizons: list[str], predictors: list[str]) -> DataFrame:
+    """Per model, horizon and predictor: rank correlation, regression and corrected p-values, all cells in one pass.
+
+    ``events``: model, ticker, date and the predictors; ``returns``: ticker,
+    date and a column per horizon.  Events without returns drop out.  The
+    regression is of the horizon on all predictors with ticker effects;
+    ``n_tests`` is models x horizons."""
+    joined = events.join(returns, ["ticker", "date"])
+    long = joined.select("model", "ticker", *predictors, F.inline(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(h).cast("double").alias("ret")) for h in horizons])))
+    each = F.array(*[F.struct(F.lit(x).alias("predictor"), F.col(x).cast("double").alias("a")) for x in predictors])
+    keys = ["model", "horizon", "predictor"]
+    correlated = ranks.rank_correlations(long.select("model", "horizon", F.col("ret").alias("b"), F.inline(each)), keys)
+    fits = cell_regressions(long, ["model", "horizon"], "ret", predictors, "ticker").withColumnsRenamed({"x": "predictor", "n": "n_ols"}).drop("groups")
+    tests = joined.agg(F.count_distinct("model")).first()[0] * len(horizons)
+    rows = correlated.join(fits, keys, "left").withColumn("n_tests", F.lit(tests))
+
+    def pvalues(batches):
+        for batch in batches:
+            r, n = batch["spearman"].to_numpy(float), batch["n"].to_numpy(float)
+            t = [x * math.sqrt((m - 2) / max(1 - x * x, 1e-300)) if m > 2 and x == x else None for x, m in zip(r, n)]
+            yield batch.assign(spearman_p=[t_pvalue(x, m - 2) if x is not None else None for x, m in zip(t, n)])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return bonferroni(rows.mapInPandas(pvalues, f"{kinds}, spearman_p double"), F.col("n_tests"))
 
 
 # --- operations -----------------------------------------------------------
@@ -210,23 +257,10 @@ def latency_report(df: DataFrame, value: str = "latency", keys: tuple[str, ...]
 def token_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """Dollars per model: tokens in and out against prices per million."""
     dollars = (F.col("tokens_in") * F.col("price_in") + F.col("tokens_out") * F.col("price_out")) / 1e6
-    return usage.join(F.broadcast(prices), "llm").groupBy("llm").agg(F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), half_up(F.sum(dollars), 6).alias("usd"))
+    return usage.join(prices, "llm").groupBy("llm").agg(F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), half_up(F.sum(dollars), 6).alias("usd"))
 
 
 def disagreements(scores: DataFrame, a: str, b: str) -> DataFrame:
     """Sentences and aspects that both models scored: both labels, and whether they agree."""
     side = lambda m, n: scores.where(F.col("model_name") == m).select("chunk_id", "aspect", F.col("label").alias(n))
     return side(a, "pred_a").join(side(b, "pred_b"), ["chunk_id", "aspect"]).withColumn("agree", F.col("pred_a") == F.col("pred_b"))
-
-
-def stratified_sample(candidates: DataFrame, per_aspect: int = 10, disagree_share: float = 0.6, seed: str = "s") -> DataFrame:
-    """Per aspect: a share of disagreements and the rest agreements, tickers in turn, each sentence under one aspect.
-
-    A sentence goes to the aspect that its hash favours, so no aspect waits for
-    another; then the order within (aspect, agree, ticker) is by hash."""
-    draw = F.md5(F.concat_ws("/", F.lit(seed), "chunk_id", "aspect"))
-    once = candidates.withColumn("draw", draw).withColumn("pick", F.row_number().over(Window.partitionBy("chunk_id").orderBy("draw", "aspect"))).where("pick = 1")
-    turn = F.row_number().over(Window.partitionBy("aspect", "agree", "ticker").orderBy("draw", "chunk_id"))
-    place = F.row_number().over(Window.partitionBy("aspect", "agree").orderBy("turn", "ticker"))
-    quota = F.when(F.col("agree"), per_aspect - round(per_aspect * disagree_share)).otherwise(round(per_aspect * disagree_share))
-    return once.withColumn("turn", turn).withColumn("place", place).where(F.col("place") <= quota).select("aspect", "agree", "ticker", "chunk_id", "place")

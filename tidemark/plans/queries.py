@@ -12,7 +12,7 @@ from tidemark.functions import polarity
 from tidemark.functions import text as tx
 from tidemark.functions.lexicons import LABELS, term_pattern
 from tidemark.functions.text import half_up
-from tidemark.operators import aspects, evaluation, grounding, service, signals, transcripts
+from tidemark.operators import aspects, evaluation, grounding, sampling, service, signals, transcripts
 from tidemark.plans import adapters as ad
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -261,11 +261,11 @@ def stale_briefs(spark, sf_dir):
     return grounding.stale(p, p.where(F.col("ticker").isin("T0", "T1", "T2")))
 
 
-@query(f"""WITH {ad.SCORES}, cited AS (SELECT ticker, unnest([chunk_id, chunk_id + 1]) AS id FROM scores WHERE chunk_id % 11 = 0)
+@query(f"""WITH {ad.SCORES}, cited AS (SELECT ticker, unnest([chunk_id, chunk_id + 1]) AS id FROM scores)
   SELECT DISTINCT c.ticker, s.chunk_id, s.doc_date, s.aspect FROM cited c JOIN scores s ON s.chunk_id = c.id""")
 def brief_citations(spark, sf_dir):
     s = ad.scores(spark, sf_dir)
-    body = s.where(F.col("chunk_id") % 11 == 0).select("ticker", F.array_union(F.array("chunk_id"), F.array(F.col("chunk_id") + 1)).alias("ids"))
+    body = s.select("ticker", F.array_union(F.array("chunk_id"), F.array(F.col("chunk_id") + 1)).alias("ids"))
     cited = body.select("ticker", F.explode("ids").alias("chunk_id"))
     return cited.join(s.select("chunk_id", "doc_date", "aspect"), "chunk_id").select("ticker", "chunk_id", "doc_date", "aspect").distinct()
 
@@ -597,14 +597,14 @@ def cost_by_model(spark, sf_dir):
     return evaluation.token_cost(use, spark.createDataFrame([("large", 3.0, 15.0), ("small", 1.0, 5.0)], "llm string, price_in double, price_out double"))
 
 
-_TWO = """two AS (SELECT doc_id AS chunk_id, lang AS aspect, CASE WHEN n_chars % 3 = 0 THEN 'negative' ELSE 'positive' END AS pred_a, CASE WHEN n_chars % 5 = 0 THEN 'negative' ELSE 'positive' END AS pred_b, source AS ticker FROM documents WHERE doc_id % 2 = 0)"""
+_TWO = """two AS (SELECT doc_id AS chunk_id, lang AS aspect, CASE WHEN n_chars % 3 = 0 THEN 'negative' ELSE 'positive' END AS pred_a, CASE WHEN n_chars % 5 = 0 THEN 'negative' ELSE 'positive' END AS pred_b, source AS ticker FROM documents)"""
 
 
 def _two(spark, sf_dir):
     d = ad.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("aspect"), "n_chars", "source")
     one = lambda m, k: F.when(F.col("n_chars") % k == 0, "negative").otherwise("positive").alias("label")
     a = d.select("chunk_id", "aspect", one("a", 3), F.lit("a").alias("model_name"))
-    b = d.where(F.col("chunk_id") % 2 == 0).select("chunk_id", "aspect", one("b", 5), F.lit("b").alias("model_name"))
+    b = d.select("chunk_id", "aspect", one("b", 5), F.lit("b").alias("model_name"))
     return evaluation.disagreements(a.unionByName(b), "a", "b").join(d.select("chunk_id", F.col("source").alias("ticker")), "chunk_id")
 
 
@@ -613,10 +613,30 @@ def model_disagreement_selfjoin(spark, sf_dir):
     return _two(spark, sf_dir)
 
 
-@query(f"""WITH {_TWO}, d AS (SELECT *, pred_a = pred_b AS agree, md5('s/' || chunk_id || '/' || aspect) AS draw FROM two), t AS (SELECT *, row_number() OVER (PARTITION BY aspect, agree, ticker ORDER BY draw, chunk_id) AS turn FROM d),
-  p AS (SELECT *, row_number() OVER (PARTITION BY aspect, agree ORDER BY turn, ticker) AS place FROM t) SELECT aspect, agree, ticker, chunk_id, place FROM p WHERE place <= CASE WHEN agree THEN 4 ELSE 6 END""")
+_CANDIDATES = """c AS (SELECT user_id AS chunk_id, event_type AS aspect, (count(*) % 3 = 0) = (sum(event_id) % 5 = 0) AS agree, 'T' || (user_id % 7) AS ticker FROM events GROUP BY user_id, event_type),
+  d AS (SELECT *, md5('s/' || chunk_id || '/' || aspect) AS draw FROM c), used0 AS (SELECT chunk_id FROM c WHERE false)"""
+
+
+def _sample_sql(per: int = 50, share: float = 0.6) -> str:
+    """One aspect after the other, as the sequential sampler does."""
+    parts = []
+    for i, a in enumerate(_ASPECTS, 1):
+        wanted = f"least((SELECT count(*) FROM d WHERE aspect = '{a}' AND NOT agree), {round(per * share)})"
+        parts.append(f"""t{i} AS (SELECT *, row_number() OVER (PARTITION BY agree, ticker ORDER BY draw, chunk_id) AS turn FROM d WHERE aspect = '{a}' AND chunk_id NOT IN (SELECT chunk_id FROM used{i - 1})),
+  p{i} AS (SELECT *, row_number() OVER (PARTITION BY agree ORDER BY turn, ticker) AS place FROM t{i}),
+  k{i} AS (SELECT aspect, agree, ticker, chunk_id, place FROM p{i} WHERE place <= CASE WHEN agree THEN {per} - {wanted} ELSE {wanted} END),
+  used{i} AS (SELECT chunk_id FROM used{i - 1} UNION ALL SELECT chunk_id FROM k{i})""")
+    picks = " UNION ALL ".join(f"SELECT * FROM k{i}" for i in range(1, len(_ASPECTS) + 1))
+    return f"""WITH {_CANDIDATES}, {", ".join(parts)}, picks AS ({picks}), n AS (SELECT *, row_number() OVER (ORDER BY md5('s/item/' || chunk_id || '/' || aspect), chunk_id) AS i FROM picks)
+  SELECT 'S' || CASE WHEN i < 1000 THEN lpad(CAST(i AS VARCHAR), 3, '0') ELSE CAST(i AS VARCHAR) END AS item_id, CAST((i - 1) // 50 + 1 AS INTEGER) AS batch, aspect, agree, ticker, chunk_id, place FROM n"""
+
+
+@query(_sample_sql())
 def stratified_sample(spark, sf_dir):
-    return evaluation.stratified_sample(_two(spark, sf_dir))
+    e = ad.table(spark, sf_dir, "events")
+    agree = (F.count("*") % 3 == 0) == (F.sum("event_id") % 5 == 0)
+    candidates = e.groupBy(F.col("user_id").alias("chunk_id"), F.col("event_type").alias("aspect")).agg(agree.alias("agree"))
+    return sampling.stratified_sample(candidates.withColumn("ticker", F.concat(F.lit("T"), F.col("chunk_id") % 7)), _ASPECTS)
 
 
 # --- sources -----------------------------------------------------------------
@@ -836,6 +856,49 @@ def fixed_effects(spark, sf_dir):
     return rows.select("x", "n", *[half_up(F.col(c)).alias(c) for c in ("coef", "error", "r2_within")])
 
 
+_CELLS = ["model", "horizon", "predictor"]
+_STUDY = f"""{ad.SCORES}, per AS (SELECT model_name AS model, ticker, doc_date AS date, aspect, {_MEANS} FROM scores GROUP BY ALL),
+  rounded AS (SELECT model, ticker, date, {r('m')} AS mean, {r('q - p')} AS delta FROM per), ev AS (SELECT model, ticker, date, {rm('delta')} AS delta, {rm('mean')} AS doc_level FROM rounded GROUP BY ALL),
+  daily AS (SELECT ticker, doc_date AS date, {r('avg(score)', 6)} AS v FROM scores GROUP BY ALL),
+  rets AS (SELECT ticker, date, lead(v, 1) OVER w - v AS next_1, lead(v, 4) OVER w - v AS next_4 FROM daily WINDOW w AS (PARTITION BY ticker ORDER BY date)),
+  wide AS (SELECT model, ticker, delta, doc_level, horizon, ret FROM (SELECT * FROM ev JOIN rets USING (ticker, date)) UNPIVOT (ret FOR horizon IN (next_1, next_4))),
+  cells AS (SELECT model, horizon, 'delta' AS predictor, delta AS a, ret AS b FROM wide WHERE delta IS NOT NULL UNION ALL SELECT model, horizon, 'doc_level', doc_level, ret FROM wide WHERE doc_level IS NOT NULL),
+  ranked AS (SELECT *, rank() OVER (PARTITION BY model, horizon, predictor ORDER BY a) + (count(*) OVER (PARTITION BY model, horizon, predictor, a) - 1) / 2 AS ra,
+    rank() OVER (PARTITION BY model, horizon, predictor ORDER BY b) + (count(*) OVER (PARTITION BY model, horizon, predictor, b) - 1) / 2 AS rb FROM cells),
+  corrs AS (SELECT model, horizon, predictor, count(*) AS n, {r('corr(a, b)')} AS pearson, {r('corr(ra, rb)')} AS spearman FROM ranked GROUP BY ALL),
+  dm AS (SELECT model, horizon, ticker, delta - avg(delta) OVER w AS x, doc_level - avg(doc_level) OVER w AS z, ret - avg(ret) OVER w AS y FROM wide WHERE delta IS NOT NULL AND doc_level IS NOT NULL WINDOW w AS (PARTITION BY model, horizon, ticker)),
+  s AS (SELECT model, horizon, count(*) AS n, count(DISTINCT ticker) AS g, sum(x * x) AS xx, sum(x * z) AS xz, sum(z * z) AS zz, sum(x * y) AS xy, sum(z * y) AS zy FROM dm GROUP BY ALL),
+  b AS (SELECT *, xx * zz - xz * xz AS det, (zz * xy - xz * zy) / (xx * zz - xz * xz) AS bx, (xx * zy - xz * xy) / (xx * zz - xz * xz) AS bz FROM s),
+  e AS (SELECT model, horizon, x, z, y - bx * x - bz * z AS u FROM dm JOIN b USING (model, horizon)), q AS (SELECT model, horizon, sum(x * x * u * u) AS mxx, sum(x * z * u * u) AS mxz, sum(z * z * u * u) AS mzz FROM e GROUP BY ALL),
+  fits AS (SELECT model, horizon, n AS n_ols, unnest(['delta', 'doc_level']) AS predictor, unnest([bx, bz]) AS coef,
+    unnest([sqrt((zz * zz * mxx - 2 * zz * xz * mxz + xz * xz * mzz) / det / det * n / (n - 2 - g)), sqrt((xx * xx * mzz - 2 * xx * xz * mxz + xz * xz * mxx) / det / det * n / (n - 2 - g))]) AS error FROM b JOIN q USING (model, horizon))
+  SELECT model, horizon, predictor, n, pearson, spearman, n_ols, {r('coef')} AS coef, {r('error')} AS error, CAST((SELECT count(DISTINCT model) FROM ev JOIN rets USING (ticker, date)) * 2 AS INTEGER) AS n_tests FROM corrs LEFT JOIN fits USING (model, horizon, predictor)"""
+
+
+def _study(spark, sf_dir):
+    s = ad.scores(spark, sf_dir)
+    keys = ("model_name", "ticker", "doc_date")
+    summary = signals.aspect_summary(s, keys=keys)
+    events = signals.transcript_delta(summary, keys).join(signals.document_sentiment(summary, keys), list(keys))
+    events = events.select(F.col("model_name").alias("model"), "ticker", F.col("doc_date").alias("date"), "delta", F.col("sentiment").alias("doc_level"))
+    w = Window.partitionBy("ticker").orderBy("date")
+    daily = s.groupBy("ticker", F.col("doc_date").alias("date")).agg(half_up(F.avg("score"), 6).alias("v"))
+    returns = daily.select("ticker", "date", *[(F.lead("v", k).over(w) - F.col("v")).alias(f"next_{k}") for k in (1, 4)])
+    return evaluation.study(events, returns, ["next_1", "next_4"], ["delta", "doc_level"])
+
+
+@query("WITH " + _STUDY)
+def study(spark, sf_dir):
+    rounded = [half_up(F.col(c)).alias(c) for c in ("pearson", "spearman", "coef", "error")]
+    return _study(spark, sf_dir).select(*_CELLS, "n", *rounded[:2], "n_ols", *rounded[2:], "n_tests")
+
+
+@query()
+def study_pvalues(spark, sf_dir):
+    """Without SQL, which has no normal or t distribution."""
+    return _study(spark, sf_dir).select(*_CELLS, *[half_up(F.col(c)).alias(c) for c in ("spearman_p", "p", "p_bonferroni")])
+
+
 @query()
 def bootstrap_interval(spark, sf_dir):
     return evaluation.bootstrap_ci(event_returns(spark, sf_dir), "car_0_1", "drift_2_11")
@@ -896,6 +959,7 @@ def stored_predictions(spark, sf_dir):
     return service.stored_against_labels(_two(spark, sf_dir).withColumn("label", F.col("pred_a")))
 
 
-@query("SELECT item_id, CASE WHEN coalesce(length(text), 0) = 0 THEN 'empty' WHEN length(text) > 300 THEN 'too long' END AS problem FROM benchmark")
+@query("SELECT doc_id AS item_id, CASE WHEN coalesce(length(text), 0) = 0 THEN 'empty' WHEN length(text) > 20000 THEN 'too long' END AS problem FROM documents")
 def checked_texts(spark, sf_dir):
-    return service.check_texts(ad.table(spark, sf_dir, "benchmark"), most=300).select("item_id", "problem")
+    texts = ad.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text")
+    return service.check_texts(texts).select("item_id", "problem")
