@@ -121,36 +121,76 @@ def aspect_mix(scores: DataFrame, keys: tuple[str, ...] = ("ticker",)) -> DataFr
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*keys)))
 
 
-def drift(scores: DataFrame, aspects: list[str], as_of: Column | None = None, window_days: int = 7, baseline_days: int = 28, min_obs: int = 5,
-          psi_alert: float = 0.25, shift_alert: float = 0.8, epsilon: float = 1e-4, total: bool = True) -> DataFrame:
-    """Population stability of the aspect mix and shift of the confidence, per ticker at its own latest date.
+#: Confidences are summed around this, and variances below the least count as none: sums of squares can't tell them from 0.
+CENTRE, LEAST_VARIANCE = 0.5, 1e-14
+#: Alerts and floors of the drift reports.
+PSI_ALERT, SHIFT_ALERT, EPSILON = 0.25, 0.8, 1e-4
+
+
+def daily_statistics(scores: DataFrame, keys: tuple[str, ...] = ("ticker",)) -> DataFrame:
+    """(``keys``, aspect, doc_date, n, s1, s2): counts and sums of the confidence and its square, which add up over days and tickers."""
+    c = F.col("confidence") - CENTRE
+    return scores.groupBy(*keys, "aspect", "doc_date").agg(F.count("*").alias("n"), F.sum(c).alias("s1"), F.sum(c * c).alias("s2"))
+
+
+def with_total(daily: DataFrame) -> DataFrame:
+    """``daily`` and the sums over all tickers as ``ALL``: added up from days, no row of a score counts twice."""
+    total = daily.groupBy("aspect", "doc_date").agg(*[F.sum(c).alias(c) for c in ("n", "s1", "s2")])
+    return daily.unionByName(total.select(F.lit("ALL").alias("ticker"), *[c for c in daily.columns if c != "ticker"]))
+
+
+def drift_reports(daily: DataFrame, ends: DataFrame, aspects: list[str], window_days: int = 7, baseline_days: int = 28, min_obs: int = 5,
+                  psi_alert: float = PSI_ALERT, shift_alert: float = SHIFT_ALERT, epsilon: float = EPSILON) -> DataFrame:
+    """One report per row of ``ends`` (ticker, as_of) from additive statistics.
 
     Current: (as_of - window, as_of]; baseline: the ``baseline_days`` before.
-    With ``total`` also a row ``ALL`` at the latest date of all.  One pass of
-    conditional sums; too few rows on a side give status insufficient_data."""
-    rows = scores.select("ticker", "aspect", "doc_date", "confidence")
-    if total:  # each row counts for its ticker and for ALL
-        rows = rows.withColumn("ticker", F.explode(F.array("ticker", F.lit("ALL"))))
-    day = as_of if as_of is not None else F.max("doc_date")
-    ends = rows.groupBy("ticker").agg(day.alias("as_of"))
-    age = F.datediff("as_of", "doc_date")
-    side = F.when((age >= 0) & (age < window_days), "cur").when((age >= window_days) & (age < window_days + baseline_days), "base")
-    sided = rows.join(ends, "ticker").withColumn("side", side).where("side IS NOT NULL")
-    when = lambda s, x=None: F.when(F.col("side") == s, F.lit(1) if x is None else x)
-    aggs = [F.count(when(s)).alias(f"{s}_n") for s in ("cur", "base")]
-    aggs += [f(when(s, F.col("confidence"))).alias(f"{s}_{name}") for s in ("cur", "base") for name, f in (("mean", F.avg), ("std", F.stddev_pop))]
-    aggs += [F.count(F.when((F.col("side") == s) & (F.col("aspect") == a), 1)).alias(f"{s}_{i}") for s in ("cur", "base") for i, a in enumerate(aspects)]
-    got = sided.groupBy("ticker", "as_of").agg(*aggs)
-    share = lambda s, i: F.greatest(F.col(f"{s}_{i}") / F.col(f"{s}_n"), F.lit(epsilon))
+    Each day's statistics meet the ends whose windows they are in by a join on
+    ticker and day.  Too few rows on a side give status insufficient_data; an
+    aspect out of the list counts for the shares' base alone."""
+    age = F.explode(F.sequence(F.lit(0), F.lit(window_days + baseline_days - 1)))
+    wanted = ends.select("ticker", "as_of", age.alias("age")).withColumn("doc_date", F.date_sub("as_of", F.col("age")))
+    joined = wanted.join(daily, ["ticker", "doc_date"], "left").withColumn("side", F.when(F.col("age") < window_days, "cur").otherwise("base"))
+    of = lambda s, x: F.coalesce(F.sum(F.when((F.col("side") == s) & x[0], F.col(x[1]))), F.lit(0))
+    all_ = F.lit(True)
+    aggs = [of(s, (all_, c)).alias(f"{s}_{c}") for s in ("cur", "base") for c in ("n", "s1", "s2")]
+    aggs += [of(s, (F.col("aspect") == a, "n")).alias(f"{s}_{i}") for s in ("cur", "base") for i, a in enumerate(aspects)]
+    got = joined.groupBy("ticker", "as_of").agg(*aggs)
+    share = lambda s, i: F.greatest(F.try_divide(F.col(f"{s}_{i}"), F.col(f"{s}_n")), F.lit(epsilon))
     psi = sum(((share("cur", i) - share("base", i)) * F.ln(share("cur", i) / share("base", i)) for i in range(len(aspects))), F.lit(0.0))
-    pooled = F.sqrt((F.col("cur_std") * F.col("cur_std") + F.col("base_std") * F.col("base_std")) / 2)
-    shift = F.when((F.col("cur_n") < 2) | (F.col("base_n") < 2) | (pooled <= 1e-9), 0.0).otherwise((F.col("cur_mean") - F.col("base_mean")) / F.when(pooled > 1e-9, pooled))
+    mean = lambda s: F.try_divide(F.col(f"{s}_s1"), F.col(f"{s}_n"))
+    variance = lambda s: F.try_divide(F.col(f"{s}_s2"), F.col(f"{s}_n")) - mean(s) * mean(s)
+    true = lambda v: F.when(v < LEAST_VARIANCE, 0.0).otherwise(v)
+    pooled = F.sqrt((true(variance("cur")) + true(variance("base"))) / 2)
+    shift = F.when((F.col("cur_n") < 2) | (F.col("base_n") < 2) | (pooled <= 1e-9), 0.0).otherwise((mean("cur") - mean("base")) / F.when(pooled > 1e-9, pooled))
     enough = (F.col("cur_n") >= min_obs) & (F.col("base_n") >= min_obs)
     out = got.select("ticker", "as_of", "cur_n", "base_n", F.when(enough, half_up(psi)).otherwise(0.0).alias("psi"), F.when(enough, half_up(shift)).otherwise(0.0).alias("shift"),
                      F.when(enough, "ok").otherwise("insufficient_data").alias("status"))
     return out.withColumn("alert", (F.col("psi") > psi_alert) | (F.abs("shift") > shift_alert))
 
 
+def drift(scores: DataFrame, aspects: list[str], as_of: str | None = None, window_days: int = 7, baseline_days: int = 28, min_obs: int = 5, total: bool = True) -> DataFrame:
+    """Population stability of the aspect mix and shift of the confidence, per ticker at its own latest date up to ``as_of``.
+
+    With ``total`` also a row ``ALL``: at ``as_of``, or at the latest date of
+    all.  Scores are summed once, per ticker, aspect and day; every window is
+    read from those sums."""
+    known = scores if as_of is None else scores.where(F.col("doc_date") <= F.lit(as_of).cast("date"))
+    daily = daily_statistics(known)
+    daily = with_total(daily) if total else daily
+    end = F.max("doc_date")
+    if as_of is not None:
+        end = F.when(F.col("ticker") == "ALL", F.lit(as_of).cast("date")).otherwise(end)
+    return drift_reports(daily, daily.groupBy("ticker").agg(end.alias("as_of")), aspects, window_days, baseline_days, min_obs)
+
+
+def drift_series(scores: DataFrame, aspects: list[str], window_days: int = 7, baseline_days: int = 28, min_obs: int = 5, total: bool = True) -> DataFrame:
+    """A report for each ticker (and ``ALL``) at each of its dates: the drift as it would have been seen that day."""
+    daily = daily_statistics(scores)
+    daily = with_total(daily) if total else daily
+    ends = daily.select("ticker", F.col("doc_date").alias("as_of")).distinct()
+    return drift_reports(daily, ends, aspects, window_days, baseline_days, min_obs)
+
+
 def score_bucket(score: Column) -> Column:
     return F.when(score > POSITIVE, "positive").when(score < NEGATIVE, "negative").otherwise("neutral")
 

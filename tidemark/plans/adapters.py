@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
@@ -39,7 +39,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as scored sentences: a document is a ticker's day."""
-    e = table(spark, sf_dir, "events")
+    return scored(table(spark, sf_dir, "events"))
+
+
+def live_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream over the table's files, with the time ``ts`` of each row."""
+    shape = table(spark, sf_dir, "events").schema
+    e = spark.readStream.schema(shape).parquet(f"{sf_dir}/events.parquet")
+    return scored(e, F.col("ts").cast("timestamp").alias("ts"))
+
+
+def scored(e: DataFrame, *more: Column) -> DataFrame:
     day, value = F.col("ts").cast("date"), F.col("value")
     ticker = F.concat(F.lit("T"), F.col("user_id") % 20)
     return e.select(
@@ -47,7 +57,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.dayofmonth(day) % 3 == 0, "filing").otherwise("transcript").alias("doc_type"), day.alias("doc_date"),
         F.when(F.col("event_id") % 3 == 0, "qa").otherwise("prepared").alias("section"), F.col("event_type").alias("aspect"),
         F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (value - 35) / 50)).alias("score"), F.least(F.lit(1.0), 0.34 + F.abs(value - 35) / 100).alias("confidence"),
-        F.when(F.col("event_id") % 2 == 0, "lm_directional").otherwise("lm_lexicon").alias("model_name"), F.lit(0.0).alias("similarity"),
+        F.when(F.col("event_id") % 2 == 0, "lm_directional").otherwise("lm_lexicon").alias("model_name"), F.lit(0.0).alias("similarity"), *more,
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,7 +14,9 @@ from tidemark.functions import text as tx
 from tidemark.functions.lexicons import LABELS, term_pattern
 from tidemark.functions.text import half_up
 from tidemark.operators import aspects, evaluation, grounding, sampling, service, signals, transcripts
+from tidemark.operators.scratch import scratch_dir
 from tidemark.plans import adapters as ad
+from tidemark.streaming import stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -136,26 +139,56 @@ def aspect_mix(spark, sf_dir):
 
 
 _ASPECTS = ["click", "purchase", "refund", "signup", "view"]
-_DRIFT = f"""WITH {ad.SCORES}, rows AS (SELECT unnest([ticker, 'ALL']) AS ticker, aspect, doc_date, confidence FROM scores),
-  sided AS (SELECT *, max(doc_date) OVER (PARTITION BY ticker) AS as_of, date_diff('day', doc_date, max(doc_date) OVER (PARTITION BY ticker)) AS age FROM rows),
-  parts AS (SELECT *, CASE WHEN age < 7 THEN 'cur' WHEN age < 35 THEN 'base' END AS side FROM sided),
-  per AS (SELECT ticker, as_of, count(*) FILTER (side = 'cur') AS cur_n, count(*) FILTER (side = 'base') AS base_n,
+def _drift_sql(ends: str, upto: str = "") -> str:
+    """Drift reports at ``ends`` (ticker, as_of), from the rows themselves."""
+    return f"""WITH {ad.SCORES}, rows AS (SELECT unnest([ticker, 'ALL']) AS ticker, aspect, doc_date, confidence FROM scores {upto}), ends AS ({ends}),
+  parts AS (SELECT e.ticker, e.as_of, r.aspect, r.confidence, CASE WHEN date_diff('day', r.doc_date, e.as_of) < 7 THEN 'cur' ELSE 'base' END AS side
+    FROM ends e LEFT JOIN rows r ON r.ticker = e.ticker AND date_diff('day', r.doc_date, e.as_of) BETWEEN 0 AND 34),
+  per AS (SELECT ticker, as_of, count(confidence) FILTER (side = 'cur') AS cur_n, count(confidence) FILTER (side = 'base') AS base_n,
     avg(confidence) FILTER (side = 'cur') AS cm, avg(confidence) FILTER (side = 'base') AS bm, stddev_pop(confidence) FILTER (side = 'cur') AS cs, stddev_pop(confidence) FILTER (side = 'base') AS bs
-    FROM parts WHERE side IS NOT NULL GROUP BY ALL),
-  mix AS (SELECT p.ticker, a.aspect, greatest(count(*) FILTER (x.side = 'cur' AND x.aspect = a.aspect) / any_value(p.cur_n), 1e-4) AS c, greatest(count(*) FILTER (x.side = 'base' AND x.aspect = a.aspect) / any_value(p.base_n), 1e-4) AS b
-    FROM per p JOIN parts x ON x.ticker = p.ticker CROSS JOIN (SELECT unnest({_ASPECTS}) AS aspect) a GROUP BY p.ticker, a.aspect),
-  psi AS (SELECT ticker, sum((c - b) * ln(c / b)) AS psi FROM mix GROUP BY ticker),
+    FROM parts GROUP BY ALL),
+  counts AS (SELECT ticker, as_of, aspect, count(*) FILTER (side = 'cur') AS c, count(*) FILTER (side = 'base') AS b FROM parts GROUP BY ALL),
+  mix AS (SELECT p.ticker, p.as_of, greatest(coalesce(x.c, 0) / p.cur_n, 1e-4) AS c, greatest(coalesce(x.b, 0) / p.base_n, 1e-4) AS b
+    FROM per p CROSS JOIN (SELECT unnest({_ASPECTS}) AS aspect) a LEFT JOIN counts x ON x.ticker = p.ticker AND x.as_of = p.as_of AND x.aspect = a.aspect WHERE p.cur_n > 0 AND p.base_n > 0),
+  psi AS (SELECT ticker, as_of, sum((c - b) * ln(c / b)) AS psi FROM mix GROUP BY ALL),
   done AS (SELECT ticker, as_of, cur_n, base_n, CASE WHEN cur_n >= 5 AND base_n >= 5 THEN {r('psi')} ELSE 0 END AS psi,
     CASE WHEN cur_n >= 5 AND base_n >= 5 AND sqrt((cs * cs + bs * bs) / 2) > 1e-9 THEN {r('(cm - bm) / sqrt((cs * cs + bs * bs) / 2)')} ELSE 0 END AS shift,
-    CASE WHEN cur_n >= 5 AND base_n >= 5 THEN 'ok' ELSE 'insufficient_data' END AS status FROM per JOIN psi USING (ticker))
+    CASE WHEN cur_n >= 5 AND base_n >= 5 THEN 'ok' ELSE 'insufficient_data' END AS status FROM per LEFT JOIN psi USING (ticker, as_of))
   SELECT *, psi > 0.25 OR abs(shift) > 0.8 AS alert FROM done"""
 
 
-@query(_DRIFT)
+@query(_drift_sql("SELECT ticker, max(doc_date) AS as_of FROM rows GROUP BY ticker"))
 def drift_reports(spark, sf_dir):
     return signals.drift(ad.scores(spark, sf_dir), _ASPECTS)
 
 
+@query(_drift_sql("SELECT ticker, CASE WHEN ticker = 'ALL' THEN DATE '2024-01-25' ELSE max(doc_date) END AS as_of FROM rows GROUP BY ticker", "WHERE doc_date <= DATE '2024-01-25'"))
+def drift_as_of(spark, sf_dir):
+    return signals.drift(ad.scores(spark, sf_dir), _ASPECTS, "2024-01-25")
+
+
+@query(_drift_sql("SELECT DISTINCT ticker, doc_date AS as_of FROM rows"))
+def drift_series(spark, sf_dir):
+    return signals.drift_series(ad.scores(spark, sf_dir), _ASPECTS)
+
+
+def _fed(spark, live):
+    """What a stream over the table gives, in a new folder of the shared one that stays."""
+    root = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
+    stateful.run_available(live, f"{root}/out", f"{root}/checkpoint")
+    return spark.read.parquet(f"{root}/out")
+
+
+@query()
+def live_drift(spark, sf_dir):
+    return _fed(spark, stateful.live_drift(ad.live_scores(spark, sf_dir), _ASPECTS))
+
+
+@query()
+def live_trajectory(spark, sf_dir):
+    return _fed(spark, stateful.live_trajectory(ad.live_scores(spark, sf_dir)))
+
+
 @query(f"WITH {ad.SCORES} SELECT ticker, max(doc_date) - 180 AS window_start, max(doc_date) AS window_end FROM scores GROUP BY ticker")
 def brief_window(spark, sf_dir):
     return signals.default_window(ad.scores(spark, sf_dir))
