@@ -45,7 +45,8 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def live_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same as a stream over the table's files, with the time ``ts`` of each row."""
     shape = table(spark, sf_dir, "events").schema
-    e = spark.readStream.schema(shape).parquet(f"{sf_dir}/events.parquet")
+    # as a pattern: a plain path that streams read must be a folder, and the table may be one file
+    e = spark.readStream.schema(shape).parquet(f"{sf_dir}/[e]vents.parquet")
     return scored(e, F.col("ts").cast("timestamp").alias("ts"))
 
 
