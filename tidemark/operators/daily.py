@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.lexicons import FINANCE, Lexicon
 from tidemark.operators import aspects, grounding, signals
-from tidemark.sources import sinks
+from tidemark.sources import commits, sinks
 
 
 @dataclass(frozen=True)
@@ -28,8 +28,9 @@ def daily(documents: DataFrame, root: str, model: str = "lm_directional", lexico
     nothing is mentioned has no scores and is looked at again each time."""
     spark = documents.sparkSession
     stats = sinks.ingest(documents, root)
-    dated = spark.read.parquet(f"{root}/documents").select("document_id", "ticker", "doc_type", "doc_date")
-    chunks = spark.read.parquet(f"{root}/chunks")
+    store = commits.Store(spark, root)
+    dated = store.read("documents").select("document_id", "ticker", "doc_type", "doc_date")
+    chunks = store.read("chunks")
     old = sinks.read(spark, f"{root}/scores")
     waiting = chunks if old is None else aspects.unscored(chunks, old, model)
     new = aspects.score_sentences(aspects.mentions(aspects.scoreable(waiting), lexicon), model, lexicon, keys=("chunk_id", "document_id", "section", "text"))

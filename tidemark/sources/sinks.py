@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as tx
 from tidemark.functions.unicode import nfkc
 from tidemark.operators import transcripts
+from tidemark.sources import commits
 
 LEAST_CHARS = 20
 
@@ -51,29 +52,29 @@ def chunk(documents: DataFrame) -> DataFrame:
     return out.withColumn("chunk_id", F.xxhash64("document_id", "idx"))
 
 
-def ingest(documents: DataFrame, root: str) -> dict[str, int]:
-    """Appends new documents and their sentences under ``root``; running it again adds nothing.
+def ingest(documents: DataFrame, root: str, attempts: int = 5) -> dict[str, int]:
+    """Adds new documents and their sentences under ``root`` as one transaction; running it again adds nothing.
 
-    Sentences go first: a crash between the two writes leaves sentences of
-    documents that are not there yet, and the next run adds only those that are
-    missing.  Texts are composed (NFKC) before anything else reads them."""
+    Both tables change at once or not at all: a crash leaves nothing that readers
+    of the store see, and what another run published meanwhile is looked at
+    before a second try, so no document is stored twice.  Texts are composed
+    (NFKC) before anything else reads them."""
     spark = documents.sparkSession
     good, bad = split_usable(documents.withColumn("text", nfkc(F.col("text"))))
-    stored = read(spark, f"{root}/documents")
-    fresh = new_documents(good, stored).persist()
-    try:
-        chunks = chunk(fresh).persist()
-        stats = {"fetched": documents.count(), "new": fresh.count(), "failures": bad.count(), "chunks": chunks.count()}
+    fetched, failures = documents.count(), bad.count()
+
+    def work(transaction: commits.Transaction) -> dict[str, int]:
+        fresh = new_documents(good, transaction.read("documents"))
+        fresh = transaction.stage("documents", fresh.sortWithinPartitions("ticker", "doc_date"))
+        stats = {"fetched": fetched, "new": fresh.count(), "failures": failures}
         stats["duplicates"] = good.where(F.length(tx.normalize(F.col("text"))) >= LEAST_CHARS).count() - stats["new"]
-        if stats["new"]:
-            before = read(spark, f"{root}/chunks")
-            missing = chunks if before is None else chunks.join(before.select("chunk_id"), "chunk_id", "left_anti").select(*before.columns)
-            missing.write.mode("append").parquet(f"{root}/chunks")
-            fresh.drop("segments").write.mode("append").partitionBy("ticker").parquet(f"{root}/documents")
-        chunks.unpersist()
-    finally:
-        fresh.unpersist()
-    return stats
+        if not stats["new"]:
+            transaction.tables.clear()
+            transaction.abandon()
+            return stats | {"chunks": 0}
+        return stats | {"chunks": transaction.stage("chunks", chunk(fresh)).count()}
+
+    return commits.transact(spark, root, work, attempts)
 
 
 def upsert(rows: DataFrame, path: str, keys: list[str]) -> None:
