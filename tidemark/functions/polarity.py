@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
+from tidemark.functions import valence
 from tidemark.functions.lexicons import FINANCE, LABELS, NEGATIVE_EVENTS, POSITIVE_EVENTS, Lexicon
 
 
@@ -78,7 +79,7 @@ def directional_score(text: Column, aspect: Column, lexicon: Lexicon = FINANCE)
 
 Scorer = Callable[..., Column]
 #: name: (score of (text, aspect, lexicon), neutral threshold)
-MODELS: dict[str, tuple[Scorer, float]] = {"lm_lexicon": (counted_score, 0.05), "lm_directional": (directional_score, 0.12)}
+MODELS: dict[str, tuple[Scorer, float]] = {"lm_lexicon": (counted_score, 0.05), "lm_directional": (directional_score, 0.12), "valence": (valence.scorer, 0.05)}
 DEFAULT_MODEL = "lm_directional"
 
 

@@ -6,6 +6,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +18,48 @@ from tidemark.functions.lexicons import NEGATIVE_CUES, POSITIVE_CUES
 from tidemark.functions.text import half_up
 
 MIN_SIMILARITY, MIN_OVERLAP = 0.12, 0.45
+ENTAILED, CONTRADICTED = 0.5, 0.6
+#: Sentences of each aspect, by hash, that wrong citations are drawn from.
+POOL = 1_024
+
+#: A scorer of (premises, hypotheses): a pair of entailment and contradiction for each.
+Entailment = Callable[[list[str], list[str]], list[tuple[float, float]]]
+
+
+@lru_cache(maxsize=4)
+def _loaded(factory: Callable[[], Entailment]) -> Entailment:
+    return factory()
+
+
+def entailment_hook(factory: Callable[[], Entailment]) -> Callable[[Column, Column], Column]:
+    """A Column function (premise, hypothesis) to struct(entailment, contradiction), for ``verify``.
+
+    ``factory`` is an importable function that loads a scorer; each Python worker
+    calls it once, whatever the number of batches and tasks."""
+
+    @F.pandas_udf("struct<entailment:double,contradiction:double>")
+    def scored(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        scorer = _loaded(factory)
+        for premise, hypothesis in batches:
+            found = scorer(premise.fillna("").tolist(), hypothesis.fillna("").tolist())
+            yield pd.DataFrame(found, columns=["entailment", "contradiction"], dtype=float)
+
+    return scored
+
+
+def shared_words() -> Entailment:
+    """A scorer without a model: the share of the hypothesis' words that the premise has; a negation on one side alone contradicts."""
+
+    def score(premises: list[str], hypotheses: list[str]) -> list[tuple[float, float]]:
+        out = []
+        for premise, hypothesis in zip(premises, hypotheses):
+            a, b = ({w.strip(".,;:!?\"'()").lower() for w in x.split()} for x in (premise, hypothesis))
+            share = len(a & b) / len(b) if b else 0.0
+            turned = bool(a & {"not", "no", "never"}) != bool(b & {"not", "no", "never"})
+            out.append((0.0, share) if turned else (share, 0.0))
+        return out
+
+    return score
 
 
 def strength() -> Column:
@@ -55,14 +101,16 @@ def greedy_claims(top: DataFrame, most: int = 6) -> DataFrame:
     return out.select("ticker", "side", F.concat(prefix, F.col("pos") + 1).alias("claim_id"), "aspect", "score", text.alias("text"), F.array("chunk_id").alias("cited"), F.col("pos").alias("ord"))
 
 
-def verify(claims: DataFrame, evidence: DataFrame, dimensions: int = 384, negative: str = NEGATIVE_CUES, positive: str = POSITIVE_CUES, keys: tuple[str, ...] = ("ticker", "claim_id")) -> DataFrame:
+def verify(claims: DataFrame, evidence: DataFrame, dimensions: int = 384, negative: str = NEGATIVE_CUES, positive: str = POSITIVE_CUES, keys: tuple[str, ...] = ("ticker", "claim_id"),
+           entailment: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """Status and reason of each claim against the sentences that it cites.
 
     In this order: citations must resolve (some of them missing: at best
     unverified); numbers must stand in the cited text; a polarity that the cited
     scores contradict rejects unless the claim all but quotes its source; enough
-    similarity and shared words make it supported.  ``evidence``: chunk_id
-    (unique), text, score."""
+    similarity and shared words make it supported.  With an ``entailment`` hook
+    its contradiction decides instead of the scores, and only entailed claims
+    are supported.  ``evidence``: chunk_id (unique), text, score."""
     body = claims.withColumns({"body": tx.claim_body(F.col("text")), "n_cited": F.coalesce(F.size("cited"), F.lit(0))})
     body = body.withColumn("n_cited", F.greatest("n_cited", F.lit(0)))
     cited = body.select(*keys, "body", F.explode("cited").alias("chunk_id")).join(evidence.select("chunk_id", F.col("text").alias("source"), F.col("score").alias("s")), "chunk_id")
@@ -81,7 +129,11 @@ def verify(claims: DataFrame, evidence: DataFrame, dimensions: int = 384, negati
     })
     against = (F.col("pos") & ~F.col("neg") & (F.col("chunk_score") < -0.3)) | (F.col("neg") & ~F.col("pos") & (F.col("chunk_score") > 0.3))
     against &= ~((F.col("sim") >= 0.8) & (F.col("overlap") >= 0.9))
-    passed = (F.col("n_found") == F.col("n_cited")) & (F.col("sim") >= MIN_SIMILARITY) & (F.col("overlap") >= MIN_OVERLAP)
+    entailed = F.lit(True)
+    if entailment is not None:
+        rows = rows.withColumn("nli", entailment(F.coalesce("cited_text", F.lit("")), F.col("body")))
+        against, entailed = F.col("nli.contradiction") >= CONTRADICTED, F.col("nli.entailment") >= ENTAILED
+    passed = entailed & (F.col("n_found") == F.col("n_cited")) & (F.col("sim") >= MIN_SIMILARITY) & (F.col("overlap") >= MIN_OVERLAP)
     reason = F.when(F.col("n_found") == 0, "no valid citation").when(F.size("missing") > 0, "numbers not in cited text")
     reason = reason.when(against, "contradicted by cited evidence").when(passed, "ok").otherwise("weak support")
     status = F.when(F.col("reason") == "ok", "supported").when(F.col("reason") == "weak support", "unverified").otherwise("rejected")
@@ -153,12 +205,20 @@ def assemble(verified: DataFrame, stances: DataFrame, confidence: DataFrame) ->
 def adversarial_cases(evidence: DataFrame, fabrications: list[str]) -> DataFrame:
     """Faithful and corrupted claims of each evidence row: (kind, claim_id, ticker, side, aspect, text, cited).
 
-    A wrong citation is the next row, in hash order around the ring, of another
-    aspect; every choice follows from a hash."""
-    ring = Window.partitionBy(F.pmod(F.xxhash64("chunk_id"), F.lit(64))).orderBy(F.xxhash64("chunk_id", "aspect"))
-    near = [F.lead(F.struct("aspect", "chunk_id"), i).over(ring) for i in range(1, 9)] + [F.lag(F.struct("aspect", "chunk_id"), i).over(ring) for i in range(1, 9)]
-    others = F.filter(F.array(*near), lambda x: x["aspect"].isNotNull() & (x["aspect"] != F.col("aspect")))
-    rows = evidence.withColumn("other", F.try_element_at(others, F.lit(1))["chunk_id"])
+    A wrong citation is a sentence of another aspect, drawn by hash from the
+    first POOL of each by hash; only where all rows have one aspect are there no
+    such cases.  ``evidence``: chunk_id unique."""
+    names = sorted(r[0] for r in evidence.where("aspect IS NOT NULL").select("aspect").distinct().collect())  # one per aspect
+    order = F.create_map(*[F.lit(x) for i, a in enumerate(names) for x in (a, i)]) if names else F.create_map().cast("map<string,int>")
+    first = Window.partitionBy("aspect").orderBy(F.xxhash64("chunk_id", "aspect"), "chunk_id")
+    pool = evidence.where("aspect IS NOT NULL").withColumn("place", F.row_number().over(first)).where(F.col("place") <= POOL)
+    pools = pool.groupBy(order[F.col("aspect")].alias("theirs")).agg(F.sort_array(F.collect_list(F.struct("place", "chunk_id")))["chunk_id"].alias("pool"))
+    # another aspect, then one of its pool: both follow from the row's own hash
+    step = F.pmod(F.xxhash64("chunk_id", F.lit(5)), F.lit(max(len(names) - 1, 1))) + 1
+    theirs = F.pmod(order[F.col("aspect")] + step, F.lit(max(len(names), 1))).cast("int")
+    drawn = F.get("pool", F.pmod(F.xxhash64("chunk_id", F.lit(7)), F.size("pool")).cast("int"))
+    rows = evidence.withColumn("theirs", theirs if len(names) > 1 else F.lit(None).cast("int")).join(pools, "theirs", "left")
+    rows = rows.withColumn("other", F.when(F.col("pool").isNotNull(), drawn)).drop("pool", "theirs")
     invented = F.element_at(tx.strings(fabrications), (F.pmod(F.xxhash64("chunk_id"), F.lit(len(fabrications))) + 1).cast("int"))
     empty = F.array().cast("array<bigint>")
     own, wrong = F.array(F.col("chunk_id").cast("long")), F.array(F.col("other").cast("long"))

@@ -9,12 +9,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import polarity
+from tidemark.functions import polarity, valence
 from tidemark.functions import text as tx
 from tidemark.functions.lexicons import LABELS, term_pattern
 from tidemark.functions.text import half_up
-from tidemark.operators import aspects, evaluation, grounding, sampling, service, signals, transcripts
-from tidemark.operators.scratch import scratch_dir
+from tidemark.operators import aspects, evaluation, grounding, sampling, service, signals, transcripts, wordvectors
+from tidemark.operators.scratch import scratch_dir, written
 from tidemark.plans import adapters as ad
 from tidemark.streaming import stateful
 
@@ -308,8 +308,8 @@ def _evidence(spark, sf_dir):
     chunks = ad.corpus_chunks(spark, sf_dir).withColumn("chunk_id", F.xxhash64("document_id", "idx"))
     meant = aspects.mentions(chunks, ad.SYLLABLES)
     got = aspects.score_sentences(meant, "lm_directional", ad.SYLLABLES, keys=("chunk_id", "ticker", "text"))
-    # several branches of a brief read it: scored once, spilling to disk if need be
-    return got.withColumns({"similarity": F.lit(0.0), "doc_date": F.lit("2024-01-01").cast("date"), "section": F.lit("body")}).persist()
+    # several branches of a brief read it: scored once and written
+    return written(got.withColumns({"similarity": F.lit(0.0), "doc_date": F.lit("2024-01-01").cast("date"), "section": F.lit("body")}))
 
 
 @query()
@@ -326,6 +326,16 @@ def claim_verification(spark, sf_dir):
     return got.select("ticker", "claim_id", "status", "reason", "n_cited", "n_found", half_up(F.col("sim"), 3).alias("sim"), half_up(F.col("overlap"), 3).alias("overlap"))
 
 
+@query()
+def entailment_verdicts(spark, sf_dir):
+    """The entailment branch, with a scorer that needs no model."""
+    top = grounding.evidence_topk(_evidence(spark, sf_dir))
+    one = Window.partitionBy("chunk_id").orderBy(F.desc("strength"), "aspect")
+    sources = top.withColumn("rn", F.row_number().over(one)).where("rn = 1")
+    got = grounding.verify(grounding.greedy_claims(top), sources, entailment=grounding.entailment_hook(grounding.shared_words))
+    return got.select("ticker", "claim_id", "status", "reason", half_up(F.col("nli.entailment"), 3).alias("entailment"), half_up(F.col("nli.contradiction"), 3).alias("contradiction"))
+
+
 @query()
 def adversarial_catch_rates(spark, sf_dir):
     top = grounding.evidence_topk(_evidence(spark, sf_dir))
@@ -384,6 +394,58 @@ def negated_tokens(spark, sf_dir):
     return masked.where(F.size("toks") > 0).groupBy("document_id").agg(F.sum(F.size("toks")).alias("n_tokens"), F.sum("n").alias("n_negated"))
 
 
+_V = valence.Valences({w: 1.9 for w in _L.positive} | {w: -1.7 for w in _L.negative}, {"it": valence.BOOST, "on": valence.BOOST, "la": -valence.BOOST}, tuple(_L.cues), ("or", "und"))
+_VALUE = " ".join(f"WHEN '{w}' THEN {v}::DOUBLE" for w, v in _V.words.items())
+_BOOSTS = " ".join(f"WHEN '{w}' THEN {v}::DOUBLE" for w, v in _V.boosters.items())
+_PUNCT = valence.PUNCTUATION.replace("'", "''")
+
+
+def _step(d: int, near: str, sure: str) -> str:
+    """What the word d places before does to the value x."""
+    raised = f"(x + CASE WHEN b{d} <> 0 THEN CASE WHEN x < 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END * (b{d} + CASE WHEN up{d} AND mixed THEN {valence.CAPITALS}::DOUBLE ELSE 0 END) * {valence.DISTANCE[d - 1]}::DOUBLE ELSE 0 END)"
+    turned = f"CASE WHEN w{d} = 'never' AND ({near}) THEN {valence.NEVER_SO}::DOUBLE WHEN w{d} = 'without' AND ({sure}) THEN 1.0::DOUBLE WHEN neg{d} THEN {valence.NEGATION}::DOUBLE ELSE 1.0::DOUBLE END"
+    return f"CASE WHEN i > {d} AND v{d} IS NULL THEN {raised} * {turned} ELSE x END"
+
+
+_VALENCE = f"""vp AS (SELECT doc_id, idx, s, list_filter(string_split_regex(s, '[ \t\n\r\f\x0B]+'), lambda t: t <> '') AS ps FROM sents),
+  vt AS (SELECT doc_id, idx, s, unnest(list_transform(ps, lambda t: CASE WHEN length(regexp_replace(t, '^{_PUNCT}+|{_PUNCT}+$', '', 'g')) <= 2 THEN t ELSE regexp_replace(t, '^{_PUNCT}+|{_PUNCT}+$', '', 'g') END)) AS t, generate_subscripts(ps, 1) AS i FROM vp),
+  vi AS (SELECT *, lower(t) AS w, t = upper(t) AND t <> lower(t) AS up, CASE lower(t) {_VALUE} END AS v, CASE lower(t) {_BOOSTS} ELSE 0 END AS b, lower(t) IN {_in(list(_V.negations))} OR contains(lower(t), 'n''t') AS neg FROM vt),
+  vl AS (SELECT *, count_if(up) OVER a > 0 AND count_if(up) OVER a < count(*) OVER a AS mixed, min(CASE WHEN w IN {_in(list(_V.contrast))} THEN i END) OVER a AS turn,
+    {", ".join(f"lag({c}, {d}) OVER o AS {c}{d}" for d in (1, 2, 3) for c in ("w", "up", "v", "b", "neg"))} FROM vi WINDOW a AS (PARTITION BY doc_id, idx), o AS (PARTITION BY doc_id, idx ORDER BY i)),
+  v0 AS (SELECT *, v + CASE WHEN up AND mixed THEN sign(v) * {valence.CAPITALS}::DOUBLE ELSE 0 END AS x FROM vl WHERE b = 0 AND v IS NOT NULL),
+  v1s AS (SELECT * REPLACE ({_step(1, 'false', 'false')} AS x) FROM v0),
+  v2s AS (SELECT * REPLACE ({_step(2, "w1 IN ('so', 'this')", "w1 = 'doubt'")} AS x) FROM v1s),
+  v3s AS (SELECT * REPLACE ({_step(3, "w1 IN ('so', 'this') OR w2 IN ('so', 'this')", "w1 = 'doubt' OR w2 = 'doubt'")} AS x) FROM v2s),
+  v4s AS (SELECT doc_id, idx, sum(x * CASE WHEN i > 1 AND w1 = 'least' AND v1 IS NULL AND (i < 3 OR w2 NOT IN ('at', 'very')) THEN {valence.NEGATION}::DOUBLE ELSE 1 END
+    * CASE WHEN turn IS NULL OR i = turn THEN 1.0::DOUBLE WHEN i < turn THEN {valence.BEFORE_CONTRAST}::DOUBLE ELSE {valence.AFTER_CONTRAST}::DOUBLE END) AS x FROM v3s GROUP BY ALL),
+  v5s AS (SELECT s.doc_id, s.idx, coalesce(x, 0) AS x, least(length(s) - length(replace(s, '!', '')), {valence.MOST_EXCLAMATIONS}) * {valence.EXCLAMATION}::DOUBLE
+    + CASE WHEN length(s) - length(replace(s, '?', '')) > {valence.MOST_QUESTIONS} THEN {valence.MANY_QUESTIONS}::DOUBLE WHEN length(s) - length(replace(s, '?', '')) > 1 THEN (length(s) - length(replace(s, '?', ''))) * {valence.QUESTION}::DOUBLE ELSE 0 END AS e
+    FROM sents s LEFT JOIN v4s USING (doc_id, idx)), v6s AS (SELECT doc_id, idx, CASE WHEN x > 0 THEN x + e WHEN x < 0 THEN x - e ELSE 0 END AS x FROM v5s)"""
+
+
+@query(f"WITH {ad.SENTENCES}, {_VALENCE} SELECT doc_id AS document_id, idx, {r(f'x / sqrt(x * x + {valence.ALPHA}::DOUBLE)')} AS score FROM v6s")
+def valence_scores(spark, sf_dir):
+    c = ad.corpus_chunks(spark, sf_dir)
+    return c.select("document_id", "idx", half_up(valence.valence_score(F.col("text"), _V)).alias("score"))
+
+
+@query(f"""WITH {ad.SENTENCES}, {_TOKENS}, vocabulary AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark),
+  vectors AS (SELECT w, embedding FROM vocabulary JOIN embeddings ON vec_id = ('0x' || substr(md5(w), 1, 8))::BIGINT % 500),
+  uses AS (SELECT doc_id, w, m AND regexp_full_match(t, '[A-Za-z]+') AS negated, count(*) AS n FROM masked GROUP BY ALL),
+  found AS (SELECT doc_id, n, n * CASE WHEN negated THEN -0.5::DOUBLE ELSE 1 END AS weight, embedding FROM uses JOIN vectors USING (w)),
+  dims AS (SELECT doc_id, d, sum(weight * embedding[d]::DOUBLE) / sum(n) AS x FROM found, range(1, 65) r(d) GROUP BY ALL),
+  whole AS (SELECT doc_id, max(CASE WHEN d = 1 THEN x END) AS a, max(CASE WHEN d = 64 THEN x END) AS b, sqrt(sum(x * x)) AS norm FROM dims GROUP BY ALL),
+  totals AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_tokens, CAST(coalesce(sum(CASE WHEN w IN (SELECT w FROM vectors) THEN n END), 0) AS BIGINT) AS n_found FROM uses GROUP BY ALL)
+  SELECT doc_id AS document_id, n_tokens, n_found, {r('a')} AS first, {r('b')} AS last, {r('norm')} AS norm FROM totals LEFT JOIN whole USING (doc_id)""")
+def pooled_vectors(spark, sf_dir):
+    words = ad.table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")).distinct()
+    words = words.withColumn("vec_id", F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("long") % 500)
+    vectors = words.join(ad.table(spark, sf_dir, "embeddings"), "vec_id").select("word", F.col("embedding").alias("vector"))
+    got = wordvectors.pooled_vectors(ad.corpus_chunks(spark, sf_dir), vectors, ["document_id"], _L)
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
+    return got.select("document_id", "n_tokens", "n_found", half_up(F.get("vector", F.lit(0))).alias("first"), half_up(F.get("vector", F.lit(63))).alias("last"), half_up(norm).alias("norm"))
+
+
 @query(f"""WITH {ad.SENTENCES}, {_TOKENS}, words AS (SELECT doc_id, idx, count(*) AS n, count_if(w IN {_in(_L.hedges)}) AS hits FROM kinds WHERE regexp_full_match(t, '[A-Za-z]+') OR contains(t, '''') GROUP BY ALL)
   SELECT s.doc_id AS document_id, s.idx, {r('least(1.0::DOUBLE, coalesce(w.hits, 0) / greatest(3.0::DOUBLE, coalesce(w.n, 0) * 0.25::DOUBLE))', 6)} AS hedge FROM sents s LEFT JOIN words w USING (doc_id, idx)""")
 def hedge_scores(spark, sf_dir):
