@@ -37,7 +37,9 @@ SIMILARITY = 0.8
 RECALL = 0.99999
 COORDINATES = 64
 BUCKET = 1_024
-ROWS_PER_TASK, TEXTS_PER_TASK = 40_000, 5_000
+ROWS_PER_TASK, TEXTS_PER_TASK = 20_000, 2_500
+#: Shingles of the sets that a task keeps to meet them again: 32 MB.
+SHINGLES_HELD = 1 << 22
 #: Children of a bucket at least; shape_for() takes more where the target asks for them.
 CHILDREN, MOST_CHILDREN = 3, 8
 MAX_DEPTH = 3
@@ -246,7 +248,8 @@ class _Group:
 
     def linked(self, similarity: float, words: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions of the pairs that are at least that similar, exactly."""
-        a, b = np.nonzero(self.pairs(similarity))
+        pairs = self.pairs(similarity)
+        a, b = np.nonzero(pairs)
         if not len(a):
             return a, b
         used = np.unique(np.concatenate([a, b]))
@@ -256,7 +259,12 @@ class _Group:
         if len(a) <= 40 * len(sets):
             both = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(a, b)])
         else:
-            both = self._common(sets)[a, b]
+            # in strips, so that no list of all pairs is made before the exact test
+            both, n = self._common(sets), self.n
+            for at in range(0, len(n), 64):
+                strip, least = both[at : at + 64], (similarity - 1e-12) * (n[at : at + 64, None] + n[None, :] - both[at : at + 64])
+                pairs[at : at + 64] &= strip >= least
+            return np.nonzero(pairs)
         keep = both >= (similarity - 1e-12) * (self.n[a] + self.n[b] - both)
         return a[keep], b[keep]
 
@@ -301,14 +309,17 @@ class _Rows:
         edges = [0, *(np.flatnonzero(new) + 1).tolist(), len(frame)]
         self.slices = list(zip(edges, edges[1:]))
         self._sets: dict[int, np.ndarray] = {}
+        self._held = 0
 
     def shingles(self, i: int, words: int) -> np.ndarray:
         """A set met in several buckets of this partition is made once, as long as few are held."""
         key = int(self.cls[i])
         if key not in self._sets:
-            if len(self._sets) > 4096:
+            if self._held > SHINGLES_HELD:
                 self._sets.clear()
+                self._held = 0
             self._sets[key] = shingles(self.texts[i], words)
+            self._held += len(self._sets[key])
         return self._sets[key]
 
     def groups(self) -> Iterator[_Group]:
