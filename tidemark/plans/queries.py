@@ -737,6 +737,17 @@ def stratified_sample(spark, sf_dir):
 # --- sources -----------------------------------------------------------------
 
 
+@query("""SELECT url, upper(split_part(split_part(regexp_replace(url, '^[a-z]+://', ''), '/', 1), '.', 1)) AS ticker, length(t) AS n, md5(t) AS digest
+  FROM (SELECT url, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(?:script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g'), ' ') AS t FROM pages)""")
+def plugin_pages(spark, sf_dir):
+    """The same pages through the data source registered for them."""
+    from tidemark.sources import plugins
+
+    plugins.register(spark)
+    pages = spark.read.format("tidemark_pages").option("path", f"{sf_dir}/pages.parquet").load()
+    return pages.select(F.col("source_url").alias("url"), "ticker", F.length("text").cast("long").alias("n"), F.md5("text").alias("digest"))
+
+
 @query("""SELECT page_id, length(t) AS n, md5(t) AS digest FROM (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(?:script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g'), ' ') AS t FROM pages)""")
 def html_text(spark, sf_dir):
     from tidemark.sources.readers import strip_tags
