@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, NaiveBayes
 from pyspark.ml.feature import IDF, CountVectorizer, IndexToString, NGram, Normalizer, StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
@@ -20,19 +20,29 @@ DIRECTIONS = {"up": ("increased", "rose", "climbed", "grew"), "down": ("declined
 TAILS = ("this quarter", "versus last year", "across all regions", "on a sequential basis", "as we had planned")
 
 
-def weak_labels(spark: SparkSession, n: int = 4000, seed: int = 13) -> DataFrame:
-    """n labelled sentences from templates: aspects in turn, all else by hash of the row and seed."""
-    pick = lambda salt, m: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(salt)), F.lit(m)).cast("int")
+def drawn(salt: str, of: int, seed: int, column: str = "id") -> Column:
+    """A number below ``of`` that follows from a row's id, the seed and what it is for."""
+    digest = F.md5(F.concat_ws("/", F.col(column).cast("string"), F.lit(str(seed)), F.lit(salt)))
+    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % of).cast("int")
+
+
+def weak_labels_of(ids: DataFrame, seed: int = 13) -> DataFrame:
+    """A labelled sentence from the templates for each ``id``: aspects in turn, all else drawn from the id and the seed."""
     of = lambda values, i: F.element_at(tx.strings(list(values)), i + 1)
     names = list(SUBJECTS)
-    rows = spark.range(n).withColumn("a", (F.col("id") % len(names)).cast("int"))
-    rows = rows.withColumns({"bad": pick("subject", 2), "d": pick("direction", 3), "w": pick("word", 4), "t": pick("tail", len(TAILS))})
+    rows = ids.select(F.col("id").cast("long").alias("id")).withColumn("a", F.pmod("id", F.lit(len(names))).cast("int"))
+    rows = rows.withColumns({"bad": drawn("subject", 2, seed), "d": drawn("direction", 3, seed), "w": drawn("word", 4, seed), "t": drawn("tail", len(TAILS), seed)})
     subject = F.when(F.col("bad") == 1, of([s[1] for s in SUBJECTS.values()], F.col("a"))).otherwise(of([s[0] for s in SUBJECTS.values()], F.col("a")))
     word = F.when(F.col("d") == 0, of(DIRECTIONS["up"], F.col("w"))).when(F.col("d") == 1, of(DIRECTIONS["down"], F.col("w"))).otherwise(of(DIRECTIONS["flat"], F.col("w")))
     good = F.col("bad") == F.col("d")
     label = F.when(F.col("d") == 2, "neutral").when(good, "positive").otherwise("negative")
-    text = F.concat(F.initcap(F.substring(subject, 1, 1)), F.substring(subject, 2, 100), F.lit(" "), word, F.lit(" "), of(TAILS, F.col("t")), F.lit("."))
-    return rows.select("id", of(names, F.col("a")).alias("aspect"), text.alias("text"), label.alias("label"), (pick("fold", 100) < 15).alias("held_out"))
+    text = F.concat(F.upper(F.substring(subject, 1, 1)), F.substring(subject, 2, 100), F.lit(" "), word, F.lit(" "), of(TAILS, F.col("t")), F.lit("."))
+    return rows.select("id", of(names, F.col("a")).alias("aspect"), text.alias("text"), label.alias("label"), (drawn("fold", 100, seed) < 15).alias("held_out"))
+
+
+def weak_labels(spark: SparkSession, n: int = 4000, seed: int = 13) -> DataFrame:
+    """``n`` labelled sentences from templates, 15 in a hundred of them held out."""
+    return weak_labels_of(spark.range(n), seed)
 
 
 def without_gold(weak: DataFrame, gold: DataFrame) -> DataFrame:

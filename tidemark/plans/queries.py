@@ -13,7 +13,7 @@ from tidemark.functions import polarity, valence
 from tidemark.functions import text as tx
 from tidemark.functions.lexicons import LABELS, term_pattern
 from tidemark.functions.text import half_up
-from tidemark.operators import aspects, evaluation, grounding, sampling, service, signals, transcripts, wordvectors
+from tidemark.operators import aspects, evaluation, grounding, models, sampling, service, signals, textbayes, transcripts, wordvectors
 from tidemark.operators.scratch import scratch_dir, written
 from tidemark.plans import adapters as ad
 from tidemark.streaming import stateful
@@ -816,21 +816,49 @@ def hash_embedding(spark, sf_dir):
     return b.select("item_id", F.explode(tx.hashed_embedding(F.col("text"), 384)).alias("d", "weight")).select("item_id", "d", half_up(F.col("weight"), 6).alias("weight"))
 
 
-@query()
+_KINDS = ["good", "poor", "toxic"]
+_LABELLED = """labelled AS (SELECT d.doc_id, coalesce(text, '') AS text, CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 1 THEN 'good' ELSE 'poor' END AS label,
+    ('0x' || substr(md5(CAST(d.doc_id AS VARCHAR)), 1, 8))::BIGINT % 100 < 15 AS held_out FROM documents d JOIN labels l ON l.doc_id = d.doc_id)"""
+_BAYES = f"""{_LABELLED}, sents AS (SELECT doc_id, 0 AS idx, text AS s FROM labelled), {_TOKENS},
+  grams AS (SELECT doc_id, i, CASE WHEN m AND regexp_full_match(t, '[A-Za-z]+') THEN 'NEG_' || w ELSE w END AS g FROM masked),
+  terms AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, g AS term FROM grams UNION ALL SELECT doc_id, g || ' ' || lead(g) OVER (PARTITION BY doc_id ORDER BY i) FROM grams) WHERE term IS NOT NULL GROUP BY ALL),
+  seen AS (SELECT t.*, label FROM terms t JOIN labelled USING (doc_id) WHERE NOT held_out), n AS (SELECT count(*) AS n FROM labelled WHERE NOT held_out),
+  idf AS (SELECT term, ln((1 + any_value(n.n)) / (1 + count(*))) + 1 AS idf FROM seen, n GROUP BY term),
+  wd AS (SELECT doc_id, label, term, (1 + ln(tf)) * idf AS w FROM seen JOIN idf USING (term)), norms AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM wd GROUP BY doc_id),
+  per AS (SELECT label, term, sum(w / norm) AS s FROM wd JOIN norms USING (doc_id) GROUP BY ALL), totals AS (SELECT label, sum(s) AS total FROM per GROUP BY label),
+  sizes AS (SELECT label, ln(count(*) / any_value(n.n)) AS prior FROM labelled, n WHERE NOT held_out GROUP BY label),
+  vocabulary AS (SELECT count(*) AS v FROM idf),
+  logs AS (SELECT i.term, i.idf, z.label, ln((coalesce(p.s, 0) + 0.3::DOUBLE) / (t.total + 0.3::DOUBLE * v)) AS lp FROM idf i CROSS JOIN sizes z JOIN totals t ON t.label = z.label CROSS JOIN vocabulary LEFT JOIN per p ON p.term = i.term AND p.label = z.label),
+  asked AS (SELECT t.doc_id, t.term, (1 + ln(tf)) AS u FROM terms t JOIN labelled USING (doc_id) WHERE held_out),
+  sums AS (SELECT doc_id, g.label, sum(u * idf * lp) / sqrt(sum(u * u * idf * idf)) AS x FROM asked a JOIN logs g USING (term) GROUP BY ALL),
+  best AS (SELECT l.doc_id, l.label AS t, z.label AS p FROM labelled l CROSS JOIN sizes z LEFT JOIN sums s ON s.doc_id = l.doc_id AND s.label = z.label WHERE held_out QUALIFY row_number() OVER (PARTITION BY l.doc_id ORDER BY prior + coalesce(x, 0) DESC, z.label) = 1),
+  gold AS (SELECT t, p FROM best)"""
+
+
+def _labelled(spark, sf_dir):
+    held_out = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("long") % 100 < 15
+    label = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").otherwise("poor")
+    d = ad.table(spark, sf_dir, "documents").select("doc_id", "text").join(ad.table(spark, sf_dir, "labels"), "doc_id")
+    return d.select("doc_id", "text", label.alias("label"), held_out.alias("held_out"))
+
+
+@query(f"WITH {_BAYES}, {_REPORT.replace(str(list(LABELS)), str(_KINDS))} SELECT * FROM report")
 def nb_tfidf_report(spark, sf_dir):
-    from tidemark.operators.models import weak_labels, train_text_classifier
+    """Learns kinds of documents from their labels, and is held against those it hasn't seen."""
+    rows = _labelled(spark, sf_dir)
+    model = textbayes.fit(rows.where("NOT held_out"), ["doc_id"], lexicon=_L)
+    return evaluation.classification_report(model.predict(rows.where("held_out"), ["doc_id"], lexicon=_L), "label", "predicted", labels=tuple(_KINDS))
 
-    rows = weak_labels(spark)
-    model = train_text_classifier(rows.where("NOT held_out"), "nb_tfidf")
-    return evaluation.classification_report(model.transform(rows.where("held_out")), "label", "predicted_label")
 
+_DRAW = lambda salt, of: f"('0x' || substr(md5(CAST(doc_id AS VARCHAR) || '/13/{salt}'), 1, 8))::BIGINT % {of}"
 
-@query()
-def weak_label_report(spark, sf_dir):
-    """Counts of the generated training sentences by label and part."""
-    from tidemark.operators.models import weak_labels
 
-    return weak_labels(spark, 4000).groupBy("label", "held_out").agg(F.count("*").alias("n"))
+@query(f"""WITH d AS (SELECT {_DRAW('subject', 2)} AS bad, {_DRAW('direction', 3)} AS d, {_DRAW('fold', 100)} < 15 AS held_out, list_extract({list(models.SUBJECTS)}, CAST(doc_id % {len(models.SUBJECTS)} + 1 AS INTEGER)) AS aspect FROM labels)
+  SELECT aspect, CASE WHEN d = 2 THEN 'neutral' WHEN bad = d THEN 'positive' ELSE 'negative' END AS label, held_out, count(*) AS n FROM d GROUP BY ALL""")
+def weak_label_report(spark, sf_dir):
+    """A sentence from the templates for each labelled document; counts by aspect, label and part."""
+    made = models.weak_labels_of(ad.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")))
+    return made.groupBy("aspect", "label", "held_out").agg(F.count("*").alias("n"))
 
 
 @query(f"""SELECT vec_id, other, {r('CASE WHEN na > 0 AND nb > 0 THEN ab / sqrt(na * nb) ELSE 0 END')} AS cosine FROM (SELECT a.vec_id, b.vec_id AS other,
