@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import polarity, valence
 from tidemark.functions import text as tx
-from tidemark.functions.lexicons import LABELS, term_pattern
+from tidemark.functions.lexicons import LABELS, NEGATIVE_EVENTS, POSITIVE_EVENTS, term_pattern
 from tidemark.functions.text import half_up
 from tidemark.operators import aspects, evaluation, grounding, models, sampling, service, signals, textbayes, transcripts, wordvectors
 from tidemark.operators.scratch import scratch_dir, written
@@ -516,7 +516,43 @@ def lm_score(spark, sf_dir):
     return ad.corpus_chunks(spark, sf_dir).withColumn("p", p).select("document_id", "idx", half_up(F.col("p.score"), 6).alias("score"), F.col("p.label").alias("label"))
 
 
-@query()
+_CLAUSE_TOKENS, _TRIGGER_TOKENS = ad.TOKEN_SQL.replace("(s,", "(clause,"), ad.TOKEN_SQL.replace("(s,", "(trigger,")
+_MENTIONS = f"""own AS (SELECT *, list_transform({_CLAUSE_TOKENS}, lambda t: lower(t)) AS toks, list_transform({_TRIGGER_TOKENS}, lambda t: lower(t)) AS own,
+    list_filter({_CLAUSE_TOKENS}, lambda t: regexp_full_match(t, '[A-Za-z]+') OR contains(t, '''')) AS plain FROM hits WHERE trigger <> ''),
+  placed AS (SELECT *, list_filter(range(1, len(toks) + 1), lambda i: list_contains(own, toks[i])) AS hit FROM own),
+  near AS (SELECT *, CASE WHEN len(hit) = 0 THEN CAST([] AS VARCHAR[]) ELSE list_filter(list_slice(toks, greatest(list_min(hit) - 6, 1), list_max(hit) + 6), lambda t: regexp_full_match(t, '[a-z]+') AND NOT list_contains(own, t)) END AS words FROM placed),
+  mentioned AS (SELECT *, len(list_filter(words, lambda t: t IN {_in(_L.cues)} OR ends_with(t, 'n''t'))) > 0 AS negated,
+    least(1.0::DOUBLE, len(list_filter(plain, lambda t: lower(t) IN {_in(_L.hedges)})) / greatest(3.0::DOUBLE, len(plain) * 0.25::DOUBLE)) AS hedge FROM near)"""
+
+
+def _word(pattern: str, of: str = "clause") -> str:
+    return f"regexp_matches({of}, '(?i)(?:^|{_EDGE})(?:{pattern})(?:{_EDGE}|$)')"
+
+
+#: Each clause's words once, then every aspect that it mentions.
+_BAD_UP = f"({_word(_L.bad_when_up)} AND NOT {_word(_L.good_when_up, "split_part(clause, ' and ', 1)")})"
+_DIRECTIONS = f"""spoken AS (SELECT DISTINCT doc_id, idx, clause_idx, clause FROM hits WHERE trigger <> ''),
+  ct AS (SELECT doc_id, idx, clause_idx, unnest({_CLAUSE_TOKENS}) AS t, generate_subscripts({_CLAUSE_TOKENS}, 1) AS i FROM spoken),
+  ck AS (SELECT *, lower(t) AS w, CASE WHEN lower(t) IN {_in(_L.cues)} OR lower(t) LIKE '%n''t' THEN 1 WHEN lower(t) IN {_in(_L.breaks)} THEN 2 ELSE 0 END AS kind FROM ct),
+  cr AS (SELECT *, max(CASE WHEN kind = 1 THEN i END) OVER w AS cue, coalesce(max(CASE WHEN kind = 2 THEN i END) OVER w, 0) AS stop FROM ck WINDOW w AS (PARTITION BY doc_id, idx, clause_idx ORDER BY i)),
+  cm AS (SELECT *, CASE WHEN kind = 0 AND coalesce(cue > stop AND i - cue <= 4, false) THEN -1 ELSE 1 END AS sign FROM cr),
+  sums AS (SELECT doc_id, idx, clause_idx, count_if(w IN {_in(_L.up)} OR w IN {_in(_L.down)}) > 0 AS moved,
+    sum(CASE WHEN w IN {_in(_L.up)} THEN sign WHEN w IN {_in(_L.down)} THEN -sign ELSE 0 END) AS turns,
+    sum(CASE WHEN w IN {_in(_L.up)} OR w IN {_in(_L.down)} THEN 0 WHEN w IN {_in(_L.positive)} THEN 8 * sign WHEN w IN {_in(_L.negative)} THEN -8 * sign ELSE 0 END) AS words,
+    sum(CASE WHEN w IN {_in(_L.up)} OR w IN {_in(_L.down)} OR w IN {_in(_L.positive)} OR w IN {_in(_L.negative)} THEN 0 WHEN w IN {_in(_L.uncertainty)} THEN -6 * sign ELSE 0 END) AS doubt FROM cm GROUP BY ALL),
+  read AS (SELECT h.doc_id, h.idx, h.clause_idx, h.clause, h.aspect, h.trigger, coalesce(moved, false) AS moved,
+    (coalesce(words, 0) + CASE WHEN aspect = 'management_tone' THEN coalesce(doubt, 0) ELSE 0 END + 10 * coalesce(turns, 0) * CASE WHEN {_BAD_UP} OR (aspect = 'litigation' AND {_word('(?:legal|litigation) (?:expense|cost)s?')}) THEN -1 ELSE 1 END
+    + CASE WHEN {_word(POSITIVE_EVENTS)} THEN 10 ELSE 0 END - CASE WHEN {_word(NEGATIVE_EVENTS)} THEN 10 ELSE 0 END) / 10.0::DOUBLE AS total
+    FROM hits h LEFT JOIN sums USING (doc_id, idx, clause_idx) WHERE trigger <> ''),
+  sure AS (SELECT *, greatest(-1.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN aspect = 'litigation' AND NOT moved AND abs(total) < 0.5 THEN 0 ELSE total END / 2)) AS sc FROM read),
+  labelled AS (SELECT *, CASE WHEN sc > 0.12 THEN 'positive' WHEN sc < -0.12 THEN 'negative' ELSE 'neutral' END AS lb, CASE WHEN abs(sc) > 0.12 THEN least(1.0::DOUBLE, 0.34::DOUBLE + abs(sc) * 0.66::DOUBLE) ELSE greatest(0.34::DOUBLE, 1 - abs(sc) * 6) END AS cf FROM sure),
+  per AS (SELECT doc_id, idx, aspect, avg(sc) AS mean, avg(cf) AS sure FROM labelled GROUP BY ALL),
+  best AS (SELECT l.*, m.words, m.negated, m.hedge FROM labelled l JOIN mentioned m USING (doc_id, idx, clause_idx, aspect) QUALIFY row_number() OVER (PARTITION BY l.doc_id, l.idx, l.aspect ORDER BY round(abs(l.sc), 9) DESC, l.clause_idx) = 1),
+  scored AS (SELECT doc_id, idx, aspect, CASE WHEN round(mean, 9) > 0.15 THEN 'positive' WHEN round(mean, 9) < -0.15 THEN 'negative' WHEN abs(sc) > 0.05 THEN lb ELSE 'neutral' END AS label, {r('mean')} AS score, {r('sure')} AS confidence, trigger, clause, array_to_string(words, ' ') AS opinion_words, negated, hedge
+    FROM per JOIN best USING (doc_id, idx, aspect))"""
+
+
+@query(f"WITH {ad.SENTENCES}, {_CLAUSES}, {_trigger_sql()}, {_MENTIONS}, {_DIRECTIONS} SELECT doc_id AS document_id, idx, aspect, label, score, confidence, trigger, clause, opinion_words, negated, hedge, 'lm_directional' AS model_name FROM scored")
 def directional_scores(spark, sf_dir):
     chunks = ad.corpus_chunks(spark, sf_dir)
     got = aspects.score_sentences(aspects.mentions(chunks, _L), "lm_directional", _L, keys=("document_id", "idx"))
@@ -900,7 +936,7 @@ def retrieved_evidence(spark, sf_dir):
     return got.select("chunk_id", "ticker", "aspect", "similarity")
 
 
-@query()
+@query(f"WITH {ad.SENTENCES}, {_CLAUSES}, {_trigger_sql()}, {_MENTIONS} SELECT doc_id AS document_id, idx, CAST(clause_idx AS INTEGER) AS clause_idx, aspect, trigger, negated, {r('hedge')} AS hedge, array_to_string(words, ' ') AS opinion_words FROM mentioned")
 def mention_rows(spark, sf_dir):
     got = aspects.mentions(ad.corpus_chunks(spark, sf_dir), _L)
     return got.select("document_id", "idx", "clause_idx", "aspect", "trigger", "negated", half_up(F.col("hedge")).alias("hedge"), F.array_join("opinion_words", " ").alias("opinion_words"))
@@ -931,24 +967,35 @@ def sense_scores(spark, sf_dir):
     return polarity.sense_score(ad.corpus_chunks(spark, sf_dir), senses, ("document_id", "idx"), _L).withColumn("score", half_up(F.col("score"), 6))
 
 
-@query(r"""WITH plain AS (SELECT doc_id, replace(translate(text, '‘’“”–' || chr(160), chr(39) || chr(39) || '""- '), '—', '--') AS t FROM documents),
-  cut AS (SELECT doc_id, regexp_replace(t, '(?i)\[[^\]]{0,80}\]|\((?:laughter|inaudible|crosstalk)\)', ' ', 'g') AS t FROM plain),
-  lines AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), '\r\n?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS t FROM cut),
-  trimmed AS (SELECT doc_id, regexp_replace(t, '^[ \t\n\v\f\r]+|[ \t\n\v\f\r]+$', '', 'g') AS t FROM lines)
-  SELECT doc_id, CAST(length(t) AS INTEGER) AS n, md5(t) AS digest FROM trimmed""")
+def _normal(source: str) -> str:
+    """CTEs that end in normed (doc_id, text)."""
+    return rf"""plain AS (SELECT doc_id, replace(translate(text, '‘’“”–' || chr(160), chr(39) || chr(39) || '""- '), '—', '--') AS t FROM {source}),
+  cut AS (SELECT doc_id, regexp_replace(t, '(?i)\[[^\]]{{0,80}}\]|\((?:laughter|inaudible|crosstalk)\)', ' ', 'g') AS t FROM plain),
+  lines AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), '\r\n?', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g') AS t FROM cut),
+  normed AS (SELECT doc_id, regexp_replace(t, '^[ \t\n\v\f\r]+|[ \t\n\v\f\r]+$', '', 'g') AS text FROM lines)"""
+
+
+@query(f"WITH {_normal('documents')} SELECT doc_id, CAST(length(text) AS INTEGER) AS n, md5(text) AS digest FROM normed")
 def normalized_documents(spark, sf_dir):
     d = ad.table(spark, sf_dir, "documents").select("doc_id", tx.normalize(F.col("text")).alias("t"))
     return d.select("doc_id", F.length("t").alias("n"), F.md5("t").alias("digest"))
 
 
-@query()
+_SEGMENT_SENTENCES = f"""roles AS ({SQL['speaker_roles']}), {ad.SEGMENTS}, said AS (SELECT struct_pack(d := document_id, i := i) AS doc_id, text FROM segments),
+  {_normal('said')}, {ad.SENTENCES.replace('FROM documents', 'FROM normed')}"""
+
+
+@query(f"WITH {_SEGMENT_SENTENCES} SELECT r.document_id, r.i, r.role, r.section, CAST(s.idx AS INTEGER) AS pos, md5(s.s) AS text FROM sents s JOIN roles r ON r.document_id = s.doc_id.d AND r.i = s.doc_id.i")
 def segment_sentences(spark, sf_dir):
     s = ad.segments(spark, sf_dir)
     roles = transcripts.speaker_roles(s, transcripts.qa_start(s, ad.INTRO, ad.HANDOFF))
     return roles.select("document_id", "i", "role", "section", F.posexplode(tx.sentences(tx.normalize(F.col("text")))).alias("pos", "text")).withColumn("text", F.md5("text"))
 
 
-@query()
+@query("""WITH raw AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(?:script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g'), ' ') AS t FROM pages),
+  heads AS (SELECT page_id, t, strpos(reverse(lower(t)), 'eht') AS back FROM raw), rests AS (SELECT page_id, t, back, substr(t, length(t) - back - 1) AS rest FROM heads),
+  stops AS (SELECT *, strpos(lower(substr(rest, 201)), 'and') AS stop FROM rests),
+  found AS (SELECT page_id, substr(CASE WHEN back = 0 THEN t WHEN stop > 0 THEN substr(rest, 1, stop + 199) ELSE rest END, 1, 200000) AS t FROM stops) SELECT page_id, CAST(length(t) AS INTEGER) AS n, md5(t) AS digest FROM found""")
 def section_extract(spark, sf_dir):
     from tidemark.sources.readers import mdna_section, strip_tags
 
