@@ -305,18 +305,14 @@ def brief_citations(spark, sf_dir):
 
 def _evidence(spark, sf_dir):
     """Sentences of the corpus that the syllable lexicon scores, as evidence."""
-    chunks = ad.corpus_chunks(spark, sf_dir).withColumn("chunk_id", F.xxhash64("document_id", "idx"))
+    # a text has fewer sentences than a million
+    chunks = ad.corpus_chunks(spark, sf_dir).withColumn("chunk_id", F.col("document_id") * 1_000_000 + F.col("idx"))
     meant = aspects.mentions(chunks, ad.SYLLABLES)
     got = aspects.score_sentences(meant, "lm_directional", ad.SYLLABLES, keys=("chunk_id", "ticker", "text"))
     # several branches of a brief read it: scored once and written
     return written(got.withColumns({"similarity": F.lit(0.0), "doc_date": F.lit("2024-01-01").cast("date"), "section": F.lit("body")}))
 
 
-@query()
-def greedy_claims(spark, sf_dir):
-    return grounding.greedy_claims(grounding.evidence_topk(_evidence(spark, sf_dir)))
-
-
 @query()
 def claim_verification(spark, sf_dir):
     top = grounding.evidence_topk(_evidence(spark, sf_dir))
@@ -559,6 +555,29 @@ def directional_scores(spark, sf_dir):
     return got.withColumn("opinion_words", F.array_join("opinion_words", " "))
 
 
+_TOP_EVIDENCE = f"""evidence AS (SELECT s.doc_id * 1000000 + s.idx AS chunk_id, d.source AS ticker, s.aspect, s.score, s.confidence, t.s AS text, abs(s.score) * (0.5::DOUBLE + s.confidence) AS strength,
+    CASE WHEN s.score > 0.15 THEN 'bull' WHEN s.score < -0.15 THEN 'bear' END AS side FROM scored s JOIN sents t USING (doc_id, idx) JOIN documents d USING (doc_id)),
+  top AS (SELECT * FROM evidence WHERE side IS NOT NULL QUALIFY row_number() OVER (PARTITION BY ticker, aspect, side ORDER BY strength DESC, chunk_id) <= 4)"""
+#: The strongest first; one whose aspect or sentence has been used is passed over.
+_GREEDY = f"""ranked AS (SELECT *, row_number() OVER (PARTITION BY ticker, side ORDER BY strength DESC, chunk_id, aspect) AS k FROM top),
+  walk AS (SELECT ticker, side, k, chunk_id, aspect, true AS taken, [aspect] AS aspects, [chunk_id] AS chunks FROM ranked WHERE k = 1 UNION ALL
+    SELECT r.ticker, r.side, r.k, r.chunk_id, r.aspect, NOT (list_contains(w.aspects, r.aspect) OR list_contains(w.chunks, r.chunk_id)),
+      CASE WHEN list_contains(w.aspects, r.aspect) OR list_contains(w.chunks, r.chunk_id) THEN w.aspects ELSE list_append(w.aspects, r.aspect) END,
+      CASE WHEN list_contains(w.aspects, r.aspect) OR list_contains(w.chunks, r.chunk_id) THEN w.chunks ELSE list_append(w.chunks, r.chunk_id) END
+    FROM walk w JOIN ranked r ON r.ticker = w.ticker AND r.side = w.side AND r.k = w.k + 1),
+  picks AS (SELECT r.*, row_number() OVER (PARTITION BY r.ticker, r.side ORDER BY abs(r.score) DESC, r.strength DESC, r.chunk_id, r.aspect) - 1 AS pos FROM walk w JOIN ranked r ON r.ticker = w.ticker AND r.side = w.side AND r.k = w.k WHERE w.taken),
+  quoted AS (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ') AS flat FROM picks WHERE pos < 6)"""
+_NAMES = " ".join(f"WHEN '{a}' THEN '{a.replace('_', ' ').title()}'" for a in _L.terms)
+
+
+@query(f"""WITH RECURSIVE {ad.SENTENCES}, {_CLAUSES}, {_trigger_sql()}, {_MENTIONS}, {_DIRECTIONS}, {_TOP_EVIDENCE}, {_GREEDY}
+  SELECT ticker, side, CASE side WHEN 'bull' THEN 'bl' ELSE 'br' END || (pos + 1) AS claim_id, aspect, score, CASE aspect {_NAMES} END || ' is ' || CASE side WHEN 'bull' THEN 'supportive' ELSE 'concerning' END || ' (2024-01-01, body): "'
+    || CASE WHEN length(flat) <= 220 THEN flat ELSE regexp_replace(substring(flat, 1, 220), ' [^ ]*$', '') || '...' END || '"' AS text, md5(CAST(chunk_id AS VARCHAR)) AS cited, CAST(pos AS INTEGER) AS ord FROM quoted""")
+def greedy_claims(spark, sf_dir):
+    got = grounding.greedy_claims(grounding.evidence_topk(_evidence(spark, sf_dir)))
+    return got.withColumn("cited", F.md5(F.get("cited", F.lit(0)).cast("string")))
+
+
 # --- ingestion -------------------------------------------------------------
 
 
@@ -949,7 +968,11 @@ def aspects_present(spark, sf_dir):
     return got.withColumn("aspects", F.array_join("aspects", ","))
 
 
-@query()
+_PAIRS_SQL = f"""asked AS (SELECT item_id, coalesce(text, '') AS clause, list_extract({[*_L.terms, "weather"]}, CAST(item_id % {len(_L.terms) + 1} + 1 AS INTEGER)) AS aspect FROM benchmark),
+  hits AS (SELECT item_id AS doc_id, 0 AS idx, 0 AS clause_idx, clause, aspect, aspect AS trigger FROM asked WHERE aspect IN {_in(list(_L.terms))}), {_DIRECTIONS.split("  per AS (")[0].rstrip().rstrip(",")}"""
+
+
+@query(f"WITH {_PAIRS_SQL} SELECT a.item_id, a.aspect, l.lb IS NOT NULL AS known, l.lb AS label, {r('l.sc')} AS score, {r('l.cf')} AS confidence FROM asked a LEFT JOIN labelled l ON l.doc_id = a.item_id")
 def pair_scores(spark, sf_dir):
     named = F.element_at(F.array(*map(F.lit, [*_L.terms, "weather"])), (F.pmod("item_id", F.lit(len(_L.terms) + 1)) + 1).cast("int"))
     return aspects.score_pairs(ad.table(spark, sf_dir, "benchmark").select("item_id", "text", named.alias("aspect")), "lm_directional", _L).drop("text")
