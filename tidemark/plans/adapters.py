@@ -153,3 +153,19 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CALLS = "calls AS (SELECT DISTINCT 'S' || (o_custkey % 20) AS symbol, CAST(o_orderdate AS TIMESTAMP) + to_hours(CAST(o_orderkey % 24 AS INTEGER)) AS call_at FROM orders)"
+
+
+#: Speakers of conversations written as lines, and the words that open a Q&A there.
+LINE_SPEAKERS = {"system": "Operator", "user": "Ann Lee -- Analyst", "assistant": "Bo Chan - Chief Officer"}
+LINE_MARKERS = "quelle|oder|with the"
+
+
+def line_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as one text each, a line per turn: ``Name -- Role: text``."""
+    who = F.create_map(*[F.lit(x) for item in LINE_SPEAKERS.items() for x in item])
+    c = table(spark, sf_dir, "conversations").withColumn("line", F.concat(F.coalesce(who[F.col("role")], F.lit("Someone")), F.lit(": "), F.coalesce("text", F.lit(""))))
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"])
+    return c.groupBy(F.col("conv_id").alias("document_id")).agg(F.array_join(lines, "\n").alias("text"))
+
+
+LINE_TEXTS = "conv AS (SELECT conv_id AS doc_id, string_agg(CASE role " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LINE_SPEAKERS.items()) + " ELSE 'Someone' END || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id)"

@@ -1034,6 +1034,25 @@ def audit_sheet(spark, sf_dir):
     return grounding.audit_export(grounding.verify(grounding.greedy_claims(top), sources), sources)
 
 
+_SPOKEN = transcripts.SPEAKER_LINE.replace("'", "''")
+_LINE_MACHINE = rf"""{ad.LINE_TEXTS}, {_normal('conv')},
+  raws AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM normed),
+  tagged AS (SELECT *, regexp_matches(line, '(?i)(?:{ad.LINE_MARKERS})') AND length(line) < {transcripts.MARKER_LINE} AS marker, trim(regexp_extract(line, '{_SPOKEN}', 1)) AS name, trim(regexp_extract(line, '{_SPOKEN}', 2)) AS role, trim(regexp_extract(line, '{_SPOKEN}', 3)) AS said FROM raws WHERE line <> ''),
+  named AS (SELECT *, name <> '' AND NOT regexp_matches(lower(line), '^(http|note)') AS named FROM tagged),
+  told AS (SELECT *, CASE WHEN named THEN said ELSE line END AS rest, CASE WHEN named THEN CASE WHEN role <> '' THEN name || ' (' || role || ')' ELSE name END END AS who FROM named),
+  walked AS (SELECT *, max(CASE WHEN marker OR coalesce(named AND starts_with(lower(who), 'operator') AND regexp_matches(rest, '(?i)(?:{ad.LINE_MARKERS})'), false) THEN 1 ELSE 0 END) OVER w AS qa,
+    sum(CASE WHEN marker OR named THEN 1 ELSE 0 END) OVER w AS block, coalesce(last_value(who IGNORE NULLS) OVER w, '') AS speaker FROM told WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+  bodies AS (SELECT struct_pack(d := doc_id, b := block) AS doc_id, string_agg(rest, ' ' ORDER BY i) AS text, max(qa) AS qa, arg_max(speaker, i) AS speaker FROM walked WHERE rest <> '' GROUP BY doc_id, block),
+  {ad.SENTENCES.replace('FROM documents', 'FROM bodies')}"""
+
+
+@query(f"""WITH {_LINE_MACHINE} SELECT s.doc_id.d AS document_id, CAST(row_number() OVER (PARTITION BY s.doc_id.d ORDER BY s.doc_id.b, s.idx) - 1 AS INTEGER) AS idx, CASE WHEN qa = 1 THEN 'qa' ELSE 'prepared' END AS section, speaker, md5(s.s) AS digest
+  FROM sents s JOIN bodies b ON b.doc_id = s.doc_id""")
+def line_transcript_sentences(spark, sf_dir):
+    got = transcripts.line_chunks(ad.line_transcripts(spark, sf_dir), ad.LINE_MARKERS)
+    return got.select("document_id", "idx", "section", "speaker", F.md5("text").alias("digest"))
+
+
 # --- studies -----------------------------------------------------------------------
 
 
