@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import os
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,8 +28,19 @@ CONFIG = {"watchlist": [], "sources": {}, "since": None, "lookback_days": 0, "mo
 
 
 def load_config(path: str | None = None) -> dict:
-    """The defaults with the keys of a JSON file, if one is named; an unknown key raises."""
-    given = json.loads(Path(path).read_text()) if path else {}
+    """The defaults with the keys of a JSON or YAML file: the one named, else the one that TIDEMARK_CONFIG names; an unknown key raises."""
+    path = path or os.environ.get("TIDEMARK_CONFIG")
+    given = {}
+    if path:
+        text = Path(path).read_text()
+        if path.endswith((".yml", ".yaml")):
+            try:
+                import yaml
+            except ImportError as e:
+                raise RuntimeError("YAML settings need the yaml package; JSON ones don't") from e
+            given = yaml.safe_load(text) or {}
+        else:
+            given = json.loads(text)
     if unknown := sorted(set(given) - set(CONFIG)):
         raise ValueError(f"unknown settings: {unknown}")
     return CONFIG | given
@@ -153,6 +165,14 @@ def events(scores: DataFrame, model: str | None = None) -> DataFrame:
     return per.groupBy("ticker", "document_id", "doc_date").agg(*[mean_half_up(F.col(c)).alias(name) for name, c in means.items()])
 
 
+def study_events(scores: DataFrame) -> DataFrame:
+    """(model, ticker, date, delta, doc_level) of all models at once, for ``evaluation.study``."""
+    keys = ("model_name", "ticker", "doc_date")
+    summary = signals.aspect_summary(scores, keys=keys)
+    both = signals.transcript_delta(summary, keys).join(signals.document_sentiment(summary, keys), list(keys))
+    return both.select(F.col("model_name").alias("model"), "ticker", F.col("doc_date").alias("date"), "delta", F.col("sentiment").alias("doc_level"))
+
+
 def signal_validity(rows: DataFrame, outcome: str, predictors: tuple[str, ...] = ("delta", "doc_level", "prepared")) -> DataFrame:
     """Per predictor: n, Spearman and Pearson with two-sided p, and the bootstrap interval; nulls below 3 events."""
     out = []

@@ -1100,14 +1100,10 @@ _STUDY = f"""{ad.SCORES}, per AS (SELECT model_name AS model, ticker, doc_date A
 
 def _study(spark, sf_dir):
     s = ad.scores(spark, sf_dir)
-    keys = ("model_name", "ticker", "doc_date")
-    summary = signals.aspect_summary(s, keys=keys)
-    events = signals.transcript_delta(summary, keys).join(signals.document_sentiment(summary, keys), list(keys))
-    events = events.select(F.col("model_name").alias("model"), "ticker", F.col("doc_date").alias("date"), "delta", F.col("sentiment").alias("doc_level"))
     w = Window.partitionBy("ticker").orderBy("date")
     daily = s.groupBy("ticker", F.col("doc_date").alias("date")).agg(half_up(F.avg("score"), 6).alias("v"))
     returns = daily.select("ticker", "date", *[(F.lead("v", k).over(w) - F.col("v")).alias(f"next_{k}") for k in (1, 4)])
-    return evaluation.study(events, returns, ["next_1", "next_4"], ["delta", "doc_level"])
+    return evaluation.study(service.study_events(s), returns, ["next_1", "next_4"], ["delta", "doc_level"])
 
 
 @query("WITH " + _STUDY)
