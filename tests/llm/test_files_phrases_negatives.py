@@ -273,3 +273,21 @@ def test_limits_and_ties():
     scores = np.array([5, 9, 9, 1, 9, 5] * 20, np.int64)
     places = np.flatnonzero(np.arange(120) % 2 == 0)
     assert best_of(scores, places, 4).tolist() == sorted(places.tolist(), key=lambda i: (-scores[i], i))[:4]
+
+
+# --- prefix tables ---------------------------------------------------------------
+
+
+def test_prefix_tables_of_awkward_rows(spark):
+    pytest.importorskip("public_tokenizers")
+    from tidemark.llm.token_counts import prefix_tables, within_budget
+
+    rows = [(None, "one two"), (1, "one two"), (1, "one two"), (2, None), (3, "")]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, prefix_tokens string")
+    got = prefix_tables(df).withColumns({"fits": within_budget("prefix_tokens", 1), "none": within_budget(F.lit(None).cast("array<int>"), 3)}).collect()
+    assert Counter((r["doc_id"], len(r["prefix_tokens"])) for r in got) == Counter({(None, 8): 1, (1, 8): 2, (2, 1): 1, (3, 1): 1})
+    assert all(r["prefix_tokens"][0] == 0 and r["none"] is None for r in got)
+    assert len({r["fits"] for r in got if r["doc_id"] in (None, 1)}) == 1
+    assert prefix_tables(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        within_budget("prefix_tokens", -1)

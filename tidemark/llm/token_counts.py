@@ -229,7 +229,9 @@ def prefix_tables(df: DataFrame, text: str = "text", id_col: str = "doc_id", mod
     """``id_col``, ``prefix_tokens`` (array of int) per row: the tokens of each prefix of 0, 1, 2, ... characters.
 
     Stored once, the table answers every later question of truncation and budget
-    (``within_budget``) without encoding.  Null texts count as empty: [0].
+    (``within_budget``) without encoding.  Null texts count as empty: [0].  Texts
+    are taken whole.  Null ids and repeated rows are kept as rows of their own,
+    an empty table gives none; other columns are not read.
     """
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -244,6 +246,9 @@ def prefix_tables(df: DataFrame, text: str = "text", id_col: str = "doc_id", mod
 def within_budget(prefix_tokens: str | Column, budget: int) -> Column:
     """Characters of the longest prefix that takes at most ``budget`` tokens, read from a prefix table.
 
-    Counts may fall by one or more where a merge completes, so the last that fits counts."""
+    Counts may fall by one or more where a merge completes, so the last that fits
+    counts.  A null table gives null; a budget below 0, which nothing fits, raises."""
+    if budget < 0:
+        raise ValueError("a budget is at least 0 tokens")
     counts = F.col(prefix_tokens) if isinstance(prefix_tokens, str) else prefix_tokens
     return F.size(counts) - 1 - (F.array_position(F.transform(F.reverse(counts), lambda n: n <= budget), True).cast("int") - 1)
