@@ -857,7 +857,11 @@ def customers_without_orders(spark, sf_dir):
 def vector_topk(spark, sf_dir):
     e = ad.table(spark, sf_dir, "embeddings")
     first = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("qv")).select(F.col("label").alias("query_label"), "qv")
-    s = e.join(F.broadcast(first)).withColumn("sim", tx.dot(F.col("qv"), F.col("embedding")))  # one query per label
+    # blocks of at most 64 queries or so meet all rows; Spark broadcasts them if they are small
+    blocks = max(1, -(-first.count() // 64))
+    packed = first.groupBy(F.pmod(F.xxhash64("query_label"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("query_label", "qv")).alias("queries"))
+    each = e.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    s = each.join(packed, "block").select("vec_id", "embedding", F.inline("queries")).withColumn("sim", tx.dot(F.col("qv"), F.col("embedding")))
     w = Window.partitionBy("query_label").orderBy(F.floor(F.col("sim") * 1e6 + 0.5).desc(), "vec_id")
     return s.withColumn("rank", F.row_number().over(w)).where("rank <= 4").select("query_label", "rank", "vec_id", half_up(F.col("sim")).alias("sim"))
 
