@@ -17,6 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import stages
+from tidemark.llm.common import hot_keys, salted_join
 from tidemark.llm.exact_search import exact_topk, search_block
 from tidemark.llm.jaccard_join import connected, jaccard_join
 from tidemark.llm.language_id import codewords, identify_language
@@ -273,6 +274,45 @@ def test_long_chains_of_documents_are_one_group(spark):
     assert set(got.class_id) == {0} and sorted(got.n_links) == [1] * 2 + [2] * 1998
 
 
+def test_hot_keys_are_told_by_rows_at_every_size(spark):
+    # 1,100 rows among 8 million, where the mean over 65,536 slots of a hash is 122
+    n = 8_000_000
+    rows = spark.range(n).select(F.when(F.col("id") < 1_100, F.lit(-7)).otherwise(F.col("id")).alias("key"))
+    mark = hot_keys(rows, "key", 1_024)
+    asked = spark.createDataFrame([(-7,), (5_000,), (n - 1,), (None,)], "key long")
+    assert {r["key"]: r["hot"] for r in mark(asked).collect()} == {-7: True, 5_000: False, n - 1: False, None: False}
+    # a slot of the filter has one other of these keys on average
+    assert 1_100 <= mark(rows).where("hot").count() <= 1_110
+
+
+def test_salted_join_splits_a_key_with_half_of_all_rows(spark):
+    n = 1_000_000
+    many = spark.range(n).select(F.col("id").alias("row"), F.when(F.col("id") % 2 == 0, F.lit(0)).otherwise(F.col("id")).alias("key"))
+    once = spark.range(0, n, 3).select(F.col("id").alias("key"), (F.col("id") * 2).alias("twice"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(before, ("false", "200", "-1")):
+            spark.conf.set(k, v)
+        for how, expected in (("inner", 500_000 + 166_667), ("left", n), ("left_semi", 500_000 + 166_667)):
+            got = salted_join(many, once, ["key"], ["row"], 1_024, 64, how)
+            tasks = got.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).agg(F.sum("n"), F.max("n")).head()
+            assert tasks[0] == expected and tasks[1] < 0.05 * n
+        wrong = salted_join(many, once, ["key"], ["row"], 1_024, 64, "left").where(
+            ~F.col("twice").eqNullSafe(F.when(F.col("key") % 3 == 0, F.col("key") * 2))
+        )
+        assert wrong.count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_salted_join_takes_empty_tables_and_null_keys(spark):
+    some, none = spark.createDataFrame([(1, 5), (2, None)], "row long, key long"), spark.createDataFrame([], "key long, x int")
+    assert salted_join(some, none, ["key"], ["row"], 1, 4, "left").count() == 2
+    assert salted_join(some, none, ["key"], ["row"], 1, 4).count() == 0
+    assert salted_join(some.limit(0), none, ["key"], ["row"], 1, 4).count() == 0
+
+
 def test_connected_equals_brute_force(spark):
     rng = random.Random(14)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(190)] + [(1000 + i, 1001 + i) for i in range(300)] + [(2000 + i, 3000) for i in range(50)]

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 #: 64-bit words of the filter in only_rows(): 1 MB, whatever the input's size.
 FILTER_WORDS = 1 << 17
-HOT_SLOTS = 1 << 16
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -81,38 +80,54 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return stored(df.withColumn(name, F.monotonically_increasing_id()))
 
 
+def _bit_of(key: str) -> tuple[Column, Column]:
+    slot = F.pmod(F.xxhash64(key), F.lit(FILTER_WORDS * 64))
+    return F.floor(slot / 64).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int")).alias("bit")
+
+
+def _bits(keys: DataFrame, key: str) -> DataFrame:
+    """A bit filter of the keys, at most FILTER_WORDS rows whatever the input's size."""
+    return keys.select(*_bit_of(key)).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+
+
 def only_rows(docs: DataFrame, row: str, keys: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose number may be in ``keys``: a bit filter that spares most other texts
     the shuffle of the exact join after it.  It is broadcast as at most FILTER_WORDS rows, whatever the input's size."""
-    slot = F.pmod(F.xxhash64(row), F.lit(FILTER_WORDS * 64))
-    word, bit = F.floor(slot / 64).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))
-    table = keys.select(word, bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    marked = docs.select("*", word, bit.alias("bit")).join(F.broadcast(table), "word")
+    marked = docs.select("*", *_bit_of(row)).join(F.broadcast(_bits(keys, row)), "word")
     return marked.where(F.col("bits").bitwiseAND(F.col("bit")) != 0).select(*docs.columns)
 
 
-def hot_keys(df: DataFrame, key: str, at_least: int) -> Callable[[str], Column]:
-    """A test for keys that hold very many rows of ``df``: true for each such key, and for few others.
+def hot_keys(df: DataFrame, key: str, at_least: int) -> Callable[[DataFrame], DataFrame]:
+    """What marks rows of a table with the column ``key``: ``hot``, true for each key that holds
+    ``at_least`` rows of ``df``, and for few others.
 
-    Keys are counted by HOT_SLOTS slots of their hash, with partial sums.  A slot
-    is hot from ``at_least`` rows and 16 times the mean on, so the driver gets at
-    most HOT_SLOTS / 16 numbers, whatever the input's size.
+    Keys are counted one by one, with partial sums, and the bound is a number of
+    rows at every size.  The hot ones are written as a bit filter and broadcast as at
+    most FILTER_WORDS rows; none reaches the driver.  Where very many keys are
+    hot the filter marks others too, which costs them salts and changes no result.
     """
-    slot = lambda name: F.pmod(F.xxhash64(name), F.lit(HOT_SLOTS)).cast("int")
-    counts = df.groupBy(slot(key).alias("slot")).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).head()[0] or 0
-    hot = [r[0] for r in counts.where(F.col("n") >= max(at_least, 16 * total // HOT_SLOTS)).select("slot").collect()]
-    return lambda name: slot(name).isin(hot) if hot else F.lit(False)
+    hot = df.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= at_least)
+    bits = stored(_bits(hot, key))
+
+    def mark(rows: DataFrame) -> DataFrame:
+        met = rows.select("*", *_bit_of(key)).join(F.broadcast(bits), "word", "left")
+        return met.select(*rows.columns, F.coalesce(F.col("bits").bitwiseAND(F.col("bit")) != 0, F.lit(False)).alias("hot"))
 
+    return mark
 
-def spread(hot: Column, salts: int, by: list[str]) -> Column:
-    """The salt of a row on the large side of a join: 0 but for hot keys."""
-    return F.when(hot, F.pmod(F.xxhash64(*by, F.lit(43)), F.lit(salts))).otherwise(F.lit(0)).cast("int")
 
+def salted_join(many: DataFrame, once: DataFrame, on: list[str], by: list[str], at_least: int, salts: int, how: str = "inner") -> DataFrame:
+    """``many`` joined with ``once``, which has one row for each value of ``on``.
 
-def all_salts(hot: Column, salts: int) -> Column:
-    """The salts under which a row of the small side stands: one but for hot keys."""
-    return F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
+    Values of the first column of ``on`` with ``at_least`` rows of ``many`` are split into
+    ``salts`` parts by a hash of ``by``, and their row of ``once`` is copied to each part.
+    """
+    mark = hot_keys(many, on[0], at_least)
+    part = F.when(F.col("hot"), F.pmod(F.xxhash64(*by, F.lit(43)), F.lit(salts))).otherwise(F.lit(0)).cast("int")
+    parts = F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
+    dealt = mark(many).withColumn("salt", part).drop("hot")
+    copied = mark(once).withColumn("salt", parts).drop("hot")
+    return dealt.join(copied, [*on, "salt"], how).drop("salt")
 
 
 # --- rolling hashes -------------------------------------------------------

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import RollingHash, all_salts, as_text, hot_keys, kind_of, mixed, numbered, only_rows, release, shuffle_width, spread, stored
+from tidemark.llm.common import RollingHash, as_text, kind_of, mixed, numbered, only_rows, release, salted_join, shuffle_width, stored
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -144,9 +144,7 @@ def _sketches(docs: DataFrame, words: int, runs: int) -> DataFrame:
 def _counted(rows: DataFrame) -> DataFrame:
     """Rows (cls, bucket, ...) of buckets with at least two members, with their number m."""
     many = rows.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
-    hot = hot_keys(rows, "bucket", HOT)
-    salted = rows.withColumn("salt", spread(hot("bucket"), SALTS, ["cls"]))
-    return salted.join(many.withColumn("salt", all_salts(hot("bucket"), SALTS)), ["bucket", "salt"]).drop("salt")
+    return salted_join(rows, many, ["bucket"], ["cls"], HOT, SALTS)
 
 
 def _with_signatures(rows: DataFrame, classes: DataFrame) -> DataFrame:
@@ -165,9 +163,7 @@ def _is_tight(large: DataFrame, classes: DataFrame, depth: int, runs: int, child
 
     counts = _with_signatures(large, classes).mapInPandas(probe, "bucket long, m long, value long").groupBy("bucket", "m", "value").agg(F.count("*").alias("n"))
     tight = counts.groupBy("bucket").agg(F.max(F.col("n") > F.col("m") * CLUSTERED).alias("tight"))
-    # all of these buckets are large
-    salted = large.withColumn("salt", spread(F.lit(True), SALTS, ["cls"]))
-    return salted.join(tight.withColumn("salt", all_salts(F.lit(True), SALTS)), ["bucket", "salt"]).select("cls", "bucket", "m", "tight")
+    return salted_join(large, tight, ["bucket"], ["cls"], HOT, SALTS).select("cls", "bucket", "m", "tight")
 
 
 def _leaves(classes: DataFrame, bucket: int, runs: int, children: int) -> DataFrame:
@@ -358,7 +354,7 @@ def connected(nodes_edges: DataFrame, rounds: int = 128, jumps: int = 64) -> Dat
         held = tree
         for _ in range(jumps):
             over = tree.select(F.col("node").alias("up"), F.col("up").alias("beyond"))
-            after = stored(tree.join(over, "up", "left").select("node", "first", F.coalesce("beyond", "up").alias("up"), F.col("beyond").isNotNull().alias("moved")))
+            after = stored(salted_join(tree, over, ["up"], ["node"], HOT, SALTS, "left").select("node", "first", F.coalesce("beyond", "up").alias("up"), F.col("beyond").isNotNull().alias("moved")))
             tree = after.drop("moved")
             release(held)
             held = after
@@ -367,10 +363,10 @@ def connected(nodes_edges: DataFrame, rounds: int = 128, jumps: int = 64) -> Dat
         else:
             raise RuntimeError(f"trees still not flat after {jumps} jumps")
         to = tree.select(F.col("node").alias("root"), "up")
-        label = stored(label.join(to, "root", "left").select("node", F.coalesce("up", "root").alias("root")))
+        label = stored(salted_join(label, to, ["root"], ["node"], HOT, SALTS, "left").select("node", F.coalesce("up", "root").alias("root")))
         # the edges that made the tree lie inside it
-        rest = edges.join(tree.withColumnRenamed("node", "a"), "a").where("b <> first").select(F.col("up").alias("x"), F.col("b").alias("root"))
-        ends = rest.join(to, "root", "left").select("x", F.coalesce("up", "root").alias("y")).where("x <> y")
+        rest = salted_join(edges, tree.withColumnRenamed("node", "a"), ["a"], ["b"], HOT, SALTS).where("b <> first").select(F.col("up").alias("x"), F.col("b").alias("root"))
+        ends = salted_join(rest, to, ["root"], ["x"], HOT, SALTS, "left").select("x", F.coalesce("up", "root").alias("y")).where("x <> y")
         edges = stored(ends.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
         release(*spent, held)
     if edges.head(1):
@@ -456,11 +452,9 @@ def jaccard_join(
     named = classes.select(*same, "cls", "set_id", "n_copies").join(links, "cls", "left").join(groups.withColumnRenamed("node", "cls"), "cls", "left")
     named = named.withColumn("root", F.coalesce("root", "cls"))
     lowest = named.groupBy("root").agg(F.min("set_id").alias("class_id"))
-    named = named.join(lowest, "root").select(*same, "class_id", "root", "set_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
+    named = salted_join(named, lowest, ["root"], ["cls"], HOT, SALTS).select(*same, "class_id", "root", "set_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
     # a text may have very many copies
-    hot = hot_keys(rows, "h1", HOT)
-    named = named.withColumn("salt", all_salts(hot("h1"), SALTS))
-    out = rows.select("i", "row", *same, spread(hot("h1"), SALTS, ["row"]).alias("salt")).join(named, [*same, "salt"], "left")
+    out = salted_join(rows.select("i", "row", *same), named, same, ["row"], HOT, SALTS, "left")
     return out.select(
         F.col("i").alias(id_col), "row", "root", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("i")).alias("class_id"),
         F.when(F.col("n") > 0, F.col("set_id")).otherwise(F.col("i")).alias("set_id"),

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import RollingHash, all_salts, as_text, hot_keys, kind_of, mixed, numbered, only_rows, shuffle_width, spread, stored
+from tidemark.llm.common import RollingHash, as_text, hot_keys, kind_of, mixed, numbered, only_rows, salted_join, shuffle_width, stored
 
 LENGTH = 200
 TRIGGER = 16
@@ -124,23 +124,21 @@ def _parsed(docs: DataFrame, length: int, span: int) -> DataFrame:
 def _counted(items: DataFrame) -> DataFrame:
     """(row, j, k, first, weight, entries) of the items whose core occurs again: how often their
     entry occurs (2: twice or more), whether they stand for it, and how many entries share the core."""
-    hot = hot_keys(items, "k", HOT)
+    items = hot_keys(items, "k", HOT)(items)
     core, entry = Window.partitionBy("k"), Window.partitionBy("k", "f")
     cold = (
-        items.where(~hot("k"))
+        items.where(~F.col("hot"))
         .repartition("k")
         .withColumn("first", F.row_number().over(entry.orderBy("row", "j")) == 1)
         .withColumn("weight", F.sum("w").over(entry))
         .withColumn("entries", F.sum(F.col("first").cast("int")).over(core))
     )
     # cores with very many items are counted by partial sums, and joined in salts
-    many = items.where(hot("k"))
+    many = items.where("hot").drop("hot")
     entries = stored(many.groupBy("k", "f").agg(F.sum("w").alias("weight"), F.min(F.struct("row", "j")).alias("one")))
     cores = entries.groupBy("k").agg(F.count("*").alias("entries")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     known = entries.withColumn("salt", F.pmod(F.xxhash64("f"), F.lit(SALTS)).cast("int")).join(cores, ["k", "salt"]).drop("salt")
-    common = hot_keys(many, "f", HOT)
-    known = known.withColumn("salt", all_salts(common("f"), SALTS))
-    warm = many.withColumn("salt", spread(common("f"), SALTS, ["row", "j"])).join(known, ["k", "f", "salt"])
+    warm = salted_join(many, known, ["f", "k"], ["row", "j"], HOT, SALTS)
     columns = ["row", "j", "k", "first", "weight", "entries"]
     counted = cold.select(*columns).unionByName(warm.withColumn("first", F.struct("row", "j") == F.col("one")).select(*columns))
     return counted.where("weight > 1 or entries > 1").withColumn("weight", F.least("weight", F.lit(2)))
@@ -248,7 +246,7 @@ def _settle_hot(items: DataFrame, length: int, span: int) -> DataFrame:
 
     rows = stored(items.mapInPandas(strings, "row long, j int, w long, t int, h1 long, h2 long"))
     twice = rows.groupBy("h1", "h2").agg(F.sum("w").alias("n")).where("n > 1").select("h1", "h2")
-    marked = rows.where("w = 1").join(twice, ["h1", "h2"]).groupBy("row", "j").agg(F.collect_set("t").alias("ts"))
+    marked = salted_join(rows.where("w = 1"), twice, ["h1", "h2"], ["row", "j", "t"], HOT, SALTS).groupBy("row", "j").agg(F.collect_set("t").alias("ts"))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -287,7 +285,7 @@ def repeat_spans(
     open_ = counted.where("entries > 1 and first")
     # only cores where some entry occurs once have anything left to settle
     unsettled = open_.where("weight = 1").select("k").distinct()
-    asked = stored(open_.join(unsettled, "k", "left_semi").groupBy("row").agg(F.collect_list(F.struct("j", "k", "weight", "entries")).alias("asked")))
+    asked = stored(salted_join(open_, unsettled, ["k"], ["row", "j"], HOT, SALTS, "left_semi").groupBy("row").agg(F.collect_list(F.struct("j", "k", "weight", "entries")).alias("asked")))
 
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
