@@ -183,6 +183,16 @@ def mean_half_up(x: Column, digits: int = 4) -> Column:
     return F.floor(F.sum(F.floor(x * F.lit(unit) + 0.5)) / F.count(x) + 0.5) / F.lit(unit)
 
 
+def exact_mean(x: Column, digits: int = 4) -> Column:
+    """Mean rounded half up, from a sum of decimals: neither the rows' order nor the last bits of doubles decide a tie.
+
+    Values count with twelve decimals; where one doesn't fit, all are averaged as doubles."""
+    exact = x.try_cast("decimal(24,12)")
+    unit = F.lit(10**digits).cast(f"decimal({digits + 1},0)")
+    tie = F.floor(F.try_avg(exact) * unit + F.lit("0.5").cast("decimal(2,1)")).cast("double") / F.lit(float(10**digits))
+    return F.when(F.count(exact) == F.count(x), tie).otherwise(half_up(F.avg(x), digits))
+
+
 def half_up(x: Column, digits: int = 4) -> Column:
     """Rounding that other engines repeat bit for bit: floor(x * 10^d + 0.5) / 10^d."""
     return F.floor(x * F.lit(float(10**digits)) + 0.5) / F.lit(float(10**digits))

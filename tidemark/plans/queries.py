@@ -719,7 +719,7 @@ _EST = "est AS (SELECT 'S' || (l_partkey % 20) AS symbol, CAST(l_shipdate AS DAT
 @query(f"WITH {_EST}, p AS (SELECT *, lag(eps) OVER (PARTITION BY symbol ORDER BY day) AS prev FROM est4) SELECT symbol, day, eps, {r('(eps - prev) / abs(prev)', 6)} AS revision FROM p WHERE prev IS NOT NULL AND prev <> 0")
 def eps_revision_lag(spark, sf_dir):
     li = ad.table(spark, sf_dir, "lineitem")
-    est = li.groupBy(F.concat(F.lit("S"), F.col("l_partkey") % 20).alias("symbol"), F.col("l_shipdate").cast("date").alias("day")).agg(half_up(F.avg(F.col("l_discount") - 0.03)).alias("eps"))
+    est = li.groupBy(F.concat(F.lit("S"), F.col("l_partkey") % 20).alias("symbol"), F.col("l_shipdate").cast("date").alias("day")).agg(tx.exact_mean(F.col("l_discount") - 0.03).alias("eps"))
     return evaluation.revisions(est)
 
 
