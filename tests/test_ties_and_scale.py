@@ -29,3 +29,18 @@ def test_means_do_not_depend_on_the_order_of_rows(spark):
     assert got == {0.0238}
     odd = spark.createDataFrame([(1, None), (1, 1.0), (2, float("inf")), (3, None)], "k int, v double")
     assert {r["k"]: r["m"] for r in odd.groupBy("k").agg(tx.exact_mean(F.col("v")).alias("m")).collect()}.get(1) == 1.0
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sentences_are_scored_in_their_row(spark):
+    texts = ["That with was not good; but that fell at the is. And this", "the", "", None, "of the don't the that, of by; that that of the; no", "Of the de and dex. With la, on the that are"]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id int, text string")
+    plain = aspects.score_sentences(aspects.mentions(chunks, SYLLABLES), "lm_directional", SYLLABLES)
+    got = aspects.score_chunks(chunks, "lm_directional", SYLLABLES)
+    assert got.columns == plain.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect())) != []
+    # a shuffle of each text for each of its aspects before
+    assert "Exchange" not in plan(got) and "Exchange" in plan(plain)

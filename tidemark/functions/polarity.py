@@ -9,24 +9,33 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
 from tidemark.functions import valence
-from tidemark.functions.lexicons import FINANCE, LABELS, NEGATIVE_EVENTS, POSITIVE_EVENTS, Lexicon
+from tidemark.functions.codes import Coding, count
+from tidemark.functions.lexicons import FINANCE, LABELS, NEGATION_WINDOW, NEGATIVE_EVENTS, POSITIVE_EVENTS, Lexicon
 
 
 def label_of(score: Column, threshold: float) -> Column:
     return F.when(score > threshold, "positive").when(score < -threshold, "negative").otherwise("neutral")
 
 
-def prediction(score: Column, threshold: float = 0.05, scale: float = 1.0) -> Column:
-    """struct(label, score, confidence, probs) of a signed score."""
+def graded(score: Column, threshold: float = 0.05, scale: float = 1.0, more: Callable[[Column, Column], list[Column]] = lambda label, confidence: []) -> Column:
+    """struct(label, score, confidence, ...) of a signed score."""
     def built(s: Column) -> Column:
         label = label_of(s, threshold)
         confidence = F.when(label != "neutral", F.least(F.lit(1.0), 0.34 + F.abs(s) * scale * 0.66)).otherwise(F.greatest(F.lit(0.34), 1 - F.abs(s) * 6))
-        probs = F.map_from_arrays(tx.strings(list(LABELS)), F.array(*[F.when(label == x, confidence).otherwise((1 - confidence) / 2) for x in LABELS]))
-        return F.struct(label.alias("label"), s.alias("score"), confidence.alias("confidence"), probs.alias("probs"))
+        return F.struct(label.alias("label"), s.alias("score"), confidence.alias("confidence"), *more(label, confidence))
 
     return tx.let(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), score)), built)
 
 
+def prediction(score: Column, threshold: float = 0.05, scale: float = 1.0) -> Column:
+    """struct(label, score, confidence, probs) of a signed score."""
+    def probs(label: Column, confidence: Column) -> list[Column]:
+        shares = F.array(*[F.when(label == x, confidence).otherwise((1 - confidence) / 2) for x in LABELS])
+        return [F.map_from_arrays(tx.strings(list(LABELS)), shares).alias("probs")]
+
+    return graded(score, threshold, scale, probs)
+
+
 def prediction_from_probs(probs: Column) -> Column:
     """struct(label, score, confidence, probs) of class probabilities; ties go to the first label."""
     p = {x: F.coalesce(F.try_element_at(probs, F.lit(x)), F.lit(0.0)) for x in LABELS}
@@ -34,47 +43,52 @@ def prediction_from_probs(probs: Column) -> Column:
     return F.struct(best["label"].alias("label"), (p["positive"] - p["negative"]).alias("score"), best["p"].alias("confidence"), probs.alias("probs"))
 
 
-def _pairs(text: Column, lexicon: Lexicon) -> Column:
-    pair = lambda t, m: F.struct(F.lower(t).alias("t"), m.alias("m"))
-    return tx.let(tx.tokens(text), lambda toks: F.zip_with(toks, tx.negated(toks, lexicon.cues, lexicon.breaks), pair))
-
-
 def counted_score(text: Column, aspect: Column | None = None, lexicon: Lexicon = FINANCE) -> Column:
     """Positive against negative words; a negation moves a word to the other side."""
-    pos, neg = tx.strings(lexicon.positive), tx.strings(lexicon.negative)
-    positive = lambda x: F.array_contains(pos, x["t"])
-    negative = lambda x: ~F.array_contains(pos, x["t"]) & F.array_contains(neg, x["t"])
-    sign = lambda x: F.when(positive(x), 1).when(negative(x), -1).otherwise(0) * F.when(x["m"], -1).otherwise(1)
+    c = Coding(cues=lexicon.cues, breaks=lexicon.breaks, positive=lexicon.positive, negative=lexicon.negative)
+    pos, neg = c.of("positive"), c.of("negative", "positive")
+    balance = lambda p, n: (p - n) / F.greatest(F.lit(1.0), p + n) * F.least(F.lit(1.0), (p + n) / 2 + 0.2)
+
+    def sides(free: Column, off: Column) -> Column:
+        p, n = count(free, pos) + count(off, neg), count(free, neg) + count(off, pos)
+        return tx.let(p.cast("double"), lambda x: tx.let(n.cast("double"), lambda y: balance(x, y)))
+
+    return tx.let(c.code(tx.tokens(text)), lambda k: tx.let(c.free(k, NEGATION_WINDOW), lambda f: tx.let(c.reached(k, NEGATION_WINDOW), lambda o: sides(f, o))))
+
+
+def directional_parts(text: Column, lexicon: Lexicon = FINANCE) -> Column:
+    """struct(turns, words, doubt, moved, bad, events): what a text's words say, in tenths, whatever the aspect."""
+    c = Coding(cues=lexicon.cues, breaks=lexicon.breaks, up=lexicon.up, down=lexicon.down, positive=lexicon.positive, negative=lexicon.negative, uncertainty=lexicon.uncertainty)
+    up, down = c.of("up"), c.of("down", "up")
+    pos, neg = c.of("positive", "up", "down"), c.of("negative", "positive", "up", "down")
+    doubt = c.of("uncertainty", "up", "down", "positive", "negative")
+    bad = text.rlike(tx.any_of(lexicon.bad_when_up)) & ~F.substring_index(text, " and ", 1).rlike(tx.any_of(lexicon.good_when_up))
+    events = F.when(text.rlike(tx.any_of(POSITIVE_EVENTS)), 10).otherwise(0) - F.when(text.rlike(tx.any_of(NEGATIVE_EVENTS)), 10).otherwise(0)
+
+    def parts(code: Column, free: Column, off: Column) -> Column:
+        net = lambda letters: count(free, letters) - count(off, letters)
+        moved = code.rlike(f"[{up}{down}]")
+        turns = F.when(moved, 10 * (net(up) - net(down))).otherwise(0)
+        return F.struct(turns.alias("turns"), (8 * (net(pos) - net(neg))).alias("words"), (-6 * net(doubt)).alias("doubt"), moved.alias("moved"),
+                        (moved & F.coalesce(bad, F.lit(False))).alias("bad"), events.alias("events"))
+
+    return tx.let(c.code(tx.tokens(text)), lambda k: tx.let(c.free(k, NEGATION_WINDOW), lambda f: tx.let(c.reached(k, NEGATION_WINDOW), lambda o: parts(k, f, o))))
 
-    def balance(signs: Column) -> Column:
-        p, n = (F.size(F.filter(signs, lambda x: x == k)).cast("double") for k in (1, -1))
-        return (p - n) / F.greatest(F.lit(1.0), p + n) * F.least(F.lit(1.0), (p + n) / 2 + 0.2)
 
-    return tx.let(F.transform(_pairs(text, lexicon), sign), balance)
+def directional_total(parts: Column, text: Column, aspect: Column) -> Column:
+    """The score in [-1, 1] that a text's parts give for one aspect; sums are whole tenths, so equal ones are equal bits."""
+    legal_cost = (aspect == "litigation") & parts["moved"] & F.coalesce(text.rlike(r"(?i)\b(legal|litigation) (expense|cost)s?\b"), F.lit(False))
+    unexpected = lambda: F.when(text.rlike(r"(?i)\b(do not|does not|don't|no) (?:expect|anticipate)\b.*\b(impact|charge|effect)"), 15).otherwise(0)
+    turned = F.when(parts["bad"] | legal_cost, -parts["turns"]).otherwise(parts["turns"])
+    tenths = turned + parts["words"] + F.when(aspect == "management_tone", parts["doubt"]).otherwise(0) + parts["events"]
+    bare = lambda t: F.when(~parts["moved"] & (F.abs(t) < 5), 0).otherwise(t) + unexpected()
+    total = tx.let(tenths, lambda t: F.when(aspect == "litigation", bare(t)).otherwise(t))
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), total / F.lit(10.0) / 2))
 
 
 def directional_score(text: Column, aspect: Column, lexicon: Lexicon = FINANCE) -> Column:
     """Directions read against what they move, then lexicon words, events and litigation rules; in [-1, 1]."""
-    before_and = F.element_at(F.split(text, " and "), 1)
-    bad = text.rlike(tx.any_of(lexicon.bad_when_up)) & ~before_and.rlike(tx.any_of(lexicon.good_when_up))
-    legal_cost = (aspect == "litigation") & text.rlike(r"(?i)\b(legal|litigation) (expense|cost)s?\b")
-    has = lambda words, x: F.array_contains(tx.strings(words), x["t"])
-    weight = lambda x, up: (
-        F.when(has(lexicon.up, x), up).when(has(lexicon.down, x), -up).when(has(lexicon.positive, x), F.lit(0.8)).when(has(lexicon.negative, x), F.lit(-0.8))
-        .when((aspect == "management_tone") & has(lexicon.uncertainty, x), F.lit(-0.6)).otherwise(F.lit(0.0))
-    )
-    events = F.when(text.rlike(tx.any_of(NEGATIVE_EVENTS)), -1.0).otherwise(0.0) + F.when(text.rlike(tx.any_of(POSITIVE_EVENTS)), 1.0).otherwise(0.0)
-    unexpected = F.when(text.rlike(r"(?i)\b(do not|does not|don't|no) (?:expect|anticipate)\b.*\b(impact|charge|effect)"), 1.5).otherwise(0.0)
-
-    def total(pairs: Column, up: Column) -> Column:
-        words = F.aggregate(pairs, F.lit(0.0), lambda s, x: s + weight(x, up) * F.when(x["m"], -1.0).otherwise(1.0))
-        moved = F.exists(pairs, lambda x: has(lexicon.up, x) | has(lexicon.down, x))
-        bare = lambda t: F.when(~moved & (F.abs(t) < 0.5), 0.0).otherwise(t) + unexpected
-        return tx.let(words + events, lambda t: F.when(aspect == "litigation", bare(t)).otherwise(t))
-
-    sign = F.when(F.coalesce(bad | legal_cost, F.lit(False)), -1.0).otherwise(1.0)
-    score = tx.let(_pairs(text, lexicon), lambda pairs: tx.let(sign, lambda up: total(pairs, up)))
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), score / 2))
+    return tx.let(directional_parts(text, lexicon), lambda parts: directional_total(parts, text, aspect))
 
 
 Scorer = Callable[..., Column]

@@ -11,9 +11,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemark.functions import lexicons as lx
+from tidemark.functions.codes import Coding
 
 TOKEN = r"[A-Za-z][A-Za-z'\-]*|\d+(?:\.\d+)?%?|[.,;:!?]"
+#: Stands for a token that a negation reaches.
+MARK = "!"
 NUMBER = r"\d[\d,]*(?:\.\d+)?"
+#: What \\s matches.
+BLANKS = " \t\n\x0b\f\r"
 _CLOSERS, _OPENERS = r"[\"')\]]*", r"[\"'(\[]?"
 
 
@@ -52,14 +57,14 @@ def sentences(text: Column, abbreviations: list[str] = lx.ABBREVIATIONS) -> Colu
     words = "|".join(a.replace(".", r"\.") for a in abbreviations)
     boundary = rf"{_CLOSERS}\s+(?={_OPENERS}[A-Z0-9])"
     abbreviated = rf"(?<=(?:^|\s)[\"'(\[]{{0,2}}(?i:{words})[\"'(\[]{{0,2}}\.{{1,3}})"
-    flat = F.regexp_replace(F.regexp_replace(text, r"\s*\n\s*", " "), r"^\s+|\s+$", "")
+    flat = F.btrim(F.regexp_replace(text, r"\s*\n\s*", " "), F.lit(BLANKS))
     # the cheap tests stand first: a full stop behind, a closer or blank ahead
     ahead = r"(?=[\"')\]\s])"
     whole = F.regexp_replace(flat, rf"(?<=\.){ahead}{abbreviated}{boundary}", " ") if abbreviations else flat
     # what is left of abbreviations ends in a blank that no boundary may take again
     keep = abbreviated.replace("(?<=", "(?<!", 1) if abbreviations else ""
     pieces = F.split(whole, rf"(?<=[.!?]){ahead}{keep}{boundary}")
-    return F.filter(F.transform(pieces, lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: F.length(s) > 1)
+    return F.filter(F.transform(pieces, lambda s: F.btrim(s, F.lit(BLANKS))), lambda s: F.length(s) > 1)
 
 
 def tokens(text: Column) -> Column:
@@ -69,23 +74,27 @@ def tokens(text: Column) -> Column:
 def negated(toks: Column, cues: list[str] = lx.NEGATION_CUES, breaks: list[str] = lx.CLAUSE_BREAKS, window: int = lx.NEGATION_WINDOW) -> Column:
     """Per token: does a negation reach it?  True if the last cue or break among
     the ``window`` tokens before it is a cue; cues and breaks are not reached."""
-    cue = lambda t: F.array_contains(strings(cues), t) | t.endswith("n't")
-    kind = lambda t: F.when(cue(t), 1).when(F.array_contains(strings(breaks), t), 2).otherwise(0)
-    kinds = F.transform(toks, lambda t: kind(F.lower(t)))
-    near = lambda ks, i: F.slice(ks, F.greatest(i - (window - 1), F.lit(1)), F.least(i, F.lit(window)))
-    last = lambda ks, i: F.try_element_at(F.filter(near(ks, i), lambda k: k > 0), F.lit(-1))
-    return let(kinds, lambda ks: F.transform(ks, lambda k, i: (k == 0) & F.coalesce(last(ks, i) == 1, F.lit(False))))
+    c = Coding(cues=cues, breaks=breaks)
+    cue, other = c.of("cues"), f"[^{c.of('cues')}{c.of('breaks', 'cues')}]"
+    mask = F.regexp_replace(c.code(toks), f"(?<=[{cue}]{other}{{0,{window - 1}}}){other}", MARK)
+    return F.when(F.size(toks) == 0, F.array().cast("array<boolean>")).otherwise(F.transform(F.split(mask, ""), lambda m: m == MARK))
 
 
 def hedge_score(text: Column, hedges: list[str] = lx.HEDGE_WORDS) -> Column:
-    words = F.transform(F.filter(tokens(text), lambda t: t.rlike("^[A-Za-z]+$") | t.contains("'")), F.lower)
-    hits = lambda ws: F.size(F.filter(ws, lambda w: F.array_contains(strings(hedges), w)))
+    return hedges_of(F.transform(tokens(text), F.lower), hedges)
+
+
+def hedges_of(toks: Column, hedges: list[str] = lx.HEDGE_WORDS) -> Column:
+    """The same of lower-cased tokens."""
+    words = F.filter(toks, lambda t: t.rlike("^[a-z]+$") | t.contains("'"))
+    hits = lambda ws: F.size(F.filter(ws, lambda w: w.isin(hedges) if hedges else F.lit(False)))
     return let(words, lambda ws: F.least(F.lit(1.0), hits(ws) / F.greatest(F.lit(3.0), F.size(ws) * 0.25)))
 
 
 def clauses(sentence: Column, contrast: list[str] = lx.CONTRAST) -> Column:
     """Parts between semicolons and contrast words; the sentence itself if none is left."""
-    parts = F.split(sentence, rf"(?i)\s*(?:;|,?\s+\b(?:{'|'.join(contrast)})\b)\s*")
+    # the first test fails fast where no separator starts
+    parts = F.split(sentence, rf"(?i)(?=[\s,;])\s*(?:;|,?\s+\b(?:{'|'.join(contrast)})\b)\s*")
     kept = F.filter(F.transform(parts, lambda p: F.btrim(p, F.lit(" ,"))), lambda p: p != "")
     return let(kept, lambda ps: F.when(F.size(ps) == 0, F.array(sentence)).otherwise(ps))
 
