@@ -307,15 +307,19 @@ def _evidence(spark, sf_dir):
     """Sentences of the corpus that the syllable lexicon scores, as evidence."""
     # a text has fewer sentences than a million
     chunks = ad.corpus_chunks(spark, sf_dir).withColumn("chunk_id", F.col("document_id") * 1_000_000 + F.col("idx"))
-    meant = aspects.mentions(chunks, ad.SYLLABLES)
-    got = aspects.score_sentences(meant, "lm_directional", ad.SYLLABLES, keys=("chunk_id", "ticker", "text"))
+    got = aspects.score_chunks(chunks, "lm_directional", ad.SYLLABLES, keys=("chunk_id", "ticker", "text"))
     # several branches of a brief read it: scored once and written
-    return written(got.withColumns({"similarity": F.lit(0.0), "doc_date": F.lit("2024-01-01").cast("date"), "section": F.lit("body")}))
+    return written(got.select("chunk_id", "ticker", "text", "aspect", "score", "confidence").withColumns({"similarity": F.lit(0.0), "doc_date": F.lit("2024-01-01").cast("date"), "section": F.lit("body")}))
+
+
+def _top_evidence(evidence):
+    """A few rows per ticker, aspect and side, which all that follows reads: drawn once from the evidence and written."""
+    return written(grounding.evidence_topk(evidence))
 
 
 @query()
 def claim_verification(spark, sf_dir):
-    top = grounding.evidence_topk(_evidence(spark, sf_dir))
+    top = _top_evidence(_evidence(spark, sf_dir))
     one = Window.partitionBy("chunk_id").orderBy(F.desc("strength"), "aspect")
     sources = top.withColumn("rn", F.row_number().over(one)).where("rn = 1")
     got = grounding.verify(grounding.greedy_claims(top), sources)
@@ -325,7 +329,7 @@ def claim_verification(spark, sf_dir):
 @query()
 def entailment_verdicts(spark, sf_dir):
     """The entailment branch, with a scorer that needs no model."""
-    top = grounding.evidence_topk(_evidence(spark, sf_dir))
+    top = _top_evidence(_evidence(spark, sf_dir))
     one = Window.partitionBy("chunk_id").orderBy(F.desc("strength"), "aspect")
     sources = top.withColumn("rn", F.row_number().over(one)).where("rn = 1")
     got = grounding.verify(grounding.greedy_claims(top), sources, entailment=grounding.entailment_hook(grounding.shared_words))
@@ -334,7 +338,7 @@ def entailment_verdicts(spark, sf_dir):
 
 @query()
 def adversarial_catch_rates(spark, sf_dir):
-    top = grounding.evidence_topk(_evidence(spark, sf_dir))
+    top = _top_evidence(_evidence(spark, sf_dir))
     one = Window.partitionBy("chunk_id").orderBy(F.desc("strength"), "aspect")
     sources = top.withColumn("rn", F.row_number().over(one)).where("rn = 1")
     made_up = ["A pending merger will widen the market.", "A buyback of 12 million shares was agreed.", "Supply has recovered in all regions."]
@@ -345,7 +349,7 @@ def adversarial_catch_rates(spark, sf_dir):
 @query()
 def briefs(spark, sf_dir):
     evidence = _evidence(spark, sf_dir)
-    top = grounding.evidence_topk(evidence)
+    top = _top_evidence(evidence)
     one = Window.partitionBy("chunk_id").orderBy(F.desc("strength"), "aspect")
     verified = grounding.verify(grounding.greedy_claims(top), top.withColumn("rn", F.row_number().over(one)).where("rn = 1"))
     return grounding.assemble(verified, grounding.stance(grounding.side_counts(evidence)), grounding.brief_confidence(verified, evidence)).withColumn("sections", F.to_json("sections"))
@@ -551,7 +555,7 @@ _DIRECTIONS = f"""spoken AS (SELECT DISTINCT doc_id, idx, clause_idx, clause FRO
 @query(f"WITH {ad.SENTENCES}, {_CLAUSES}, {_trigger_sql()}, {_MENTIONS}, {_DIRECTIONS} SELECT doc_id AS document_id, idx, aspect, label, score, confidence, trigger, clause, opinion_words, negated, hedge, 'lm_directional' AS model_name FROM scored")
 def directional_scores(spark, sf_dir):
     chunks = ad.corpus_chunks(spark, sf_dir)
-    got = aspects.score_sentences(aspects.mentions(chunks, _L), "lm_directional", _L, keys=("document_id", "idx"))
+    got = aspects.score_chunks(chunks, "lm_directional", _L, keys=("document_id", "idx"))
     return got.withColumn("opinion_words", F.array_join("opinion_words", " "))
 
 
@@ -574,7 +578,7 @@ _NAMES = " ".join(f"WHEN '{a}' THEN '{a.replace('_', ' ').title()}'" for a in _L
   SELECT ticker, side, CASE side WHEN 'bull' THEN 'bl' ELSE 'br' END || (pos + 1) AS claim_id, aspect, score, CASE aspect {_NAMES} END || ' is ' || CASE side WHEN 'bull' THEN 'supportive' ELSE 'concerning' END || ' (2024-01-01, body): "'
     || CASE WHEN length(flat) <= 220 THEN flat ELSE regexp_replace(substring(flat, 1, 220), ' [^ ]*$', '') || '...' END || '"' AS text, md5(CAST(chunk_id AS VARCHAR)) AS cited, CAST(pos AS INTEGER) AS ord FROM quoted""")
 def greedy_claims(spark, sf_dir):
-    got = grounding.greedy_claims(grounding.evidence_topk(_evidence(spark, sf_dir)))
+    got = grounding.greedy_claims(_top_evidence(_evidence(spark, sf_dir)))
     return got.withColumn("cited", F.md5(F.get("cited", F.lit(0)).cast("string")))
 
 
@@ -1032,7 +1036,7 @@ def section_extract(spark, sf_dir):
 
 @query()
 def audit_sheet(spark, sf_dir):
-    top = grounding.evidence_topk(_evidence(spark, sf_dir))
+    top = _top_evidence(_evidence(spark, sf_dir))
     one = Window.partitionBy("chunk_id").orderBy(F.desc("strength"), "aspect")
     sources = top.withColumn("rn", F.row_number().over(one)).where("rn = 1")
     return grounding.audit_export(grounding.verify(grounding.greedy_claims(top), sources), sources)
