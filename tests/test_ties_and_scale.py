@@ -7,7 +7,8 @@ import itertools
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
-from tidemark.operators import aspects
+from tidemark.functions import polarity
+from tidemark.operators import aspects, signals, wordvectors
 from tidemark.plans.adapters import SYLLABLES
 
 
@@ -44,3 +45,48 @@ def test_sentences_are_scored_in_their_row(spark):
     assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect())) != []
     # a shuffle of each text for each of its aspects before
     assert "Exchange" not in plan(got) and "Exchange" in plan(plain)
+
+
+def without_small_tables(spark, make):
+    """The plan where Spark itself takes no table for small, as none is at size."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = make()
+        return df.collect(), plan(df)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_vectors_do_not_travel_with_the_words_of_a_key(spark, monkeypatch):
+    chunks = spark.createDataFrame([(1, "the not by and by"), (1, "of"), (2, "xyz"), (3, None)], "d int, text string")
+    vectors = spark.createDataFrame([("the", [1.0, 0.0]), ("by", [0.0, 2.0]), ("of", None)], "word string, vector array<float>")
+    make = lambda: wordvectors.pooled_vectors(chunks, vectors, ["d"], SYLLABLES)
+    rows, how = without_small_tables(spark, make)
+    assert "SortMergeJoin" not in how
+    monkeypatch.setattr(wordvectors, "BROADCAST", 0)
+    large, how = without_small_tables(spark, make)
+    assert "SortMergeJoin" in how and sorted(map(str, rows)) == sorted(map(str, large))
+    assert {r["d"]: (r["n_tokens"], r["n_found"], r["vector"]) for r in rows} == {1: (6, 3, [1 / 3, -2 / 3]), 2: (1, 0, None)}
+
+
+def test_words_do_not_travel_to_a_small_dictionary(spark, monkeypatch):
+    chunks = spark.createDataFrame([(1, "The not by and by."), (1, "the"), (2, "xyz"), (3, None), (4, "by-law 3")], "d int, text string")
+    senses = spark.createDataFrame([("The", 1, 0.25), ("by", 1, 0.5), ("and", 1, -0.25)], "word string, rank int, value double")
+    make = lambda: polarity.sense_score(chunks, senses, ("d",), SYLLABLES)
+    rows, how = without_small_tables(spark, make)
+    assert "SortMergeJoin" not in how
+    monkeypatch.setattr(polarity, "BROADCAST_WORDS", 0)
+    large, how = without_small_tables(spark, make)
+    assert "SortMergeJoin" in how and sorted(map(str, rows)) == sorted(map(str, large))
+    # the two rows of a key count as one text of six tokens, as ever: the longer one's number
+    assert {r["d"]: r["score"] for r in rows} == {1: 4 * (0.25 + 0.25 + 0.25) / 6, 2: 0.0, 3: 0.0, 4: 0.0}
+
+
+def test_context_makes_each_sentence_once(spark):
+    chunks = spark.createDataFrame([("a", i, f"s{i}") for i in (0, 1, 2, 5)] + [("b", 1, "t"), ("b", 1, "u"), (None, 1, "v"), ("c", None, "w")], "document_id string, idx long, text string")
+    rows, how = without_small_tables(spark, lambda: signals.context(chunks, 2, F.col("idx") != 5))
+    how = how.split("Initial Plan")[0]
+    assert "Join" not in how and how.count("Scan") == 1
+    got = sorted((r["document_id"], r["target_idx"], r["idx"], r["text"], r["is_target"]) for r in rows)
+    known = [tuple(r) for r in chunks.where("document_id IS NOT NULL AND idx IS NOT NULL").collect()]
+    assert got == sorted((d, i, j, t, i == j) for d, i, _ in known if i != 5 for e, j, t in known if d == e and abs(i - j) <= 2)
