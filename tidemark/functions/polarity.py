@@ -91,6 +91,9 @@ def directional_score(text: Column, aspect: Column, lexicon: Lexicon = FINANCE)
     return tx.let(directional_parts(text, lexicon), lambda parts: directional_total(parts, text, aspect))
 
 
+#: Words of a dictionary up to which each task gets all of it.
+BROADCAST_WORDS = 500_000
+
 Scorer = Callable[..., Column]
 #: name: (score of (text, aspect, lexicon), neutral threshold)
 MODELS: dict[str, tuple[Scorer, float]] = {"lm_lexicon": (counted_score, 0.05), "lm_directional": (directional_score, 0.12), "valence": (valence.scorer, 0.05)}
@@ -120,16 +123,24 @@ def sense_score(chunks: DataFrame, senses: DataFrame, keys: tuple[str, ...], lex
     A word's value is the weighted mean of its first senses; negation turns its
     sign.  Only words of three or more letters count.  A text's score is four
     times the sum over its number of tokens, within -1 and 1; texts without
-    tokens score 0.  The dictionary joins on the word, so
-    it may be of any size."""
+    tokens score 0.  Each task gets a dictionary of up to BROADCAST_WORDS words,
+    and only sums per text travel; a larger one joins on the word."""
     weight = F.element_at(F.array(*map(F.lit, weights)), F.col("rank").cast("int"))
     first = senses.where(F.col("rank").between(1, len(weights))).withColumn("w", weight)
     values = first.groupBy(F.lower("word").alias("word")).agg((F.sum(F.col("value") * F.col("w")) / F.sum("w")).alias("value"))
+    values = values.where(F.col("word").rlike("^[a-z]{3,}$"))
     toks = chunks.select(*keys, tx.tokens(F.coalesce("text", F.lit(""))).alias("toks"))
     pairs = F.arrays_zip(F.transform("toks", F.lower).alias("word"), tx.negated(F.col("toks"), lexicon.cues, lexicon.breaks).alias("off"))
-    words = toks.select(*keys, F.size("toks").alias("n"), F.inline_outer(pairs))
-    # one row per text, word and sign before the join: frequent words do not travel once per use
-    counted = words.groupBy(*keys, "word").agg(F.max("n").alias("n"), F.sum(F.when(F.col("off"), -1).otherwise(1)).alias("uses"))
-    values = values.where(F.col("word").rlike("^[a-z]{3,}$"))
-    total = counted.join(values, "word", "left").groupBy(*keys).agg(F.max("n").alias("n"), F.coalesce(F.sum(F.col("uses") * F.col("value")), F.lit(0.0)).alias("s"))
-    return total.select(*keys, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 4 * F.col("s") / F.greatest("n", F.lit(1)))).alias("score"))
+    # a row's tokens need no row each but where a word of the right shape may have a value
+    long = F.filter(pairs, lambda x: x["word"].rlike("^[a-z]{3,}$"))
+    words = toks.select(*keys, F.size("toks").alias("n"), F.inline_outer(long))
+    each = F.when(F.col("off"), -1).otherwise(1)
+    if values.count() <= BROADCAST_WORDS:
+        # every task has the dictionary: a row's words are summed up where they are
+        met = words.join(F.broadcast(values), "word", "left").groupBy(*keys).agg(F.max("n").alias("n"), F.sum(each * F.col("value")).alias("s"))
+    else:
+        # one row per text, word and sign before the join: frequent words do not travel once per use
+        counted = words.groupBy(*keys, "word").agg(F.max("n").alias("n"), F.sum(each).alias("uses"))
+        met = counted.join(values, "word", "left").groupBy(*keys).agg(F.max("n").alias("n"), F.sum(F.col("uses") * F.col("value")).alias("s"))
+    score = 4 * F.coalesce("s", F.lit(0.0)) / F.greatest("n", F.lit(1))
+    return met.select(*keys, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), score)).alias("score"))
