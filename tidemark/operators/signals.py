@@ -63,10 +63,14 @@ def drill_down(scores: DataFrame, chunks: DataFrame, ticker: str, aspect: str, m
 def context(chunks: DataFrame, k: int, of: Column) -> DataFrame:
     """The sentences up to k before and after each target, with a flag on the target itself.
 
-    An equi-join on the document and the k-wide band of the position, so it
-    stays a hash or merge join."""
-    target = chunks.where(of).select("document_id", F.col("idx").alias("target_idx"), F.explode(F.expr(f"sequence(idx - {k}, idx + {k})")).alias("idx"))
-    return chunks.join(target, ["document_id", "idx"]).withColumn("is_target", F.col("idx") == F.col("target_idx"))
+    A frame over the positions of a document: one shuffle, and each sentence is
+    made once.  Rows without document or position are nobody's context."""
+    near = Window.partitionBy("document_id").orderBy("idx").rangeBetween(-k, k)
+    rows = chunks.where("document_id IS NOT NULL AND idx IS NOT NULL").withColumn("of", of)
+    others = [c for c in chunks.columns if c != "document_id"]
+    framed = rows.select("document_id", F.col("idx").alias("target_idx"), "of", F.collect_list(F.struct(*others)).over(near).alias("near")).where("of")
+    got = framed.select("document_id", "target_idx", F.inline("near"))
+    return got.select("document_id", "idx", *[c for c in others if c != "idx"], "target_idx", (F.col("idx") == F.col("target_idx")).alias("is_target"))
 
 
 def neighbours(chunks: DataFrame) -> DataFrame:

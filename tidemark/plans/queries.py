@@ -95,8 +95,9 @@ def points_topn(spark, sf_dir):
 @query(f"""WITH {ad.SENTENCES}, near AS (SELECT doc_id, idx AS target_idx, unnest(range(idx - 3, idx + 4)) AS idx FROM sents)
   SELECT t.doc_id AS document_id, t.target_idx, c.idx, length(c.s) AS n, c.idx = t.target_idx AS is_target FROM near t JOIN sents c ON c.doc_id = t.doc_id AND c.idx = t.idx""")
 def chunk_context(spark, sf_dir):
-    got = signals.context(ad.corpus_chunks(spark, sf_dir), 3, F.lit(True))
-    return got.select("document_id", "target_idx", "idx", F.length("text").cast("long").alias("n"), "is_target")
+    # of the text only its length is asked for, so only that travels
+    chunks = ad.corpus_chunks(spark, sf_dir).select("document_id", "idx", F.length("text").cast("long").alias("n"))
+    return signals.context(chunks, 3, F.lit(True)).select("document_id", "target_idx", "idx", "n", "is_target")
 
 
 @query(f"""WITH {ad.SENTENCES} SELECT doc_id AS document_id, idx, md5(lag(s) OVER w) AS previous, md5(lead(s) OVER w) AS "next" FROM sents WINDOW w AS (PARTITION BY doc_id ORDER BY idx)""")
