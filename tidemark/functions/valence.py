@@ -7,6 +7,7 @@ All of it is one Column expression per text.
 
 from __future__ import annotations
 
+import string
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -25,6 +26,8 @@ ALPHA = 15.0
 BOOST = 0.293
 
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
+#: The same characters.
+_MARKS = string.punctuation
 
 
 @dataclass(frozen=True)
@@ -43,26 +46,46 @@ def of_lexicon(lexicon: Lexicon, positive: float = 1.9, negative: float = -1.9)
     return Valences(words, negations=tuple(lexicon.cues), contrast=tuple(w for w in lexicon.contrast if w.isalpha()))
 
 
-def _table(values: dict[str, float]) -> Column:
-    return F.create_map(*[F.lit(x) for item in values.items() for x in item]) if values else F.create_map().cast("map<string,double>")
+def _value(word: Column, values: dict[str, float]) -> Column:
+    """A word's value, null where it has none: sets of words by value, asked only for words that any holds."""
+    by: dict[float, list[str]] = {}
+    for w, v in values.items():
+        by.setdefault(v, []).append(w)
+    none = F.lit(None).cast("double")
+    if not by:
+        return none
+    found = F.when(~word.isin(list(values)), none)
+    for v, ws in by.items():
+        found = found.when(word.isin(ws), F.lit(float(v)))
+    return found
 
 
 def words(text: Column) -> Column:
     """The text's words between blanks without the punctuation around them; words of one or two letters keep theirs."""
-    bare = lambda t: F.regexp_replace(t, f"^{PUNCTUATION}+|{PUNCTUATION}+$", "")
-    pieces = F.filter(F.split(text, r"[ \t\n\r\f\x0B]+"), lambda t: t != "")
-    return F.transform(pieces, lambda t: F.when(F.length(bare(t)) <= 2, t).otherwise(bare(t)))
+    bare = lambda t: F.btrim(t, F.lit(_MARKS))
+    whole = F.btrim(text, F.lit(tx.BLANKS))
+    return F.transform(F.when(whole == "", tx.strings([])).otherwise(F.split(whole, r"[ \t\n\r\f\x0B]+")), lambda t: F.when(F.length(bare(t)) <= 2, t).otherwise(bare(t)))
+
+
+#: Words that the rules know besides a table's own.
+_RULED = ("never", "without", "so", "this", "doubt", "least", "at", "very")
 
 
 def valence_score(text: Column, valences: Valences) -> Column:
     """The compound score in [-1, 1]; 0 for null, empty and unknown texts."""
-    value, boost = _table(valences.words), _table(valences.boosters)
+    known = list(dict.fromkeys([*valences.words, *valences.boosters, *valences.negations, *valences.contrast, *_RULED]))
     is_in = lambda w, some: w.isin(list(some)) if some else F.lit(False)
 
     def item(t: Column) -> Column:
-        low = F.lower(t)
-        negation = is_in(low, valences.negations) | low.contains("n't")
-        return F.struct(low.alias("w"), ((t == F.upper(t)) & (t != low)).alias("up"), F.try_element_at(value, low).alias("v"), F.coalesce(F.try_element_at(boost, low), F.lit(0.0)).alias("b"), negation.alias("neg"))
+        def built(low: Column) -> Column:
+            up = ((t != low) & (t == F.upper(t))).alias("up")
+            of = lambda v, b, neg: F.struct(low.alias("w"), up, v.alias("v"), b.alias("b"), neg.alias("neg"))
+            negation = is_in(low, valences.negations) | low.contains("n't")
+            boost = F.coalesce(_value(low, valences.boosters), F.lit(0.0))
+            # most words are in no list: one look in a set tells
+            return F.when(low.isin(known) | low.contains("n't"), of(_value(low, valences.words), boost, negation)).otherwise(of(F.lit(None).cast("double"), F.lit(0.0), F.lit(False)))
+
+        return tx.let(F.lower(t), built)
 
     def step(s: Column, items: Column, i: Column, mixed: Column, d: int) -> Column:
         """What the word ``d`` before does to a value."""
@@ -86,9 +109,11 @@ def valence_score(text: Column, valences: Valences) -> Column:
 
         def weighed(scores: Column) -> Column:
             places = F.filter(F.transform(items, lambda x, i: F.when(is_in(x["w"], valences.contrast), i)), lambda i: i.isNotNull())
-            at = F.try_element_at(places, F.lit(1))
-            weight = lambda i: F.when(at.isNull() | (i == at), 1.0).when(i < at, BEFORE_CONTRAST).otherwise(AFTER_CONTRAST)
-            return F.aggregate(F.transform(scores, lambda s, i: s * weight(i)), F.lit(0.0), lambda a, s: a + s)
+            weight = lambda i, at: F.when((at < 0) | (i == at), 1.0).when(i < at, BEFORE_CONTRAST).otherwise(AFTER_CONTRAST)
+            add = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, s: a + s)
+            total = lambda at: F.when(at < 0, add(scores)).otherwise(add(F.transform(scores, lambda s, i: s * weight(i, at))))
+            # found once: looked up at each word, it made a text's cost quadratic in its length
+            return tx.let(F.coalesce(F.try_element_at(places, F.lit(1)), F.lit(-1)), total)
 
         return tx.let(F.transform(items, one), weighed)
 
@@ -102,7 +127,8 @@ def valence_score(text: Column, valences: Valences) -> Column:
     def whole(items: Column) -> Column:
         capitals = F.size(F.filter(items, lambda x: x["up"]))
         mixed = (capitals > 0) & (capitals < F.size(items))
-        return tx.let(mixed, lambda m: tx.let(scored(items, m), lambda s: tx.let(louder(s), squashed)))
+        known = F.exists(items, lambda x: x["v"].isNotNull())
+        return F.when(known, tx.let(mixed, lambda m: tx.let(scored(items, m), lambda s: tx.let(louder(s), squashed)))).otherwise(0.0)
 
     return tx.let(F.transform(words(text), item), whole)
 
