@@ -164,9 +164,3 @@ def term_pattern(terms: list[str]) -> str:
     regex = {"-": r"\-"}
     one = lambda t: "".join(regex.get(c, c) for c in t.rstrip("*")) + (r"\w*" if t.endswith("*") else r"\b")
     return r"\b(?:" + "|".join(one(t) for t in sorted(terms, key=len, reverse=True)) + ")"
-
-
-def first_letters(terms: list[str]) -> str:
-    """A look ahead that fails fast where no term can start; empty unless all start with ASCII letters."""
-    firsts = sorted({t[:1].lower() for t in terms})
-    return "(?=[" + "".join(c + c.upper() for c in firsts) + "])" if all("a" <= c <= "z" for c in firsts) and firsts else ""

@@ -93,10 +93,14 @@ def hedges_of(toks: Column, hedges: list[str] = lx.HEDGE_WORDS) -> Column:
 
 def clauses(sentence: Column, contrast: list[str] = lx.CONTRAST) -> Column:
     """Parts between semicolons and contrast words; the sentence itself if none is left."""
-    # the first test fails fast where no separator starts
-    parts = F.split(sentence, rf"(?i)(?=[\s,;])\s*(?:;|,?\s+\b(?:{'|'.join(contrast)})\b)\s*")
+    words = "|".join(contrast)
+    parts = F.split(sentence, rf"(?i)\s*(?:;|,?\s+\b(?:{words})\b)\s*")
     kept = F.filter(F.transform(parts, lambda p: F.btrim(p, F.lit(" ,"))), lambda p: p != "")
-    return let(kept, lambda ps: F.when(F.size(ps) == 0, F.array(sentence)).otherwise(ps))
+    several = let(kept, lambda ps: F.when(F.size(ps) == 0, F.array(sentence)).otherwise(ps))
+    # most sentences have no separator, which a plainer pattern tells
+    trimmed = F.btrim(sentence, F.lit(" ,"))
+    whole = F.array(F.when(trimmed == "", sentence).otherwise(trimmed))
+    return F.when(sentence.rlike(rf"(?i);|\s(?:{words})"), several).when(sentence.isNotNull(), whole)
 
 
 def numbers(text: Column) -> Column:
