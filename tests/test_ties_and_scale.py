@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import itertools
+import time
 
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
-from tidemark.functions import polarity
+from tidemark.functions import polarity, valence
 from tidemark.operators import aspects, signals, wordvectors
 from tidemark.plans.adapters import SYLLABLES
 
@@ -90,3 +91,18 @@ def test_context_makes_each_sentence_once(spark):
     got = sorted((r["document_id"], r["target_idx"], r["idx"], r["text"], r["is_target"]) for r in rows)
     known = [tuple(r) for r in chunks.where("document_id IS NOT NULL AND idx IS NOT NULL").collect()]
     assert got == sorted((d, i, j, t, i == j) for d, i, _ in known if i != 5 for e, j, t in known if d == e and abs(i - j) <= 2)
+
+
+def test_valence_of_long_texts_is_not_quadratic(spark):
+    # the place of the contrast word was looked up again at each word: twice the words, four times the work
+    words = "the of by or xx der " * 40
+    long = spark.createDataFrame([(words * 64,)] * 4, "t string").repartition(4)
+    began = time.time()
+    got = {r["s"] for r in long.select(valence.valence_score(F.col("t"), valence.of_lexicon(SYLLABLES)).alias("s")).collect()}
+    assert len(got) == 1 and time.time() - began < 20
+
+
+def test_clauses_with_and_without_separators(spark):
+    texts = [" , a b, ", ";", "a but b", "a, but b;c", "abut but", "", " ;, ", "a\tBUT\tb", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", tx.clauses(F.col("t"), ["but"]).alias("c")).collect()
+    assert [r["c"] for r in sorted(rows)] == [["a b"], [";"], ["a", "b"], ["a", "b", "c"], ["abut"], [""], [" ;, "], ["a", "b"], None]
