@@ -4,13 +4,20 @@ from __future__ import annotations
 
 import itertools
 import time
+from collections import Counter
+from pathlib import Path
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
 from tidemark.functions import polarity, valence
-from tidemark.operators import aspects, signals, wordvectors
+from tidemark.operators import aspects, signals, textbayes, wordvectors
 from tidemark.plans.adapters import SYLLABLES
+from tidemark.plans.queries import QUERIES, SQL
+
+DATA = Path("/root/testdata/sf0.001")
 
 
 def test_equally_strong_clauses_go_by_position(spark):
@@ -106,3 +113,35 @@ def test_clauses_with_and_without_separators(spark):
     texts = [" , a b, ", ";", "a but b", "a, but b;c", "abut but", "", " ;, ", "a\tBUT\tb", None]
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", tx.clauses(F.col("t"), ["but"]).alias("c")).collect()
     assert [r["c"] for r in sorted(rows)] == [["a b"], [";"], ["a", "b"], ["a", "b", "c"], ["abut"], [""], [" ;, "], ["a", "b"], None]
+
+
+def test_terms_are_counted_in_their_row_and_meet_the_vocabulary_unsorted(spark, monkeypatch):
+    texts = ["The sales don't rise, NOT on 3.5% or que KKa İx; it's a-b' no. 12", "", None, "no a b c d e f on , x", "the the the the", "no", "é noé a"] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "k int, text string").withColumn("label", F.when(F.col("k") % 3 == 0, "x").otherwise("y"))
+    toks = tx.tokens(F.coalesce("text", F.lit("")))
+    lead = F.when(F.col("k") % 2 == 0, "côst")
+    got = {}
+    for k, m in docs.select("k", tx.marked_tokens(toks, tx.negated(toks, SYLLABLES.cues, SYLLABLES.breaks))).collect():
+        m = [*(["asp_côst"] if k % 2 == 0 else []), *m]
+        got[k] = Counter([*m, *(f"{a} {b}" for a, b in zip(m, m[1:]))])
+    monkeypatch.setattr(textbayes, "FLUSH", 20)
+    counted = textbayes.counted_terms(docs, ["k"], aspect=lead, lexicon=SYLLABLES)
+    assert "Exchange" not in plan(counted)
+    assert {r["k"]: dict((t["term"], t["tf"]) for t in r["terms"]) for r in counted.collect()} == got
+    monkeypatch.setattr(textbayes, "TASK_TERMS", 5)
+    model = textbayes.fit(docs, ["k"], lexicon=SYLLABLES)
+    assert model.size == model.table.count() > 20
+    found = model.predict(docs, ["k"], lexicon=SYLLABLES)
+    asked = textbayes._met(textbayes.terms(docs, ["k"], lexicon=SYLLABLES), model.table, model.size)
+    assert found.count() == len(texts) and "SortMergeJoin" not in plan(asked) and asked.rdd.getNumPartitions() >= model.size / 5
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="the driver's tables are not here")
+def test_bayes_report_equals_sql(spark):
+    con = duckdb.connect()
+    for name in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{DATA / name}.parquet'")
+    cur = con.execute(SQL["nb_tfidf_report"])
+    columns = [c[0] for c in cur.description]
+    want = sorted(cur.fetchall())
+    assert sorted(tuple(r) for r in QUERIES["nb_tfidf_report"](spark, str(DATA)).select(*columns).collect()) == want

@@ -902,7 +902,7 @@ _BAYES = f"""{_LABELLED}, sents AS (SELECT doc_id, 0 AS idx, text AS s FROM labe
 def _labelled(spark, sf_dir):
     held_out = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("long") % 100 < 15
     label = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").otherwise("poor")
-    d = ad.table(spark, sf_dir, "documents").select("doc_id", "text").join(ad.table(spark, sf_dir, "labels"), "doc_id")
+    d = ad.spread(ad.table(spark, sf_dir, "documents").select("doc_id", "text")).join(ad.table(spark, sf_dir, "labels"), "doc_id")
     return d.select("doc_id", "text", label.alias("label"), held_out.alias("held_out"))
 
 
