@@ -145,3 +145,35 @@ def test_bayes_report_equals_sql(spark):
     columns = [c[0] for c in cur.description]
     want = sorted(cur.fetchall())
     assert sorted(tuple(r) for r in QUERIES["nb_tfidf_report"](spark, str(DATA)).select(*columns).collect()) == want
+
+
+def test_only_clauses_with_an_aspect_are_read_for_its_words(spark):
+    rows = [(1, "That is on THE way, was it not so; nothing here; de-facto no"), (2, "nothing"), (3, ""), (4, None), (5, "a this-x isn't du den à la."), (6, "This is; this")]
+    chunks = spark.createDataFrame(rows, "chunk_id int, text string")
+    got = aspects.mentions(chunks, SYLLABLES)
+    read = [x for x in plan(got).splitlines() if "Filter" in x and "RLIKE" in x and "clause" in x]
+    assert read
+    rows = [(r["chunk_id"], r["clause_idx"], r["aspect"], r["trigger"], r["opinion_words"], r["negated"], r["hedge"]) for r in got.collect()]
+    third = 1 / 3
+    assert sorted(x for x in rows if x[0] in (1, 6)) == [
+        (1, 0, "demand", "is", ["that", "on", "the", "way", "was", "it"], True, third * 2),
+        (1, 0, "guidance", "That", ["is", "on", "the", "way", "was"], True, third * 2),
+        (1, 2, "management_tone", "de", [], False, 0.0),
+        (6, 0, "demand", "is", ["this"], False, 0.0),
+        (6, 0, "guidance", "This is", [], False, 0.0),
+        (6, 1, "guidance", "this", [], False, 0.0),
+    ]
+
+
+def test_lists_with_patterns_or_empty_terms_are_read_as_before(spark):
+    df = spark.createDataFrame([("The Cat sat",), ("a dog-ear",), ("bird",), ("",), (None,)], "t string")
+    terms = {"a": ["cat", "dog-ear"], "b": [], "c": ["(?:b|s)[ia]\\w+", "x"]}
+    got = [r[0] and [(h["aspect"], h["trigger"]) for h in r[0]] for r in df.select(aspects.triggers(F.col("t"), terms)).collect()]
+    assert got[:4] == [[("a", "Cat"), ("c", "sat")], [("a", "dog-ear")], [("c", "bird")], []]
+
+
+def test_abbreviations_join_sentences_by_their_last_letters(spark):
+    texts = ["Mr. A met (Dr.) B at Foo Inc. Then it ended. no. It (est.) 9 rose...", "U.S. No. 9. x No... Y", "xinc. Y. etc.", " e.g. \n\n A. b\tInc.\tB.", "", None, "No."]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(tx.sentences(F.col("t"))).collect()]
+    assert got == [["Mr. A met (Dr. B at Foo Inc. Then it ended. no. It (est. 9 rose..."], ["U.S. No. 9. x No... Y"], ["xinc.", "Y. etc."], ["e.g. A. b\tInc. B."], [], None, ["No."]]
+    assert "?<!" not in plan(spark.createDataFrame([("a",)], "t string").select(tx.sentences(F.col("t"))))

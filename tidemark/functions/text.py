@@ -56,21 +56,28 @@ def sentences(text: Column, abbreviations: list[str] = lx.ABBREVIATIONS) -> Colu
     """Sentences of a text; a full stop after an abbreviation ends none."""
     words = "|".join(a.replace(".", r"\.") for a in abbreviations)
     boundary = rf"{_CLOSERS}\s+(?={_OPENERS}[A-Z0-9])"
-    abbreviated = rf"(?<=(?:^|\s)[\"'(\[]{{0,2}}(?i:{words})[\"'(\[]{{0,2}}\.{{1,3}})"
     flat = F.btrim(F.regexp_replace(text, r"\s*\n\s*", " "), F.lit(BLANKS))
-    # the cheap tests stand first: a full stop behind, a closer or blank ahead
-    ahead = r"(?=[\"')\]\s])"
-    whole = F.regexp_replace(flat, rf"(?<=\.){ahead}{abbreviated}{boundary}", " ") if abbreviations else flat
-    # what is left of abbreviations ends in a blank that no boundary may take again
-    keep = abbreviated.replace("(?<=", "(?<!", 1) if abbreviations else ""
-    pieces = F.split(whole, rf"(?<=[.!?]){ahead}{keep}{boundary}")
-    return F.filter(F.transform(pieces, lambda s: F.btrim(s, F.lit(BLANKS))), lambda s: F.length(s) > 1)
+    # the cheap test stands first: a closer or blank ahead; pieces begin and end without blanks
+    pieces = F.split(flat, rf"(?<=[.!?])(?=[\"')\]\s]){boundary}")
+    if abbreviations:
+        # only a piece's last letters tell whether an abbreviation ends it; no line end is left, so one parts the others
+        tail = 8 + max(map(len, abbreviations))
+        ended = rf"(?:^|\s)[\"'(\[]{{0,2}}(?i:{words})[\"'(\[]{{0,2}}\.{{1,3}}\z"
+        part = lambda s: F.when(s.endswith(".") & F.substring(s, -tail, tail).rlike(ended), " ").otherwise("\n")
+        joined = F.array_join(F.transform(pieces, lambda s: F.concat(s, part(s))), "")
+        pieces = F.split(F.rtrim(joined), "\n")
+    return F.filter(pieces, lambda s: F.length(s) > 1)
 
 
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
 
+def is_word(token: Column) -> Column:
+    """Has a lower-cased token no hyphen, number or mark?  Tokens that begin with a letter hold letters, hyphens and apostrophes."""
+    return (token >= "a") & ~token.contains("-")
+
+
 def negated(toks: Column, cues: list[str] = lx.NEGATION_CUES, breaks: list[str] = lx.CLAUSE_BREAKS, window: int = lx.NEGATION_WINDOW) -> Column:
     """Per token: does a negation reach it?  True if the last cue or break among
     the ``window`` tokens before it is a cue; cues and breaks are not reached."""
@@ -86,7 +93,7 @@ def hedge_score(text: Column, hedges: list[str] = lx.HEDGE_WORDS) -> Column:
 
 def hedges_of(toks: Column, hedges: list[str] = lx.HEDGE_WORDS) -> Column:
     """The same of lower-cased tokens."""
-    words = F.filter(toks, lambda t: t.rlike("^[a-z]+$") | t.contains("'"))
+    words = F.filter(toks, lambda t: is_word(t) | t.contains("'"))
     hits = lambda ws: F.size(F.filter(ws, lambda w: w.isin(hedges) if hedges else F.lit(False)))
     return let(words, lambda ws: F.least(F.lit(1.0), hits(ws) / F.greatest(F.lit(3.0), F.size(ws) * 0.25)))
 
@@ -97,9 +104,10 @@ def clauses(sentence: Column, contrast: list[str] = lx.CONTRAST) -> Column:
     parts = F.split(sentence, rf"(?i)\s*(?:;|,?\s+\b(?:{words})\b)\s*")
     kept = F.filter(F.transform(parts, lambda p: F.btrim(p, F.lit(" ,"))), lambda p: p != "")
     several = let(kept, lambda ps: F.when(F.size(ps) == 0, F.array(sentence)).otherwise(ps))
-    # most sentences have no separator, which a plainer pattern tells
+    # most sentences have no separator, which a plainer pattern tells, and nothing at their ends to trim (a look at all letters)
     trimmed = F.btrim(sentence, F.lit(" ,"))
-    whole = F.array(F.when(trimmed == "", sentence).otherwise(trimmed))
+    loose = F.startswith(sentence, F.lit(" ")) | F.startswith(sentence, F.lit(",")) | F.endswith(sentence, F.lit(" ")) | F.endswith(sentence, F.lit(","))
+    whole = F.array(F.when(loose & (trimmed != ""), trimmed).otherwise(sentence))
     return F.when(sentence.rlike(rf"(?i);|\s(?:{words})"), several).when(sentence.isNotNull(), whole)
 
 
