@@ -177,3 +177,14 @@ def test_abbreviations_join_sentences_by_their_last_letters(spark):
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(tx.sentences(F.col("t"))).collect()]
     assert got == [["Mr. A met (Dr. B at Foo Inc. Then it ended. no. It (est. 9 rose..."], ["U.S. No. 9. x No... Y"], ["xinc.", "Y. etc."], ["e.g. A. b\tInc. B."], [], None, ["No."]]
     assert "?<!" not in plan(spark.createDataFrame([("a",)], "t string").select(tx.sentences(F.col("t"))))
+
+
+def test_a_label_makes_no_table_of_probabilities(spark):
+    assert "map_from_arrays" not in plan(QUERIES["lm_score"](spark, str(DATA)))
+
+
+def test_words_without_cues_score_as_with_them(spark):
+    texts = ["the by of", "not the by of", "the", "of not x, the", "nothing", "", None, "isn't the of of"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(polarity.counted_score(F.col("t"), None, SYLLABLES)).collect()]
+    assert got == [1 / 3, -1 / 3, 0.7, 0.0, 0.0, 0.0, None, 1 / 3]

@@ -53,7 +53,13 @@ def counted_score(text: Column, aspect: Column | None = None, lexicon: Lexicon =
         p, n = count(free, pos) + count(off, neg), count(free, neg) + count(off, pos)
         return tx.let(p.cast("double"), lambda x: tx.let(n.cast("double"), lambda y: balance(x, y)))
 
-    return tx.let(c.code(tx.tokens(text)), lambda k: tx.let(c.free(k, NEGATION_WINDOW), lambda f: tx.let(c.reached(k, NEGATION_WINDOW), lambda o: sides(f, o))))
+    def scored(k: Column) -> Column:
+        # most texts hold no such word or no cue: one look tells
+        plain = tx.let(count(k, pos).cast("double"), lambda p: tx.let(count(k, neg).cast("double"), lambda n: balance(p, n)))
+        turned = tx.let(c.free(k, NEGATION_WINDOW), lambda f: tx.let(c.reached(k, NEGATION_WINDOW), lambda o: sides(f, o)))
+        return F.when(~k.rlike(f"[{pos}{neg}]"), 0.0).when(k.rlike(f"[{c.of('cues')}]"), turned).otherwise(plain)
+
+    return tx.let(c.code(tx.tokens(text)), lambda k: F.when(k.isNotNull(), scored(k)))
 
 
 def directional_parts(text: Column, lexicon: Lexicon = FINANCE) -> Column:

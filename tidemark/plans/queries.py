@@ -513,7 +513,7 @@ def trigger_hits(spark, sf_dir):
   SELECT s.doc_id AS document_id, s.idx, {r('coalesce(score, 0)', 6)} AS score, CASE WHEN coalesce(score, 0) > 0.05 THEN 'positive' WHEN coalesce(score, 0) < -0.05 THEN 'negative' ELSE 'neutral' END AS label
   FROM sents s LEFT JOIN scored USING (doc_id, idx)""")
 def lm_score(spark, sf_dir):
-    p = polarity.prediction(polarity.counted_score(F.col("text"), None, _L), 0.05)
+    p = polarity.graded(polarity.counted_score(F.col("text"), None, _L), 0.05)
     return ad.corpus_chunks(spark, sf_dir).withColumn("p", p).select("document_id", "idx", half_up(F.col("p.score"), 6).alias("score"), F.col("p.label").alias("label"))
 
 
